@@ -1 +1,120 @@
-"""Registered queries."""
+"""Delegated query surface (G7 + §2.12): one guarded statement per query class.
+
+Each statement runs through ``guarded_query`` (parse-only check, then a
+structural 1000-row cap) over temp views of the input tables.  Every statement
+reads whole tables and returns fewer rows than the cap.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from ..operators.guard import guarded_query
+from ..sources import derive
+from ..sources.tables import TABLES, table
+from .oracle_views import with_views
+from .registry import register
+
+
+def register_views(spark: SparkSession, sf: str) -> set[str]:
+    """Temp views for the input tables and the derived records (metadata only, nothing is read)."""
+    for t in TABLES:
+        table(spark, sf, t).createOrReplaceTempView(t)
+    derive.load_records(spark, sf).createOrReplaceTempView("records")
+    return set(TABLES) | {"records"}
+
+
+def _run(spark, sf, sql):
+    allowed = register_views(spark, sf)
+    res = guarded_query(spark, sql, 1000, allowed_tables=allowed)
+    if not res.ok:
+        raise RuntimeError(res.message)
+    return res.df
+
+
+# name -> (Spark SQL, DuckDB SQL); the same text where the dialects agree
+STATEMENTS: dict[str, tuple[str, str]] = {}
+
+STATEMENTS["sql_inner_join"] = ("""
+SELECT n.n_name, count(*) AS n_lines, CAST(sum(l.l_quantity) AS BIGINT) AS total_qty
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+GROUP BY n.n_name""", None)
+
+STATEMENTS["sql_left_join"] = ("""
+SELECT c.c_mktsegment, count(DISTINCT c.c_custkey) AS n_customers, count(o.o_orderkey) AS n_orders,
+       count(DISTINCT CASE WHEN o.o_orderkey IS NULL THEN c.c_custkey END) AS n_without_orders
+FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey
+GROUP BY c.c_mktsegment""", None)
+
+STATEMENTS["sql_semi_join"] = ("""
+SELECT c.c_nationkey, count(*) AS n_customers
+FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')
+GROUP BY c.c_nationkey""", None)
+
+STATEMENTS["sql_anti_join"] = ("""
+SELECT p.p_brand, count(*) AS n_never_ordered
+FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity >= 45)
+GROUP BY p.p_brand""", None)
+
+STATEMENTS["sql_rollup"] = ("""
+SELECT l_returnflag, l_linestatus, count(*) AS n_lines, CAST(sum(l_quantity) AS BIGINT) AS total_qty
+FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""", None)
+
+STATEMENTS["sql_rank_window"] = ("""
+SELECT n_nationkey, s_suppkey, rnk, running_n FROM (
+  SELECT s.s_nationkey AS n_nationkey, s.s_suppkey,
+         rank() OVER (PARTITION BY s.s_nationkey ORDER BY s.s_acctbal DESC, s.s_suppkey) AS rnk,
+         count(*) OVER (PARTITION BY s.s_nationkey ORDER BY s.s_acctbal DESC, s.s_suppkey
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_n
+  FROM supplier s) t
+WHERE rnk <= 3""", None)
+
+STATEMENTS["sql_top_k"] = ("""
+SELECT o.o_custkey, CAST(sum(l.l_quantity) AS BIGINT) AS total_qty
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+GROUP BY o.o_custkey ORDER BY total_qty DESC, o.o_custkey LIMIT 10""", None)
+
+STATEMENTS["sql_set_ops"] = ("""
+SELECT 'both' AS kind, k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) a
+UNION ALL
+SELECT 'customer_only' AS kind, k FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier) b
+UNION ALL
+SELECT 'any' AS kind, k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) c""", None)
+
+STATEMENTS["sql_correlated_subquery"] = ("""
+SELECT o.o_orderstatus, count(*) AS n_above_customer_avg
+FROM orders o
+WHERE o.o_totalprice > (SELECT avg(o2.o_totalprice) FROM orders o2 WHERE o2.o_custkey = o.o_custkey)
+GROUP BY o.o_orderstatus""", None)
+
+STATEMENTS["sql_string_date_json"] = ("""
+SELECT CAST(CAST(date_trunc('day', ts) AS DATE) AS STRING) AS day, upper(event_type) AS kind,
+       count(*) AS n, count(CASE WHEN CAST(get_json_object(props, '$.k') AS INT) > 50 THEN 1 END) AS n_k_over_50,
+       max(length(props)) AS max_props_len
+FROM events GROUP BY 1, 2""", """
+SELECT CAST(CAST(date_trunc('day', ts) AS DATE) AS VARCHAR) AS day, upper(event_type) AS kind,
+       count(*) AS n, count(CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) > 50 THEN 1 END) AS n_k_over_50,
+       max(length(props)) AS max_props_len
+FROM events GROUP BY 1, 2""")
+
+STATEMENTS["sql_records_example_count"] = ("""
+SELECT COUNT(*) AS error_count FROM records
+WHERE level = 'error' AND start_timestamp::date > TIMESTAMP '2024-01-15 10:00:00' - INTERVAL '1 day'""", None)
+
+STATEMENTS["sql_smoke_errors"] = ("""
+SELECT span_id, level, message FROM records WHERE level = 'error' ORDER BY span_id LIMIT 5""", None)
+
+
+def _make(name, spark_sql):
+    def q(spark, sf):
+        return _run(spark, sf, spark_sql)
+    q.__doc__ = f"Guarded statement: {name}."
+    return q
+
+
+for _name, (_spark_sql, _duck_sql) in STATEMENTS.items():
+    _twin = _duck_sql if _duck_sql is not None else _spark_sql
+    if "records" in _twin:
+        _twin = with_views(["records"], _twin)
+    register(_name, _twin)(_make(_name, _spark_sql))
