@@ -53,7 +53,7 @@ messages AS (
   SELECT run_id, turn AS pos, role, text AS content,
          CASE WHEN role = 'user' THEN run_id || '-' || CAST(turn AS VARCHAR) END AS call_id,
          CASE WHEN role = 'user' THEN CASE WHEN turn % 4 = 0 THEN 'execute_sql' ELSE 'export_csv' END END AS call_tool,
-         CASE WHEN role = 'assistant' THEN run_id || '-' || CAST(turn - 1 AS VARCHAR) END AS return_id
+         CASE WHEN role = 'assistant' THEN run_id || '-' || CAST(turn - CASE WHEN turn % 4 = 3 THEN 3 ELSE 1 END AS VARCHAR) END AS return_id
   FROM conv)"""
 
 _TOOL_INPUT = f"""CASE WHEN turn % 4 = 0
@@ -156,10 +156,10 @@ run_updates AS (
          CASE WHEN turn % 2 = 0 THEN 'history@' || CAST(turn AS VARCHAR) END AS messages,
          CASE WHEN turn % 2 <> 0 AND turn % 3 <> 0 THEN 'pending@' || CAST(turn AS VARCHAR) END AS pending,
          CASE WHEN turn % 5 <> 0 THEN 'model-' || CAST((conv_id + turn) % 3 AS VARCHAR) END AS model,
-         epoch_ms(turn_ms) AS at
+         epoch_ms(turn_ms) AS written_at
   FROM conv
   UNION ALL
-  SELECT run_id, turn * 10 AS seq, 'clear' AS kind, NULL, NULL, NULL, epoch_ms(turn_ms - 1) AS at
+  SELECT run_id, turn * 10 AS seq, 'clear' AS kind, NULL, NULL, NULL, epoch_ms(turn_ms - 1) AS written_at
   FROM conv WHERE conv_id % 10 = 0 AND turn = 2)"""
 
 VIEWS["artifacts"] = """

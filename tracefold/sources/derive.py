@@ -120,9 +120,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"),
         F.when(F.col("role") == "user", call_id).alias("call_id"),
         F.when(F.col("role") == "user", tool).alias("call_tool"),
-        # an assistant turn answers the call of the turn before it
+        # an assistant turn returns the call of the turn before it (three turns back when turn % 4 = 3)
         F.when(F.col("role") == "assistant",
-               F.concat(F.col("run_id"), F.lit("-"), (F.col("turn") - 1).cast("string"))).alias("return_id"),
+               F.concat(F.col("run_id"), F.lit("-"),
+                        (F.col("turn") - F.when(F.col("turn") % 4 == 3, 3).otherwise(1)).cast("string"))
+               ).alias("return_id"),
     )
 
 
@@ -270,12 +272,12 @@ def run_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_msg, F.concat(F.lit("history@"), t.cast("string"))).alias("messages"),
         F.when(~is_msg & (t % 3 != 0), F.concat(F.lit("pending@"), t.cast("string"))).alias("pending"),
         F.when(t % 5 != 0, F.concat(F.lit("model-"), ((F.col("conv_id") + t) % 3).cast("string"))).alias("model"),
-        F.timestamp_millis(F.col("turn_ms")).alias("at"),
+        F.timestamp_millis(F.col("turn_ms")).alias("written_at"),
     )
     clears = c.where((F.col("conv_id") % 10 == 0) & (t == 2)).select(
         "run_id", (t * 10).alias("seq"), F.lit("clear").alias("kind"),
         F.lit(None).cast("string").alias("messages"), F.lit(None).cast("string").alias("pending"),
-        F.lit(None).cast("string").alias("model"), F.timestamp_millis(F.col("turn_ms") - 1).alias("at"))
+        F.lit(None).cast("string").alias("model"), F.timestamp_millis(F.col("turn_ms") - 1).alias("written_at"))
     return upd.unionByName(clears)
 
 
