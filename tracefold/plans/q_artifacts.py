@@ -1 +1,129 @@
-"""Registered queries."""
+"""Registered artifact queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.envelopes import artifact_ref
+from ..operators import artifacts as A
+from ..operators import records as R
+from ..sources import derive
+from ..sources.artifacts import csv_rows
+from .oracle_views import with_views
+from .registry import register
+
+# "now" of the artifact store for the derived manifest (orders span 1995-2001) and a 30-day lifetime
+ART_NOW = "1998-08-02 00:00:00"
+ART_TTL_MIN = 30 * 24 * 60
+
+_IDS = """
+ids AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY created_at, result_key) AS counter,
+               'a_' || CASE WHEN coalesce(run_id, '') = '' THEN 'unknown' ELSE substring(run_id, 1, 8) END
+               || '_' || CAST(row_number() OVER (PARTITION BY run_id ORDER BY created_at, result_key) AS VARCHAR) AS artifact_id
+        FROM artifacts)"""
+_LIVE = f"NOT (TIMESTAMP '{ART_NOW}' - created_at > INTERVAL {ART_TTL_MIN} MINUTE)"
+_REQS = """
+reqs AS (SELECT run_id, seq, CASE WHEN coalesce(trim(input), '') = '' THEN NULL ELSE coalesce(
+           CASE WHEN json_type(j, '$.artifact_id') = 'VARCHAR' THEN json_extract_string(j, '$.artifact_id') END,
+           CASE WHEN json_type(j, '$.artifactId') = 'VARCHAR' THEN json_extract_string(j, '$.artifactId') END,
+           trim(input)) END AS artifact_id
+         FROM (SELECT *, CASE WHEN json_valid(trim(input)) THEN trim(input) END AS j FROM chunks
+               WHERE type = 'tool-input-available'))"""
+
+
+def manifest(spark, sf):
+    return A.assign_artifact_ids(derive.artifacts(spark, sf))
+
+
+def _requests(spark, sf):
+    c = derive.chunks(spark, sf).where(F.col("type") == "tool-input-available")
+    return c.select("run_id", "seq", artifact_ref(F.col("input")).alias("artifact_id"))
+
+
+@register("w4_assign_artifact_ids", with_views(["artifacts"], f"WITH {_IDS} SELECT run_id, result_key, counter, artifact_id FROM ids"))
+def w4(spark, sf):
+    """a_<run prefix>_<n> per run in creation order."""
+    return manifest(spark, sf).select("run_id", "result_key", "counter", "artifact_id")
+
+
+@register("w5_random_artifact_ids", with_views(["artifacts"], """
+SELECT run_id, result_key, 'a_' || substring(run_id, 1, 8) || '_' || substring(md5(run_id || ':' || CAST(result_key AS VARCHAR)), 1, 8) AS artifact_id
+FROM artifacts"""))
+def w5(spark, sf):
+    """a_<run prefix>_<8 hex> ids, deterministic per (run, result)."""
+    return A.assign_random_artifact_ids(derive.artifacts(spark, sf)).select("run_id", "result_key", "artifact_id")
+
+
+@register("t10_expire", with_views(["artifacts"], f"WITH {_IDS} SELECT run_id, artifact_id, created_at FROM ids WHERE {_LIVE}"))
+def t10(spark, sf):
+    """Live artifacts (now - created_at > ttl expires, strictly)."""
+    return A.expire(manifest(spark, sf), ART_NOW, ART_TTL_MIN).select("run_id", "artifact_id", "created_at")
+
+
+@register("t11_list_artifacts", with_views(["artifacts"], f"""
+WITH {_IDS} SELECT run_id, artifact_id FROM ids WHERE {_LIVE} AND run_id = 'run-00000007'"""))
+def t11(spark, sf):
+    """Live artifact ids of one run."""
+    return A.list_artifacts(manifest(spark, sf), ART_NOW, ART_TTL_MIN, "run-00000007")
+
+
+@register("n6_artifact_stats", with_views(["artifacts"], f"""
+WITH {_IDS}
+SELECT run_id, count(*) AS n_artifacts, CAST(sum(row_count) AS BIGINT) AS total_rows,
+       count(*) FILTER (WHERE {_LIVE}) AS n_live, count(*) FILTER (WHERE NOT ({_LIVE})) AS n_expired,
+       max(created_at) AS last_created_at
+FROM ids GROUP BY run_id"""))
+def n6(spark, sf):
+    """Artifacts per run, rows, live vs expired."""
+    return A.artifact_stats(manifest(spark, sf), ART_NOW, ART_TTL_MIN)
+
+
+@register("j4_artifact_exists", with_views(["artifacts", "chunks"], f"""
+WITH {_IDS}, {_REQS}
+SELECT r.run_id, r.seq, r.artifact_id, CASE WHEN l.artifact_id IS NOT NULL THEN 'ok' ELSE 'missing' END AS status
+FROM reqs r LEFT JOIN (SELECT run_id, artifact_id FROM ids WHERE {_LIVE}) l
+  ON r.run_id = l.run_id AND r.artifact_id = l.artifact_id"""))
+def j4(spark, sf):
+    """Export requests checked against live artifacts of the same run."""
+    return A.artifact_exists(_requests(spark, sf), manifest(spark, sf), ART_NOW, ART_TTL_MIN) \
+            .select("run_id", "seq", "artifact_id", "status")
+
+
+@register("j5_lookup_artifact", with_views(["artifacts", "chunks"], f"""
+WITH {_IDS}, {_REQS}
+SELECT r.run_id, r.seq, r.artifact_id, i.row_count, i.created_at
+FROM reqs r JOIN ids i ON r.run_id = i.run_id AND r.artifact_id = i.artifact_id"""))
+def j5(spark, sf):
+    """Artifacts found by the composite key (run_id, artifact_id)."""
+    m = manifest(spark, sf).select("run_id", "artifact_id", "row_count", "created_at")
+    return A.lookup_artifact(m, _requests(spark, sf)).select("run_id", "seq", "artifact_id", "row_count", "created_at")
+
+
+@register("l1_preview_artifacts", with_views(["artifacts"], f"""
+WITH {_IDS} SELECT run_id, artifact_id, row_count, created_at FROM ids
+ORDER BY created_at DESC, run_id, artifact_id LIMIT 200"""))
+def l1(spark, sf):
+    """L1: preview of the newest 200 manifest rows (top-k; the limit is the feature)."""
+    m = manifest(spark, sf).select("run_id", "artifact_id", "row_count", "created_at")
+    return R.preview(m, [F.col("created_at").desc(), F.col("run_id"), F.col("artifact_id")], 200)
+
+
+def _csv_sql(cols):
+    parts = []
+    for c, expr in cols:
+        s = f"coalesce({expr}, '')"
+        parts.append(f"CASE WHEN contains({s}, ',') OR contains({s}, chr(10)) OR contains({s}, '\"') "
+                     f"THEN '\"' || replace({s}, '\"', '\"\"') || '\"' ELSE {s} END")
+    return "concat_ws(',', " + ", ".join(parts) + ")"
+
+
+_CSV_COLS = [("span_id", "span_id"), ("message", "message"), ("attributes", "attributes"),
+             ("tags", "array_to_string(tags, ',')"), ("is_exception", "CAST(is_exception AS VARCHAR)"),
+             ("otel_status_message", "otel_status_message")]
+
+
+@register("s8_csv_rows", with_views(["records"], f"SELECT {_csv_sql(_CSV_COLS)} AS csv_line FROM records"))
+def s8(spark, sf):
+    """Records as CSV lines by the export quoting rule."""
+    df = derive.load_records(spark, sf).select(*[c for c, _ in _CSV_COLS])
+    return csv_rows(df)
