@@ -146,7 +146,8 @@ approvals AS (
          CASE (conv_id + turn) % 6 WHEN 0 THEN 'true' WHEN 1 THEN 'false'
               WHEN 2 THEN '{{"kind":"tool-approved","override_args":{{"sql":"SELECT 1"}}}}'
               WHEN 3 THEN '{{"kind":"tool-denied","message":"not now"}}'
-              WHEN 4 THEN '{{"kind":"tool-denied"}}' ELSE '{{"kind":"escalate"}}' END AS value
+              WHEN 4 THEN '{{"kind":"tool-denied"}}' ELSE '{{"kind":"escalate"}}' END AS value,
+         epoch_ms(turn_ms + 20001 + ((conv_id + turn) % 9) * 60000) AS decided_at
   FROM conv WHERE role = 'user' AND (conv_id + turn) % 5 <> 0)"""
 
 VIEWS["run_updates"] = """

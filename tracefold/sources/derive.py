@@ -258,7 +258,10 @@ def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("run_id",
                     F.concat(F.col("run_id"), F.lit("-"), F.col("turn").cast("string")).alias("tool_call_id"),
                     (F.col("turn") * TURN_STRIDE + SUB_DECISION).alias("seq"),
-                    value.alias("value")))
+                    value.alias("value"),
+                    # decided (conv_id + turn) % 9 minutes after the request
+                    F.timestamp_millis(F.col("turn_ms") + 20_001
+                                       + ((F.col("conv_id") + F.col("turn")) % 9) * 60_000).alias("decided_at")))
 
 
 def run_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
