@@ -10,6 +10,7 @@ is a ``.limit`` on the plan rather than a rewrite of the text.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -134,16 +135,6 @@ def _children(node):
     return [seq.apply(i) for i in range(seq.size())]
 
 
-def _relations(node, out):
-    name = node.getClass().getSimpleName()
-    if name == "UnresolvedRelation":
-        parts = node.multipartIdentifier()
-        out.append([parts.apply(i) for i in range(parts.size())])
-    for ch in _children(node):
-        _relations(ch, out)
-    return out
-
-
 def check_statement(spark: SparkSession, sql: str, allowed_tables: set[str] | None = None,
                     allow_with: bool = True) -> str | None:
     """Return an error text if the statement is not a plain read-only query, else None.
@@ -169,8 +160,11 @@ def check_statement(spark: SparkSession, sql: str, allowed_tables: set[str] | No
         if bad in text:
             return f"Error: {bad.strip(chr(39))} is not allowed in a read-only query."
     if allowed_tables is not None:
-        for parts in _relations(plan, []):
-            if len(parts) != 1 or parts[0].lower() not in allowed_tables:
+        # the tree text includes CTE bodies and subquery expressions, which children() does not reach
+        ctes = {n.strip().lower() for group in re.findall(r"CTE \[([^\]]*)\]", text) for n in group.split(",")}
+        for group in re.findall(r"UnresolvedRelation \[([^\]]*)\]", text):
+            parts = [x.strip() for x in group.split(",")]
+            if len(parts) != 1 or parts[0].lower() not in (allowed_tables | ctes):
                 return f"Error: relation {'.'.join(parts)} is not available."
     return None
 
