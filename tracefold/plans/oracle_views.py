@@ -161,7 +161,10 @@ run_updates AS (
   FROM conv
   UNION ALL
   SELECT run_id, turn * 10 AS seq, 'clear' AS kind, NULL, NULL, NULL, epoch_ms(turn_ms - 1) AS written_at
-  FROM conv WHERE conv_id % 10 = 0 AND turn = 2)"""
+  FROM conv WHERE conv_id % 10 = 0 AND turn = 2
+  UNION ALL
+  SELECT run_id, max(turn) * 10 + 5 AS seq, 'clear' AS kind, NULL, NULL, NULL, epoch_ms(max(turn_ms) + 1) AS written_at
+  FROM conv WHERE conv_id % 7 = 0 GROUP BY run_id)"""
 
 VIEWS["artifacts"] = """
 artifact_items AS (SELECT l_orderkey, count(*) AS row_count FROM lineitem GROUP BY l_orderkey),
@@ -177,9 +180,36 @@ statements AS (
          {_sql_list(STATEMENTS)}[CAST(event_id % 16 + 1 AS INTEGER)] AS sql
   FROM events)"""
 
+_RET_TURN = "(turn - CASE WHEN turn % 4 = 3 THEN 3 ELSE 1 END)"
+VIEWS["ui_messages"] = f"""
+ui_messages AS (
+  SELECT run_id, turn * 3 AS pos, 'user' AS role, text AS content, NULL AS toolCalls, NULL AS toolCallId, NULL AS name
+  FROM conv WHERE role = 'user'
+  UNION ALL
+  SELECT run_id, turn * 3 + 1, 'assistant', NULL,
+         [{{'id': {_CALL_ID}, 'type': 'function', 'function': {{'name': {_TOOL}, 'arguments': {_TOOL_INPUT}}}}}],
+         NULL, NULL
+  FROM conv WHERE role = 'user'
+  UNION ALL
+  SELECT run_id, turn * 3, 'tool', {_ENVELOPE.replace(chr(10), ' ')}, NULL,
+         run_id || '-' || CAST({_RET_TURN} AS VARCHAR),
+         CASE WHEN turn % 5 <> 0 THEN CASE WHEN {_RET_TURN} % 4 = 0 THEN 'execute_sql' ELSE 'export_csv' END END
+  FROM conv WHERE role = 'assistant'
+  UNION ALL
+  SELECT run_id, turn * 3 + 1, 'assistant', text, NULL, NULL, NULL FROM conv WHERE role = 'assistant'
+  UNION ALL
+  SELECT run_id, turn * 3, 'system', text, NULL, NULL, NULL FROM conv WHERE role = 'system')"""
+
+VIEWS["run_requests"] = """
+run_requests AS (
+  SELECT run_id, turn, turn * 3 + 1 AS n_messages, 'user' AS last_role,
+         turn > 0 AND (conv_id + turn) % 3 = 0 AS is_continuation
+  FROM conv WHERE role = 'user')"""
+
 DEPS = {
     "records": [], "conv": [], "messages": ["conv"], "chunks": ["conv"], "approvals": ["conv"],
-    "run_updates": ["conv"], "artifacts": [], "statements": [],
+    "run_updates": ["conv"], "artifacts": [], "statements": [], "ui_messages": ["conv"],
+    "run_requests": ["conv"],
 }
 
 

@@ -35,4 +35,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import q_records, q_guard, q_runs, q_artifacts, q_catalog, q_delegated, q_sources  # noqa: F401
+    from . import q_records, q_guard, q_runs, q_artifacts, q_catalog, q_delegated, q_sources, q_messages  # noqa: F401

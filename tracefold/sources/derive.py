@@ -265,7 +265,8 @@ def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run-store writes: set_messages on even, set_pending on odd turns, a clear at turn 2 of every 10th run."""
+    """Run-store writes: set_messages on even, set_pending on odd turns, a clear at turn 2 of every 10th run
+    and a final clear (run deleted) after the last turn of every 7th run."""
     c = _conv(spark, sf_dir)
     t = F.col("turn")
     is_msg = t % 2 == 0
@@ -281,7 +282,14 @@ def run_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_id", (t * 10).alias("seq"), F.lit("clear").alias("kind"),
         F.lit(None).cast("string").alias("messages"), F.lit(None).cast("string").alias("pending"),
         F.lit(None).cast("string").alias("model"), F.timestamp_millis(F.col("turn_ms") - 1).alias("written_at"))
-    return upd.unionByName(clears)
+    # every 7th run is deleted after its last turn (a final clear)
+    final = (c.groupBy("run_id", "conv_id").agg(F.max("turn").alias("turn"), F.max("turn_ms").alias("turn_ms"))
+             .where(F.col("conv_id") % 7 == 0)
+             .select("run_id", (F.col("turn") * 10 + 5).alias("seq"), F.lit("clear").alias("kind"),
+                     F.lit(None).cast("string").alias("messages"), F.lit(None).cast("string").alias("pending"),
+                     F.lit(None).cast("string").alias("model"),
+                     F.timestamp_millis(F.col("turn_ms") + 1).alias("written_at")))
+    return upd.unionByName(clears).unionByName(final)
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,3 +316,51 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("submitted_at"),
         F.element_at(F.array(*[F.lit(s) for s in STATEMENTS]), (F.col("event_id") % 16 + 1).cast("int")).alias("sql"),
     )
+
+
+def ui_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat-client messages per run (role, content, toolCalls, toolCallId, name), positions 3*turn + k.
+
+    user turn t:      3t user prompt, 3t+1 assistant message holding the tool call of turn t
+    assistant turn t: 3t tool message returning the call named by return_id (name left out when
+                      t % 5 = 0), 3t+1 assistant text
+    system turn t:    3t system prompt
+    """
+    c = _conv(spark, sf_dir)
+    t = F.col("turn")
+    call_id = F.concat(F.col("run_id"), F.lit("-"), t.cast("string"))
+    tool = F.when(t % 4 == 0, F.lit("execute_sql")).otherwise(F.lit("export_csv"))
+    ret_turn = t - F.when(t % 4 == 3, 3).otherwise(1)
+    ret_tool = F.when(ret_turn % 4 == 0, F.lit("execute_sql")).otherwise(F.lit("export_csv"))
+    calls_t = "array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>"
+    no_calls = F.lit(None).cast(calls_t)
+    null_s = F.lit(None).cast("string")
+
+    def msg(df, pos, role, content, calls=no_calls, call_id_=null_s, name=null_s):
+        return df.select("run_id", pos.cast("long").alias("pos"), F.lit(role).alias("role"), content.alias("content"),
+                         calls.alias("toolCalls"), call_id_.alias("toolCallId"), name.alias("name"))
+
+    user = c.where(F.col("role") == "user")
+    asst = c.where(F.col("role") == "assistant")
+    syst = c.where(F.col("role") == "system")
+    the_call = F.array(F.struct(call_id.alias("id"), F.lit("function").alias("type"),
+                                F.struct(tool.alias("name"),
+                                         _tool_input(F.col("run_id"), F.col("conv_id"), t).alias("arguments"))
+                                .alias("function"))).cast(calls_t)
+    return (msg(user, t * 3, "user", F.col("text"))
+            .unionByName(msg(user, t * 3 + 1, "assistant", null_s, the_call))
+            .unionByName(msg(asst, t * 3, "tool", _envelope_text(F.col("run_id"), F.col("conv_id"), t), no_calls,
+                             F.concat(F.col("run_id"), F.lit("-"), ret_turn.cast("string")),
+                             F.when(t % 5 != 0, ret_tool)))
+            .unionByName(msg(asst, t * 3 + 1, "assistant", F.col("text")))
+            .unionByName(msg(syst, t * 3, "system", F.col("text"))))
+
+
+def run_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Client requests: one per user turn, carrying the messages up to it; every third one after the first
+    is a continuation (it posts approvals or tool results)."""
+    c = _conv(spark, sf_dir).where(F.col("role") == "user")
+    t = F.col("turn")
+    return c.select("run_id", t.alias("turn"), (t * 3 + 1).alias("n_messages"),
+                    F.lit("user").alias("last_role"),
+                    ((t > 0) & ((F.col("conv_id") + t) % 3 == 0)).alias("is_continuation"))
