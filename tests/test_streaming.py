@@ -41,13 +41,15 @@ def test_t2_error_rollup_closed_windows(spark, scratch):
 def test_t3_run_state_matches_batch_fold(spark, scratch):
     upd = derive.run_updates(spark, SF_SMALL)
     path = os.path.join(scratch, "updates")
-    upd.repartition(4).write.parquet(path)  # arrival order differs from seq order
+    # files hold ascending seq ranges (one writer per run: its writes arrive in order across batches);
+    # inside a file rows are shuffled, which the fold must tolerate
+    upd.repartitionByRange(4, "seq").sortWithinPartitions(F.rand(3)).write.parquet(path)
     stream = spark.readStream.schema(upd.schema).option("maxFilesPerTrigger", 1).parquet(path)
     ST.run_to_memory(ST.stream_run_state(stream), "t3_state", os.path.join(scratch, "ck"), mode="update")
     latest = spark.table("t3_state").where("exists")
     # update mode emits a row per batch; the last one per run is the state
     from pyspark.sql import Window
-    w = Window.partitionBy("run_id").orderBy(F.col("n_writes").desc(), F.col("updated_at").desc())
+    w = Window.partitionBy("run_id").orderBy(F.col("updated_at").desc(), F.col("n_writes").desc())
     final = latest.withColumn("r", F.row_number().over(w)).where("r = 1")
     want = RU.fold_run_state(upd)
     cols = ["run_id", "messages", "pending", "model", "n_writes"]

@@ -119,26 +119,45 @@ def _later(a, b) -> bool:
     return b is None or (a is not None and a > b)
 
 
+def _none(v):
+    return None if v is None or (not isinstance(v, str) and pd.isna(v)) else v
+
+
 def _fold_run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold one run's new writes into its state; arrival order does not matter (every field keeps its seq)."""
+    """Fold one run's new writes into its state (vectorised over the micro-batch).
+
+    Every latest-value field keeps the seq it came from, so writes of one batch
+    may come in any order and a write older than the field's value is ignored.
+    Assumption (a run has one writer): a ``clear`` is not overtaken by later
+    writes of an earlier micro-batch; rows older than the latest clear are dropped.
+    """
     s = dict(zip(RUN_STATE.fieldNames(), state.get)) if state.exists else dict(_EMPTY)
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("seq")
-    for r in pdf.itertuples(index=False):
-        if s["clear_seq"] is not None and r.seq <= s["clear_seq"]:
-            continue  # written before the latest clear
-        if r.kind == "clear":
-            s = dict(_EMPTY, clear_seq=r.seq)
-            continue
-        if r.kind == "set_messages" and _later(r.seq, s["msg_seq"]):
-            s["msg_seq"], s["messages"] = r.seq, r.messages
-        if r.kind == "set_pending" and _later(r.seq, s["pend_seq"]):
-            s["pend_seq"], s["pending"] = r.seq, (None if pd.isna(r.pending) else r.pending)
-        if r.model is not None and not pd.isna(r.model) and _later(r.seq, s["model_seq"]):
-            s["model_seq"], s["model"] = r.seq, r.model
-        at = pd.Timestamp(r.written_at).to_pydatetime()
-        s["created_at"] = at if s["created_at"] is None else min(s["created_at"], at)
-        s["updated_at"] = at if s["updated_at"] is None else max(s["updated_at"], at)
-        s["n_writes"] = int(s["n_writes"] or 0) + 1
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
+    if s["clear_seq"] is not None:
+        pdf = pdf[pdf["seq"] > s["clear_seq"]]
+    clears = pdf[pdf["kind"] == "clear"]
+    if len(clears):
+        last_clear = int(clears["seq"].max())
+        s = dict(_EMPTY, clear_seq=last_clear)
+        pdf = pdf[pdf["seq"] > last_clear]
+    w = pdf[pdf["kind"] != "clear"]
+    for kind, seq_f, val_f in (("set_messages", "msg_seq", "messages"), ("set_pending", "pend_seq", "pending")):
+        rows = w[w["kind"] == kind]
+        if len(rows):
+            last = rows.iloc[-1]
+            if _later(int(last["seq"]), s[seq_f]):
+                s[seq_f], s[val_f] = int(last["seq"]), _none(last[val_f])
+    models = w[w["model"].notna()]
+    if len(models):
+        last = models.iloc[-1]
+        if _later(int(last["seq"]), s["model_seq"]):
+            s["model_seq"], s["model"] = int(last["seq"]), last["model"]
+    if len(w):
+        lo = pd.Timestamp(w["written_at"].min()).to_pydatetime()
+        hi = pd.Timestamp(w["written_at"].max()).to_pydatetime()
+        s["created_at"] = lo if s["created_at"] is None else min(s["created_at"], lo)
+        s["updated_at"] = hi if s["updated_at"] is None else max(s["updated_at"], hi)
+        s["n_writes"] = int(s["n_writes"] or 0) + len(w)
     state.update(tuple(s[f] for f in RUN_STATE.fieldNames()))
     yield pd.DataFrame([{"run_id": key[0], "messages": s["messages"], "pending": s["pending"], "model": s["model"],
                          "created_at": s["created_at"], "updated_at": s["updated_at"],
@@ -206,8 +225,14 @@ def activity_sessions_batch(chunks: DataFrame, gap_seconds: int = KEEPALIVE_SECO
             .select("run_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n_chunks"))
 
 
-def run_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drive a streaming query over everything available now into a memory table and return that table."""
+def run_to_memory(df: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append") -> DataFrame:
+    """Drive a streaming query over everything available now into a memory table and return that table.
+
+    The checkpoint defaults to a folder under the shared ``spark.checkpoint.dir``.
+    """
+    if checkpoint is None:
+        from ..session import checkpoint_dir
+        checkpoint = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{name}"
     q = (df.writeStream.outputMode(mode).format("memory").queryName(name)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
