@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import APPROVED_KIND, DEFAULT_DENIAL, DENIED_KIND
-from .json import is_string_at, string_at
+from .json import string_at
 
 
 def normalize_approval(value: Column) -> Column:
@@ -55,6 +55,3 @@ def approval_status(needs_approval: Column, approved: Column, pending: Column, s
             .when(has_request, F.lit("denied"))
             .otherwise(state))
 
-
-def is_approval_string(value: Column) -> Column:  # pragma: no cover - thin alias
-    return is_string_at(F.try_parse_json(value), "$")

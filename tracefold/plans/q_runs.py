@@ -472,7 +472,6 @@ def f7(spark, sf):
     d = _chunks(spark, sf).where(F.col("type") == "tool_result")
     env = FE.parse_envelope(F.col("content"))
     return d.select("run_id", "seq", env.isNotNull().alias("is_valid"), env.getField("message").alias("message"),
-                    F.size(env.getField("artifacts")).alias("n_artifacts") if False else
                     F.when(env.isNotNull(), F.size(env.getField("artifacts"))).alias("n_artifacts"),
                     env.getField("artifacts")[0].getField("id").alias("first_artifact_id"),
                     F.when(env.isNotNull(), env.getField("data_json").isNotNull()).alias("has_data"))
