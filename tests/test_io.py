@@ -57,3 +57,14 @@ def test_artifact_data_modes(spark, scratch):
     assert dl["mode"] == "download" and glob.glob(os.path.join(dl["location"], "*.parquet"))
     assert artifact_data(spark, scratch, "run-other", ref.id)["status"] == "not_found"
     assert read_artifact(spark, scratch, "run-xyz", ref.id, now="2999-01-01 00:00:00") is None  # expired
+
+
+def test_schema_text_when_no_tables(spark):
+    from tracefold.operators.catalog import METADATA, schema_text
+    empty = spark.createDataFrame([], METADATA)
+    rows = [(r.kind, r.ddl) for r in schema_text(empty).collect()]
+    assert rows == [("none", "(no tables found)")]
+    one = spark.createDataFrame([("t", 1, "a", "bigint", True)], METADATA)
+    rows = {r.kind: r.ddl for r in schema_text(one, {"log_level": ["debug", "info"]}).collect()}
+    assert rows == {"table": "CREATE TABLE t (\n    a bigint NOT NULL\n);",
+                    "enum": "CREATE TYPE log_level AS ENUM ('debug', 'info');"}

@@ -28,17 +28,39 @@ def column_metadata(spark: SparkSession, tables: dict[str, DataFrame],
     return spark.createDataFrame(rows, METADATA)
 
 
+def _orderable_text(c, dtype):
+    """Text form of a value for min/max reporting (strings, numbers, booleans, timestamps); else None."""
+    if isinstance(dtype, (T.StringType, T.BooleanType, T.IntegralType)):
+        return c
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return c
+    return None
+
+
+def _as_text(c, dtype):
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(c.cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return c.cast("string")
+
+
 def profile(name: str, df: DataFrame, exact: bool = False) -> DataFrame:
-    """One aggregate pass over ``df``: rows, NULLs and distinct values per column (long form)."""
+    """One aggregate pass over ``df``: rows, NULLs, distinct values, min and max per column (long form).
+
+    min/max are reported as text for strings, integers, booleans and timestamps
+    (NULL for other types); distinct counts are HyperLogLog estimates unless ``exact``.
+    """
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
         aggs.append(F.count_if(c.isNull()).alias(f"n{i}"))
         aggs.append((F.count_distinct(c) if exact else F.approx_count_distinct(c)).cast("long").alias(f"d{i}"))
+        o = _orderable_text(c, f.dataType)
+        aggs.append((_as_text(F.min(o), f.dataType) if o is not None else F.lit(None).cast("string")).alias(f"lo{i}"))
+        aggs.append((_as_text(F.max(o), f.dataType) if o is not None else F.lit(None).cast("string")).alias(f"hi{i}"))
     wide = df.agg(*aggs)
     n = len(df.schema.fields)
-    stack = "stack({n}, {items}) as (column_name, n_nulls, n_distinct)".format(
-        n=n, items=", ".join(f"'{f.name}', n{i}, d{i}" for i, f in enumerate(df.schema.fields)))
+    stack = "stack({n}, {items}) as (column_name, n_nulls, n_distinct, min_value, max_value)".format(
+        n=n, items=", ".join(f"'{f.name}', n{i}, d{i}, lo{i}, hi{i}" for i, f in enumerate(df.schema.fields)))
     return wide.select(F.lit(name).alias("table_name"), F.col("__rows").alias("n_rows"), F.expr(stack))
 
 
@@ -64,6 +86,11 @@ def schema_text(report: DataFrame, domains: dict[str, list[str]] | None = None)
               .select(F.lit("table").alias("kind"), F.col("table_name").alias("name"),
                       F.concat(F.lit("CREATE TABLE "), F.col("table_name"), F.lit(" (\n"), F.col("cols"),
                                F.lit("\n);")).alias("ddl")))
+    # "(no tables found)" when the report is empty; decided by the aggregate, not on the driver
+    none = (report.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+            .select(F.lit("none").alias("kind"), F.lit(None).cast("string").alias("name"),
+                    F.lit("(no tables found)").alias("ddl")))
+    tables = tables.unionByName(none)
     if not domains:
         return tables
     spark = report.sparkSession

@@ -222,6 +222,13 @@ def chunk_summary(chunks: DataFrame) -> DataFrame:
         F.max("seq").alias("last_seq"))
 
 
+def last_content(chunks: DataFrame) -> DataFrame:
+    """The run's last accumulated content (the finished text of its last content part)."""
+    parts = accumulate_text(chunks, "content", final_only=True)
+    return parts.groupBy(RUN).agg(F.max_by("content", "last_seq").alias("last_content"),
+                                  F.max("last_seq").alias("last_content_seq"))
+
+
 def tool_sequence(chunks: DataFrame) -> DataFrame:
     """N4 (long form): the ordered tool names of a run from tool_call and approval-requested chunks."""
     c = chunks.where(F.col("type").isin("tool_call", "approval-requested")).select(RUN, "seq", "type", "tool_name")

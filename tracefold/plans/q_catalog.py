@@ -20,13 +20,23 @@ def _type_name(dt) -> str:
 def _report_sql() -> str:
     meta = ", ".join(f"('records', {i + 1}, '{f.name}', '{_type_name(f.dataType)}', {'false' if f.nullable else 'true'})"
                      for i, f in enumerate(RECORDS.fields))
+    def mm(f, fn):
+        t = f.dataType.simpleString()
+        if t in ("string", "boolean", "int", "bigint"):
+            return f"CAST({fn}({f.name}) AS VARCHAR)"
+        if t == "timestamp":
+            return f"strftime({fn}({f.name}), '%Y-%m-%d %H:%M:%S.%f')"
+        return "CAST(NULL AS VARCHAR)"
+
     prof = " UNION ALL ".join(
         f"SELECT '{f.name}' AS column_name, count(*) AS n_rows, count(*) FILTER (WHERE {f.name} IS NULL) AS n_nulls, "
-        f"count(DISTINCT {f.name}) AS n_distinct FROM records" for f in RECORDS.fields)
+        f"count(DISTINCT {f.name}) AS n_distinct, {mm(f, 'min')} AS min_value, {mm(f, 'max')} AS max_value "
+        f"FROM records" for f in RECORDS.fields)
     return f"""
 meta(table_name, ordinal, column_name, data_type, not_null) AS (VALUES {meta}),
 prof AS ({prof}),
-report AS (SELECT m.table_name, m.column_name, m.ordinal, m.data_type, m.not_null, p.n_rows, p.n_nulls, p.n_distinct
+report AS (SELECT m.table_name, m.column_name, m.ordinal, m.data_type, m.not_null, p.n_rows, p.n_nulls, p.n_distinct,
+                  p.min_value, p.max_value
            FROM meta m LEFT JOIN prof p ON m.column_name = p.column_name)"""
 
 
@@ -34,7 +44,8 @@ report AS (SELECT m.table_name, m.column_name, m.ordinal, m.data_type, m.not_nul
 def s3(spark, sf):
     """S3 + L4: columns of the records table with a full-scan profile (exact distinct counts)."""
     rep = C.schema_report(spark, {"records": _records(spark, sf)}, exact=True, declared={"records": RECORDS})
-    return rep.select("table_name", "column_name", "ordinal", "data_type", "not_null", "n_rows", "n_nulls", "n_distinct")
+    return rep.select("table_name", "column_name", "ordinal", "data_type", "not_null", "n_rows", "n_nulls", "n_distinct",
+                      "min_value", "max_value")
 
 
 _ENUM_SQL = "CREATE TYPE log_level AS ENUM (" + ", ".join(f"''{v}''" for v in LEVELS) + ");"

@@ -239,6 +239,19 @@ def n4(spark, sf):
     return RU.chunk_summary(_chunks(spark, sf))
 
 
+@register("n4_last_content", V(["chunks"], """
+WITH seg AS (
+  SELECT run_id, part_index, segment, string_agg(delta, '' ORDER BY seq) AS content, max(seq) AS last_seq
+  FROM (SELECT *, sum(CAST(is_start AS BIGINT)) OVER (PARTITION BY run_id, part_index ORDER BY seq
+                                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment
+        FROM chunks WHERE type = 'content')
+  GROUP BY run_id, part_index, segment)
+SELECT run_id, arg_max(content, last_seq) AS last_content, max(last_seq) AS last_content_seq FROM seg GROUP BY run_id"""))
+def n4_last(spark, sf):
+    """Last accumulated content per run."""
+    return RU.last_content(_chunks(spark, sf))
+
+
 @register("n4_tool_sequence", V(["chunks"], """
 SELECT run_id, seq, type, tool_name, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS ordinal
 FROM chunks WHERE type IN ('tool_call', 'approval-requested')"""))
