@@ -269,7 +269,8 @@ def call_result_pairs(chunks: DataFrame) -> DataFrame:
     calls = chunks.where(F.col("type") == "tool_call").select(RUN, "tool_call_id", "tool_name",
                                                               F.col("seq").alias("call_seq"))
     res = chunks.where(F.col("type") == "tool_result").select(RUN, "tool_call_id", F.col("seq").alias("result_seq"),
-                                                              log_preview(F.col("content"), 40).alias("result_preview"))
+                                                              F.length("content").alias("result_chars"),
+                                                              log_preview(F.col("content")).alias("result_preview"))
     return calls.join(res, [RUN, "tool_call_id"], "left")
 
 

@@ -287,8 +287,8 @@ def j9(spark, sf):
 
 
 @register("j6_call_result_pairs", V(["chunks"], """
-SELECT c.run_id, c.tool_call_id, c.tool_name, c.seq AS call_seq, r.seq AS result_seq,
-       CASE WHEN length(r.content) > 40 THEN substring(r.content, 1, 40) || '…' ELSE r.content END AS result_preview
+SELECT c.run_id, c.tool_call_id, c.tool_name, c.seq AS call_seq, r.seq AS result_seq, length(r.content) AS result_chars,
+       CASE WHEN length(r.content) > 200 THEN substring(r.content, 1, 200) || '…' ELSE r.content END AS result_preview
 FROM (SELECT * FROM chunks WHERE type = 'tool_call') c
 LEFT JOIN (SELECT * FROM chunks WHERE type = 'tool_result') r ON c.run_id = r.run_id AND c.tool_call_id = r.tool_call_id"""))
 def j6(spark, sf):
