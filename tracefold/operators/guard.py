@@ -28,9 +28,15 @@ def _strip(c: Column) -> Column:
 
 
 def forbidden_keyword(sql: Column) -> Column:
-    """G1: first forbidden keyword in list order (whole word, any case), else NULL."""
+    """G1: first forbidden keyword in list order (whole word, any case), else NULL.
+
+    One combined pattern screens the statement first; only a hit pays for the
+    per-keyword tests that decide which keyword comes first in list order.
+    """
     up = F.upper(sql)
-    return F.coalesce(*[F.when(up.rlike(rf"(?i)\b{kw}\b"), F.lit(kw)) for kw in FORBIDDEN_KEYWORDS])
+    any_kw = up.rlike(r"(?i)\b(" + "|".join(FORBIDDEN_KEYWORDS) + r")\b")
+    first = F.coalesce(*[F.when(up.rlike(rf"(?i)\b{kw}\b"), F.lit(kw)) for kw in FORBIDDEN_KEYWORDS])
+    return F.when(any_kw, first)
 
 
 def is_select(sql: Column) -> Column:
@@ -78,13 +84,15 @@ def audit_output_rules(stmts: DataFrame, col: str = "sql") -> DataFrame:
 
 def audit_statements(stmts: DataFrame, max_limit: int = SQL_MAX_LIMIT, col: str = "sql") -> DataFrame:
     """Keyword guard, then SELECT-only, then the row cap — one projection, no shuffle."""
-    kw = forbidden_keyword(F.col(col))
-    sel = is_select(F.col(col))
+    # keyword and SELECT test are computed once and referenced (Catalyst keeps the two projections
+    # apart rather than repeat the regex work in every expression that uses them)
+    checked = stmts.select("*", forbidden_keyword(F.col(col)).alias("keyword"), is_select(F.col(col)).alias("__sel"))
+    kw, sel = F.col("keyword"), F.col("__sel")
     verdict = F.when(kw.isNotNull(), F.lit("forbidden")).when(~sel, F.lit("not_select")).otherwise(F.lit("allowed"))
     reason = (F.when(kw.isNotNull(), F.format_string(FORBIDDEN_MESSAGE.replace("{kw}", "%s"), kw))
               .when(~sel, F.lit(SELECT_ONLY_MESSAGE)))
-    return stmts.select("*", verdict.alias("verdict"), kw.alias("keyword"), reason.alias("reason"),
-                        F.when(kw.isNull() & sel, capped_text(F.col(col), max_limit)).alias("final_sql"))
+    return checked.select(*[F.col(c) for c in stmts.columns], verdict.alias("verdict"), kw, reason.alias("reason"),
+                          F.when(kw.isNull() & sel, capped_text(F.col(col), max_limit)).alias("final_sql"))
 
 
 def audit_summary(audited: DataFrame) -> DataFrame:

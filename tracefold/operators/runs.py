@@ -45,17 +45,16 @@ def accumulate_text(chunks: DataFrame, kind: str = "content", final_only: bool =
     d = running_sum(d, [RUN, "part_index"], ["seq"], F.col("is_start").cast("long"), _bucket("seq", bucket_width),
                     "segment")
     seg = [RUN, "part_index", "segment"]
+    # the full text of a segment, built once per segment (one message, so bounded) in seq order
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))), lambda x: x["delta"]), "")
     if final_only:
-        return (d.groupBy(*seg)
-                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))),
-                                              lambda x: x["delta"]), "").alias("content"),
-                     F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("n_deltas")))
+        return d.groupBy(*seg).agg(text.alias("content"), F.max("seq").alias("last_seq"),
+                                   F.count(F.lit(1)).alias("n_deltas"))
+    # each row takes the prefix of its segment's text up to its running length
+    full = d.groupBy(*seg).agg(text.alias("__full"))
     w_run = Window.partitionBy(*seg).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_all = Window.partitionBy(*seg)
-    full = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta")).over(w_all)),
-                                    lambda x: x["delta"]), "")
     out = (d.withColumn("__len", F.sum(F.length("delta")).over(w_run))
-           .withColumn("__full", full)
+           .join(full, seg)
            .withColumn("content", F.substring(F.col("__full"), F.lit(1), F.col("__len").cast("int"))))
     emitted = ~(F.col("is_start") & (F.coalesce(F.col("delta"), F.lit("")) == ""))
     return out.where(emitted).select(RUN, "part_index", "segment", "seq", "delta", "content")
