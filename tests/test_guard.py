@@ -69,3 +69,14 @@ def test_property_never_more_than_cap(spark, views, n, cap, inner):
     res = guarded_query(spark, sql, cap, allowed_tables=views)
     assert res.ok
     assert res.df.count() == min(n, cap, 3000)
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT * FROM t a, t b",
+    "SELECT * FROM t a JOIN t b ON a.id < b.id",
+    "SELECT * FROM t a CROSS JOIN t b",
+])
+def test_rejects_all_pairs(spark, views, sql):
+    res = guarded_query(spark, sql, 1000, allowed_tables=views)
+    assert not res.ok and "all pairs" in res.message
+    assert guarded_query(spark, sql, 1000, allowed_tables=views, allow_pairwise=True).ok

@@ -177,11 +177,19 @@ def check_statement(spark: SparkSession, sql: str, allowed_tables: set[str] | No
     return None
 
 
+# physical operators that pair every row with every row; refused in user SQL (quadratic at scale)
+PAIRWISE_OPERATORS = ["CartesianProduct", "BroadcastNestedLoopJoin"]
+
+
 def guarded_query(spark: SparkSession, sql: str, max_rows: int = SQL_MAX_LIMIT,
-                  allowed_tables: set[str] | None = None, allow_with: bool = True) -> GuardedResult:
+                  allowed_tables: set[str] | None = None, allow_with: bool = True,
+                  allow_pairwise: bool = False) -> GuardedResult:
     """Check, then plan ``sql`` with a structural cap of ``max_rows`` rows.
 
-    Failures come back as a result with ``data={'success': False}``, never as an
+    After the parse-only checks the statement is analysed and planned (nothing
+    runs); a plan that pairs all rows of two inputs (cross join, non-equi join
+    planned as a nested loop) is refused unless ``allow_pairwise``.  Failures
+    come back as a result with ``data={'success': False}``, never as an
     exception.  The DataFrame is lazy: executors do the work when it is written.
     """
     if allowed_tables is None:
@@ -195,7 +203,14 @@ def guarded_query(spark: SparkSession, sql: str, max_rows: int = SQL_MAX_LIMIT,
         if "ScriptTransformation" in analysed:
             return GuardedResult(False, "Error: ScriptTransformation is not allowed in a read-only query.",
                                  None, {"success": False})
-        return GuardedResult(True, "Query planned.", df.limit(int(max_rows)))
+        capped = df.limit(int(max_rows))
+        if not allow_pairwise:
+            physical = capped._jdf.queryExecution().sparkPlan().toString()
+            for op in PAIRWISE_OPERATORS:
+                if op in physical:
+                    return GuardedResult(False, f"Error: the statement needs a {op} (all pairs of rows); "
+                                                "add an equality join condition.", None, {"success": False})
+        return GuardedResult(True, "Query planned.", capped)
     except Exception as exc:  # noqa: BLE001
         return GuardedResult(False, f"Error: query failed: {str(exc).splitlines()[0][:300]}", None,
                              {"success": False})
