@@ -97,3 +97,17 @@ def test_j2_pending_plus_resolved_is_requested(spark):
     resolved = requested.join(pending, ["run_id", "tool_call_id"], "left_anti")
     assert pending.unionByName(resolved).distinct().count() == requested.count()
     assert pending.join(resolved, ["run_id", "tool_call_id"]).count() == 0
+
+
+def test_lag_in_order_matches_window_lag(spark):
+    from tracefold.operators.sequence import lag_in_order
+    rng = random.Random(11)
+    rows = [("hot", s, rng.randrange(1000)) for s in rng.sample(range(1_000_000), 2000)] + \
+           [(f"r{i % 50}", rng.randrange(1_000_000), rng.randrange(1000)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, seq long, v long").dropDuplicates(["k", "seq"])
+    got = lag_in_order(df, ["k"], "seq", F.floor(F.col("seq") / 20_000), ["v", "seq"])
+    want = df.select("k", "seq", F.lag("v").over(Window.partitionBy("k").orderBy("seq")).alias("w"),
+                     F.lag("seq").over(Window.partitionBy("k").orderBy("seq")).alias("ws"))
+    j = got.join(want, ["k", "seq"])
+    assert j.count() == df.count()
+    assert j.where("NOT (prev_v <=> w) OR NOT (prev_seq <=> ws)").count() == 0

@@ -16,7 +16,7 @@ from ..functions.envelopes import log_preview, parse_envelope
 from ..functions.usage import finish_reason, usage_struct
 from ..schemas import KEEPALIVE_SECONDS
 from ..sources.derive import TURN_STRIDE
-from .sequence import previous_in_order, running_index, running_sum
+from .sequence import lag_in_order, running_index, running_sum
 
 RUN = "run_id"
 
@@ -332,11 +332,10 @@ def ready_runs(chunks: DataFrame, decisions: DataFrame) -> DataFrame:
 def idle_gaps(chunks: DataFrame, seconds: int = KEEPALIVE_SECONDS) -> DataFrame:
     """T5: gaps longer than ``seconds`` between consecutive chunks of a run, and the keep-alives they cost.
 
-    The previous chunk comes from a join on (run, index - 1), not a per-run window.
+    The previous chunk comes from a bucketed lag (``sequence.lag_in_order``), not a per-run window.
     """
     c = chunks.select(RUN, "seq", "timestamp")
-    idx = running_index(c, [RUN], ["seq"], _bucket(), "i")
-    pairs = previous_in_order(idx, [RUN], "i", ["timestamp", "seq"])
+    pairs = lag_in_order(c, [RUN], "seq", _bucket(), ["timestamp", "seq"])
     gap = F.col("timestamp") - F.col("prev_timestamp")
     return (pairs.where(gap > seconds * 1000)
             .select(RUN, "seq", F.col("prev_seq"), gap.alias("gap_ms"),

@@ -42,8 +42,23 @@ def running_index(df: DataFrame, keys: list[str], order: list[str], bucket: Colu
     return r.withColumn(out, F.col("__pos") - 1 + base).drop("__pos")
 
 
-def previous_in_order(indexed: DataFrame, keys: list[str], index: str, cols: list[str],
-                      prefix: str = "prev_") -> DataFrame:
-    """``lag`` without a per-key window: join each row to row ``index - 1`` of the same key."""
-    prev = indexed.select(*keys, (F.col(index) + 1).alias(index), *[F.col(c).alias(prefix + c) for c in cols])
-    return indexed.join(prev, [*keys, index], "left")
+def lag_in_order(df: DataFrame, keys: list[str], order: str, bucket: Column, cols: list[str],
+                 prefix: str = "prev_") -> DataFrame:
+    """``lag(cols)`` over (keys ORDER BY order) without a per-key window.
+
+    Inside a bucket the previous row comes from a window per (key, bucket); the
+    first row of a bucket takes the last row of the nearest earlier non-empty
+    bucket, found in a per-(key, bucket) table (one row per bucket).  ``order``
+    must be unique within a key and ``bucket`` non-decreasing in it.
+    """
+    b = "__bucket"
+    d = df.withColumn(b, bucket)
+    w = Window.partitionBy(*keys, b).orderBy(order)
+    inner = d.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in cols],
+                     F.row_number().over(w).alias("__rn"))
+    last = d.groupBy(*keys, b).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(order)).alias("__last"))
+    prev_bucket = last.select(*keys, b, F.lag("__last").over(Window.partitionBy(*keys).orderBy(b)).alias("__pb"))
+    joined = inner.join(prev_bucket, [*keys, b], "left")
+    return joined.select(*[F.col(c) for c in df.columns],
+                         *[F.when(F.col("__rn") == 1, F.col("__pb")[c]).otherwise(F.col(prefix + c)).alias(prefix + c)
+                           for c in cols])
