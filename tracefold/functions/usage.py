@@ -14,7 +14,7 @@ def finish_reason(reason: Column) -> Column:
 
 
 def _first(usage_json: Column, names: list[str]) -> Column:
-    return F.coalesce(*[F.get_json_object(usage_json, f"$.{n}").cast("long") for n in names])
+    return F.coalesce(*[F.get_json_object(usage_json, f"$.{n}").try_cast("long") for n in names])
 
 
 def usage_struct(usage_json: Column) -> Column:

@@ -53,7 +53,7 @@ def capped_text(sql: Column, max_limit: int = SQL_MAX_LIMIT) -> Column:
     """
     up = F.upper(_strip(sql))
     first = F.regexp_extract(up, r"LIMIT\s+(\d+)", 1)
-    too_big = (first != "") & ((F.length(first) > 18) | (first.cast("long") > F.lit(max_limit)))
+    too_big = (first != "") & ((F.length(first) > 18) | (first.try_cast("long") > F.lit(max_limit)))
     appended = F.concat(F.regexp_replace(F.regexp_replace(sql, r"\s+$", ""), ";+$", ""), F.lit(f" LIMIT {max_limit}"))
     return (F.when(~up.contains("LIMIT"), appended)
             .when(too_big, F.regexp_replace(sql, r"(?i)LIMIT\s+\d+", f"LIMIT {max_limit}"))

@@ -111,7 +111,7 @@ def last_user_prompt(msgs: DataFrame) -> DataFrame:
 
 def session_of(run_id: Column, sessions: int = 50) -> Column:
     """Client session a run belongs to in the derived data (runs of one client share a session)."""
-    return (F.substring(run_id, 5, 64).cast("long") % sessions)
+    return (F.substring(run_id, 5, 64).try_cast("long") % sessions)
 
 
 def current_run(chunks: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def stream_fields(parsed: DataFrame) -> DataFrame:
     """The common chunk fields out of parsed payloads."""
     p = F.col("payload")
     return parsed.select(F.get_json_object(p, "$.id").alias("run_id"),
-                         F.get_json_object(p, "$.seq").cast("long").alias("seq"),
+                         F.get_json_object(p, "$.seq").try_cast("long").alias("seq"),
                          F.get_json_object(p, "$.type").alias("type"),
                          F.get_json_object(p, "$.toolCall.function.name").alias("call_tool"),
                          F.get_json_object(p, "$.error.message").alias("error_message"))
