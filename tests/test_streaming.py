@@ -10,6 +10,24 @@ from tracefold.sources import derive, sse
 from tracefold.streaming import streams as ST
 
 
+def _write_in_seq_order(df, path, parts):
+    """One writer per run: a run's writes reach the stream in seq order across micro-batches.
+
+    The file source orders files by modification time, so the seq ranges are
+    appended one after another; inside a file rows are shuffled, which the folds
+    must tolerate.
+    """
+    bounds = df.approxQuantile("seq", [i / parts for i in range(1, parts)], 0.0)
+    edges = [None, *bounds, None]
+    for lo, hi in zip(edges, edges[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col("seq") > lo)
+        if hi is not None:
+            cond = cond & (F.col("seq") <= hi)
+        df.where(cond).coalesce(1).sortWithinPartitions(F.rand(3)).write.mode("append").parquet(path)
+
+
 def _rows(df, cols):
     return sorted(tuple(r[c] for c in cols) for r in df.select(*cols).collect())
 
@@ -41,9 +59,7 @@ def test_t2_error_rollup_closed_windows(spark, scratch):
 def test_t3_run_state_matches_batch_fold(spark, scratch):
     upd = derive.run_updates(spark, SF_SMALL)
     path = os.path.join(scratch, "updates")
-    # files hold ascending seq ranges (one writer per run: its writes arrive in order across batches);
-    # inside a file rows are shuffled, which the fold must tolerate
-    upd.repartitionByRange(4, "seq").sortWithinPartitions(F.rand(3)).write.parquet(path)
+    _write_in_seq_order(upd, path, 4)
     stream = spark.readStream.schema(upd.schema).option("maxFilesPerTrigger", 1).parquet(path)
     ST.run_to_memory(ST.stream_run_state(stream), "t3_state", os.path.join(scratch, "ck"), mode="update")
     latest = spark.table("t3_state").where("exists")
@@ -101,3 +117,18 @@ def test_t5_activity_sessions(spark, scratch):
     sess = want.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     j = sess.join(gaps, "run_id", "left").select("n", F.coalesce("count", F.lit(0)).alias("g"))
     assert j.where("n != g + 1").count() == 0
+
+
+def test_t3_compacted_run_state_matches_batch_fold(spark, scratch):
+    upd = derive.run_updates(spark, SF_SMALL)
+    path = os.path.join(scratch, "updates")
+    _write_in_seq_order(upd, path, 6)
+    stream = spark.readStream.schema(upd.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    summaries = os.path.join(scratch, "summaries")
+    q = ST.stream_run_state_compacted(stream, summaries, os.path.join(scratch, "ck"))
+    q.awaitTermination()
+    state = ST.fold_run_state_summaries(spark.read.parquet(summaries))
+    cols = ["run_id", "messages", "pending", "model", "created_at", "updated_at", "n_writes"]
+    assert _rows(state, cols) == _rows(RU.fold_run_state(upd), cols)
+    # several micro-batches were folded, one summary row per run and batch
+    assert spark.read.parquet(summaries).select("batch_id").distinct().count() > 1
