@@ -106,6 +106,27 @@ STATEMENTS["sql_smoke_errors"] = ("""
 SELECT span_id, level, message FROM records WHERE level = 'error' ORDER BY span_id LIMIT 5""", None)
 
 
+# The example statements of the chat agent, in Spark SQL spelling (`->>`, `?` and `= ANY` have no Spark
+# parse), with a fixed "now" and ORDER BY span_id so that the example's LIMIT 100 is repeatable.
+STATEMENTS["sql_example_attr_false"] = ("""
+SELECT * FROM records WHERE get_json_object(attributes, '$.foobar') = 'false' ORDER BY span_id LIMIT 100""", """
+SELECT * FROM records WHERE json_extract_string(attributes, '$.foobar') = 'false' ORDER BY span_id LIMIT 100""")
+
+STATEMENTS["sql_example_attr_key"] = ("""
+SELECT * FROM records WHERE array_contains(json_object_keys(attributes), 'foobar') ORDER BY span_id LIMIT 100""", """
+SELECT * FROM records WHERE list_contains(json_keys(attributes), 'foobar') ORDER BY span_id LIMIT 100""")
+
+STATEMENTS["sql_example_yesterday"] = ("""
+SELECT * FROM records WHERE start_timestamp::date > TIMESTAMP '2024-01-15 10:00:00' - INTERVAL '1 day'
+ORDER BY span_id LIMIT 100""", """
+SELECT * FROM records WHERE CAST(start_timestamp AS DATE) > TIMESTAMP '2024-01-15 10:00:00' - INTERVAL 1 DAY
+ORDER BY span_id LIMIT 100""")
+
+STATEMENTS["sql_example_error_tag"] = ("""
+SELECT * FROM records WHERE level = 'error' AND array_contains(tags, 'rate-limit') ORDER BY span_id LIMIT 100""", """
+SELECT * FROM records WHERE level = 'error' AND list_contains(tags, 'rate-limit') ORDER BY span_id LIMIT 100""")
+
+
 def _make(name, spark_sql):
     def q(spark, sf):
         return _run(spark, sf, spark_sql)
