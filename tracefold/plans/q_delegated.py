@@ -64,7 +64,7 @@ FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""", None)
 STATEMENTS["sql_rank_window"] = ("""
 SELECT n_nationkey, s_suppkey, rnk, running_n FROM (
   SELECT s.s_nationkey AS n_nationkey, s.s_suppkey,
-         rank() OVER (PARTITION BY s.s_nationkey ORDER BY s.s_acctbal DESC, s.s_suppkey) AS rnk,
+         CAST(rank() OVER (PARTITION BY s.s_nationkey ORDER BY s.s_acctbal DESC, s.s_suppkey) AS BIGINT) AS rnk,
          count(*) OVER (PARTITION BY s.s_nationkey ORDER BY s.s_acctbal DESC, s.s_suppkey
                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_n
   FROM supplier s) t
@@ -91,11 +91,11 @@ GROUP BY o.o_orderstatus""", None)
 STATEMENTS["sql_string_date_json"] = ("""
 SELECT CAST(CAST(date_trunc('day', ts) AS DATE) AS STRING) AS day, upper(event_type) AS kind,
        count(*) AS n, count(CASE WHEN CAST(get_json_object(props, '$.k') AS INT) > 50 THEN 1 END) AS n_k_over_50,
-       max(length(props)) AS max_props_len
+       CAST(max(length(props)) AS BIGINT) AS max_props_len
 FROM events GROUP BY 1, 2""", """
 SELECT CAST(CAST(date_trunc('day', ts) AS DATE) AS VARCHAR) AS day, upper(event_type) AS kind,
        count(*) AS n, count(CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) > 50 THEN 1 END) AS n_k_over_50,
-       max(length(props)) AS max_props_len
+       CAST(max(length(props)) AS BIGINT) AS max_props_len
 FROM events GROUP BY 1, 2""")
 
 STATEMENTS["sql_records_example_count"] = ("""

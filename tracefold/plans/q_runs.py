@@ -81,8 +81,8 @@ def _acc_sql(kind: str, extra: str = "") -> str:
 SELECT run_id, part_index, segment, seq, delta,
        array_to_string(list(delta) OVER (PARTITION BY run_id, part_index, segment ORDER BY seq
                                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS content
-FROM (SELECT *, sum(CAST(is_start AS BIGINT)) OVER (PARTITION BY run_id, part_index ORDER BY seq
-                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment
+FROM (SELECT *, CAST(sum(CAST(is_start AS BIGINT)) OVER (PARTITION BY run_id, part_index ORDER BY seq
+                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS segment
       FROM chunks WHERE type = '{kind}' {extra})
 QUALIFY NOT (is_start AND coalesce(delta, '') = '')"""
 
@@ -102,8 +102,8 @@ def w2(spark, sf):
 @register("w1_final_text", V(["chunks"], """
 SELECT run_id, part_index, segment, string_agg(delta, '' ORDER BY seq) AS content, max(seq) AS last_seq,
        count(*) AS n_deltas
-FROM (SELECT *, sum(CAST(is_start AS BIGINT)) OVER (PARTITION BY run_id, part_index ORDER BY seq
-                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment
+FROM (SELECT *, CAST(sum(CAST(is_start AS BIGINT)) OVER (PARTITION BY run_id, part_index ORDER BY seq
+                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS segment
       FROM chunks WHERE type = 'content')
 GROUP BY run_id, part_index, segment"""))
 def w1_final(spark, sf):
@@ -189,7 +189,7 @@ def w11(spark, sf):
 @register("w12_distinct_artifacts", V(["chunks"], f"""
 WITH {_ENV_ROWS}, {_ART_ROWS},
 firsts AS (SELECT run_id, artifact_id, min({{'s': seq, 'p': pos}}) AS f FROM arts GROUP BY 1, 2)
-SELECT run_id, artifact_id, f.s AS first_seq, f.p AS first_pos,
+SELECT run_id, artifact_id, f.s AS first_seq, CAST(f.p AS INTEGER) AS first_pos,
        row_number() OVER (PARTITION BY run_id ORDER BY f.s, f.p) AS ordinal
 FROM firsts"""))
 def w12(spark, sf):
@@ -242,8 +242,8 @@ def n4(spark, sf):
 @register("n4_last_content", V(["chunks"], """
 WITH seg AS (
   SELECT run_id, part_index, segment, string_agg(delta, '' ORDER BY seq) AS content, max(seq) AS last_seq
-  FROM (SELECT *, sum(CAST(is_start AS BIGINT)) OVER (PARTITION BY run_id, part_index ORDER BY seq
-                                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment
+  FROM (SELECT *, CAST(sum(CAST(is_start AS BIGINT)) OVER (PARTITION BY run_id, part_index ORDER BY seq
+                                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS segment
         FROM chunks WHERE type = 'content')
   GROUP BY run_id, part_index, segment)
 SELECT run_id, arg_max(content, last_seq) AS last_content, max(last_seq) AS last_content_seq FROM seg GROUP BY run_id"""))
@@ -287,7 +287,7 @@ def j9(spark, sf):
 
 
 @register("j6_call_result_pairs", V(["chunks"], """
-SELECT c.run_id, c.tool_call_id, c.tool_name, c.seq AS call_seq, r.seq AS result_seq, length(r.content) AS result_chars,
+SELECT c.run_id, c.tool_call_id, c.tool_name, c.seq AS call_seq, r.seq AS result_seq, CAST(length(r.content) AS INTEGER) AS result_chars,
        CASE WHEN length(r.content) > 200 THEN substring(r.content, 1, 200) || '…' ELSE r.content END AS result_preview
 FROM (SELECT * FROM chunks WHERE type = 'tool_call') c
 LEFT JOIN (SELECT * FROM chunks WHERE type = 'tool_result') r ON c.run_id = r.run_id AND c.tool_call_id = r.tool_call_id"""))
@@ -349,8 +349,8 @@ def t5(spark, sf):
 
 @register("t6_split_segments", V(["chunks"], """
 SELECT run_id, seq, type,
-       coalesce(sum(CASE WHEN type = 'done' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY seq
-                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment,
+       CAST(coalesce(sum(CASE WHEN type = 'done' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY seq
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS segment,
        NOT (type = 'done' AND coalesce(finish_reason, '') = 'tool_calls') AS visible
 FROM chunks"""))
 def t6(spark, sf):
@@ -453,7 +453,7 @@ def f3_f4(spark, sf):
 
 @register("f5_result_preview", V(["chunks"], """
 SELECT run_id, seq, CASE WHEN length(content) > 200 THEN substring(content, 1, 200) || '…' ELSE content END AS preview,
-       length(content) AS n_chars
+       CAST(length(content) AS INTEGER) AS n_chars
 FROM chunks WHERE type = 'tool_result'"""))
 def f5(spark, sf):
     """log preview of every tool result (200 characters + ellipsis)."""
@@ -507,7 +507,7 @@ def f9(spark, sf):
 
 
 @register("f14_call_arguments", V(["chunks"], """
-SELECT run_id, seq, to_json(arguments) AS quoted FROM chunks WHERE type = 'tool_call'"""))
+SELECT run_id, seq, CAST(to_json(arguments) AS VARCHAR) AS quoted FROM chunks WHERE type = 'tool_call'"""))
 def f14(spark, sf):
     """tool arguments JSON-quoted once more (the double encoding on the wire)."""
     d = _chunks(spark, sf).where(F.col("type") == "tool_call")
