@@ -23,6 +23,7 @@ def views(spark):
     "SELECT 'please update the docs' AS note FROM t",
     "SELECT k FROM t UNION SELECT k FROM t",
     "SELECT id, rank() OVER (PARTITION BY k ORDER BY id) FROM t",
+    "SELECT /*+ REPARTITION(4) */ * FROM t",
 ])
 def test_accepts_read_only(spark, views, sql):
     assert check_statement(spark, sql, views) is None
@@ -38,6 +39,8 @@ def test_accepts_read_only(spark, views, sql):
     "SELECT * FROM other_table",
     "SELECT 1; SELECT 2",
     "CACHE TABLE t",
+    "SELECT /*+ BROADCAST(b) */ * FROM t a JOIN t b ON a.id = b.id",
+    "SELECT /*+ MAPJOIN(b) */ * FROM t a JOIN t b ON a.id = b.id",
     "SET spark.sql.shuffle.partitions=1",
 ])
 def test_rejects(spark, views, sql):

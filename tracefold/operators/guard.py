@@ -167,6 +167,9 @@ def check_statement(spark: SparkSession, sql: str, allowed_tables: set[str] | No
     for bad in FORBIDDEN_PLAN_TEXT:
         if bad in text:
             return f"Error: {bad.strip(chr(39))} is not allowed in a read-only query."
+    # a broadcast hint would skip Spark's size check on the broadcast side
+    if re.search(r"UnresolvedHint (BROADCAST|BROADCASTJOIN|MAPJOIN)\b", text, re.IGNORECASE):
+        return "Error: broadcast hints are not allowed; Spark picks broadcasts by size."
     if allowed_tables is not None:
         # the tree text includes CTE bodies and subquery expressions, which children() does not reach
         ctes = {n.strip().lower() for group in re.findall(r"CTE \[([^\]]*)\]", text) for n in group.split(",")}
