@@ -68,3 +68,22 @@ def test_schema_text_when_no_tables(spark):
     rows = {r.kind: r.ddl for r in schema_text(one, {"log_level": ["debug", "info"]}).collect()}
     assert rows == {"table": "CREATE TABLE t (\n    a bigint NOT NULL\n);",
                     "enum": "CREATE TYPE log_level AS ENUM ('debug', 'info');"}
+
+
+def test_day_partitioned_records_prune(spark, scratch):
+    from tracefold.operators import records as R
+    from tracefold.sources.records import read_records, write_records
+    rec = derive.load_records(spark, SF_SMALL).drop("event_id", "user_id")
+    path = os.path.join(scratch, "records")
+    write_records(rec, path, files_per_day=2)
+    stored = spark.read.parquet(path)
+    for stored_q, plain_q in [
+        (R.error_rollup(stored, "2024-01-15", ["service_name", "hour"]), R.error_rollup(rec, "2024-01-15", ["service_name", "hour"])),
+        (R.where_recent(stored, "2024-01-15 10:00:00", "calendar_day"), R.where_recent(rec, "2024-01-15 10:00:00", "calendar_day")),
+        (R.where_recent(stored, "2024-01-15 10:00:00", "as_written"), R.where_recent(rec, "2024-01-15 10:00:00", "as_written")),
+    ]:
+        plan = stored_q._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(day" in plan
+        cols = [c for c in plain_q.columns if c != "day"]
+        assert sorted(map(tuple, stored_q.select(*cols).collect())) == sorted(map(tuple, plain_q.select(*cols).collect()))
+    assert read_records(spark, path).columns[:3] == ["created_at", "start_timestamp", "end_timestamp"]

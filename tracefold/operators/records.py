@@ -50,16 +50,28 @@ def on_day(day: str, col: str = "start_timestamp") -> Column:
     return (F.col(col) >= start) & (F.col(col) < start + F.expr("INTERVAL 1 DAY"))
 
 
+def prune_days(df: DataFrame, first_day: Column, last_day: Column) -> DataFrame:
+    """Add a predicate on the ``day`` partition column when the records are stored by day
+    (``sources.records.write_records``), so whole directories are skipped."""
+    if "day" in df.columns:
+        return df.where((F.col("day") >= first_day) & (F.col("day") <= last_day))
+    return df
+
+
 def where_recent(df: DataFrame, now: str, mode: str = "calendar_day", day: str | None = None,
                  col: str = "start_timestamp") -> DataFrame:
     """R3 (mode='as_written') / R4 (mode='calendar_day': the day before ``now``, or ``day``)."""
     if mode == "as_written":
-        return df.where(recent_as_written(now, col))
+        # date(start) > now - 1 day keeps the days after (now - 1 day)'s date
+        first = F.date_add(F.to_date(F.to_timestamp(F.lit(now)) - F.expr("INTERVAL 1 DAY")), 1)
+        return prune_days(df, first, F.lit("9999-12-31").cast("date")).where(recent_as_written(now, col))
     if day is None:
         day_col = F.date_sub(F.to_date(F.lit(now)), 1)
         start = day_col.cast("timestamp")
-        return df.where((F.col(col) >= start) & (F.col(col) < start + F.expr("INTERVAL 1 DAY")))
-    return df.where(on_day(day, col))
+        return prune_days(df, day_col, day_col).where(
+            (F.col(col) >= start) & (F.col(col) < start + F.expr("INTERVAL 1 DAY")))
+    d = F.to_date(F.lit(day))
+    return prune_days(df, d, d).where(on_day(day, col))
 
 
 def where_level(df: DataFrame, level: str) -> DataFrame:
@@ -146,7 +158,8 @@ def error_rollup(df: DataFrame, day: str, dims: list[str] = ("service_name", "ho
     aggregate is partial on the map side, so a hot service costs one row per
     task before the shuffle.
     """
-    base = df.where((F.col("level") == F.lit(level)) & on_day(day))
+    d = F.to_date(F.lit(day))
+    base = prune_days(df, d, d).where((F.col("level") == F.lit(level)) & on_day(day))
     keys = []
     for d in dims:
         if d == "hour":
