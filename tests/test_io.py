@@ -87,3 +87,13 @@ def test_day_partitioned_records_prune(spark, scratch):
         cols = [c for c in plain_q.columns if c != "day"]
         assert sorted(map(tuple, stored_q.select(*cols).collect())) == sorted(map(tuple, plain_q.select(*cols).collect()))
     assert read_records(spark, path).columns[:3] == ["created_at", "start_timestamp", "end_timestamp"]
+
+
+def test_materialize_cuts_lineage(spark):
+    from tracefold.session import checkpoint_dir, materialize
+    c = derive.chunks(spark, SF_SMALL).where("type = 'done'")
+    m = materialize(c, "done_chunks")
+    assert m.count() == c.count()
+    assert checkpoint_dir(spark) in m.inputFiles()[0]
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "conversations" not in plan

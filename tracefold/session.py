@@ -59,3 +59,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.sparkContext.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage of a long plan (a derived chunk log reused by many folds,
+    say) so a lost executor recomputes from the written table, not from the
+    sources.  Each call writes a new folder; nothing is overwritten.
+    """
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/materialized/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
