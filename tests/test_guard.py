@@ -83,3 +83,17 @@ def test_rejects_all_pairs(spark, views, sql):
     res = guarded_query(spark, sql, 1000, allowed_tables=views)
     assert not res.ok and "all pairs" in res.message
     assert guarded_query(spark, sql, 1000, allowed_tables=views, allow_pairwise=True).ok
+
+
+def test_textual_mode_reproduces_the_reference_rules(spark, views):
+    def run(sql):
+        return guarded_query(spark, sql, 1000, allowed_tables=views, mode="textual")
+
+    assert run("SELECT * FROM t").df.count() == 1000                       # LIMIT appended
+    assert run("SELECT * FROM t LIMIT 5000").df.count() == 1000            # first LIMIT too large: rewritten
+    assert run("SELECT * FROM (SELECT * FROM t LIMIT 10) x LIMIT 5000").df.count() == 10
+    assert run("SELECT * FROM t -- note").df.count() == 3000               # the comment swallows the LIMIT
+    assert run("SELECT * FROM t WHERE 'rate-limit' <> ''").df.count() == 3000  # 'limit' letters: no cap
+    bad = run("SELECT 'Failed to update' AS x FROM t")
+    assert not bad.ok and bad.message == "Error: UPDATE statements are not allowed for safety reasons."
+    assert run("WITH a AS (SELECT 1) SELECT * FROM a").message == "Error: Only SELECT queries are allowed for safety."

@@ -184,9 +184,18 @@ def check_statement(spark: SparkSession, sql: str, allowed_tables: set[str] | No
 PAIRWISE_OPERATORS = ["CartesianProduct", "BroadcastNestedLoopJoin"]
 
 
+def textual_guard(spark: SparkSession, sql: str, max_rows: int = SQL_MAX_LIMIT) -> tuple[str | None, str]:
+    """The reference's textual guard for one statement: (error text or None, statement to run).
+
+    The same column expressions as the bulk audit (G5), on a one-row frame.
+    """
+    row = audit_statements(spark.createDataFrame([(sql,)], "sql string"), max_rows).first()
+    return row["reason"], row["final_sql"]
+
+
 def guarded_query(spark: SparkSession, sql: str, max_rows: int = SQL_MAX_LIMIT,
                   allowed_tables: set[str] | None = None, allow_with: bool = True,
-                  allow_pairwise: bool = False) -> GuardedResult:
+                  allow_pairwise: bool = False, mode: str = "structural") -> GuardedResult:
     """Check, then plan ``sql`` with a structural cap of ``max_rows`` rows.
 
     After the parse-only checks the statement is analysed and planned (nothing
@@ -197,6 +206,20 @@ def guarded_query(spark: SparkSession, sql: str, max_rows: int = SQL_MAX_LIMIT,
     """
     if allowed_tables is None:
         allowed_tables = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    if mode == "textual":
+        # exact reference behaviour: keyword guard, SELECT-only, LIMIT text rewrite (with its loopholes),
+        # still behind the parse-only check
+        reason, final_sql = textual_guard(spark, sql, max_rows)
+        if reason:
+            return GuardedResult(False, reason, None, {"success": False})
+        err = check_statement(spark, final_sql, allowed_tables, allow_with=False)
+        if err:
+            return GuardedResult(False, err, None, {"success": False})
+        try:
+            return GuardedResult(True, "Query planned.", spark.sql(final_sql))
+        except Exception as exc:  # noqa: BLE001
+            return GuardedResult(False, f"Error: query failed: {str(exc).splitlines()[0][:300]}", None,
+                                 {"success": False})
     err = check_statement(spark, sql, allowed_tables, allow_with)
     if err:
         return GuardedResult(False, err, None, {"success": False})
