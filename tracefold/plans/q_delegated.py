@@ -24,9 +24,9 @@ def register_views(spark: SparkSession, sf: str) -> set[str]:
     return set(TABLES) | {"records"}
 
 
-def _run(spark, sf, sql):
+def _run(spark, sf, sql, mode="structural"):
     allowed = register_views(spark, sf)
-    res = guarded_query(spark, sql, 1000, allowed_tables=allowed)
+    res = guarded_query(spark, sql, 1000, allowed_tables=allowed, mode=mode)
     if not res.ok:
         raise RuntimeError(res.message)
     return res.df
@@ -127,9 +127,9 @@ SELECT * FROM records WHERE level = 'error' AND array_contains(tags, 'rate-limit
 SELECT * FROM records WHERE level = 'error' AND list_contains(tags, 'rate-limit') ORDER BY span_id LIMIT 100""")
 
 
-def _make(name, spark_sql):
+def _make(name, spark_sql, mode="structural"):
     def q(spark, sf):
-        return _run(spark, sf, spark_sql)
+        return _run(spark, sf, spark_sql, mode)
     q.__doc__ = f"Guarded statement: {name}."
     return q
 
@@ -139,3 +139,9 @@ for _name, (_spark_sql, _duck_sql) in STATEMENTS.items():
     if "records" in _twin:
         _twin = with_views(["records"], _twin)
     register(_name, _twin)(_make(_name, _spark_sql))
+
+
+# The textual mode (the reference's own guard and LIMIT rewrite): the statement gets " LIMIT 1000" appended.
+_TEXTUAL = "SELECT level, service_name, count(*) AS n FROM records GROUP BY level, service_name"
+register("sql_textual_level_counts", with_views(["records"], _TEXTUAL + " LIMIT 1000"))(
+    _make("sql_textual_level_counts", _TEXTUAL, "textual"))
