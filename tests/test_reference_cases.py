@@ -196,3 +196,16 @@ def test_finding5_capped_count_and_flag(spark, scratch):
     ref2 = write_artifact(spark.range(10), "run1", scratch, max_rows=1000)
     assert (ref2.id, ref2.row_count, ref2.was_capped) == ("a_run1_2", 10, False)
     assert read_manifest(spark, scratch).count() == 2
+
+
+def test_ready_runs_null_payload_counts_as_collected(spark):
+    c = chunk_rows(spark, [dict(run_id="r", seq=1, type="approval-requested", tool_call_id="c1", tool_name="x"),
+                           dict(run_id="r", seq=2, type="tool-input-available", tool_call_id="c2", tool_name="y")])
+    dec = spark.createDataFrame([("r", "c1", 3, "true"), ("r", "c1", 4, None)],
+                                "run_id string, tool_call_id string, seq long, value string")
+    r = RU.ready_runs(c.unionByName(chunk_rows(spark, [dict(run_id="r", seq=5, type="tool_result",
+                                                             tool_call_id="c2", content="ok")])), dec).first()
+    # the later NULL decision replaces 'true': present, but not an approval
+    assert (r.n_expected_approvals, r.n_expected_results, r.n_missing, r.n_approved, r.ready) == (1, 1, 0, 0, True)
+    r2 = RU.ready_runs(c, dec.limit(0)).first()
+    assert (r2.n_missing, r2.ready) == (2, False)

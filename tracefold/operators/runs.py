@@ -300,18 +300,20 @@ def ready_runs(chunks: DataFrame, decisions: DataFrame) -> DataFrame:
     exp_r = chunks.where(F.col("type") == "tool-input-available").select(RUN, "tool_call_id").distinct() \
                   .withColumn("kind", F.lit("result"))
     expected = exp_a.unionByName(exp_r)
+    # last value per key wins, an explicit NULL included (max_by keeps it); presence is tracked apart
     col_a = decisions.groupBy(RUN, "tool_call_id").agg(F.max_by("value", "seq").alias("value")) \
-                     .withColumn("kind", F.lit("approval"))
+                     .withColumn("kind", F.lit("approval")).withColumn("present", F.lit(True))
     col_r = chunks.where(F.col("type") == "tool_result").groupBy(RUN, "tool_call_id") \
-                  .agg(F.max_by("content", "seq").alias("value")).withColumn("kind", F.lit("result"))
+                  .agg(F.max_by("content", "seq").alias("value")).withColumn("kind", F.lit("result")) \
+                  .withColumn("present", F.lit(True))
     collected = col_a.unionByName(col_r)
     matched = expected.join(collected, [RUN, "tool_call_id", "kind"], "left")
-    approved = normalize_approval(F.col("value")).getField("approved")
+    approved = F.coalesce(normalize_approval(F.col("value")).getField("approved"), F.lit(False))
     per_run = matched.groupBy(RUN).agg(
         F.count_if(F.col("kind") == "approval").alias("n_expected_approvals"),
         F.count_if(F.col("kind") == "result").alias("n_expected_results"),
-        F.count_if(F.col("value").isNull()).alias("n_missing"),
-        F.count_if((F.col("kind") == "approval") & F.col("value").isNotNull() & approved).alias("n_approved"))
+        F.count_if(F.col("present").isNull()).alias("n_missing"),
+        F.count_if((F.col("kind") == "approval") & F.col("present").isNotNull() & approved).alias("n_approved"))
     any_payload = collected.select(RUN).distinct().withColumn("has_payload", F.lit(True))
     runs = chunks.select(RUN).distinct()
     return (runs.join(per_run, RUN, "left").join(any_payload, RUN, "left")

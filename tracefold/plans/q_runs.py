@@ -315,14 +315,16 @@ WITH expected AS (
   SELECT DISTINCT run_id, tool_call_id, 'approval' AS kind FROM chunks WHERE type = 'approval-requested'
   UNION ALL SELECT DISTINCT run_id, tool_call_id, 'result' AS kind FROM chunks WHERE type = 'tool-input-available'),
 collected AS (
-  SELECT run_id, tool_call_id, 'approval' AS kind, arg_max(value, seq) AS value FROM approvals GROUP BY 1, 2
+  SELECT run_id, tool_call_id, 'approval' AS kind, arg_max_null(value, seq) AS value, true AS present
+  FROM approvals GROUP BY 1, 2
   UNION ALL
-  SELECT run_id, tool_call_id, 'result' AS kind, arg_max(content, seq) AS value FROM chunks WHERE type = 'tool_result' GROUP BY 1, 2),
-m AS (SELECT e.run_id, e.kind, c.value FROM expected e LEFT JOIN collected c
+  SELECT run_id, tool_call_id, 'result' AS kind, arg_max_null(content, seq) AS value, true AS present
+  FROM chunks WHERE type = 'tool_result' GROUP BY 1, 2),
+m AS (SELECT e.run_id, e.kind, c.value, c.present FROM expected e LEFT JOIN collected c
       ON e.run_id = c.run_id AND e.tool_call_id = c.tool_call_id AND e.kind = c.kind),
 per_run AS (SELECT run_id, count(*) FILTER (WHERE kind = 'approval') AS nea, count(*) FILTER (WHERE kind = 'result') AS ner,
-                   count(*) FILTER (WHERE value IS NULL) AS nm,
-                   count(*) FILTER (WHERE kind = 'approval' AND value IS NOT NULL AND {_APPROVED}) AS na
+                   count(*) FILTER (WHERE present IS NULL) AS nm,
+                   count(*) FILTER (WHERE kind = 'approval' AND present IS NOT NULL AND coalesce({_APPROVED}, false)) AS na
             FROM m GROUP BY run_id),
 payload AS (SELECT DISTINCT run_id FROM collected),
 runs AS (SELECT DISTINCT run_id FROM chunks)
