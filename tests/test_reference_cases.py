@@ -209,3 +209,17 @@ def test_ready_runs_null_payload_counts_as_collected(spark):
     assert (r.n_expected_approvals, r.n_expected_results, r.n_missing, r.n_approved, r.ready) == (1, 1, 0, 0, True)
     r2 = RU.ready_runs(c, dec.limit(0)).first()
     assert (r2.n_missing, r2.ready) == (2, False)
+
+
+@pytest.mark.parametrize("inp,want", [
+    ('{"artifact_id":"a_1"}', "a_1"),
+    ('{"artifactId":"a_2"}', "a_2"),
+    ('{"artifact_id":"","input":{"artifactId":"a_3"}}', "a_3"),
+    ('{"other":1}', '{"other":1}'),
+    ("  a_4  ", "a_4"),
+    ("   ", None),
+    (None, None),
+])
+def test_artifact_ref(spark, inp, want):
+    got = spark.createDataFrame([(inp,)], "i string").select(FE.artifact_ref(F.col("i")).alias("a")).first().a
+    assert got == want

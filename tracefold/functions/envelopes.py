@@ -79,6 +79,7 @@ def artifact_ref(inp: Column) -> Column:
     """
     t = F.trim(inp)
     v = F.try_parse_json(t)
-    found = F.coalesce(string_at(v, "$.artifact_id"), string_at(v, "$.artifactId"),
-                       string_at(v, "$.input.artifact_id"), string_at(v, "$.input.artifactId"))
+    # an empty id does not count: the next place is tried
+    found = F.coalesce(*[F.nullif(string_at(v, p), F.lit("")) for p in
+                         ("$.artifact_id", "$.artifactId", "$.input.artifact_id", "$.input.artifactId")])
     return F.when(F.coalesce(t, F.lit("")) == "", F.lit(None).cast("string")).otherwise(F.coalesce(found, t))

@@ -24,8 +24,8 @@ ids AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY created_at, re
 _LIVE = f"NOT (TIMESTAMP '{ART_NOW}' - created_at > INTERVAL {ART_TTL_MIN} MINUTE)"
 _REQS = """
 reqs AS (SELECT run_id, seq, CASE WHEN coalesce(trim(input), '') = '' THEN NULL ELSE coalesce(
-           CASE WHEN json_type(j, '$.artifact_id') = 'VARCHAR' THEN json_extract_string(j, '$.artifact_id') END,
-           CASE WHEN json_type(j, '$.artifactId') = 'VARCHAR' THEN json_extract_string(j, '$.artifactId') END,
+           NULLIF(CASE WHEN json_type(j, '$.artifact_id') = 'VARCHAR' THEN json_extract_string(j, '$.artifact_id') END, ''),
+           NULLIF(CASE WHEN json_type(j, '$.artifactId') = 'VARCHAR' THEN json_extract_string(j, '$.artifactId') END, ''),
            trim(input)) END AS artifact_id
          FROM (SELECT *, CASE WHEN json_valid(trim(input)) THEN trim(input) END AS j FROM chunks
                WHERE type = 'tool-input-available'))"""

@@ -496,10 +496,10 @@ def f7(spark, sf):
 WITH c AS (SELECT run_id, seq, trim(input) AS t FROM chunks WHERE type = 'tool-input-available'),
 d AS (SELECT *, CASE WHEN json_valid(t) THEN t END AS j FROM c)
 SELECT run_id, seq, CASE WHEN coalesce(t, '') = '' THEN NULL ELSE coalesce(
-    CASE WHEN json_type(j, '$.artifact_id') = 'VARCHAR' THEN json_extract_string(j, '$.artifact_id') END,
-    CASE WHEN json_type(j, '$.artifactId') = 'VARCHAR' THEN json_extract_string(j, '$.artifactId') END,
-    CASE WHEN json_type(j, '$.input.artifact_id') = 'VARCHAR' THEN json_extract_string(j, '$.input.artifact_id') END,
-    CASE WHEN json_type(j, '$.input.artifactId') = 'VARCHAR' THEN json_extract_string(j, '$.input.artifactId') END,
+    NULLIF(CASE WHEN json_type(j, '$.artifact_id') = 'VARCHAR' THEN json_extract_string(j, '$.artifact_id') END, ''),
+    NULLIF(CASE WHEN json_type(j, '$.artifactId') = 'VARCHAR' THEN json_extract_string(j, '$.artifactId') END, ''),
+    NULLIF(CASE WHEN json_type(j, '$.input.artifact_id') = 'VARCHAR' THEN json_extract_string(j, '$.input.artifact_id') END, ''),
+    NULLIF(CASE WHEN json_type(j, '$.input.artifactId') = 'VARCHAR' THEN json_extract_string(j, '$.input.artifactId') END, ''),
     t) END AS artifact_id
 FROM d"""))
 def f9(spark, sf):
