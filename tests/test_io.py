@@ -97,3 +97,10 @@ def test_materialize_cuts_lineage(spark):
     assert checkpoint_dir(spark) in m.inputFiles()[0]
     plan = m._jdf.queryExecution().executedPlan().toString()
     assert "conversations" not in plan
+
+
+def test_sse_keeps_non_ascii(spark):
+    c = derive.chunks(spark, SF_SMALL).where("type = 'content' AND delta RLIKE '[^\\\\x00-\\\\x7F]'").limit(5)
+    frames = [r.frame for r in sse.encode_sse(c).collect()]
+    assert frames and all("\\u00" not in f for f in frames)
+    assert all(any(ord(ch) > 127 for ch in f) for f in frames)
