@@ -193,8 +193,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     def row(df, seq, typ, ts, part_index=null_l, is_start=F.lit(None).cast("boolean"), delta=null_s,
             role=null_s, tool_call_id=null_s, tool_name=null_s, arguments=null_s, inp=null_s,
             content=null_s, error_message=null_s, finish_reason=null_s, usage=null_s):
+        """One chunk kind as rows of the wide chunk table (columns in schemas.CHUNKS order)."""
+        type_col = F.lit(typ) if isinstance(typ, str) else typ
         return df.select(
-            F.col("run_id"), seq.cast("long").alias("seq"), F.lit(typ).alias("type") if isinstance(typ, str) else typ.alias("type"),
+            F.col("run_id"), seq.cast("long").alias("seq"), type_col.alias("type"),
             F.col("model"), ts.cast("long").alias("timestamp"), part_index.cast("long").alias("part_index"),
             is_start.alias("is_start"), delta.alias("delta"), role.alias("role"),
             tool_call_id.alias("tool_call_id"), tool_name.alias("tool_name"), arguments.alias("arguments"),
