@@ -79,7 +79,7 @@ def chunks_log(spark, sf):
 def _acc_sql(kind: str, extra: str = "") -> str:
     return f"""
 SELECT run_id, part_index, segment, seq, delta,
-       array_to_string(list(delta) OVER (PARTITION BY run_id, part_index, segment ORDER BY seq
+       array_to_string(list(delta ORDER BY seq) OVER (PARTITION BY run_id, part_index, segment ORDER BY seq
                                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS content
 FROM (SELECT *, CAST(sum(CAST(is_start AS BIGINT)) OVER (PARTITION BY run_id, part_index ORDER BY seq
                                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS segment
