@@ -57,6 +57,27 @@ SELECT p.p_brand, count(*) AS n_never_ordered
 FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity >= 45)
 GROUP BY p.p_brand""", None)
 
+STATEMENTS["sql_full_outer_join"] = ("""
+SELECT coalesce(c.k, s.k) AS nationkey, coalesce(c.n, 0) AS n_customers, coalesce(s.n, 0) AS n_suppliers
+FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY c_nationkey) c
+FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) s
+ON c.k = s.k""", None)
+
+# Interval join written for scale: each event is paired only with events of the same user in its own or the
+# next minute bucket (an equi-join on (user, bucket)), then the exact 60-second condition is applied, so a
+# busy user never compares all of its events with each other.
+STATEMENTS["sql_interval_join"] = ("""
+WITH e AS (SELECT user_id, event_type, ts, CAST(floor(unix_micros(CAST(ts AS TIMESTAMP)) / 60000000) AS BIGINT) AS b
+           FROM events),
+probe AS (SELECT user_id, event_type, ts, explode(array(b, b + 1)) AS b FROM e)
+SELECT concat(p.event_type, '>', l.event_type) AS pair, count(*) AS n_within_minute
+FROM probe p JOIN e l ON p.user_id = l.user_id AND p.b = l.b
+WHERE l.ts > p.ts AND l.ts <= p.ts + INTERVAL 60 SECONDS
+GROUP BY 1""", """
+SELECT e1.event_type || '>' || e2.event_type AS pair, count(*) AS n_within_minute
+FROM events e1 JOIN events e2 ON e1.user_id = e2.user_id AND e2.ts > e1.ts AND e2.ts <= e1.ts + INTERVAL 60 SECOND
+GROUP BY 1""")
+
 STATEMENTS["sql_rollup"] = ("""
 SELECT l_returnflag, l_linestatus, count(*) AS n_lines, CAST(sum(l_quantity) AS BIGINT) AS total_qty
 FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""", None)
