@@ -132,3 +132,12 @@ def test_t3_compacted_run_state_matches_batch_fold(spark, scratch):
     assert _rows(state, cols) == _rows(RU.fold_run_state(upd), cols)
     # several micro-batches were folded, one summary row per run and batch
     assert spark.read.parquet(summaries).select("batch_id").distinct().count() > 1
+
+
+def test_t1_stream_chunks_json_lines(spark, scratch):
+    c = derive.chunks(spark, SF_SMALL).where("type <> 'content'")
+    path = os.path.join(scratch, "jsonl")
+    c.select(sse.chunk_json(c).alias("value")).repartition(3).write.text(path)
+    got = ST.run_to_memory(ST.stream_chunks(spark, path, "json"), "t1_jsonl", os.path.join(scratch, "ck"))
+    cols = ["run_id", "seq", "type", "tool_call_id", "tool_name", "arguments", "input", "finish_reason", "usage"]
+    assert _rows(got, cols) == _rows(c, cols)
