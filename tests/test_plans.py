@@ -28,9 +28,11 @@ def test_flagship_pushes_day_range_and_prunes_columns(spark):
     assert text.count("HashAggregate") >= 2
 
 
-def test_run_state_fold_has_no_window(spark):
+def test_run_state_fold_windows_only_per_slice(spark):
+    # the fold never windows or joins a whole run: its window is per (run, seq bucket)
     text = plan_text(E.queries()["w10_fold_run_state"](spark, SF_SMALL))
-    assert "Window" not in text
+    windows = [ln for ln in text.splitlines() if "Window [" in ln]
+    assert windows and all("__slice" in ln.split("],")[-2] for ln in windows)
 
 
 def test_running_index_is_bucketed(spark):

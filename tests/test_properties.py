@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
@@ -111,3 +113,12 @@ def test_lag_in_order_matches_window_lag(spark):
     j = got.join(want, ["k", "seq"])
     assert j.count() == df.count()
     assert j.where("NOT (prev_v <=> w) OR NOT (prev_seq <=> ws)").count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 3, 7])
+def test_w10_same_for_any_slicing(spark, width):
+    upd = derive.run_updates(spark, SF_SMALL)
+    cols = ["run_id", "messages", "pending", "model", "created_at", "updated_at", "n_writes"]
+    one = sorted(map(tuple, RU.fold_run_state(upd, bucket_width=1 << 30).select(*cols).collect()))
+    many = sorted(map(tuple, RU.fold_run_state(upd, bucket_width=width).select(*cols).collect()))
+    assert one == many and len(one) > 0

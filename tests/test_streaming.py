@@ -125,9 +125,9 @@ def test_t3_compacted_run_state_matches_batch_fold(spark, scratch):
     _write_in_seq_order(upd, path, 6)
     stream = spark.readStream.schema(upd.schema).option("maxFilesPerTrigger", 1).parquet(path)
     summaries = os.path.join(scratch, "summaries")
-    q = ST.stream_run_state_compacted(stream, summaries, os.path.join(scratch, "ck"))
+    q = ST.stream_run_state_compacted(stream, summaries, os.path.join(scratch, "ck"), bucket_width=16)
     q.awaitTermination()
-    state = ST.fold_run_state_summaries(spark.read.parquet(summaries))
+    state = ST.read_run_state(spark, summaries)
     cols = ["run_id", "messages", "pending", "model", "created_at", "updated_at", "n_writes"]
     assert _rows(state, cols) == _rows(RU.fold_run_state(upd), cols)
     # several micro-batches were folded, one summary row per run and batch

@@ -64,8 +64,19 @@ def main() -> None:
     width = max(rows // 1000, 1) * 10
     bucketed = running_index(df, ["run_id"], ["seq"], F.floor(F.col("seq") / width), "i")
     bucketed.write.format("noop").mode("overwrite").save()
+    # run-state fold (W10): partial aggregates and a join on run_id; broadcast joins off, as on a large cluster
+    from tracefold.operators.runs import fold_run_state
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    updates = df.select("run_id", "seq",
+                        F.element_at(F.array(F.lit("set_messages"), F.lit("set_pending"), F.lit("clear")),
+                                     (F.col("seq") % 3 + 1).cast("int")).alias("kind"),
+                        F.col("seq").cast("string").alias("messages"), F.lit(None).cast("string").alias("pending"),
+                        F.lit("m").alias("model"), F.timestamp_seconds(F.col("seq")).alias("written_at"))
+    sc.setJobGroup("fold", "run-state fold")
+    fold_run_state(updates).write.format("noop").mode("overwrite").save()
     spark.stop()
-    for g in ("plain", "bucketed"):
+    for g in ("plain", "bucketed", "fold"):
         rec, n = max_task_records(log_dir, g)
         print(json.dumps({"variant": g, "rows": rows, "largest_task_shuffle_records": rec, "tasks": n}))
 

@@ -160,27 +160,63 @@ def first_artifact(chunks: DataFrame) -> DataFrame:
     return a.groupBy(RUN).agg(F.min_by("artifact_id", F.struct("seq", "pos")).alias("artifact_id"))
 
 
-def fold_run_state(updates: DataFrame) -> DataFrame:
+def run_state_summary(updates: DataFrame, slice_cols: list[str]) -> DataFrame:
+    """W10 over each slice (run, *slice_cols) of the writes, keeping every field's seq so slices fold again.
+
+    One row per slice: the slice's last clear, and for the writes after it the
+    latest messages / pending / model with their seqs, first/last write time and
+    count.  The slice's clear comes from a window per slice (bounded by the
+    slice), and the aggregate reuses that partitioning.
+    """
+    keys = [RUN, *slice_cols]
+    is_clear = F.col("kind") == "clear"
+    w = updates.withColumn("__clear", F.max(F.when(is_clear, F.col("seq"))).over(Window.partitionBy(*keys)))
+    live = (F.col("__clear").isNull() | (F.col("seq") > F.col("__clear"))) & ~is_clear
+    is_msg = live & (F.col("kind") == "set_messages")
+    is_pend = live & (F.col("kind") == "set_pending")
+    has_model = live & F.col("model").isNotNull()
+    return w.groupBy(*keys).agg(
+        F.max("__clear").alias("clear_seq"),
+        F.max(F.when(is_msg, F.col("seq"))).alias("msg_seq"),
+        F.max_by(F.when(is_msg, F.col("messages")), F.when(is_msg, F.col("seq"))).alias("messages"),
+        F.max(F.when(is_pend, F.col("seq"))).alias("pend_seq"),
+        F.max_by(F.when(is_pend, F.col("pending")), F.when(is_pend, F.col("seq"))).alias("pending"),
+        F.max(F.when(has_model, F.col("seq"))).alias("model_seq"),
+        F.max_by(F.when(has_model, F.col("model")), F.when(has_model, F.col("seq"))).alias("model"),
+        F.min(F.when(live, F.col("written_at"))).alias("created_at"),
+        F.max(F.when(live, F.col("written_at"))).alias("updated_at"),
+        F.count_if(live).alias("n_writes"))
+
+
+def fold_run_state_summaries(summaries: DataFrame, order: Column) -> DataFrame:
+    """Current run state from slice summaries; ``order`` must follow seq order across the slices of a run.
+
+    Slices before the one holding a run's latest clear are dropped, the rest
+    fold by per-field seq.  The join on run_id sees one row per slice.
+    """
+    s = summaries.withColumn("__order", order)
+    last_clear = s.groupBy(RUN).agg(F.max(F.when(F.col("clear_seq").isNotNull(), F.col("__order"))).alias("__co"))
+    keep = s.join(last_clear, RUN).where(F.col("__co").isNull() | (F.col("__order") >= F.col("__co")))
+    state = keep.groupBy(RUN).agg(
+        F.max_by("messages", "msg_seq").alias("messages"),
+        F.max_by("pending", "pend_seq").alias("pending"),
+        F.max_by("model", "model_seq").alias("model"),
+        F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"),
+        F.sum("n_writes").alias("n_writes"))
+    return state.where(F.col("n_writes") > 0)
+
+
+def fold_run_state(updates: DataFrame, bucket_width: int = 4096) -> DataFrame:
     """Run-store writes folded into the current state per run.
 
     Rows after the run's last ``clear`` count (a run whose last write is a clear
     has no state).  messages / pending are the latest of their own writes — an
     explicit NULL pending wins — and model is the latest non-NULL one.
-    Two partial aggregates and one join on run_id; no per-run window.
+    Computed as summaries per (run, seq bucket) folded again per run, so no task
+    ever holds all writes of one run.
     """
-    last_clear = updates.groupBy(RUN).agg(F.max(F.when(F.col("kind") == "clear", F.col("seq"))).alias("clear_seq"))
-    live = (updates.join(last_clear, RUN)
-            .where(F.col("clear_seq").isNull() | (F.col("seq") > F.col("clear_seq")))
-            .where(F.col("kind") != "clear"))
-    is_msg = F.col("kind") == "set_messages"
-    is_pend = F.col("kind") == "set_pending"
-    return live.groupBy(RUN).agg(
-        F.max_by(F.when(is_msg, F.col("messages")), F.when(is_msg, F.col("seq"))).alias("messages"),
-        F.max_by(F.when(is_pend, F.col("pending")), F.when(is_pend, F.col("seq"))).alias("pending"),
-        F.max_by(F.col("model"), F.when(F.col("model").isNotNull(), F.col("seq"))).alias("model"),
-        F.min("written_at").alias("created_at"),
-        F.max("written_at").alias("updated_at"),
-        F.count(F.lit(1)).alias("n_writes"))
+    sliced = updates.withColumn("__slice", F.floor(F.col("seq") / F.lit(bucket_width)))
+    return fold_run_state_summaries(run_state_summary(sliced, ["__slice"]), F.col("__slice"))
 
 
 def usage_by_run(chunks: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schemas import CHUNKS, KEEPALIVE_SECONDS
+from ..operators.runs import fold_run_state_summaries, run_state_summary
 from ..sources.sse import parse_sse_lines
 
 # ---------------------------------------------------------------------------
@@ -170,56 +171,12 @@ def stream_run_state(updates: DataFrame) -> DataFrame:
         _fold_run, RUN_STATE_OUT, RUN_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_state_summary(updates: DataFrame) -> DataFrame:
-    """W10 over one slice of writes, keeping each field's seq so slices can be folded again.
-
-    One row per run: the slice's latest clear, and for the writes after it the
-    latest messages / pending / model with their seqs, first/last write time
-    and count.  Only partial aggregates and one join on run_id.
-    """
-    lc = updates.groupBy("run_id").agg(F.max(F.when(F.col("kind") == "clear", F.col("seq"))).alias("clear_seq"))
-    live = (updates.join(lc, "run_id")
-            .where((F.col("clear_seq").isNull() | (F.col("seq") > F.col("clear_seq"))) & (F.col("kind") != "clear")))
-    is_msg = F.col("kind") == "set_messages"
-    is_pend = F.col("kind") == "set_pending"
-    has_model = F.col("model").isNotNull()
-    agg = live.groupBy("run_id").agg(
-        F.max(F.when(is_msg, F.col("seq"))).alias("msg_seq"),
-        F.max_by(F.when(is_msg, F.col("messages")), F.when(is_msg, F.col("seq"))).alias("messages"),
-        F.max(F.when(is_pend, F.col("seq"))).alias("pend_seq"),
-        F.max_by(F.when(is_pend, F.col("pending")), F.when(is_pend, F.col("seq"))).alias("pending"),
-        F.max(F.when(has_model, F.col("seq"))).alias("model_seq"),
-        F.max_by(F.col("model"), F.when(has_model, F.col("seq"))).alias("model"),
-        F.min("written_at").alias("created_at"), F.max("written_at").alias("updated_at"),
-        F.count(F.lit(1)).alias("n_writes"))
-    return lc.join(agg, "run_id", "left").withColumn("n_writes", F.coalesce("n_writes", F.lit(0)))
-
-
-def fold_run_state_summaries(summaries: DataFrame, order: str = "batch_id") -> DataFrame:
-    """Current run state from slice summaries (one writer per run: slices arrive in order).
-
-    Slices before the one holding a run's latest clear are dropped; the rest
-    fold by per-field seq, so the result equals W10 over all writes.
-    """
-    last_clear = summaries.groupBy("run_id").agg(
-        F.max(F.when(F.col("clear_seq").isNotNull(), F.col(order))).alias("__clear_slice"))
-    keep = (summaries.join(last_clear, "run_id")
-            .where(F.col("__clear_slice").isNull() | (F.col(order) >= F.col("__clear_slice"))))
-    state = keep.groupBy("run_id").agg(
-        F.max_by("messages", "msg_seq").alias("messages"),
-        F.max_by("pending", "pend_seq").alias("pending"),
-        F.max_by("model", "model_seq").alias("model"),
-        F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"),
-        F.sum("n_writes").alias("n_writes"))
-    return state.where(F.col("n_writes") > 0)
-
-
 def stream_run_state_compacted(updates: DataFrame, summary_path: str | None = None, checkpoint: str | None = None,
-                               name: str = "run_state"):
-    """T3 without a hot task: each micro-batch is folded with partial aggregates (``run_state_summary``)
-    and its summary written to ``summary_path/batch_id=<n>`` (overwritten on retry, so a re-run batch
-    does not count twice).  Read the state with ``fold_run_state_summaries(spark.read.parquet(summary_path))``.
-    Returns the started query.
+                               name: str = "run_state", bucket_width: int = 4096):
+    """T3 without a hot task: each micro-batch is summarised per (run, seq bucket) with partial
+    aggregates (``operators.runs.run_state_summary``) and written to ``summary_path/batch_id=<n>``
+    (overwritten on retry, so a re-run batch does not count twice).  Read the state with
+    ``read_run_state(spark, summary_path)``.  Returns the started query.
     """
     from ..session import checkpoint_dir
     root = checkpoint_dir(updates.sparkSession).rstrip("/")
@@ -227,12 +184,22 @@ def stream_run_state_compacted(updates: DataFrame, summary_path: str | None = No
     checkpoint = checkpoint or f"{root}/{name}/checkpoint"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        run_state_summary(batch).write.mode("overwrite").parquet(f"{summary_path}/batch_id={batch_id}")
+        sliced = batch.withColumn("slice", F.floor(F.col("seq") / F.lit(bucket_width)))
+        run_state_summary(sliced, ["slice"]).write.mode("overwrite").parquet(f"{summary_path}/batch_id={batch_id}")
 
     return (updates.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def read_run_state(spark: SparkSession, summary_path: str) -> DataFrame:
+    """Current run state from the summaries of ``stream_run_state_compacted``.
+
+    Slices are ordered by (seq bucket, batch): a bucket split over two batches
+    keeps its seq order because a run's writes arrive in order.
+    """
+    return fold_run_state_summaries(spark.read.parquet(summary_path), F.struct("slice", "batch_id"))
+
+
 # ---------------------------------------------------------------------------
 # T4: approvals, stream-stream join
 # ---------------------------------------------------------------------------
@@ -303,6 +270,6 @@ def run_to_memory(df: DataFrame, name: str, checkpoint: str | None = None, mode:
 
 
 __all__ = ["stream_chunks", "typed_chunks", "stream_error_rollup", "error_rollup_closed", "stream_run_state",
-           "run_state_summary", "fold_run_state_summaries", "stream_run_state_compacted",
+           "run_state_summary", "fold_run_state_summaries", "stream_run_state_compacted", "read_run_state",
            "stream_approvals", "approvals_batch", "stream_activity_sessions", "activity_sessions_batch",
            "run_to_memory", "CHUNKS"]
