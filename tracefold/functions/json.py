@@ -13,16 +13,19 @@ def vtype(v: Column, path: str) -> Column:
 
 
 def is_string_at(v: Column, path: str) -> Column:
+    """The value at ``path`` is a JSON string (false when absent)."""
     return F.coalesce(vtype(v, path) == "STRING", F.lit(False))
 
 
 def is_number_at(v: Column, path: str) -> Column:
+    """The value at ``path`` is a JSON number (false when absent)."""
     t = vtype(v, path)
     return F.coalesce(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL"),
                       F.lit(False))
 
 
 def is_object_at(v: Column, path: str) -> Column:
+    """The value at ``path`` is a JSON object (false when absent)."""
     return F.coalesce(vtype(v, path).startswith("OBJECT"), F.lit(False))
 
 

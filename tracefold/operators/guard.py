@@ -61,14 +61,17 @@ def capped_text(sql: Column, max_limit: int = SQL_MAX_LIMIT) -> Column:
 
 
 def audit_keywords(stmts: DataFrame, col: str = "sql") -> DataFrame:
+    """G1 over a statement log: adds ``first_forbidden``."""
     return stmts.withColumn("first_forbidden", forbidden_keyword(F.col(col)))
 
 
 def audit_select_only(stmts: DataFrame, col: str = "sql") -> DataFrame:
+    """G2 over a statement log: adds ``is_select``."""
     return stmts.withColumn("is_select", is_select(F.col(col)))
 
 
 def cap_limit_text(stmts: DataFrame, max_limit: int = SQL_MAX_LIMIT, col: str = "sql") -> DataFrame:
+    """G3 over a statement log: adds ``capped_sql``."""
     return stmts.withColumn("capped_sql", capped_text(F.col(col), max_limit))
 
 

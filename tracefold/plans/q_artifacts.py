@@ -32,6 +32,7 @@ reqs AS (SELECT run_id, seq, CASE WHEN coalesce(trim(input), '') = '' THEN NULL
 
 
 def manifest(spark, sf):
+    """The derived artifact manifest with W4 ids."""
     return A.assign_artifact_ids(derive.artifacts(spark, sf))
 
 

@@ -33,6 +33,7 @@ def _manifest_path(root: str) -> str:
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The artifact manifest under ``root`` (empty, with its schema, before the first artifact)."""
     path = _manifest_path(root)
     try:
         return spark.read.schema(ARTIFACT_MANIFEST).parquet(path)
@@ -122,6 +123,7 @@ def csv_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def csv_header(columns: list[str]) -> str:
+    """The header line by the same quoting rule."""
     def q(x):
         return f'"{x.replace(chr(34), chr(34) * 2)}"' if ("," in x or "\n" in x or '"' in x) else x
     return ",".join(q(c) for c in columns)

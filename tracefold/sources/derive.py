@@ -50,6 +50,7 @@ STATEMENTS = [
 
 
 def run_id_of(conv_id: Column) -> Column:
+    """``run-`` + the conversation id zero-padded to 8 digits."""
     return F.concat(F.lit("run-"), F.lpad(conv_id.cast("string"), 8, "0"))
 
 
@@ -93,6 +94,7 @@ def records(events: DataFrame) -> DataFrame:
 
 
 def load_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log records derived from the ``events`` table of ``sf_dir``."""
     return records(table(spark, sf_dir, "events"))
 
 
