@@ -177,14 +177,24 @@ def error_rollup(df: DataFrame, day: str, dims: list[str] = ("service_name", "ho
     return grouped.agg(*aggs)
 
 
-def preview_counts(df: DataFrame, needle: str = "", n: int = PREVIEW_ROWS,
+def preview_counts(df: DataFrame, needle: str = "", n: int = PREVIEW_ROWS, order_by: list | None = None,
                    columns: list[str] | None = None) -> DataFrame:
-    """Original / filtered / previewed row counts and column count, in one pass."""
+    """The counts behind the preview grid.
+
+    original = rows of the artifact, exported = rows in the preview (the first n
+    in ``order_by``), filtered = preview rows matching the search (the grid
+    filters the preview, not the whole artifact), plus the column count.  One
+    aggregate over the artifact unioned with its top-n preview; no join.
+    """
+    n = max(int(n), 1)
+    shown = df.orderBy(*(order_by or df.columns)).limit(n)
     m = search_match(df, needle, columns)
-    return df.agg(F.count(F.lit(1)).alias("original_row_count"),
-                  F.count_if(m).alias("filtered_row_count")) \
-        .withColumn("preview_row_count", F.least(F.col("filtered_row_count"), F.lit(max(n, 1)).cast("long"))) \
-        .withColumn("column_count", F.lit(len(df.columns)).cast("long"))
+    tagged = (df.select(F.lit(True).alias("__all"), F.lit(False).alias("__hit"))
+              .unionByName(shown.select(F.lit(False).alias("__all"), m.alias("__hit"))))
+    return (tagged.agg(F.count_if(F.col("__all")).alias("original_row_count"),
+                       F.count_if(F.col("__hit")).alias("filtered_row_count"))
+            .withColumn("exported_row_count", F.least(F.col("original_row_count"), F.lit(n).cast("long")))
+            .withColumn("column_count", F.lit(len(df.columns)).cast("long")))
 
 
 def preview(df: DataFrame, order_by: list, n: int = PREVIEW_ROWS) -> DataFrame:

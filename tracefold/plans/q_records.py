@@ -175,15 +175,16 @@ def error_rollup_service_message_rollup(spark, sf):
 
 @register("preview_counts", with_views(["records"], """
 SELECT count(*) AS original_row_count,
-       count(*) FILTER (WHERE contains(lower(coalesce(message, '')), 'purchase')
-                           OR contains(lower(coalesce(service_name, '')), 'purchase')) AS filtered_row_count,
-       least(count(*) FILTER (WHERE contains(lower(coalesce(message, '')), 'purchase')
-                                 OR contains(lower(coalesce(service_name, '')), 'purchase')), 200) AS preview_row_count,
-       CAST(2 AS BIGINT) AS column_count
+       (SELECT count(*) FROM (SELECT * FROM records ORDER BY span_id LIMIT 200) p
+        WHERE contains(lower(coalesce(p.message, '')), 'purchase')
+           OR contains(lower(coalesce(p.service_name, '')), 'purchase')) AS filtered_row_count,
+       least(count(*), 200) AS exported_row_count,
+       CAST(3 AS BIGINT) AS column_count
 FROM records"""))
 def preview_counts(spark, sf):
-    """Counts behind the preview grid for the needle 'purchase'."""
-    return R.preview_counts(_rec(spark, sf).select("message", "service_name"), "purchase", 200)
+    """Counts behind the preview grid (first 200 rows by span_id, needle 'purchase')."""
+    df = _rec(spark, sf).select("span_id", "message", "service_name")
+    return R.preview_counts(df, "purchase", 200, [F.col("span_id")], columns=["message", "service_name"])
 
 
 @register("preview_first_200", with_views(["records"], """
