@@ -223,3 +223,11 @@ def test_ready_runs_null_payload_counts_as_collected(spark):
 def test_artifact_ref(spark, inp, want):
     got = spark.createDataFrame([(inp,)], "i string").select(FE.artifact_ref(F.col("i")).alias("a")).first().a
     assert got == want
+
+
+def test_sort_rows_nulls_last_and_case(spark):
+    df = spark.createDataFrame([("b",), (None,), ("A",), ("c",)], "v string")
+    assert [r.v for r in R.sort_rows(df, [("v", "asc")]).collect()] == ["A", "b", "c", None]
+    assert [r.v for r in R.sort_rows(df, [("v", "desc")]).collect()] == ["c", "b", "A", None]
+    assert [r.v for r in R.sort_rows(df, [("v", "desc")], case_insensitive=True).collect()] == ["c", "b", "A", None]
+    assert [r.v for r in R.sort_rows(df, [("v", "asc")], case_insensitive=True).collect()] == ["A", "b", "c", None]

@@ -202,9 +202,18 @@ def preview(df: DataFrame, order_by: list, n: int = PREVIEW_ROWS) -> DataFrame:
     return df.orderBy(*order_by).limit(max(int(n), 1))
 
 
-def sort_rows(df: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
-    """L2: sort by chosen columns; NULLs last in both directions."""
-    cols = [F.col(c).desc_nulls_last() if d.lower().startswith("desc") else F.col(c).asc_nulls_last()
+def sort_rows(df: DataFrame, keys: list[tuple[str, str]], case_insensitive: bool = False) -> DataFrame:
+    """L2: sort by chosen columns; NULLs last in both directions.
+
+    ``case_insensitive`` compares string columns in lower case, as the grid's text sort does.
+    """
+    def key(c):
+        col = F.col(c)
+        if case_insensitive and isinstance(df.schema[c].dataType, T.StringType):
+            col = F.lower(col)
+        return col
+
+    cols = [key(c).desc_nulls_last() if d.lower().startswith("desc") else key(c).asc_nulls_last()
             for c, d in keys]
     return df.orderBy(*cols)
 
