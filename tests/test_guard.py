@@ -24,6 +24,8 @@ def views(spark):
     "SELECT k FROM t UNION SELECT k FROM t",
     "SELECT id, rank() OVER (PARTITION BY k ORDER BY id) FROM t",
     "SELECT /*+ REPARTITION(4) */ * FROM t",
+    "SELECT id AS CommandLine, k AS DropTableName FROM t",
+    "WITH a AS (SELECT k FROM t WHERE k IN (SELECT k FROM t WHERE id < 5)) SELECT count(*) FROM a",
 ])
 def test_accepts_read_only(spark, views, sql):
     assert check_statement(spark, sql, views) is None

@@ -119,9 +119,10 @@ QUERY_NODES = {
     "UnresolvedInlineTable", "Sample", "Tail", "RepartitionByExpression", "Repartition", "GroupingSets",
     "UnresolvedSubqueryColumnAliases", "UnresolvedTableValuedFunction", "PipeOperator", "UnresolvedHaving",
 }
-# node or function names that must not appear anywhere in the plan text
-FORBIDDEN_PLAN_TEXT = ["ScriptTransformation", "InsertInto", "CreateTable", "DropTable", "Command",
-                       "'reflect", "'java_method", "'try_reflect"]
+# function names that must not appear anywhere in the plan text
+FORBIDDEN_PLAN_TEXT = ["'reflect(", "'java_method(", "'try_reflect("]
+# the node name that opens each line of a parsed plan's tree text (CTE bodies and subqueries included)
+_NODE_LINE = re.compile(r"^[\s:|+\-]*'?([A-Za-z]+)")
 
 
 @dataclass
@@ -167,9 +168,14 @@ def check_statement(spark: SparkSession, sql: str, allowed_tables: set[str] | No
             return f"Error: {name} is not allowed in a read-only query."
         stack.extend(_children(node))
     text = plan.treeString()
+    # children() does not reach CTE bodies or subquery plans; their nodes open lines of the tree text
+    for line in text.splitlines():
+        m = _NODE_LINE.match(line)
+        if m and m.group(1) not in QUERY_NODES and m.group(1) != "CTE":
+            return f"Error: {m.group(1)} is not allowed in a read-only query."
     for bad in FORBIDDEN_PLAN_TEXT:
         if bad in text:
-            return f"Error: {bad.strip(chr(39))} is not allowed in a read-only query."
+            return f"Error: {bad.strip(chr(39)).rstrip('(')} is not allowed in a read-only query."
     # a broadcast hint would skip Spark's size check on the broadcast side
     if re.search(r"UnresolvedHint (BROADCAST|BROADCASTJOIN|MAPJOIN)\b", text, re.IGNORECASE):
         return "Error: broadcast hints are not allowed; Spark picks broadcasts by size."
