@@ -64,6 +64,12 @@ def main() -> None:
     width = max(rows // 1000, 1) * 10
     bucketed = running_index(df, ["run_id"], ["seq"], F.floor(F.col("seq") / width), "i")
     bucketed.write.format("noop").mode("overwrite").save()
+    from tracefold.operators.sequence import lag_in_order
+    sc.setJobGroup("plain_lag", "plain lag")
+    df.withColumn("prev", F.lag("seq").over(Window.partitionBy("run_id").orderBy("seq"))) \
+      .write.format("noop").mode("overwrite").save()
+    sc.setJobGroup("bucketed_lag", "bucketed lag")
+    lag_in_order(df, ["run_id"], "seq", F.floor(F.col("seq") / width), ["seq"]).write.format("noop").mode("overwrite").save()
     # run-state fold (W10): partial aggregates and a join on run_id; broadcast joins off, as on a large cluster
     from tracefold.operators.runs import fold_run_state
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -76,7 +82,7 @@ def main() -> None:
     sc.setJobGroup("fold", "run-state fold")
     fold_run_state(updates).write.format("noop").mode("overwrite").save()
     spark.stop()
-    for g in ("plain", "bucketed", "fold"):
+    for g in ("plain", "bucketed", "plain_lag", "bucketed_lag", "fold"):
         rec, n = max_task_records(log_dir, g)
         print(json.dumps({"variant": g, "rows": rows, "largest_task_shuffle_records": rec, "tasks": n}))
 
