@@ -57,7 +57,9 @@ def write_artifact(df: DataFrame, run_id: str, root: str, max_rows: int = SQL_MA
     location = f"{root.rstrip('/')}/{run_id or 'unknown'}/{artifact_id}"
     capped = timestamps_as_text(df.limit(int(max_rows)))
     obs = Observation(f"rows_{artifact_id}")
-    capped.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(location)
+    # the id comes from the manifest, which is appended only after the data: a retry after a failure in
+    # between reuses the id and replaces the orphaned data folder
+    capped.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(location)
     rows = int(obs.get["rows"])
     was_capped = rows >= max_rows and df.limit(int(max_rows) + 1).count() > max_rows
     created = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
