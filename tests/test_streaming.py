@@ -141,3 +141,24 @@ def test_t1_stream_chunks_json_lines(spark, scratch):
     got = ST.run_to_memory(ST.stream_chunks(spark, path, "json"), "t1_jsonl", os.path.join(scratch, "ck"))
     cols = ["run_id", "seq", "type", "tool_call_id", "tool_name", "arguments", "input", "finish_reason", "usage"]
     assert _rows(got, cols) == _rows(c, cols)
+
+
+def test_t2_late_rows_are_dropped(spark, scratch):
+    import datetime as dt
+    schema = "start_timestamp timestamp, level string, service_name string"
+    t0 = dt.datetime(2024, 1, 15, 10, 0, 0)
+    first = [(t0 + dt.timedelta(minutes=m), "error", "svc-1") for m in range(0, 300, 7)]
+    path = os.path.join(scratch, "late")
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = (ST.stream_error_rollup(stream, "1 hour", "10 minutes").writeStream.outputMode("append")
+         .format("memory").queryName("t2_late").option("checkpointLocation", os.path.join(scratch, "ck")).start())
+    q.processAllAvailable()
+    # an error from the first hour arrives after the watermark (max time - 10 min) has passed that window
+    late = [(t0 + dt.timedelta(minutes=5), "error", "svc-1"), (t0 + dt.timedelta(minutes=400), "error", "svc-1")]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(path)
+    q.processAllAvailable()
+    q.stop()
+    got = {r.window_start: r.n_errors for r in spark.table("t2_late").collect()}
+    first_hour = sum(1 for t, _, _ in first if t < t0 + dt.timedelta(hours=1))
+    assert got[t0] == first_hour  # the late row did not change the closed window
