@@ -49,6 +49,12 @@ def test_w6_matches_brute_force_and_is_permutation(spark, raw):
     got = [r.pos for r in sorted(RU.order_tool_returns(df, bucket_width=2).collect(), key=lambda r: r.new_pos)]
     assert got == brute_order(msgs)
     assert sorted(got) == list(range(len(msgs)))
+    # idempotent: messages already in the new order stay where they are
+    by_pos = {p: (c, r) for p, c, r in msgs}
+    again = spark.createDataFrame([("r", i, "x", by_pos[p][0], by_pos[p][1]) for i, p in enumerate(got)],
+                                  "run_id string, pos long, role string, call_id string, return_id string")
+    assert sorted((r.pos, r.new_pos) for r in RU.order_tool_returns(again, bucket_width=3).collect()) == \
+        [(i, i) for i in range(len(msgs))]
 
 
 def test_running_index_exact_under_skew(spark):
