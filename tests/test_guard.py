@@ -99,3 +99,13 @@ def test_textual_mode_reproduces_the_reference_rules(spark, views):
     bad = run("SELECT 'Failed to update' AS x FROM t")
     assert not bad.ok and bad.message == "Error: UPDATE statements are not allowed for safety reasons."
     assert run("WITH a AS (SELECT 1) SELECT * FROM a").message == "Error: Only SELECT queries are allowed for safety."
+
+
+def test_size_estimate_limit(spark, views):
+    from tracefold.operators.guard import estimated_bytes
+    sql = "SELECT k, count(*) AS n FROM t GROUP BY k"
+    size = estimated_bytes(spark.sql(sql))
+    assert size > 0
+    assert guarded_query(spark, sql, 1000, allowed_tables=views, max_scan_bytes=size * 10).ok
+    res = guarded_query(spark, sql, 1000, allowed_tables=views, max_scan_bytes=max(size // 10, 1))
+    assert not res.ok and "estimated" in res.message

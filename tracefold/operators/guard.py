@@ -202,14 +202,21 @@ def textual_guard(spark: SparkSession, sql: str, max_rows: int = SQL_MAX_LIMIT)
     return row["reason"], row["final_sql"]
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a plan's result (planning statistics only; nothing runs)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def guarded_query(spark: SparkSession, sql: str, max_rows: int = SQL_MAX_LIMIT,
                   allowed_tables: set[str] | None = None, allow_with: bool = True,
-                  allow_pairwise: bool = False, mode: str = "structural") -> GuardedResult:
+                  allow_pairwise: bool = False, mode: str = "structural",
+                  max_scan_bytes: int | None = None) -> GuardedResult:
     """Check, then plan ``sql`` with a structural cap of ``max_rows`` rows.
 
     After the parse-only checks the statement is analysed and planned (nothing
     runs); a plan that pairs all rows of two inputs (cross join, non-equi join
-    planned as a nested loop) is refused unless ``allow_pairwise``.  Failures
+    planned as a nested loop) is refused unless ``allow_pairwise``, and so is a
+    statement whose size estimate exceeds ``max_scan_bytes`` when given.  Failures
     come back as a result with ``data={'success': False}``, never as an
     exception.  The DataFrame is lazy: executors do the work when it is written.
     """
@@ -239,6 +246,12 @@ def guarded_query(spark: SparkSession, sql: str, max_rows: int = SQL_MAX_LIMIT,
             return GuardedResult(False, "Error: ScriptTransformation is not allowed in a read-only query.",
                                  None, {"success": False})
         capped = df.limit(int(max_rows))
+        if max_scan_bytes is not None:
+            # the statement before its cap: what it would read and shuffle
+            size = estimated_bytes(df)
+            if size > max_scan_bytes:
+                return GuardedResult(False, f"Error: the statement is estimated at {size} bytes, over the limit of "
+                                            f"{max_scan_bytes}.", None, {"success": False})
         if not allow_pairwise:
             physical = capped._jdf.queryExecution().sparkPlan().toString()
             for op in PAIRWISE_OPERATORS:
