@@ -328,38 +328,45 @@ def ready_runs(chunks: DataFrame, decisions: DataFrame) -> DataFrame:
 
     Expected: approval ids (approval-requested) and result ids
     (tool-input-available).  Collected: decisions and tool results, last value
-    per key.  Ready when both expected sets are covered; with nothing expected,
-    any payload resumes the run.  Only expected keys are handed on.
+    per key (an explicit NULL included).  Ready when both expected sets are
+    covered; with nothing expected, any payload resumes the run.  Only expected
+    keys are counted.  Expected and collected rows meet in one aggregate per
+    (run, tool call, kind); a second aggregate per run follows.
     """
-    exp_a = chunks.where(F.col("type") == "approval-requested").select(RUN, "tool_call_id").distinct() \
-                  .withColumn("kind", F.lit("approval"))
-    exp_r = chunks.where(F.col("type") == "tool-input-available").select(RUN, "tool_call_id").distinct() \
-                  .withColumn("kind", F.lit("result"))
-    expected = exp_a.unionByName(exp_r)
-    # last value per key wins, an explicit NULL included (max_by keeps it); presence is tracked apart
-    col_a = decisions.groupBy(RUN, "tool_call_id").agg(F.max_by("value", "seq").alias("value")) \
-                     .withColumn("kind", F.lit("approval")).withColumn("present", F.lit(True))
-    col_r = chunks.where(F.col("type") == "tool_result").groupBy(RUN, "tool_call_id") \
-                  .agg(F.max_by("content", "seq").alias("value")).withColumn("kind", F.lit("result")) \
-                  .withColumn("present", F.lit(True))
-    collected = col_a.unionByName(col_r)
-    matched = expected.join(collected, [RUN, "tool_call_id", "kind"], "left")
+    t = F.col("type")
+    null_s = F.lit(None).cast("string")
+    expected = chunks.where(t.isin("approval-requested", "tool-input-available")).select(
+        RUN, "tool_call_id", F.when(t == "approval-requested", F.lit("approval")).otherwise(F.lit("result")).alias("kind"),
+        F.lit(True).alias("expected"), null_s.alias("value"), F.lit(None).cast("long").alias("seq"))
+    approvals_in = decisions.select(RUN, "tool_call_id", F.lit("approval").alias("kind"), F.lit(False).alias("expected"),
+                                    F.col("value"), F.col("seq"))
+    results_in = chunks.where(t == "tool_result").select(RUN, "tool_call_id", F.lit("result").alias("kind"),
+                                                        F.lit(False).alias("expected"), F.col("content").alias("value"),
+                                                        F.col("seq"))
+    collected = ~F.col("expected")
+    keyed = (expected.unionByName(approvals_in).unionByName(results_in)
+             .groupBy(RUN, "tool_call_id", "kind")
+             .agg(F.bool_or("expected").alias("is_expected"),
+                  F.bool_or(collected).alias("present"),
+                  F.max_by(F.when(collected, F.col("value")), F.when(collected, F.col("seq"))).alias("value")))
     approved = F.coalesce(normalize_approval(F.col("value")).getField("approved"), F.lit(False))
-    per_run = matched.groupBy(RUN).agg(
-        F.count_if(F.col("kind") == "approval").alias("n_expected_approvals"),
-        F.count_if(F.col("kind") == "result").alias("n_expected_results"),
-        F.count_if(F.col("present").isNull()).alias("n_missing"),
-        F.count_if((F.col("kind") == "approval") & F.col("present").isNotNull() & approved).alias("n_approved"))
-    any_payload = collected.select(RUN).distinct().withColumn("has_payload", F.lit(True))
+    exp_ = F.col("is_expected")
+    is_a = F.col("kind") == "approval"
+    per_run = keyed.groupBy(RUN).agg(
+        F.count_if(exp_ & is_a).alias("n_expected_approvals"),
+        F.count_if(exp_ & ~is_a).alias("n_expected_results"),
+        F.count_if(exp_ & ~F.col("present")).alias("n_missing"),
+        F.count_if(exp_ & is_a & F.col("present") & approved).alias("n_approved"),
+        F.bool_or("present").alias("has_payload"))
     runs = chunks.select(RUN).distinct()
-    return (runs.join(per_run, RUN, "left").join(any_payload, RUN, "left")
+    n_exp = F.coalesce("n_expected_approvals", F.lit(0)) + F.coalesce("n_expected_results", F.lit(0))
+    return (runs.join(per_run, RUN, "left")
             .select(RUN,
                     F.coalesce("n_expected_approvals", F.lit(0)).alias("n_expected_approvals"),
                     F.coalesce("n_expected_results", F.lit(0)).alias("n_expected_results"),
                     F.coalesce("n_missing", F.lit(0)).alias("n_missing"),
                     F.coalesce("n_approved", F.lit(0)).alias("n_approved"),
-                    F.when(F.coalesce("n_expected_approvals", F.lit(0)) + F.coalesce("n_expected_results", F.lit(0)) == 0,
-                           F.coalesce("has_payload", F.lit(False)))
+                    F.when(n_exp == 0, F.coalesce("has_payload", F.lit(False)))
                     .otherwise(F.col("n_missing") == 0).alias("ready")))
 
 
