@@ -128,3 +128,41 @@ def test_w10_same_for_any_slicing(spark, width):
     one = sorted(map(tuple, RU.fold_run_state(upd, bucket_width=1 << 30).select(*cols).collect()))
     many = sorted(map(tuple, RU.fold_run_state(upd, bucket_width=width).select(*cols).collect()))
     assert one == many and len(one) > 0
+
+
+def brute_accumulate(events, kind):
+    """Per-part accumulators, reset by a start; an empty start emits nothing; thinking skips empty deltas."""
+    acc, out = {}, []
+    for seq, k, part, is_start, delta in events:
+        if k != kind:
+            continue
+        if is_start:
+            acc[part] = delta
+            if delta:
+                out.append((seq, delta))
+        else:
+            if kind == "thinking" and not delta:
+                continue
+            acc[part] = acc.get(part, "") + delta
+            out.append((seq, acc[part]))
+    return out
+
+
+event_lists = st.lists(st.tuples(st.sampled_from(["content", "thinking"]), st.sampled_from([0, 1]), st.booleans(),
+                                 st.sampled_from(["", "a", "bc", " d"])), min_size=1, max_size=25)
+
+
+@settings(max_examples=25, deadline=None)
+@given(event_lists)
+def test_w1_w2_match_brute_force(spark, raw):
+    from tracefold.schemas import CHUNKS
+    events = [(i * 7, k, p, s, d) for i, (k, p, s, d) in enumerate(raw)]
+    rows = []
+    for seq, k, p, s, d in events:
+        r = {f.name: None for f in CHUNKS.fields}
+        r.update(run_id="r", seq=seq, type=k, part_index=p, is_start=s, delta=d)
+        rows.append(tuple(r[f.name] for f in CHUNKS.fields))
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    for kind in ("content", "thinking"):
+        got = sorted((r.seq, r.content) for r in RU.accumulate_text(chunks, kind, bucket_width=20).collect())
+        assert got == brute_accumulate(events, kind)
