@@ -166,3 +166,48 @@ def test_w1_w2_match_brute_force(spark, raw):
     for kind in ("content", "thinking"):
         got = sorted((r.seq, r.content) for r in RU.accumulate_text(chunks, kind, bucket_width=20).collect())
         assert got == brute_accumulate(events, kind)
+
+
+def brute_run_store(writes):
+    """The run store's own semantics: upsert (model kept unless given), set_messages / set_pending, clear deletes."""
+    state = None
+    for seq, kind, messages, pending, model, at in sorted(writes):
+        if kind == "clear":
+            state = None
+            continue
+        if state is None:
+            state = {"messages": None, "pending": None, "model": model, "created_at": at, "n": 0}
+        elif model is not None:
+            state["model"] = model
+        if kind == "set_messages":
+            state["messages"] = messages
+        else:
+            state["pending"] = pending
+        state["updated_at"] = at
+        state["n"] += 1
+    return state
+
+
+write_lists = st.lists(st.tuples(st.sampled_from(["set_messages", "set_pending", "set_pending", "clear"]),
+                                 st.sampled_from([None, "m1", "m2"]), st.sampled_from([None, "p"])),
+                       min_size=1, max_size=15)
+
+
+@settings(max_examples=25, deadline=None)
+@given(write_lists)
+def test_w10_matches_run_store(spark, raw):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    writes = [(i, k, f"h{i}" if k == "set_messages" else None, p if k == "set_pending" else None,
+               m if k != "clear" else None, t0 + dt.timedelta(seconds=i)) for i, (k, m, p) in enumerate(raw)]
+    df = spark.createDataFrame([("r", *w) for w in writes],
+                               "run_id string, seq long, kind string, messages string, pending string, model string, "
+                               "written_at timestamp")
+    want = brute_run_store(writes)
+    got = RU.fold_run_state(df, bucket_width=4).collect()
+    if want is None:
+        assert got == []
+    else:
+        g = got[0]
+        assert (g.messages, g.pending, g.model, g.created_at, g.updated_at, g.n_writes) == \
+            (want["messages"], want["pending"], want["model"], want["created_at"], want["updated_at"], want["n"])
