@@ -211,3 +211,31 @@ def test_w10_matches_run_store(spark, raw):
         g = got[0]
         assert (g.messages, g.pending, g.model, g.created_at, g.updated_at, g.n_writes) == \
             (want["messages"], want["pending"], want["model"], want["created_at"], want["updated_at"], want["n"])
+
+
+approval_events = st.lists(st.tuples(st.sampled_from(["approval-requested", "tool_result", "decision"]),
+                                     st.sampled_from(["c1", "c2", "c3"])), min_size=1, max_size=20)
+
+
+@settings(max_examples=25, deadline=None)
+@given(approval_events)
+def test_j2_matches_client_state(spark, raw):
+    from tracefold.schemas import CHUNKS
+    pending = {}
+    for i, (ev, cid) in enumerate(raw):  # the client's reducer: a request adds or replaces, a result or decision removes
+        if ev == "approval-requested":
+            pending[cid] = i
+        else:
+            pending.pop(cid, None)
+    chunk_rows, dec_rows = [], []
+    for i, (ev, cid) in enumerate(raw):
+        if ev == "decision":
+            dec_rows.append(("r", cid, i, "true"))
+            continue
+        r = {f.name: None for f in CHUNKS.fields}
+        r.update(run_id="r", seq=i, type=ev, tool_call_id=cid, tool_name="execute_sql")
+        chunk_rows.append(tuple(r[f.name] for f in CHUNKS.fields))
+    chunks = spark.createDataFrame(chunk_rows, CHUNKS)
+    dec = spark.createDataFrame(dec_rows, "run_id string, tool_call_id string, seq long, value string")
+    got = {r.tool_call_id: r.seq for r in RU.pending_approvals(chunks, dec).collect()}
+    assert got == pending
