@@ -278,3 +278,108 @@ def test_g1_g3_match_python_rules(spark, parts):
         capped_text(F.col("sql"), 1000).alias("c"), forbidden_keyword(F.col("sql")).alias("k")).first()
     assert row.c == brute_cap(sql)
     assert row.k == brute_keyword(sql)
+
+
+def brute_envelope(text):
+    """The client's envelope rules on a JSON text: (valid, message, artifact ids, has data)."""
+    import json as _json
+    if not text:
+        return (False, None, None, None)
+    try:
+        p = _json.loads(text)
+    except ValueError:
+        return (False, None, None, None)
+    if not isinstance(p, dict):
+        return (False, None, None, None)
+    if p.get("type") != "tool_result":
+        return (False, None, None, None)
+    v = p.get("version")
+    if isinstance(v, bool) or not isinstance(v, (int, float)) or v != 1:
+        return (False, None, None, None)
+    msg = p.get("message") if isinstance(p.get("message"), str) else None
+    arts = p.get("artifacts")
+    ids = [a["id"] for a in arts if isinstance(a, dict) and isinstance(a.get("id"), str)] if isinstance(arts, list) else []
+    data = isinstance(p.get("data"), dict)
+    if not msg and not ids and not data:
+        return (False, None, None, None)
+    return (True, msg, ids, data)
+
+
+envelope_payloads = st.fixed_dictionaries({}, optional={
+    "type": st.sampled_from(["tool_result", "other", None, 5]),
+    "version": st.sampled_from([1, 1.0, 2, "1", None, True]),
+    "message": st.sampled_from(["", "done", None, 3]),
+    "artifacts": st.sampled_from([None, [], [{"id": "a"}], [{"id": 5}, {"id": "b", "type": "table"}], "x", [5, None]]),
+    "data": st.sampled_from([None, {}, {"success": False}, [1], "d"]),
+})
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.one_of(envelope_payloads.map(lambda d: __import__("json").dumps(d)), st.sampled_from(["", "plain", "[1]", "7"])))
+def test_f7_matches_client_rules(spark, text):
+    from pyspark.sql import functions as F
+    from tracefold.functions.envelopes import parse_envelope
+    e = spark.createDataFrame([(text,)], "t string").select(parse_envelope(F.col("t")).alias("e")).first().e
+    got = (False, None, None, None) if e is None else \
+        (True, e.message, [a.id for a in (e.artifacts or [])], e.data_json is not None)
+    assert got == brute_envelope(text)
+
+
+def brute_usage(u):
+    def first(names):
+        for n in names:
+            if n in u:
+                return int(u[n])
+        return None
+    from tracefold.schemas import COMPLETION_ALIASES, PROMPT_ALIASES, TOTAL_ALIASES
+    p, c, t = first(PROMPT_ALIASES), first(COMPLETION_ALIASES), first(TOTAL_ALIASES)
+    if p is None or c is None:
+        return None
+    return (p, c, p + c if t is None else t)
+
+
+usage_dicts = st.dictionaries(st.sampled_from(["prompt_tokens", "promptTokens", "input_tokens", "inputTokens",
+                                                "completion_tokens", "completionTokens", "output_tokens",
+                                                "outputTokens", "total_tokens", "totalTokens", "other"]),
+                              st.integers(min_value=0, max_value=10_000), max_size=6)
+
+
+@settings(max_examples=50, deadline=None)
+@given(usage_dicts)
+def test_f4_matches_alias_rules(spark, u):
+    import json as _json
+    from pyspark.sql import functions as F
+    from tracefold.functions.usage import usage_struct
+    r = spark.createDataFrame([(_json.dumps(u),)], "u string").select(usage_struct(F.col("u")).alias("s")).first().s
+    assert (None if r is None else (r.promptTokens, r.completionTokens, r.totalTokens)) == brute_usage(u)
+
+
+def brute_approval(value_text):
+    import json as _json
+    v = _json.loads(value_text)
+    if isinstance(v, bool):
+        return (v, None, None)
+    if isinstance(v, dict):
+        kind = v.get("kind")
+        if kind == "tool-approved":
+            return (True, kind, None)
+        if kind == "tool-denied":
+            return (False, kind, v.get("message", "The tool call was denied."))
+        return (False, kind if isinstance(kind, str) else None, None)
+    return (False, None, None)
+
+
+approval_values = st.one_of(
+    st.sampled_from(["true", "false", "1", '"yes"', "null", "[]"]),
+    st.fixed_dictionaries({}, optional={"kind": st.sampled_from(["tool-approved", "tool-denied", "other", 3]),
+                                        "message": st.sampled_from(["no", "", None])}).map(
+        lambda d: __import__("json").dumps(d)))
+
+
+@settings(max_examples=50, deadline=None)
+@given(approval_values)
+def test_f1_matches_conversion_rules(spark, value):
+    from pyspark.sql import functions as F
+    from tracefold.functions.approvals import normalize_approval
+    a = spark.createDataFrame([(value,)], "v string").select(normalize_approval(F.col("v")).alias("a")).first().a
+    assert (a.approved, a.kind, a.message) == brute_approval(value)
