@@ -383,3 +383,36 @@ def test_f1_matches_conversion_rules(spark, value):
     from tracefold.functions.approvals import normalize_approval
     a = spark.createDataFrame([(value,)], "v string").select(normalize_approval(F.col("v")).alias("a")).first().a
     assert (a.approved, a.kind, a.message) == brute_approval(value)
+
+
+result_lists = st.lists(st.one_of(
+    st.lists(st.sampled_from(["a1", "a2", "a3", 7]), max_size=3).map(
+        lambda ids: __import__("json").dumps({"type": "tool_result", "version": 1, "message": "m",
+                                              "artifacts": [{"id": i} for i in ids]})),
+    st.just("plain text")), min_size=1, max_size=8)
+
+
+@settings(max_examples=30, deadline=None)
+@given(result_lists)
+def test_w12_matches_client_extraction(spark, contents):
+    from tracefold.schemas import CHUNKS
+    # the client's rules: ids in first-seen order over the tool results, and the first id of the first result with any
+    seen, first = [], None
+    for text in contents:
+        env = brute_envelope(text)
+        ids = env[2] or []
+        if first is None and ids:
+            first = ids[0]
+        for i in ids:
+            if i not in seen:
+                seen.append(i)
+    rows = []
+    for i, text in enumerate(contents):
+        r = {f.name: None for f in CHUNKS.fields}
+        r.update(run_id="r", seq=i * 10, type="tool_result", tool_call_id=f"c{i}", content=text)
+        rows.append(tuple(r[f.name] for f in CHUNKS.fields))
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    got = [r.artifact_id for r in sorted(RU.distinct_artifacts(chunks).collect(), key=lambda r: r.ordinal)]
+    assert got == seen
+    firsts = RU.first_artifact(chunks).collect()
+    assert (firsts[0].artifact_id if firsts else None) == first
