@@ -40,7 +40,7 @@ msg_lists = st.lists(st.tuples(st.sampled_from([None, "a", "b", "c"]), st.sample
                      min_size=1, max_size=12)
 
 
-@settings(max_examples=30, deadline=None)
+@settings(max_examples=20, deadline=None)
 @given(msg_lists)
 def test_w6_matches_brute_force_and_is_permutation(spark, raw):
     msgs = [(i, call if ret is None else None, ret) for i, (call, ret) in enumerate(raw)]
@@ -152,7 +152,7 @@ event_lists = st.lists(st.tuples(st.sampled_from(["content", "thinking"]), st.sa
                                  st.sampled_from(["", "a", "bc", " d"])), min_size=1, max_size=25)
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=15, deadline=None)
 @given(event_lists)
 def test_w1_w2_match_brute_force(spark, raw):
     from tracefold.schemas import CHUNKS
@@ -268,7 +268,7 @@ fragments = st.lists(st.sampled_from([
     " DELETE", "call", " insert_time", " GRANTED", "\tLIMIT\t9"]), min_size=1, max_size=8)
 
 
-@settings(max_examples=40, deadline=None)
+@settings(max_examples=30, deadline=None)
 @given(fragments)
 def test_g1_g3_match_python_rules(spark, parts):
     from pyspark.sql import functions as F
@@ -314,7 +314,7 @@ envelope_payloads = st.fixed_dictionaries({}, optional={
 })
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=40, deadline=None)
 @given(st.one_of(envelope_payloads.map(lambda d: __import__("json").dumps(d)), st.sampled_from(["", "plain", "[1]", "7"])))
 def test_f7_matches_client_rules(spark, text):
     from pyspark.sql import functions as F
@@ -344,7 +344,7 @@ usage_dicts = st.dictionaries(st.sampled_from(["prompt_tokens", "promptTokens",
                               st.integers(min_value=0, max_value=10_000), max_size=6)
 
 
-@settings(max_examples=50, deadline=None)
+@settings(max_examples=30, deadline=None)
 @given(usage_dicts)
 def test_f4_matches_alias_rules(spark, u):
     import json as _json
@@ -376,7 +376,7 @@ approval_values = st.one_of(
         lambda d: __import__("json").dumps(d)))
 
 
-@settings(max_examples=50, deadline=None)
+@settings(max_examples=30, deadline=None)
 @given(approval_values)
 def test_f1_matches_conversion_rules(spark, value):
     from pyspark.sql import functions as F
@@ -392,7 +392,7 @@ result_lists = st.lists(st.one_of(
     st.just("plain text")), min_size=1, max_size=8)
 
 
-@settings(max_examples=30, deadline=None)
+@settings(max_examples=20, deadline=None)
 @given(result_lists)
 def test_w12_matches_client_extraction(spark, contents):
     from tracefold.schemas import CHUNKS
