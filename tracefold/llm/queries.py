@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import packing, token_files
+from . import decontam, packing, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,12 +27,29 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+@query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components at 2 bits or fewer (simhash.near_duplicates)."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of at most 4096 ids over all documents, cut by dynamic programming (packing.pack)."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items, by windows of 13 words (decontam.judged)."""
+    return decontam.judged(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                           table(spark, sf_dir, "benchmark"), window=13).drop("text")
+
+
+ORACLE["op7_decontamination"] = decontam.ORACLE
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as rANS token blocks, written, read back and digested (token_files.token_digests)."""
