@@ -25,7 +25,7 @@ def crc(ids):
 
 def test_cached_ids_equal_the_library(spark, tokenizer_file, odd_texts):
     w = tokens.Words(tokenizer_file, limit=50)  # a small cache is emptied often
-    assert w.fast
+    assert w.by_word
     texts = [t for _, t in odd_texts] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     for t in texts:
         assert np.frombuffer(w.ids(t), "<u2").tolist() == library_ids(tokenizer_file, t)[:-1]

@@ -68,3 +68,10 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Rows of the named columns, one batch at a time."""
     for batch in batches:
         yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+
+
+def texts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[str | None]:
+    """The batch's texts, converted a few rows at a time."""
+    column = batch.column("text")
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()

@@ -125,7 +125,7 @@ def _scan_block(df: DataFrame, schema: T.StructType, block: tuple[tuple[int, str
         items, types = shared.value, {f.name: f for f in HITS}
         for batch in batches:
             counts, spans, ids = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in common.texts(batch):
                 n, hit, found = scan(text, items, window)
                 counts.append(n)
                 spans.append(hit)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontam, packing, simhash, token_files
+from . import common, decontam, langid, packing, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,12 +34,30 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by Kneser-Ney models learned from three of four folds (toxicity.score)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.learning_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model, threshold=0.3).select(
+        "doc_id", (common.fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of at most 4096 ids over all documents, cut by dynamic programming (packing.pack)."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by error-correcting output codes learned from four of five folds (langid.identify)."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(langid.learning_rows(docs))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (common.fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items, by windows of 13 words (decontam.judged)."""

@@ -67,7 +67,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+            fps = np.array([fingerprint(t, shingle) for t in common.texts(batch)], dtype=np.uint64)
             yield common.appended(batch, {"fp": pa.array(fps.view(np.int64), pa.int64())})
 
     return kept.mapInArrow(run, schema)

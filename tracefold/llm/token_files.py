@@ -38,7 +38,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, bounds: np.ndarray)
         encode, _ = tokens.id_bytes(tokenizer, end_id)
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            ids = pa.array([pack(encode(t)) for t in batch.column("text").to_pylist()], pa.binary())
+            ids = pa.array([pack(encode(t)) for t in common.texts(batch)], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(common.range_of(batch.column("doc_id"), bounds), pa.int32()), batch.column("doc_id"), ids],
                 names=["part", "doc_id", "ids"])

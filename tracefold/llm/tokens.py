@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +34,11 @@ def byte_letters() -> list[str]:
 
 
 class Words(dict):
-    """Cache: chunk of text -> its ids as little-endian bytes. Emptied when full, so memory is bounded."""
+    """Cache: chunk of text -> its ids as little-endian bytes.
+
+    A chunk enters once all its pieces are known, so words that occur once do not fill it. Pieces are kept in
+    two generations of ``limit`` entries; a full young one replaces the old. Memory is bounded either way.
+    """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         import os
@@ -40,31 +47,55 @@ class Words(dict):
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.model, self.letters, self.pieces = self.tokenizer.model, byte_letters(), {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
+        self.young, self.old, self.fresh = {}, {}, False
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = (spec.get("normalizer") or {}).get("normalizers", [])
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        self.fast = ([s["type"] for s in steps] == FAST_NORMALIZERS and spec["model"].get("end_of_word_suffix") == "</w>"
-                     and splits[0].get("pattern") == {"Regex": FAST_PATTERN})
         # in files of another kind white space can be part of a token: there a text is one chunk
-        self.by_word = self.fast
+        self.by_word = ([s["type"] for s in steps] == FAST_NORMALIZERS and spec["model"].get("end_of_word_suffix") == "</w>"
+                        and splits[0].get("pattern") == {"Regex": FAST_PATTERN})
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-            self.pieces.clear()
-        if self.fast and FAST_CHUNK.fullmatch(chunk) and "<|" not in chunk:
-            out = b"".join([self.pieces.get(p) or self._piece(p) for p in FAST_PIECE.findall(chunk.lower())])
+        self.fresh = False
+        if FAST_CHUNK.fullmatch(chunk) and "<|" not in chunk:
+            low = chunk.lower()
+            if low.isalpha():
+                out = self.piece(low)
+            elif low[-1] in ".,!?" and low[:-1].isalpha():
+                out = self.piece(low[:-1]) + self.piece(low[-1])
+            else:
+                out = b"".join(map(self.piece, FAST_PIECE.findall(low)))
         else:
-            out = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        self[chunk] = out
+            out = self.encoded(chunk)
+        if not self.fresh:
+            if len(self) >= self.limit:
+                self.clear()
+            self[chunk] = out
         return out
 
-    def _piece(self, piece: str) -> bytes:
-        symbols = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-        out = np.array([t.id for t in self.model.tokenize(symbols)], dtype=self.dtype).tobytes()
-        self.pieces[piece] = out
+    def encoded(self, text: str) -> bytes:
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def packed(self, ids: Iterable[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        out = self.young.get(piece)
+        if out is None:
+            out = self.old.get(piece)
+            if out is None:
+                symbols = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+                out = self.packed(t.id for t in self.tokenize(symbols))
+                self.fresh = True
+            if len(self.young) >= self.limit:
+                self.young, self.old = {}, self.young
+            self.young[piece] = out
         return out
 
     def ids(self, text: str | None) -> bytes:
@@ -72,7 +103,7 @@ class Words(dict):
         if not text:
             return b""
         if not self.by_word:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+            return self.encoded(text)
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
