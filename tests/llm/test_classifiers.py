@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracefold.llm import langid, toxicity
+from tracefold.llm import langid, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -160,12 +160,59 @@ def test_toxicity_of_odd_rows(spark, make_docs, odd_texts):
         [(i, f"nice day at the lake {i % 7}", 0) for i in range(60)] + [(100 + i, f"you moron scum {i % 5}", 1) for i in range(40)]
         + [(500, None, 1), (501, "x", None)], "doc_id long, text string, toxic int")
     model = toxicity.fit(train)
-    docs = make_docs([*odd_texts, (1, "what a moron"), (2, "nice day")]).withColumn("score", F.lit("clash"))
+    docs = make_docs([*odd_texts, (1, "what a moron"), (2, "nice day at the lake now")]).withColumn("score", F.lit("clash"))
     got = {(r.doc_id, r.text): (r.score, r.predicted) for r in toxicity.score(docs, model).collect()}
     assert all(0 <= s <= 1 and p == int(s >= 0.3) for s, p in got.values())
     assert got[(5, None)] == got[(3, "")] == got[(9, " \n\t ")] == (0.0, 0)
-    assert got[(1, "what a moron")][1] == 1 and got[(2, "nice day")][1] == 0
+    assert got[(1, "what a moron")][1] == 1 and got[(2, "nice day at the lake now")][1] == 0
     assert toxicity.score(make_docs([]), model).count() == 0
     for only, want in ((0, 0.0), (1, 1.0), (None, 0.0)):
         part = train.where(F.col("toxic") == only) if only is not None else train.where("false")
         assert {r.score for r in toxicity.score(docs, toxicity.fit(part)).collect()} == {want}
+
+
+def test_op3_scores_of_held_out_documents(spark, tables):
+    from tracefold.llm.queries import QUERIES
+    got = QUERIES["op3_quality"](spark, SF)
+    assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    assert got.count() == tables["documents"].count()
+    rows = got.join(tables["labels"], "doc_id").collect()
+    assert all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
+    assert auc([r.score for r in rows if r.held_out], [r.quality for r in rows if r.held_out]) > 0.9
+
+
+def test_quality_tables_learn_an_interaction():
+    rng = np.random.default_rng(0)
+    x = rng.random((4000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality.boost(x, y, rounds=5, pair_rounds=200, pairs=1)
+    assert model.pairs == ((0, 1),)
+    assert np.mean((model.scores(x) >= 0.5) == y) > 0.9
+    # one entry per table, summed
+    z = model.intercept + sum(t[np.searchsorted(e, x[7, k], side="right")] for k, (e, t) in enumerate(zip(model.edges, model.tables)))
+    z += model.grids[0][tuple(np.searchsorted(model.coarse[k], x[7, k], side="right") for k in (0, 1))]
+    assert np.isclose(model.scores(x[7:8])[0], 1 / (1 + np.exp(-z)))
+
+
+def test_trees_find_the_best_cuts():
+    g, h = np.array([3.0, 3, -3, -3, 9, 9]), np.ones(6)
+    step = quality.tree_1d(g, h)
+    assert len(set(step[:2])) == 1 and len(set(step[2:4])) == 1 and len(set(step[4:])) == 1 and len(set(step)) == 3
+    grid = np.array([[4.0, -4], [-4, 4]]) * 10
+    assert (np.sign(quality.tree_2d(grid, np.ones((2, 2)))) == -np.sign(grid)).all()
+
+
+def test_quality_of_odd_rows(spark, make_docs, odd_texts):
+    train = spark.createDataFrame(
+        [(i, f"A sentence, with words {i}. And one more.", 1) for i in range(60)] + [(100 + i, "### ||| ### " * (i + 1), 0) for i in range(40)]
+        + [(500, None, 0), (501, "x", None)], "doc_id long, text string, quality int")
+    model = quality.fit(train)
+    docs = make_docs([*odd_texts, (1, "A sentence, with words 99. And one more."), (2, "||| ###")]).withColumn("PREDICTED", F.lit("clash"))
+    got = {(r.doc_id, r.text): (r.score, r.predicted) for r in quality.score(docs, model).collect()}
+    assert all(0 <= s <= 1 and p == int(s >= 0.5) for s, p in got.values())
+    assert got[(5, None)] == got[(3, "")] == got[(9, " \n\t ")]
+    assert got[(1, "A sentence, with words 99. And one more.")][1] == 1 and got[(2, "||| ###")][1] == 0
+    assert quality.score(make_docs([]), model).count() == 0
+    for only, want in ((0, 0), (1, 1)):
+        assert {r.predicted for r in quality.score(docs, quality.fit(train.where(F.col("quality") == only))).collect()} == {want}
+    assert {r.score for r in quality.score(docs, quality.fit(train.where("false"))).collect()} == {0.5}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import common, decontam, langid, packing, simhash, token_files, toxicity
+from . import chat, common, decontam, langid, packing, quality, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -43,6 +43,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (common.fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by an additive model learned from two of three folds (quality.score)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(quality.learning_rows(docs, table(spark, sf_dir, "labels")))
+    return quality.score(docs, model, threshold=0.5).select(
+        "doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of at most 4096 ids over all documents, cut by dynamic programming (packing.pack)."""
@@ -68,6 +77,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op7_decontamination"] = decontam.ORACLE
 
 
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7 through the template, read back from the output (chat.digests)."""
+    turns = chat.canonical_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    hard = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], turns.schema)
+    return chat.digests(chat.format_turns(turns.unionByName(extra)))
+
+
+ORACLE["op8_chat_format"] = chat.ORACLE
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as rANS token blocks, written, read back and digested (token_files.token_digests)."""
