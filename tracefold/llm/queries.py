@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat, common, decontam, langid, packing, quality, simhash, token_files, toxicity
+from . import chat, common, decontam, langid, packing, paragraphs, quality, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,6 +89,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op8_chat_format"] = chat.ORACLE
 
 
+@query
+def op9_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph sketches of all documents and of their edited texts, compared by peeling (paragraphs.edited_likeness)."""
+    return paragraphs.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as rANS token blocks, written, read back and digested (token_files.token_digests)."""
