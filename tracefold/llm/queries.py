@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat, common, decontam, langid, packing, paragraphs, quality, simhash, token_files, toxicity
+from . import chat, common, decontam, langid, lm, packing, paragraphs, quality, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,6 +52,17 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+@query
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of all documents by the bigram counts of all others (lm.stupid_backoff)."""
+    scored = lm.stupid_backoff(table(spark, sf_dir, "documents"), order=2)
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"),
+                         F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+ORACLE["op4_lm_score"] = lm.ORACLE
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of at most 4096 ids over all documents, cut by dynamic programming (packing.pack)."""
