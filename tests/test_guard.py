@@ -101,11 +101,70 @@ def test_textual_mode_reproduces_the_reference_rules(spark, views):
     assert run("WITH a AS (SELECT 1) SELECT * FROM a").message == "Error: Only SELECT queries are allowed for safety."
 
 
-def test_size_estimate_limit(spark, views):
-    from tracefold.operators.guard import estimated_bytes
-    sql = "SELECT k, count(*) AS n FROM t GROUP BY k"
-    size = estimated_bytes(spark.sql(sql))
-    assert size > 0
-    assert guarded_query(spark, sql, 1000, allowed_tables=views, max_scan_bytes=size * 10).ok
-    res = guarded_query(spark, sql, 1000, allowed_tables=views, max_scan_bytes=max(size // 10, 1))
-    assert not res.ok and "estimated" in res.message
+@pytest.mark.parametrize("sql", [
+    "SELECT REFLECT('java.lang.System', 'getProperty', 'java.home')",
+    "SELECT `Reflect`('java.lang.System', 'getProperty', 'java.home')",
+    "SELECT " + ", ".join(f"id AS c{i}" for i in range(40)) + ", java_method('java.util.UUID', 'randomUUID') FROM t",
+    "SELECT * FROM t WHERE k IN (SELECT try_reflect('java.lang.System', 'exit', 0))",
+    "WITH a AS (SELECT reflect('java.lang.System', 'exit', 0) AS x) SELECT * FROM a",
+    "SELECT k, (SELECT max(reflect('java.lang.System', 'exit', 0)) FROM t) FROM t",
+    "SELECT system.builtin.reflect('java.lang.System', 'exit', 0)",
+    "SELECT * FROM t ORDER BY reflect('java.lang.System', 'exit', 0)",
+    "SELECT k FROM t GROUP BY k HAVING max(java_method('java.util.UUID', 'randomUUID')) IS NULL",
+    "SELECT transform(array(1), x -> reflect('java.lang.System', 'exit', 0))",
+    "SELECT input_file_name() FROM t",
+    "SELECT some_database.some_function(id) FROM t",
+    "SELECT * FROM t JOIN LATERAL (SELECT reflect('java.lang.System', 'exit', 0)) x",
+    "SELECT * FROM python_worker_logs()",
+])
+def test_functions_are_checked_everywhere(spark, views, sql):
+    res = guarded_query(spark, sql, 1000, allowed_tables=views)
+    assert not res.ok and "not allowed" in res.message, res.message
+
+
+def test_a_registered_function_does_not_pass_as_a_builtin(spark):
+    other = spark.newSession()
+    other.udf.register("soundex", lambda x: x)  # shadows a built-in name in this session
+    assert "soundex is not allowed" in guarded_query(other, "SELECT soundex('a')", allowed_tables=set()).message
+    assert guarded_query(spark, "SELECT soundex('a')", allowed_tables=set()).ok
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT 'reflect(' AS x, 'java_method(' AS y FROM t",
+    "SELECT 'UnresolvedRelation [other]' AS x FROM t",
+    "SELECT upper('a'), typeof(1), approx_count_distinct(id) FROM t",
+    "SELECT * FROM range(5)",
+    "SELECT k, count(*) / (SELECT count(*) FROM t) AS share FROM t GROUP BY k",
+    "SELECT t.k, n FROM t CROSS JOIN (SELECT count(*) AS n FROM t)",
+    "SELECT k FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.id = t.k)",
+])
+def test_harmless_statements_are_not_refused(spark, views, sql):
+    res = guarded_query(spark, sql, 1000, allowed_tables=views)
+    assert res.ok, res.message
+    res.df.count()
+
+
+def test_a_cte_name_holds_in_its_own_scope_only(spark, views):
+    spark.range(3).createOrReplaceTempView("secret")
+    sql = "SELECT * FROM secret WHERE id IN (WITH secret AS (SELECT k FROM t) SELECT k FROM secret)"
+    assert "secret is not available" in check_statement(spark, sql, views)
+    assert check_statement(spark, "WITH secret AS (SELECT k FROM t) SELECT * FROM secret", views) is None
+    assert "b is not available" in check_statement(spark, "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a", views)
+    assert check_statement(spark, "WITH b AS (SELECT 1 x), a AS (SELECT * FROM b) SELECT * FROM a", views) is None
+    assert "recursive" in check_statement(spark, "WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r) SELECT * FROM r", views)
+
+
+def test_not_in_is_refused_whatever_the_size(spark, views):
+    res = guarded_query(spark, "SELECT * FROM t WHERE k NOT IN (SELECT CASE WHEN id > 5 THEN id END FROM t)", allowed_tables=views)
+    assert not res.ok and "NOT EXISTS" in res.message
+
+
+def test_unicode_blanks_are_blanks(spark, views):
+    res = guarded_query(spark, "\u3000SELECT * FROM t\u3000", 10, allowed_tables=views, mode="textual")
+    assert res.message == "Query planned." or "does not parse" in res.message
+    from pyspark.sql import functions as F
+
+    from tracefold.operators.guard import capped_text, is_select
+    row = spark.createDataFrame([("\u3000SELECT 1\u3000; \u2003",)], "sql string").select(
+        is_select(F.col("sql")).alias("s"), capped_text(F.col("sql"), 7).alias("c")).first()
+    assert row.s and row.c == "\u3000SELECT 1\u3000 LIMIT 7"

@@ -10,9 +10,9 @@ is a ``.limit`` on the plan rather than a rewrite of the text.
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass, field
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +23,13 @@ from ..schemas import FORBIDDEN_KEYWORDS, FORBIDDEN_MESSAGE, SELECT_ONLY_MESSAGE
 # ---------------------------------------------------------------------------
 
 
+# Unicode blanks count as blanks, as in the clients' own trimming: (?U) makes \s match them; the four separators
+# \x1c-\x1f are blanks there too
+BLANK = r"[\s\x1c-\x1f]"
+
+
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
 
 
 def forbidden_keyword(sql: Column) -> Column:
@@ -52,11 +57,11 @@ def capped_text(sql: Column, max_limit: int = SQL_MAX_LIMIT) -> Column:
     and, if larger, *every* ``LIMIT <digits>`` is rewritten.
     """
     up = F.upper(_strip(sql))
-    first = F.regexp_extract(up, r"LIMIT\s+(\d+)", 1)
+    first = F.regexp_extract(up, rf"(?U)LIMIT{BLANK}+([0-9]+)", 1)
     too_big = (first != "") & ((F.length(first) > 18) | (first.try_cast("long") > F.lit(max_limit)))
-    appended = F.concat(F.regexp_replace(F.regexp_replace(sql, r"\s+$", ""), ";+$", ""), F.lit(f" LIMIT {max_limit}"))
+    appended = F.concat(F.regexp_replace(F.regexp_replace(sql, rf"(?U){BLANK}+\z", ""), r";+\z", ""), F.lit(f" LIMIT {max_limit}"))
     return (F.when(~up.contains("LIMIT"), appended)
-            .when(too_big, F.regexp_replace(sql, r"(?i)LIMIT\s+\d+", f"LIMIT {max_limit}"))
+            .when(too_big, F.regexp_replace(sql, rf"(?iU)LIMIT{BLANK}+[0-9]+", f"LIMIT {max_limit}"))
             .otherwise(sql))
 
 
@@ -119,10 +124,17 @@ QUERY_NODES = {
     "UnresolvedInlineTable", "Sample", "Tail", "RepartitionByExpression", "Repartition", "GroupingSets",
     "UnresolvedSubqueryColumnAliases", "UnresolvedTableValuedFunction", "PipeOperator", "UnresolvedHaving",
 }
-# function names that must not appear anywhere in the plan text
-FORBIDDEN_PLAN_TEXT = ["'reflect(", "'java_method(", "'try_reflect("]
-# the node name that opens each line of a parsed plan's tree text (CTE bodies and subqueries included)
-_NODE_LINE = re.compile(r"^[\s:|+\-]*'?([A-Za-z]+)")
+# a hint that would skip Spark's size check on the broadcast side
+BROADCAST_HINTS = {"BROADCAST", "BROADCASTJOIN", "MAPJOIN"}
+# Spark's own expressions may be called, except the groups that reach outside a row (reflection, files, users);
+# of the miscellaneous group these
+BUILTIN_PREFIX = "org.apache.spark.sql.catalyst.expressions."
+REFUSED_GROUPS = {"misc_funcs"}
+MISC_ALLOWED = {"typeof", "uuid", "monotonically_increasing_id", "hll_sketch_estimate", "hll_union",
+                "bitmap_bit_position", "bitmap_bucket_number", "bitmap_count", "approx_top_k_estimate"}
+TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer",
+                   "stack", "json_tuple"}
+SUBQUERY = "org.apache.spark.sql.catalyst.expressions.SubqueryExpression"
 
 
 @dataclass
@@ -131,6 +143,8 @@ class GuardedResult:
     message: str
     df: DataFrame | None = None
     data: dict = field(default_factory=dict)
+    # the checked statement without its cap, for callers that must tell whether the cap cut rows off
+    uncapped: DataFrame | None = None
 
     def envelope(self, artifacts: list[dict] | None = None) -> str:
         """The tool-result text (empty artifacts/data omitted)."""
@@ -142,55 +156,123 @@ class GuardedResult:
         return json.dumps(payload, ensure_ascii=False)
 
 
-def _children(node):
-    seq = node.children()
+def _items(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
+class _Walk:
+    """One pass over a parsed plan: its nodes, their expressions, and the plans inside these, each in its CTE scope."""
+
+    def __init__(self, spark: SparkSession, allowed_tables: set[str] | None):
+        self.gateway = spark.sparkContext._gateway
+        self.jvm = spark._jvm
+        self.functions = spark._jsparkSession.sessionState().functionRegistry()
+        self.allowed = allowed_tables
+
+    def plan(self, node, scope: frozenset[str]) -> str | None:
+        """The first error in a plan node and all below it, or None."""
+        name = node.getClass().getSimpleName()
+        if name not in QUERY_NODES:
+            return f"Error: {name} is not allowed in a read-only query."
+        if name == "UnresolvedRelation" and self.allowed is not None:
+            parts = _items(node.multipartIdentifier())
+            if len(parts) != 1 or parts[0].lower() not in scope | self.allowed:
+                return f"Error: relation {'.'.join(parts)} is not available."
+        if name == "UnresolvedHint" and node.name().upper() in BROADCAST_HINTS:
+            return "Error: broadcast hints are not allowed; Spark picks broadcasts by size."
+        if name == "UnresolvedTableValuedFunction":
+            called = _items(node.name())
+            if len(called) != 1 or called[0].lower() not in TABLE_FUNCTIONS:
+                return f"Error: {'.'.join(called)} is not allowed in a read-only query."
+        if name == "UnresolvedWith":
+            if node.allowRecursion():
+                return "Error: recursive queries are not allowed."
+            for pair in _items(node.cteRelations()):  # each sees those before it
+                if err := self.plan(pair._2(), scope):
+                    return err
+                scope = scope | {pair._1().lower()}
+        for e in _items(node.expressions()):
+            if err := self.expression(e, scope):
+                return err
+        for child in _items(node.children()):
+            if err := self.plan(child, scope):
+                return err
+        return None
+
+    def expression(self, e, scope: frozenset[str]) -> str | None:
+        if e.getClass().getSimpleName() in ("UnresolvedFunction", "UnresolvedGenerator"):
+            if err := self.called(e):
+                return err
+        if is_instance_of(self.gateway, e, SUBQUERY):
+            if err := self.plan(e.plan(), scope):
+                return err
+        for child in _items(e.children()):
+            if err := self.expression(child, scope):
+                return err
+        return None
+
+    def called(self, e) -> str | None:
+        """Whether a function is one of Spark's own row, aggregate or window functions."""
+        if e.getClass().getSimpleName() == "UnresolvedFunction":
+            parts = _items(e.nameParts())
+        else:
+            parts = [e.name().funcName()]
+        name = parts[-1].lower()
+        refused = f"Error: function {'.'.join(parts)} is not allowed in a read-only query."
+        if [p.lower() for p in parts[:-1]] not in ([], ["builtin"], ["system", "builtin"]):
+            return refused
+        info = self.functions.lookupFunction(self.jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+        if not info.isDefined() or not str(info.get().getClassName()).startswith(BUILTIN_PREFIX):
+            return refused
+        if info.get().getGroup() in REFUSED_GROUPS and name not in MISC_ALLOWED:
+            return refused
+        return None
+
+
 def check_statement(spark: SparkSession, sql: str, allowed_tables: set[str] | None = None,
                     allow_with: bool = True) -> str | None:
     """Return an error text if the statement is not a plain read-only query, else None.
 
-    Runs the session's parser only (nothing executes).
+    Runs the session's parser only (nothing executes), and looks at the parsed plan itself, never at its text: nodes,
+    functions, hints and relations everywhere, also inside subqueries and CTE bodies.
     """
-    head = sql.lstrip().upper()
+    head = sql.strip().upper()
     if not (head.startswith("SELECT") or (allow_with and head.startswith("WITH"))):
         return SELECT_ONLY_MESSAGE
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as exc:  # noqa: BLE001  (parse errors are reported, not raised)
-        return f"Error: statement does not parse: {str(exc).splitlines()[0][:300]}"
-    stack = [plan]
-    while stack:
-        node = stack.pop()
-        name = node.getClass().getSimpleName()
-        if name not in QUERY_NODES:
-            return f"Error: {name} is not allowed in a read-only query."
-        stack.extend(_children(node))
-    text = plan.treeString()
-    # children() does not reach CTE bodies or subquery plans; their nodes open lines of the tree text
-    for line in text.splitlines():
-        m = _NODE_LINE.match(line)
-        if m and m.group(1) not in QUERY_NODES and m.group(1) != "CTE":
-            return f"Error: {m.group(1)} is not allowed in a read-only query."
-    for bad in FORBIDDEN_PLAN_TEXT:
-        if bad in text:
-            return f"Error: {bad.strip(chr(39)).rstrip('(')} is not allowed in a read-only query."
-    # a broadcast hint would skip Spark's size check on the broadcast side
-    if re.search(r"UnresolvedHint (BROADCAST|BROADCASTJOIN|MAPJOIN)\b", text, re.IGNORECASE):
-        return "Error: broadcast hints are not allowed; Spark picks broadcasts by size."
-    if allowed_tables is not None:
-        # the tree text includes CTE bodies and subquery expressions, which children() does not reach
-        ctes = {n.strip().lower() for group in re.findall(r"CTE \[([^\]]*)\]", text) for n in group.split(",")}
-        for group in re.findall(r"UnresolvedRelation \[([^\]]*)\]", text):
-            parts = [x.strip() for x in group.split(",")]
-            if len(parts) != 1 or parts[0].lower() not in (allowed_tables | ctes):
-                return f"Error: relation {'.'.join(parts)} is not available."
-    return None
+        return f"Error: statement does not parse: {str(exc).splitlines()[0]}"
+    return _Walk(spark, allowed_tables).plan(plan, frozenset())
+
+
+def _single_row(node) -> bool:
+    """Whether the optimizer knows that a physical node gives at most one row."""
+    link = node.logicalLink()
+    most = link.get().maxRows() if link.isDefined() else None
+    return most is not None and most.isDefined() and int(most.get()) <= 1
+
 
+def pairwise(node) -> str | None:
+    """The first physical operator that pairs all rows of two inputs, or broadcasts one whatever its size.
 
-# physical operators that pair every row with every row; refused in user SQL (quadratic at scale)
-PAIRWISE_OPERATORS = ["CartesianProduct", "BroadcastNestedLoopJoin"]
+    A side of at most one row (an aggregate without keys, say) makes the pairs as few as the other side's rows.
+    """
+    name = node.getClass().getSimpleName()
+    if name in ("CartesianProductExec", "BroadcastNestedLoopJoinExec"):
+        if not any(map(_single_row, _items(node.children()))):
+            return (f"Error: the statement needs a {name.removesuffix('Exec')} (all pairs of rows); "
+                    "add an equality join condition.")
+    if name == "BroadcastHashJoinExec" and node.isNullAwareAntiJoin():
+        return ("Error: NOT IN over a nullable subquery broadcasts it whatever its size; "
+                "use NOT EXISTS with an equality.")
+    for child in _items(node.children()):
+        if err := pairwise(child):
+            return err
+    for inner in _items(node.subqueries()):
+        if err := pairwise(inner):
+            return err
+    return None
 
 
 def textual_guard(spark: SparkSession, sql: str, max_rows: int = SQL_MAX_LIMIT) -> tuple[str | None, str]:
@@ -202,63 +284,40 @@ def textual_guard(spark: SparkSession, sql: str, max_rows: int = SQL_MAX_LIMIT)
     return row["reason"], row["final_sql"]
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan's result (planning statistics only; nothing runs)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def guarded_query(spark: SparkSession, sql: str, max_rows: int = SQL_MAX_LIMIT,
                   allowed_tables: set[str] | None = None, allow_with: bool = True,
-                  allow_pairwise: bool = False, mode: str = "structural",
-                  max_scan_bytes: int | None = None) -> GuardedResult:
+                  allow_pairwise: bool = False, mode: str = "structural") -> GuardedResult:
     """Check, then plan ``sql`` with a structural cap of ``max_rows`` rows.
 
     After the parse-only checks the statement is analysed and planned (nothing
     runs); a plan that pairs all rows of two inputs (cross join, non-equi join
-    planned as a nested loop) is refused unless ``allow_pairwise``, and so is a
-    statement whose size estimate exceeds ``max_scan_bytes`` when given.  Failures
-    come back as a result with ``data={'success': False}``, never as an
-    exception.  The DataFrame is lazy: executors do the work when it is written.
+    planned as a nested loop) or broadcasts a ``NOT IN`` subquery is refused
+    unless ``allow_pairwise``. Failures come back as a result with
+    ``data={'success': False}``, never as an exception. The DataFrame is lazy:
+    executors do the work when it is written.
     """
+
+    def failed(message: str) -> GuardedResult:
+        return GuardedResult(False, message, None, {"success": False})
+
     if allowed_tables is None:
         allowed_tables = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
     if mode == "textual":
         # exact reference behaviour: keyword guard, SELECT-only, LIMIT text rewrite (with its loopholes),
         # still behind the parse-only check
-        reason, final_sql = textual_guard(spark, sql, max_rows)
+        reason, sql = textual_guard(spark, sql, max_rows)
         if reason:
-            return GuardedResult(False, reason, None, {"success": False})
-        err = check_statement(spark, final_sql, allowed_tables, allow_with=False)
-        if err:
-            return GuardedResult(False, err, None, {"success": False})
-        try:
-            return GuardedResult(True, "Query planned.", spark.sql(final_sql))
-        except Exception as exc:  # noqa: BLE001
-            return GuardedResult(False, f"Error: query failed: {str(exc).splitlines()[0][:300]}", None,
-                                 {"success": False})
-    err = check_statement(spark, sql, allowed_tables, allow_with)
-    if err:
-        return GuardedResult(False, err, None, {"success": False})
+            return failed(reason)
+        allow_with = False
+    if err := check_statement(spark, sql, allowed_tables, allow_with):
+        return failed(err)
     try:
         df = spark.sql(sql)
-        analysed = df._jdf.queryExecution().analyzed().treeString()
-        if "ScriptTransformation" in analysed:
-            return GuardedResult(False, "Error: ScriptTransformation is not allowed in a read-only query.",
-                                 None, {"success": False})
+        if mode == "textual":
+            return GuardedResult(True, "Query planned.", df, uncapped=df)
         capped = df.limit(int(max_rows))
-        if max_scan_bytes is not None:
-            # the statement before its cap: what it would read and shuffle
-            size = estimated_bytes(df)
-            if size > max_scan_bytes:
-                return GuardedResult(False, f"Error: the statement is estimated at {size} bytes, over the limit of "
-                                            f"{max_scan_bytes}.", None, {"success": False})
-        if not allow_pairwise:
-            physical = capped._jdf.queryExecution().sparkPlan().toString()
-            for op in PAIRWISE_OPERATORS:
-                if op in physical:
-                    return GuardedResult(False, f"Error: the statement needs a {op} (all pairs of rows); "
-                                                "add an equality join condition.", None, {"success": False})
-        return GuardedResult(True, "Query planned.", capped)
+        if not allow_pairwise and (err := pairwise(capped._jdf.queryExecution().sparkPlan())):
+            return failed(err)
+        return GuardedResult(True, "Query planned.", capped, uncapped=df)
     except Exception as exc:  # noqa: BLE001
-        return GuardedResult(False, f"Error: query failed: {str(exc).splitlines()[0][:300]}", None,
-                             {"success": False})
+        return failed(f"Error: query failed: {str(exc).splitlines()[0]}")
