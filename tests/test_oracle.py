@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from tracefold.plans import registry
 from tools.oracle_check import duck, frame_digest, spark_pdf
 
-NAMES = sorted(E.queries())
+NAMES = sorted(registry.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -15,8 +16,9 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    missing = sorted(set(E.queries()) - set(E.oracle_sql()))
+    missing = sorted(set(registry.QUERIES) - set(registry.ORACLE))
     assert missing == []
+    assert set(registry.QUERIES) <= set(E.queries()) and set(registry.ORACLE) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
