@@ -49,7 +49,7 @@ def test_sse_frames_and_files(spark, scratch):
 
 def test_artifact_data_modes(spark, scratch):
     ref = write_artifact(spark.range(300).withColumn("t", F.current_timestamp()), "run-xyz", scratch)
-    assert ref.id == "a_run-xyz_1"
+    assert ref.id.startswith("a_run-xyz_") and not ref.was_capped
     prev = artifact_data(spark, scratch, "run-xyz", ref.id, "preview", n=200)
     assert prev["status"] == "ok" and prev["preview"].count() == 200
     assert dict(prev["preview"].dtypes)["t"] == "string"  # timestamps stored as text

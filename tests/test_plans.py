@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from tracefold.plans import registry
 from conftest import SF_SMALL
 
 BAD = ["BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"]
@@ -12,7 +13,7 @@ def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_no_python_udf_no_cartesian(spark, name):
     text = plan_text(E.queries()[name](spark, SF_SMALL))
     for bad in BAD:

@@ -15,7 +15,6 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.artifacts import expire
 from .operators.catalog import schema_report, schema_text
 from .operators.guard import guarded_query
 from .schemas import ARTIFACT_TTL_MINUTES, LEVELS, SQL_MAX_LIMIT
@@ -38,10 +37,12 @@ def execute_sql(spark: SparkSession, run_id: str, sql: str, root: str, max_rows:
     if not res.ok:
         return res.envelope()
     try:
-        ref = store.write_artifact(res.df, run_id, root, max_rows)
+        # the textual mode has put its cap into the statement's text
+        ref = store.write_artifact(res.uncapped, run_id, root, None if mode == "textual" else max_rows)
     except Exception as exc:  # noqa: BLE001  (reported to the caller as a failed tool result)
-        return _envelope(f"Error: query failed: {str(exc).splitlines()[0][:300]}", data={"success": False})
-    return _envelope(f"Query ran ({ref.row_count} rows).",
+        return _envelope(f"Error: query failed: {str(exc).splitlines()[0]}", data={"success": False})
+    capped = ", capped" if ref.was_capped else ""
+    return _envelope(f"Query ran ({ref.row_count} rows{capped}).",
                      artifacts=[{"id": ref.id, "type": ref.type, "row_count": ref.row_count}])
 
 
@@ -74,13 +75,12 @@ def preview_schema(spark: SparkSession, tables: dict[str, DataFrame] | None = No
 def export_csv(spark: SparkSession, root: str, run_id: str, artifact_id: str, out_path: str,
                now: str | None = None, ttl_minutes: int = ARTIFACT_TTL_MINUTES) -> str:
     """Write a live artifact of ``run_id`` as CSV; a missing or expired one is a failed tool result."""
-    manifest = store.read_manifest(spark, root).where(
-        (F.col("run_id") == run_id) & (F.col("artifact_id") == artifact_id))
-    if now is not None:
-        manifest = expire(manifest, now, ttl_minutes)
-    if manifest.limit(1).count() == 0:
+    try:
+        df = store.read_artifact(spark, root, run_id, artifact_id, now, ttl_minutes)
+    except ValueError as exc:
+        return _envelope(f"Error: {exc}", data={"success": False})
+    if df is None:
         return _envelope("The artifact to export was not found; run a query first, then export again.",
                          data={"success": False})
-    df = store.read_artifact(spark, root, run_id, artifact_id)
     store.export_csv(df, out_path)
     return _envelope(f"Exported {artifact_id} as CSV.", data={"path": out_path})

@@ -63,6 +63,31 @@ FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 500
 FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) s
 ON c.k = s.k""", None)
 
+# A share of the total: the one-row side makes the cross join as small as the other side.
+STATEMENTS["sql_share_of_total"] = ("""
+SELECT c.c_mktsegment, count(*) AS n, max(t.n) AS n_total
+FROM customer c CROSS JOIN (SELECT count(*) AS n FROM customer) t
+GROUP BY c.c_mktsegment""", None)
+
+# NOT IN, written so that no side is broadcast whatever its size: no match, and no NULL among the keys.
+STATEMENTS["sql_not_in"] = ("""
+SELECT p.p_brand, count(*) AS n_not_in
+FROM part p
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity >= 48)
+  AND (SELECT count(*) FROM lineitem l WHERE l.l_quantity >= 48 AND l.l_partkey IS NULL) = 0
+GROUP BY p.p_brand""", """
+SELECT p.p_brand, count(*) AS n_not_in
+FROM part p WHERE p.p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48)
+GROUP BY p.p_brand""")
+
+STATEMENTS["sql_cube"] = ("""
+SELECT l_returnflag, l_linestatus, count(*) AS n_lines
+FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""", None)
+
+STATEMENTS["sql_grouping_sets"] = ("""
+SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n_lines
+FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())""", None)
+
 # Interval join written for scale: each event is paired only with events of the same user in its own or the
 # next minute bucket (an equi-join on (user, bucket)), then the exact 60-second condition is applied, so a
 # busy user never compares all of its events with each other.
