@@ -49,13 +49,16 @@ def test_ttl_zero_expires_strictly(spark):
 
 # --- message order (W6) ----------------------------------------------------
 
-def test_late_tool_return_moves_behind_call(spark):
+def test_returns_follow_the_calls_of_their_message_in_call_order(spark):
+    schema = "run_id string, pos int, call_ids array<string>, return_id string"
     msgs = spark.createDataFrame([
-        ("r", 0, "user", None, None), ("r", 1, "assistant", "call-123", None), ("r", 2, "assistant", None, None),
-        ("r", 3, "tool", None, "call-123"), ("r", 4, "user", None, None)],
-        "run_id string, pos int, role string, call_id string, return_id string")
-    out = sorted(RU.order_tool_returns(msgs).collect(), key=lambda r: r.new_pos)
-    assert [r.pos for r in out] == [0, 1, 3, 2, 4]
+        ("r", 0, None, None), ("r", 1, ["x", "y", None], None), ("r", 2, None, "y"), ("r", 3, ["z", "x"], None),
+        ("r", 4, None, "lost"), ("r", 5, None, "x"), ("r", 6, [], None), ("r", 7, None, "z"), ("r", 8, None, "y"),
+        ("r", 9, None, "gone"), ("q", 0, None, "x")], schema)
+    for width in (1, 1024):
+        out = sorted((r.run_id, r.new_pos, r.pos) for r in RU.order_tool_returns(msgs, width).collect())
+        assert [p for run, _, p in out if run == "r"] == [0, 1, 5, 2, 8, 3, 7, 6, 4, 9]
+        assert out[0] == ("q", 0, 0)
 
 
 def test_orphan_returns_go_last_and_repeats_stay_together(spark):
@@ -130,9 +133,9 @@ def test_pending_approval_until_result(spark):
     c2 = c.unionByName(chunk_rows(spark, [dict(run_id="run-1", seq=4, type="tool_result", tool_call_id="call-1",
                                                 content="x", timestamp=4)]))
     assert RU.pending_approvals(c2, dec).count() == 0
-    client = RU.pending_client_calls(c, spark.createDataFrame([], "run_id string, pos long, role string"))
+    client = RU.pending_client_calls(c, spark.createDataFrame([], "run_id string, pos long, role string"), F.lit(0))
     assert [r.tool_call_id for r in client.collect()] == ["call-2"]
-    assert RU.current_run(c).first().current_run == "run-1"
+    assert RU.current_run(c, F.lit("s")).first().current_run == "run-1"
 
 
 # --- findings -------------------------------------------------------------------
@@ -186,7 +189,7 @@ def test_finding6_empty_result_keeps_schema(spark, scratch):
     ref = write_artifact(df, "run123", scratch)
     back = read_artifact(spark, scratch, "run123", ref.id)
     assert back.columns == ["a", "b"] and back.count() == 0
-    assert ref.id == "a_run123_1" and ref.row_count == 0
+    assert ref.id.startswith("a_run123_") and ref.row_count == 0
 
 
 def test_finding5_capped_count_and_flag(spark, scratch):

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import APPROVED_KIND, DEFAULT_DENIAL, DENIED_KIND
-from .json import string_at
+from .json import string_at, trimmed
 
 
 def normalize_approval(value: Column) -> Column:
@@ -17,7 +17,7 @@ def normalize_approval(value: Column) -> Column:
     (default text when the key is absent); anything else denies.
     """
     v = F.try_parse_json(value)
-    t = F.trim(value)
+    t = trimmed(value)
     is_bool = t.isin("true", "false")
     kind = string_at(v, "$.kind")
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
@@ -36,7 +36,7 @@ def normalize_approval(value: Column) -> Column:
 def approval_audit_fields(value: Column) -> Column:
     """what the decision log records: approved is NULL (row skipped) for unknown kinds; no default message."""
     v = F.try_parse_json(value)
-    t = F.trim(value)
+    t = trimmed(value)
     kind = string_at(v, "$.kind")
     approved = (F.when(t.isin("true", "false"), t == "true")
                 .when(kind == APPROVED_KIND, F.lit(True))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import ELLIPSIS, ENVELOPE_TYPE, ENVELOPE_VERSION, RESULT_PREVIEW_CHARS
-from .json import is_number_at, is_object_at, is_string_at, string_at
+from .json import is_number_at, is_object_at, is_string_at, string_at, trimmed
 
 
 def log_preview(text: Column, n: int = RESULT_PREVIEW_CHARS) -> Column:
@@ -77,7 +77,7 @@ def artifact_ref(inp: Column) -> Column:
     text is decoded first; text that is not such an object is itself the id;
     blank -> NULL.
     """
-    t = F.trim(inp)
+    t = trimmed(inp)
     v = F.try_parse_json(t)
     # an empty id does not count: the next place is tried
     found = F.coalesce(*[F.nullif(string_at(v, p), F.lit("")) for p in

@@ -32,3 +32,8 @@ def is_object_at(v: Column, path: str) -> Column:
 def string_at(v: Column, path: str) -> Column:
     """The value at ``path`` if it is a JSON string, else NULL."""
     return F.when(is_string_at(v, path), F.variant_get(v, path, "string"))
+
+
+def trimmed(text: Column) -> Column:
+    """The text without blanks at its ends, as the chat client trims: all Unicode blanks and line ends, and U+FEFF."""
+    return F.regexp_replace(text, r"(?U)\A[\s\uFEFF]+|[\s\uFEFF]+\z", "")

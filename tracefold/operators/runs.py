@@ -15,13 +15,17 @@ from ..functions.approvals import normalize_approval
 from ..functions.envelopes import log_preview, parse_envelope
 from ..functions.usage import finish_reason, usage_struct
 from ..schemas import KEEPALIVE_SECONDS
-from ..sources.derive import TURN_STRIDE
 from .sequence import lag_in_order, running_index, running_sum
 
 RUN = "run_id"
 
 
-def _bucket(seq: str = "seq", width: int = TURN_STRIDE) -> Column:
+# consecutive seq values that the bucketed counters keep in one task: a run of any length is spread over as many
+# buckets as it needs, whether its seq counts 0, 1, 2, ... or leaves gaps
+BUCKET = 1 << 16
+
+
+def _bucket(seq: str = "seq", width: int = BUCKET) -> Column:
     return F.floor(F.col(seq) / F.lit(width))
 
 
@@ -30,7 +34,7 @@ def _bucket(seq: str = "seq", width: int = TURN_STRIDE) -> Column:
 # ---------------------------------------------------------------------------
 
 def accumulate_text(chunks: DataFrame, kind: str = "content", final_only: bool = False,
-                    bucket_width: int = TURN_STRIDE) -> DataFrame:
+                    bucket_width: int = BUCKET) -> DataFrame:
     """W1 (kind='content') / W2 (kind='thinking'): running text per (run, part index).
 
     A part start resets the text; a start with empty text emits nothing; for
@@ -64,7 +68,7 @@ def accumulate_text(chunks: DataFrame, kind: str = "content", final_only: bool =
 # Tool-call index
 # ---------------------------------------------------------------------------
 
-def index_tool_calls(chunks: DataFrame, bucket_width: int = TURN_STRIDE) -> DataFrame:
+def index_tool_calls(chunks: DataFrame, bucket_width: int = BUCKET) -> DataFrame:
     """0-based running index of tool_call chunks over the whole run (not reset per segment)."""
     calls = chunks.where(F.col("type") == "tool_call").select(RUN, "seq", "tool_call_id", "tool_name")
     return running_index(calls, [RUN], ["seq"], _bucket("seq", bucket_width), "index")
@@ -78,23 +82,25 @@ ORPHAN_POS = 1 << 62
 
 
 def order_tool_returns(msgs: DataFrame, bucket_width: int = 1024) -> DataFrame:
-    """Each return goes right behind the first message holding its call; orphans go last.
+    """Each return goes behind the first message holding its call, in the order of that message's calls.
 
-    Sort key (anchor, is_return, call ordinal, original position); the anchor
-    of a return is the first position holding its call (joined on
-    (run, call id), which spreads a hot run over many tasks).
+    A message holds one ``call_id`` or an array ``call_ids``. Sort key: (anchor, is_return, call ordinal, original
+    position). The anchor of a return is the first position holding its call (joined on (run, call id), which
+    spreads a hot run over many tasks); orphans come last in their own order, bucketed by position.
     """
-    calls = (msgs.where(F.col("call_id").isNotNull())
-             .groupBy(RUN, F.col("call_id").alias("return_id"))
-             .agg(F.min("pos").alias("call_pos")))
-    returns = msgs.where(F.col("return_id").isNotNull())
-    others = msgs.where(F.col("return_id").isNull())
-    keyed_others = others.select(RUN, "pos", F.col("pos").alias("k1"), F.lit(0).alias("k2"))
-    keyed_returns = (returns.join(calls, [RUN, "return_id"], "left")
-                     .select(RUN, "pos", F.coalesce(F.col("call_pos"), F.lit(ORPHAN_POS)).alias("k1"),
-                             F.lit(1).alias("k2")))
-    keyed = keyed_others.unionByName(keyed_returns)
-    ranked = running_index(keyed, [RUN], ["k1", "k2", "pos"], F.floor(F.col("k1") / bucket_width), "new_pos")
+    held = F.col("call_ids") if "call_ids" in msgs.columns else F.array("call_id")
+    calls = (msgs.select(RUN, "pos", F.posexplode(held).alias("ord", "return_id"))
+             .where(F.col("return_id").isNotNull())
+             .groupBy(RUN, "return_id").agg(F.min(F.struct("pos", "ord")).alias("call")))
+    is_return = F.col("return_id").isNotNull()
+    others = msgs.where(~is_return).select(RUN, "pos", F.col("pos").cast("long").alias("k1"), F.lit(0).alias("k2"),
+                                           F.lit(0).alias("k3"))
+    orphan = F.lit(ORPHAN_POS) + F.col("pos")
+    returns = (msgs.where(is_return).join(calls, [RUN, "return_id"], "left")
+               .select(RUN, "pos", F.coalesce(F.col("call.pos").cast("long"), orphan).alias("k1"), F.lit(1).alias("k2"),
+                       F.coalesce("call.ord", F.lit(0)).alias("k3")))
+    keyed = others.unionByName(returns)
+    ranked = running_index(keyed, [RUN], ["k1", "k2", "k3", "pos"], F.floor(F.col("k1") / bucket_width), "new_pos")
     return ranked.select(RUN, "pos", "new_pos")
 
 
@@ -109,24 +115,17 @@ def last_user_prompt(msgs: DataFrame) -> DataFrame:
         F.coalesce(F.max_by(F.when(cond, F.col("content")), F.when(cond, F.col("pos"))), F.lit("")).alias("prompt"))
 
 
-def session_of(run_id: Column, sessions: int = 50) -> Column:
-    """Client session a run belongs to in the derived data (runs of one client share a session)."""
-    return (F.substring(run_id, 5, 64).try_cast("long") % sessions)
-
+def current_run(chunks: DataFrame, session: Column) -> DataFrame:
+    """Per client session, the run of the last chunk (client) and of the first (smoke script); ties go by seq."""
+    c = chunks.where(F.coalesce(F.col(RUN), F.lit("")) != "").withColumn("session", session)
+    at = F.struct("timestamp", "seq", RUN)
+    return c.groupBy("session").agg(F.max_by(RUN, at).alias("current_run"), F.min_by(RUN, at).alias("first_run"))
 
-def current_run(chunks: DataFrame) -> DataFrame:
-    """Per client session, the run of the last chunk (client) and of the first (smoke script)."""
-    c = chunks.where(F.coalesce(F.col(RUN), F.lit("")) != "").withColumn("session", session_of(F.col(RUN)))
-    return c.groupBy("session").agg(F.max_by(RUN, "timestamp").alias("current_run"),
-                                    F.min_by(RUN, "timestamp").alias("first_run"))
 
-
-def run_of_message(chunks: DataFrame) -> DataFrame:
-    """Each assistant message is bound to the run current when it is first seen, never rebound."""
-    c = (chunks.where(F.col("type") == "content")
-         .withColumn("message_id", F.concat_ws(":", F.col(RUN), F.floor(F.col("seq") / TURN_STRIDE).cast("string")))
-         .withColumn("session", session_of(F.col(RUN))))
-    return c.groupBy("session", "message_id").agg(F.min_by(RUN, "timestamp").alias("bound_run"),
+def run_of_message(chunks: DataFrame, session: Column, message_id: Column) -> DataFrame:
+    """Each assistant message is bound to the run current when it is first seen, never rebound; ties go by seq."""
+    c = chunks.where(F.col("type") == "content").withColumn("message_id", message_id).withColumn("session", session)
+    return c.groupBy("session", "message_id").agg(F.min_by(RUN, F.struct("timestamp", "seq", RUN)).alias("bound_run"),
                                                   F.min("timestamp").alias("first_seen_ms"))
 
 
@@ -270,6 +269,18 @@ def tool_sequence(chunks: DataFrame) -> DataFrame:
     return running_index(c, [RUN], ["seq"], _bucket(), "ordinal", base=1)
 
 
+def chunk_types(chunks: DataFrame) -> DataFrame:
+    """N4 (long form): the kinds of a run's chunks in the order in which they first come, with their counts."""
+    first = chunks.groupBy(RUN, "type").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n_chunks"))
+    return running_index(first, [RUN], ["first_seq", "type"], _bucket("first_seq"), "ordinal", base=1)
+
+
+def error_texts(chunks: DataFrame) -> DataFrame:
+    """N4 (long form): every error text of a run, in order."""
+    e = chunks.where(F.col("type") == "error").select(RUN, "seq", "error_message")
+    return running_index(e, [RUN], ["seq"], _bucket(), "ordinal", base=1)
+
+
 # ---------------------------------------------------------------------------
 # Joins on (run_id, tool_call_id)
 # ---------------------------------------------------------------------------
@@ -309,65 +320,70 @@ def call_result_pairs(chunks: DataFrame) -> DataFrame:
     return calls.join(res, [RUN, "tool_call_id"], "left")
 
 
-def pending_client_calls(chunks: DataFrame, msgs: DataFrame) -> DataFrame:
-    """Latest tool-input-available per run, unless its result was posted later or a later user message came."""
+def pending_client_calls(chunks: DataFrame, msgs: DataFrame, message_pos: Column) -> DataFrame:
+    """Latest tool-input-available per run, unless its result was posted later or a later user message came.
+
+    ``message_pos`` says, of a chunk, the position (``msgs.pos``) of the message it answers.
+    """
+    chunks = chunks.withColumn("__pos", message_pos)
     req = chunks.where(F.col("type") == "tool-input-available").groupBy(RUN).agg(
-        F.max_by(F.struct("seq", "tool_call_id", "tool_name", "input"), "seq").alias("r")).select(RUN, "r.*")
+        F.max_by(F.struct("seq", "tool_call_id", "tool_name", "input", "__pos"), "seq").alias("r")).select(RUN, "r.*")
     results = chunks.where(F.col("type") == "tool_result").select(RUN, "tool_call_id", F.col("seq").alias("rseq"))
     users = msgs.where(F.col("role") == "user").groupBy(RUN).agg(F.max("pos").alias("last_user_pos"))
     answered = ((req[RUN] == results[RUN]) & (req["tool_call_id"] == results["tool_call_id"])
                 & (results["rseq"] > req["seq"]))
     open_ = req.join(results, answered, "left_anti")
     return (open_.join(users, RUN, "left")
-            .where(F.col("last_user_pos").isNull() | (F.col("last_user_pos") <= F.floor(F.col("seq") / TURN_STRIDE)))
+            .where(F.col("last_user_pos").isNull() | (F.col("last_user_pos") <= F.col("__pos")))
             .select(RUN, "tool_call_id", "tool_name", "input", "seq"))
 
 
+def resume_keys(chunks: DataFrame, decisions: DataFrame) -> DataFrame:
+    """What each run waits for and what has come, one row per (run, tool call, kind), from one aggregate.
+
+    Expected: approval ids (approval-requested) and result ids (tool-input-available). Collected: decisions and
+    tool results, the last value of each key (an explicit NULL included). Every run keeps a row of kind NULL, so
+    the runs need no second pass.
+    """
+    t = F.col("type")
+    kind = (F.when(t == "approval-requested", "approval").when(t.isin("tool-input-available", "tool_result"), "result"))
+    came = t == "tool_result"
+    seen = chunks.select(
+        RUN, F.when(kind.isNotNull(), F.col("tool_call_id")).alias("tool_call_id"), kind.alias("kind"),
+        (kind.isNotNull() & ~came).alias("expected"), came.alias("collected"),
+        F.when(came, F.col("content")).alias("value"), F.when(came, F.col("seq")).alias("seq"))
+    decided = decisions.select(RUN, "tool_call_id", F.lit("approval").alias("kind"), F.lit(False).alias("expected"),
+                               F.lit(True).alias("collected"), "value", "seq")
+    return seen.unionByName(decided).groupBy(RUN, "tool_call_id", "kind").agg(
+        F.bool_or("expected").alias("is_expected"), F.bool_or("collected").alias("present"),
+        F.max_by(F.when(F.col("collected"), F.col("value")), F.when(F.col("collected"), F.col("seq"))).alias("value"),
+        F.bool_or(~F.col("collected") | (F.col("kind") != "approval")).alias("in_chunks"))
+
+
+def collected_values(chunks: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The values a resuming run takes up, one row per expected key that has come."""
+    return resume_keys(chunks, decisions).where("is_expected AND present").select(RUN, "kind", "tool_call_id", "value")
+
+
 def ready_runs(chunks: DataFrame, decisions: DataFrame) -> DataFrame:
     """J3 + U1: may a run resume?
 
-    Expected: approval ids (approval-requested) and result ids
-    (tool-input-available).  Collected: decisions and tool results, last value
-    per key (an explicit NULL included).  Ready when both expected sets are
-    covered; with nothing expected, any payload resumes the run.  Only expected
-    keys are counted.  Expected and collected rows meet in one aggregate per
-    (run, tool call, kind); a second aggregate per run follows.
+    Ready when both expected sets are covered; with nothing expected, any payload resumes the run. Only expected
+    keys are counted (``resume_keys``); a second aggregate per run follows. Runs that have only decisions are left out.
     """
-    t = F.col("type")
-    null_s = F.lit(None).cast("string")
-    expected = chunks.where(t.isin("approval-requested", "tool-input-available")).select(
-        RUN, "tool_call_id", F.when(t == "approval-requested", F.lit("approval")).otherwise(F.lit("result")).alias("kind"),
-        F.lit(True).alias("expected"), null_s.alias("value"), F.lit(None).cast("long").alias("seq"))
-    approvals_in = decisions.select(RUN, "tool_call_id", F.lit("approval").alias("kind"), F.lit(False).alias("expected"),
-                                    F.col("value"), F.col("seq"))
-    results_in = chunks.where(t == "tool_result").select(RUN, "tool_call_id", F.lit("result").alias("kind"),
-                                                        F.lit(False).alias("expected"), F.col("content").alias("value"),
-                                                        F.col("seq"))
-    collected = ~F.col("expected")
-    keyed = (expected.unionByName(approvals_in).unionByName(results_in)
-             .groupBy(RUN, "tool_call_id", "kind")
-             .agg(F.bool_or("expected").alias("is_expected"),
-                  F.bool_or(collected).alias("present"),
-                  F.max_by(F.when(collected, F.col("value")), F.when(collected, F.col("seq"))).alias("value")))
     approved = F.coalesce(normalize_approval(F.col("value")).getField("approved"), F.lit(False))
     exp_ = F.col("is_expected")
     is_a = F.col("kind") == "approval"
-    per_run = keyed.groupBy(RUN).agg(
+    per_run = resume_keys(chunks, decisions).groupBy(RUN).agg(
         F.count_if(exp_ & is_a).alias("n_expected_approvals"),
         F.count_if(exp_ & ~is_a).alias("n_expected_results"),
         F.count_if(exp_ & ~F.col("present")).alias("n_missing"),
         F.count_if(exp_ & is_a & F.col("present") & approved).alias("n_approved"),
-        F.bool_or("present").alias("has_payload"))
-    runs = chunks.select(RUN).distinct()
-    n_exp = F.coalesce("n_expected_approvals", F.lit(0)) + F.coalesce("n_expected_results", F.lit(0))
-    return (runs.join(per_run, RUN, "left")
-            .select(RUN,
-                    F.coalesce("n_expected_approvals", F.lit(0)).alias("n_expected_approvals"),
-                    F.coalesce("n_expected_results", F.lit(0)).alias("n_expected_results"),
-                    F.coalesce("n_missing", F.lit(0)).alias("n_missing"),
-                    F.coalesce("n_approved", F.lit(0)).alias("n_approved"),
-                    F.when(n_exp == 0, F.coalesce("has_payload", F.lit(False)))
-                    .otherwise(F.col("n_missing") == 0).alias("ready")))
+        F.bool_or("present").alias("__payload"), F.bool_or("in_chunks").alias("__run"))
+    n_exp = F.col("n_expected_approvals") + F.col("n_expected_results")
+    return per_run.where("__run").select(
+        RUN, "n_expected_approvals", "n_expected_results", "n_missing", "n_approved",
+        F.when(n_exp == 0, F.col("__payload")).otherwise(F.col("n_missing") == 0).alias("ready"))
 
 
 # ---------------------------------------------------------------------------
@@ -403,13 +419,13 @@ def deferred_to_chunks(msgs: DataFrame) -> DataFrame:
     """T7 + U2: deferred requests of each segment as chunks: approvals first, then client calls.
 
     A user turn is one deferred segment; execute_sql needs approval, export_csv
-    runs on the client.  Finish reason of the segment is tool_calls when
+    runs on the client. Several calls of a kind come in the order of their ids.  Finish reason of the segment is tool_calls when
     anything was deferred, else stop.
     """
     u = msgs.where(F.col("role") == "user")
     seg = u.groupBy(RUN, F.col("pos").alias("segment")).agg(
-        F.collect_list(F.when(F.col("call_tool") == "execute_sql", F.struct("call_id", "call_tool"))).alias("approvals"),
-        F.collect_list(F.when(F.col("call_tool") != "execute_sql", F.struct("call_id", "call_tool"))).alias("calls"))
+        F.array_sort(F.collect_list(F.when(F.col("call_tool") == "execute_sql", F.struct("call_id", "call_tool")))).alias("approvals"),
+        F.array_sort(F.collect_list(F.when(F.col("call_tool") != "execute_sql", F.struct("call_id", "call_tool")))).alias("calls"))
     a = seg.select(RUN, "segment", F.posexplode("approvals").alias("ord", "p")) \
            .select(RUN, "segment", F.lit(0).alias("group"), "ord", F.lit("approval-requested").alias("type"),
                    F.col("p.call_id").alias("tool_call_id"), F.col("p.call_tool").alias("tool_name"),
@@ -436,6 +452,13 @@ def close_failed_runs(chunks: DataFrame) -> DataFrame:
                        F.lit("stop").alias("finish_reason"))
 
 
+def closed_stream(chunks: DataFrame) -> DataFrame:
+    """The chunk stream with the missing closing done rows (model and time of the run's last chunk)."""
+    last = chunks.groupBy(RUN).agg(F.max_by(F.struct("model", "timestamp"), "seq").alias("l"))
+    closing = close_failed_runs(chunks).join(last, RUN).select(RUN, "seq", "type", "finish_reason", "l.model", "l.timestamp")
+    return chunks.unionByName(closing, allowMissingColumns=True)
+
+
 def check_streams(chunks: DataFrame) -> DataFrame:
     """Per-run quality report: has done, has an approval request, a valid envelope, an artifact."""
     env = parse_envelope(F.col("content"))

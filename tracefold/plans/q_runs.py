@@ -146,20 +146,21 @@ def w7(spark, sf):
 
 @register("w8_run_of_message", V(["chunks"], f"""
 SELECT CAST(substring(run_id, 5, 64) AS BIGINT) % 50 AS session, run_id || ':' || CAST(seq // {K} AS VARCHAR) AS message_id,
-       arg_min(run_id, timestamp) AS bound_run, min(timestamp) AS first_seen_ms
+       arg_min(run_id, (timestamp, seq, run_id)) AS bound_run, min(timestamp) AS first_seen_ms
 FROM chunks WHERE type = 'content' GROUP BY 1, 2"""))
 def w8(spark, sf):
     """The run an assistant message is bound to when first seen."""
-    return RU.run_of_message(_chunks(spark, sf))
+    return RU.run_of_message(_chunks(spark, sf), derive.session_of(F.col("run_id")),
+                             derive.message_of(F.col("run_id"), F.col("seq")))
 
 
 @register("w9_current_run", V(["chunks"], """
-SELECT CAST(substring(run_id, 5, 64) AS BIGINT) % 50 AS session, arg_max(run_id, timestamp) AS current_run,
-       arg_min(run_id, timestamp) AS first_run
+SELECT CAST(substring(run_id, 5, 64) AS BIGINT) % 50 AS session, arg_max(run_id, (timestamp, seq, run_id)) AS current_run,
+       arg_min(run_id, (timestamp, seq, run_id)) AS first_run
 FROM chunks WHERE coalesce(run_id, '') <> '' GROUP BY 1"""))
 def w9(spark, sf):
     """Current (last) and first run per client session."""
-    return RU.current_run(_chunks(spark, sf))
+    return RU.current_run(_chunks(spark, sf), derive.session_of(F.col("run_id")))
 
 
 @register("w10_fold_run_state", V(["run_updates"], """
@@ -260,6 +261,22 @@ def n4_seq(spark, sf):
     return RU.tool_sequence(_chunks(spark, sf))
 
 
+@register("n4_chunk_types", V(["chunks"], """
+SELECT run_id, type, first_seq, n_chunks, row_number() OVER (PARTITION BY run_id ORDER BY first_seq, type) AS ordinal
+FROM (SELECT run_id, type, min(seq) AS first_seq, count(*) AS n_chunks FROM chunks GROUP BY run_id, type)"""))
+def n4_types(spark, sf):
+    """N4 (long form): ordered chunk kinds per run."""
+    return RU.chunk_types(_chunks(spark, sf))
+
+
+@register("n4_error_texts", V(["chunks"], """
+SELECT run_id, seq, error_message, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS ordinal
+FROM chunks WHERE type = 'error'"""))
+def n4_errors(spark, sf):
+    """N4 (long form): every error text per run, in order."""
+    return RU.error_texts(_chunks(spark, sf))
+
+
 # --- J2, J3, J6, J8, J9 ---------------------------------------------------------
 
 _PENDING = """
@@ -296,6 +313,21 @@ def j6(spark, sf):
     return RU.call_result_pairs(_chunks(spark, sf))
 
 
+@register("j3_collected_values", V(["chunks", "approvals"], """
+WITH expected AS (
+  SELECT DISTINCT run_id, tool_call_id, CASE WHEN type = 'approval-requested' THEN 'approval' ELSE 'result' END AS kind
+  FROM chunks WHERE type IN ('approval-requested', 'tool-input-available')),
+came AS (
+  SELECT run_id, tool_call_id, 'result' AS kind, content AS value, seq FROM chunks WHERE type = 'tool_result'
+  UNION ALL SELECT run_id, tool_call_id, 'approval', value, seq FROM approvals)
+SELECT e.run_id, e.kind, e.tool_call_id, arg_max_null(c.value, c.seq) AS value
+FROM expected e JOIN came c ON c.run_id = e.run_id AND c.tool_call_id = e.tool_call_id AND c.kind = e.kind
+GROUP BY 1, 2, 3"""))
+def j3_values(spark, sf):
+    """The collected value of every expected key."""
+    return RU.collected_values(_chunks(spark, sf), _dec(spark, sf))
+
+
 @register("j8_pending_client_calls", V(["chunks", "messages"], f"""
 WITH req AS (SELECT run_id, max(seq) AS seq, arg_max(tool_call_id, seq) AS tool_call_id,
                     arg_max(tool_name, seq) AS tool_name, arg_max(input, seq) AS input
@@ -307,7 +339,7 @@ WHERE NOT EXISTS (SELECT 1 FROM res x WHERE x.run_id = r.run_id AND x.tool_call_
   AND (u.last_user_pos IS NULL OR u.last_user_pos <= r.seq // {K})"""))
 def j8(spark, sf):
     """The client tool call a run waits on, if any."""
-    return RU.pending_client_calls(_chunks(spark, sf), _msgs(spark, sf))
+    return RU.pending_client_calls(_chunks(spark, sf), _msgs(spark, sf), derive.turn_of(F.col("seq")))
 
 
 @register("j3_ready_runs", V(["chunks", "approvals"], f"""
@@ -384,6 +416,19 @@ def t8(spark, sf):
     return RU.close_failed_runs(_chunks(spark, sf))
 
 
+@register("t8_closed_stream", V(["chunks"], """
+WITH s AS (
+  SELECT run_id, max(CASE WHEN type = 'error' THEN seq END) AS error_seq, max(CASE WHEN type = 'done' THEN seq END) AS done_seq,
+         max(seq) AS last_seq, arg_max(timestamp, seq) AS last_ms FROM chunks GROUP BY run_id)
+SELECT run_id, seq, type, finish_reason, timestamp FROM chunks
+UNION ALL
+SELECT run_id, last_seq + 1, 'done', 'stop', last_ms FROM s
+WHERE error_seq IS NOT NULL AND (done_seq IS NULL OR done_seq < error_seq)"""))
+def t8_stream(spark, sf):
+    """The whole chunk stream, closed."""
+    return RU.closed_stream(_chunks(spark, sf)).select("run_id", "seq", "type", "finish_reason", "timestamp")
+
+
 @register("t9_check_streams", V(["chunks"], f"""
 WITH {_ENV_ROWS}
 SELECT c.run_id, bool_or(c.type = 'done') AS has_done, bool_or(c.type = 'approval-requested') AS has_approval,

@@ -368,3 +368,18 @@ def run_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("run_id", t.alias("turn"), (t * 3 + 1).alias("n_messages"),
                     F.lit("user").alias("last_role"),
                     ((t > 0) & ((F.col("conv_id") + t) % 3 == 0)).alias("is_continuation"))
+
+
+def session_of(run_id: Column, sessions: int = 50) -> Column:
+    """Client session a run belongs to in the derived data (runs of one client share a session)."""
+    return F.substring(run_id, 5, 64).try_cast("long") % sessions
+
+
+def turn_of(seq: Column) -> Column:
+    """The turn that a derived chunk belongs to."""
+    return F.floor(seq / TURN_STRIDE)
+
+
+def message_of(run_id: Column, seq: Column) -> Column:
+    """The message that a derived chunk belongs to."""
+    return F.concat_ws(":", run_id, turn_of(seq).cast("string"))
