@@ -10,6 +10,15 @@ from tracefold.sources import derive, sse
 from tracefold.streaming import streams as ST
 
 
+def run_to_memory(df, name, checkpoint, mode="append"):
+    """Drive a small streaming query over everything available now into a memory table and return that table."""
+    q = (df.writeStream.outputMode(mode).format("memory").queryName(name)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+
 def _write_in_seq_order(df, path, parts):
     """One writer per run: a run's writes reach the stream in seq order across micro-batches.
 
@@ -37,7 +46,7 @@ def test_t1_stream_chunks_equals_batch(spark, scratch):
     frames = sse.encode_sse(c).select(F.explode(F.split("frame", "\n")).alias("value"))
     path = os.path.join(scratch, "sse")
     frames.repartition(5).write.text(path)  # several files, like captured streams
-    got = ST.run_to_memory(ST.stream_chunks(spark, path, "sse", max_files_per_trigger=2), "t1_chunks",
+    got = run_to_memory(ST.stream_chunks(spark, path, "sse", max_files_per_trigger=2), "t1_chunks",
                            os.path.join(scratch, "ck"))
     cols = ["run_id", "seq", "type", "tool_call_id", "tool_name", "finish_reason", "error_message", "delta"]
     assert _rows(got, cols) == _rows(c, cols)
@@ -48,7 +57,7 @@ def test_t2_error_rollup_closed_windows(spark, scratch):
     path = os.path.join(scratch, "records")
     rec.select("start_timestamp", "level", "service_name").write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    got = ST.run_to_memory(ST.stream_error_rollup(stream, "1 day"), "t2_rollup", os.path.join(scratch, "ck"))
+    got = run_to_memory(ST.stream_error_rollup(stream, "1 day"), "t2_rollup", os.path.join(scratch, "ck"))
     max_t = rec.agg(F.max("start_timestamp")).first()[0]
     want = ST.error_rollup_closed(rec, max_t, "1 day")
     cols = ["window_start", "service_name", "n_errors"]
@@ -61,7 +70,7 @@ def test_t3_run_state_matches_batch_fold(spark, scratch):
     path = os.path.join(scratch, "updates")
     _write_in_seq_order(upd, path, 4)
     stream = spark.readStream.schema(upd.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    ST.run_to_memory(ST.stream_run_state(stream), "t3_state", os.path.join(scratch, "ck"), mode="update")
+    run_to_memory(ST.stream_run_state(stream), "t3_state", os.path.join(scratch, "ck"), mode="update")
     latest = spark.table("t3_state").where("exists")
     # update mode emits a row per batch; the last one per run is the state
     from pyspark.sql import Window
@@ -92,7 +101,7 @@ def test_t4_approvals_join(spark, scratch):
         .select(*d.columns).write.mode("append").parquet(dp)
     rs = spark.readStream.schema(c.schema).parquet(rp)
     ds = spark.readStream.schema(d.schema).parquet(dp)
-    got = ST.run_to_memory(ST.stream_approvals(rs, ds, "5 minutes"), "t4_appr", os.path.join(scratch, "ck"))
+    got = run_to_memory(ST.stream_approvals(rs, ds, "5 minutes"), "t4_appr", os.path.join(scratch, "ck"))
     want = ST.approvals_batch(c, d, "5 minutes")
     cols = ["run_id", "tool_call_id", "status"]
     got_rows = [r for r in _rows(got, cols) if r[0] != "run-sentinel"]
@@ -108,7 +117,7 @@ def test_t5_activity_sessions(spark, scratch):
     spark.createDataFrame([("run-sentinel", last)], c.schema) \
         .withColumn("event_time", F.col("event_time") + F.expr("INTERVAL 1 DAY")).write.mode("append").parquet(path)
     s = spark.readStream.schema(c.schema).parquet(path)
-    got = ST.run_to_memory(ST.stream_activity_sessions(s), "t5_sess", os.path.join(scratch, "ck"))
+    got = run_to_memory(ST.stream_activity_sessions(s), "t5_sess", os.path.join(scratch, "ck"))
     want = ST.activity_sessions_batch(c)
     cols = ["run_id", "session_start", "session_end", "n_chunks"]
     assert [r for r in _rows(got, cols) if r[0] != "run-sentinel"] == _rows(want, cols)
@@ -138,7 +147,7 @@ def test_t1_stream_chunks_json_lines(spark, scratch):
     c = derive.chunks(spark, SF_SMALL).where("type <> 'content'")
     path = os.path.join(scratch, "jsonl")
     c.select(sse.chunk_json(c).alias("value")).repartition(3).write.text(path)
-    got = ST.run_to_memory(ST.stream_chunks(spark, path, "json"), "t1_jsonl", os.path.join(scratch, "ck"))
+    got = run_to_memory(ST.stream_chunks(spark, path, "json"), "t1_jsonl", os.path.join(scratch, "ck"))
     cols = ["run_id", "seq", "type", "tool_call_id", "tool_name", "arguments", "input", "finish_reason", "usage"]
     assert _rows(got, cols) == _rows(c, cols)
 

@@ -6,10 +6,13 @@ Model messages are kept in long form, one row per part:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runs import order_tool_returns
+
 RUN = "run_id"
+TOOL_CALLS = "array<struct<id: string, function: struct<name: string, arguments: string>>>"
 PART_COLS = ["run_id", "pos", "kind", "part_pos", "part_kind", "content", "tool_name", "tool_call_id", "args"]
 
 
@@ -44,28 +47,56 @@ def load_messages(ui: DataFrame) -> DataFrame:
     return prompts.unionByName(texts).unionByName(call_parts).unionByName(returns)
 
 
+def decoded_args(args: Column) -> Column:
+    """Call arguments as a model reads them: a JSON object stays, JSON text of one is decoded, anything else is empty."""
+    v = F.try_parse_json(args)
+    inner = F.try_parse_json(F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string")))
+    is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    inner_obj = F.coalesce(F.schema_of_variant(inner).startswith("OBJECT"), F.lit(False))
+    return F.when(is_obj, args).when(inner_obj, F.variant_get(v, "$", "string")).otherwise(F.lit("{}"))
+
+
+def ordered_parts(parts: DataFrame) -> DataFrame:
+    """the parts of loaded messages with ``pos`` renumbered so that every tool return follows its call."""
+    m = parts.groupBy(RUN, "pos").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("part_kind") == "tool-call", F.struct("part_pos", "tool_call_id")))),
+                    lambda x: x["tool_call_id"]).alias("call_ids"),
+        F.max(F.when(F.col("part_kind") == "tool-return", F.col("tool_call_id"))).alias("return_id"))
+    order = order_tool_returns(m)
+    return parts.join(order, [RUN, "pos"]).withColumn("pos", F.col("new_pos")).select(*PART_COLS)
+
+
+def request_history(parts: DataFrame) -> DataFrame:
+    """the history that a request's own messages give: all parts but those of a last message of user prompts."""
+    trailing = parts.groupBy(RUN, "pos").agg(F.bool_and(F.col("part_kind") == "user-prompt").alias("prompt"))
+    last = trailing.groupBy(RUN).agg(F.max("pos").alias("pos"), F.max_by("prompt", "pos").alias("prompt")).where("prompt")
+    return parts.join(last.select(RUN, "pos"), [RUN, "pos"], "left_anti").select(*PART_COLS)
+
+
 def dump_messages(parts: DataFrame) -> DataFrame:
     """model message parts -> client messages.
 
     Every request part becomes its own message; every response becomes one
-    assistant message with its texts joined and its calls collected (NULL when
-    there are none).  The collect is per message (bounded by its parts).
+    assistant message with its texts joined and its calls (id, name, arguments)
+    collected (NULL when there are none).  The collect is per message (bounded by its parts).
     """
     req = parts.where(F.col("kind") == "request").select(
         RUN, "pos", F.col("part_pos").alias("sub"),
         F.when(F.col("part_kind") == "system-prompt", F.lit("system"))
          .when(F.col("part_kind") == "user-prompt", F.lit("user")).otherwise(F.lit("tool")).alias("role"),
-        F.col("content"), F.lit(None).cast("array<string>").alias("tool_call_ids"),
+        F.col("content"), F.lit(None).cast(TOOL_CALLS).alias("toolCalls"),
         F.when(F.col("part_kind") == "tool-return", F.col("tool_call_id")).alias("toolCallId"),
         F.when(F.col("part_kind") == "tool-return", F.col("tool_name")).alias("name"))
     resp = parts.where(F.col("kind") == "response").groupBy(RUN, "pos").agg(
         F.array_sort(F.collect_list(F.when(F.col("part_kind") == "text", F.struct("part_pos", "content")))).alias("t"),
         F.array_sort(F.collect_list(F.when(F.col("part_kind") == "tool-call",
-                                           F.struct("part_pos", "tool_call_id")))).alias("c"))
+                                           F.struct("part_pos", "tool_call_id", "tool_name", "args")))).alias("c"))
     resp = resp.select(
         RUN, "pos", F.lit(0).alias("sub"), F.lit("assistant").alias("role"),
         F.when(F.size("t") > 0, F.array_join(F.transform("t", lambda x: x["content"]), "")).alias("content"),
-        F.when(F.size("c") > 0, F.transform("c", lambda x: x["tool_call_id"])).alias("tool_call_ids"),
+        F.when(F.size("c") > 0, F.transform("c", lambda x: F.struct(
+            x["tool_call_id"].alias("id"), F.struct(x["tool_name"].alias("name"), x["args"].alias("arguments")).alias("function"))))
+        .cast(TOOL_CALLS).alias("toolCalls"),
         F.lit(None).cast("string").alias("toolCallId"), F.lit(None).cast("string").alias("name"))
     return req.unionByName(resp)
 

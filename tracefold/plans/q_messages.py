@@ -45,17 +45,28 @@ def f11(spark, sf):
 WITH {_LOAD_SQL}
 SELECT run_id, pos, part_pos AS sub,
        CASE part_kind WHEN 'system-prompt' THEN 'system' WHEN 'user-prompt' THEN 'user' ELSE 'tool' END AS role,
-       content, CAST(NULL AS VARCHAR[]) AS tool_call_ids,
+       content, CAST(NULL AS VARCHAR) AS toolCalls,
        CASE WHEN part_kind = 'tool-return' THEN tool_call_id END AS toolCallId,
        CASE WHEN part_kind = 'tool-return' THEN tool_name END AS name
 FROM p WHERE kind = 'request'
 UNION ALL
 SELECT run_id, pos, 0, 'assistant', string_agg(content, '' ORDER BY part_pos) FILTER (WHERE part_kind = 'text'),
-       list(tool_call_id ORDER BY part_pos) FILTER (WHERE part_kind = 'tool-call'), NULL, NULL
+       CAST(to_json(list({{'id': tool_call_id, 'function': {{'name': tool_name, 'arguments': args}}}} ORDER BY part_pos)
+         FILTER (WHERE part_kind = 'tool-call')) AS VARCHAR), NULL, NULL
 FROM p WHERE kind = 'response' GROUP BY run_id, pos"""))
 def f12(spark, sf):
     """model message parts turned back into client messages."""
-    return M.dump_messages(M.load_messages(derive.ui_messages(spark, sf)))
+    return M.dump_messages(M.load_messages(derive.ui_messages(spark, sf))).withColumn("toolCalls", F.to_json("toolCalls"))
+
+
+@register("f13_request_history", with_views(["ui_messages"], f"""
+WITH {_LOAD_SQL},
+last AS (SELECT run_id, max(pos) AS pos FROM p GROUP BY run_id)
+SELECT p.* FROM p JOIN last USING (run_id)
+WHERE p.pos <> last.pos OR EXISTS (SELECT 1 FROM p q WHERE q.run_id = p.run_id AND q.pos = p.pos AND q.part_kind <> 'user-prompt')"""))
+def f13_rows(spark, sf):
+    """the message parts that a request without a stored run brings as its history."""
+    return M.request_history(M.load_messages(derive.ui_messages(spark, sf)))
 
 
 @register("f13_history_for_run", with_views(["run_updates", "run_requests"], """

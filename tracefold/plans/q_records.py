@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import records as R
 from ..session import DAY, NOW
 from ..sources import derive
+from ..streaming.streams import error_rollup_closed
 from .oracle_views import with_views
 from .registry import register
 
@@ -202,3 +203,13 @@ def sort_rows_then_cap(spark, sf):
     """L2 + L3: sort the filtered rows, then cap at the guarded-query maximum (1000)."""
     df = R.where_level_at_least(_rec(spark, sf), "error").select("span_id", "service_name", "level")
     return R.cap(R.sort_rows(df, [("service_name", "desc"), ("span_id", "asc")]), 1000)
+
+
+@register("t2_error_rollup_closed", with_views(["records"], f"""
+SELECT date_trunc('hour', start_timestamp) AS window_start, date_trunc('hour', start_timestamp) + INTERVAL 1 HOUR AS window_end,
+       service_name, count(*) AS n_errors
+FROM records WHERE level = 'error' GROUP BY 1, 2, 3
+HAVING date_trunc('hour', start_timestamp) + INTERVAL 1 HOUR <= TIMESTAMP '{NOW}' - INTERVAL 10 MINUTE"""))
+def t2(spark, sf):
+    """T2 (batch twin): the error windows that the stream has closed once it saw NOW."""
+    return error_rollup_closed(derive.load_records(spark, sf), NOW, "1 hour", "10 minutes")

@@ -255,21 +255,6 @@ def activity_sessions_batch(chunks: DataFrame, gap_seconds: int = KEEPALIVE_SECO
             .select("run_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n_chunks"))
 
 
-def run_to_memory(df: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append") -> DataFrame:
-    """Drive a streaming query over everything available now into a memory table and return that table.
-
-    The checkpoint defaults to a folder under the shared ``spark.checkpoint.dir``.
-    """
-    if checkpoint is None:
-        from ..session import checkpoint_dir
-        checkpoint = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{name}"
-    q = (df.writeStream.outputMode(mode).format("memory").queryName(name)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return df.sparkSession.table(name)
-
-
 __all__ = ["stream_chunks", "typed_chunks", "stream_error_rollup", "error_rollup_closed", "stream_run_state",
            "run_state_summary", "fold_run_state_summaries", "stream_run_state_compacted", "read_run_state",
-           "stream_approvals", "approvals_batch", "stream_activity_sessions", "activity_sessions_batch",
-           "run_to_memory", "CHUNKS"]
+           "stream_approvals", "approvals_batch", "stream_activity_sessions", "activity_sessions_batch", "CHUNKS"]
