@@ -35,7 +35,9 @@ def test_sse_frames_and_files(spark, scratch):
     for f in frames:
         assert f.frame.startswith("data: ") and f.frame.endswith("\n\n")
         body = json.loads(f.frame[6:])
-        assert "finishReason" in body and "toolCall" in body  # NULL fields kept
+        own = {"done": {"finishReason", "usage"}, "tool_call": {"index", "toolCall"}}[body["type"]]
+        assert set(body) == {"id", "model", "timestamp", "type"} | own  # a kind's NULL fields are kept
+        assert body["type"] != "done" or body["usage"] is None or set(body["usage"]) >= {"totalTokens"} or body["usage"]
     path = os.path.join(scratch, "stream.txt")
     with open(path, "w", encoding="utf-8") as fh:
         for f in frames:
@@ -104,3 +106,38 @@ def test_sse_keeps_non_ascii(spark):
     frames = [r.frame for r in sse.encode_sse(c).collect()]
     assert frames and all("\\u00" not in f for f in frames)
     assert all(any(ord(ch) > 127 for ch in f) for f in frames)
+
+
+def test_every_kind_has_its_own_fields(spark):
+    from tracefold.schemas import CHUNKS
+    rows = []
+    for i, (kind, more) in enumerate([
+            ("content", dict(delta="b", content="ab", role="assistant")), ("thinking", dict(delta="t", content="t")),
+            ("tool_call", dict(tool_call_id="c", tool_name="f", arguments='{"x":1}')), ("tool_result", dict(tool_call_id="c", content="r")),
+            ("tool-input-available", dict(tool_call_id="c", tool_name="f", input='{"y":[1,"ü"]}')),
+            ("approval-requested", dict(tool_call_id="c", tool_name="f", input='{"y":2}')),
+            ("error", dict(error_message="boom")), ("done", dict(finish_reason="stop", usage='{"totalTokens":3}'))]):
+        r = {f.name: None for f in CHUNKS.fields} | dict(run_id="r", seq=i, type=kind, model="m", timestamp=5) | more
+        rows.append(tuple(r[f.name] for f in CHUNKS.fields))
+    chunks = spark.createDataFrame(rows, CHUNKS).withColumn("index", F.lit(0))
+    got = {b["type"]: b for b in (json.loads(r.frame[6:]) for r in sse.encode_sse(chunks).collect())}
+    for b in got.values():
+        assert (b.pop("id"), b.pop("model"), b.pop("timestamp")) == ("r", "m", 5)
+        b.pop("type")
+    assert got == {
+        "content": {"content": "ab", "delta": "b", "role": "assistant"}, "thinking": {"content": "t", "delta": "t"},
+        "tool_call": {"index": 0, "toolCall": {"id": "c", "type": "function", "function": {"name": "f", "arguments": '{"x":1}'}}},
+        "tool_result": {"toolCallId": "c", "content": "r"},
+        "tool-input-available": {"toolCallId": "c", "toolName": "f", "input": {"y": [1, "ü"]}},
+        "approval-requested": {"toolCallId": "c", "toolName": "f", "input": {"y": 2}, "approval": {"id": "c", "needsApproval": True}},
+        "error": {"error": {"message": "boom", "code": None}}, "done": {"finishReason": "stop", "usage": {"totalTokens": 3}}}
+
+
+def test_parsed_chunks_feed_the_text_fold(spark):
+    from tracefold.operators.runs import accumulate_text
+    from tracefold.streaming.streams import typed_chunks
+    lines = [{"id": "r", "model": "m", "timestamp": 1, "type": "content", "seq": i, "content": c, "delta": d}
+             for i, (c, d) in enumerate([("a", "a"), ("ab", "b"), ("abc", "c"), ("x", "x"), ("xy", "y")])]
+    chunks = typed_chunks(spark.createDataFrame([(json.dumps(x),) for x in lines], "payload string"))
+    parts = accumulate_text(chunks, "content", final_only=True).orderBy("last_seq").collect()
+    assert [p.content for p in parts] == ["abc", "xy"]

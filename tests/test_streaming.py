@@ -43,7 +43,7 @@ def _rows(df, cols):
 
 def test_t1_stream_chunks_equals_batch(spark, scratch):
     c = derive.chunks(spark, SF_SMALL)
-    frames = sse.encode_sse(c).select(F.explode(F.split("frame", "\n")).alias("value"))
+    frames = sse.encode_sse(c, with_seq=True).select(F.explode(F.split("frame", "\n")).alias("value"))
     path = os.path.join(scratch, "sse")
     frames.repartition(5).write.text(path)  # several files, like captured streams
     got = run_to_memory(ST.stream_chunks(spark, path, "sse", max_files_per_trigger=2), "t1_chunks",
@@ -146,8 +146,9 @@ def test_t3_compacted_run_state_matches_batch_fold(spark, scratch):
 def test_t1_stream_chunks_json_lines(spark, scratch):
     c = derive.chunks(spark, SF_SMALL).where("type <> 'content'")
     path = os.path.join(scratch, "jsonl")
-    c.select(sse.chunk_json(c).alias("value")).repartition(3).write.text(path)
+    c.select(sse.chunk_json(c, with_seq=True).alias("value")).repartition(3).write.text(path)
     got = run_to_memory(ST.stream_chunks(spark, path, "json"), "t1_jsonl", os.path.join(scratch, "ck"))
+    c = c.withColumns({k: F.to_json(F.try_parse_json(k)) for k in ("input", "usage")})  # JSON values: their keys come sorted
     cols = ["run_id", "seq", "type", "tool_call_id", "tool_name", "arguments", "input", "finish_reason", "usage"]
     assert _rows(got, cols) == _rows(c, cols)
 

@@ -42,7 +42,7 @@ FROM chunks"""))
 def s9(spark, sf):
     """S10 then S9: chunks encoded as event-stream frames (plus [DONE] and keep-alive lines), parsed back."""
     c = derive.chunks(spark, sf)
-    frames = sse.encode_sse(c).select(F.explode(F.split(F.col("frame"), "\n")).alias("value"))
+    frames = sse.encode_sse(c, with_seq=True).select(F.explode(F.split(F.col("frame"), "\n")).alias("value"))
     runs = c.select("run_id").distinct()
     extra = runs.select(F.explode(F.array(F.lit("data: [DONE]"), F.lit(": keep-alive"), F.lit("  "))).alias("value"))
     parsed = sse.parse_sse_lines(frames.unionByName(extra))

@@ -8,28 +8,40 @@ from pyspark.sql import functions as F
 from ..functions.json import is_object_at
 
 
-def chunk_json(chunks: DataFrame) -> Column:
-    """The wire form of a chunk: common fields plus the per-kind fields (camelCase), NULLs kept."""
-    t = F.col("type")
-    tool_call = F.when(t == "tool_call", F.struct(
-        F.col("tool_call_id").alias("id"), F.lit("function").alias("type"),
-        F.struct(F.col("tool_name").alias("name"), F.col("arguments").alias("arguments")).alias("function")))
-    approval = F.when(t == "approval-requested", F.struct(F.col("tool_call_id").alias("id"),
-                                                          F.lit(True).alias("needsApproval")))
-    error = F.when(t == "error", F.struct(F.col("error_message").alias("message"),
-                                          F.lit(None).cast("string").alias("code")))
-    body = F.struct(
-        F.col("run_id").alias("id"), F.col("model"), F.col("timestamp"), t.alias("type"), F.col("seq"),
-        F.col("content"), F.col("delta"), F.col("role"),
-        F.col("tool_call_id").alias("toolCallId"), F.col("tool_name").alias("toolName"),
-        F.col("input"), tool_call.alias("toolCall"), approval.alias("approval"), error.alias("error"),
-        F.col("finish_reason").alias("finishReason"), F.col("usage"))
-    return F.to_json(body, {"ignoreNullFields": "false"})
+def chunk_json(chunks: DataFrame, with_seq: bool = False) -> Column:
+    """The wire form of a chunk: the common fields and those of its kind (camelCase), NULLs of a kind's fields kept.
+
+    ``input`` and ``usage`` are JSON values. ``index`` (W3) and the accumulated ``content`` (W1) of text chunks are
+    taken from columns ``index`` and ``content`` where the table has them. The wire has no ``seq``; ``with_seq``
+    adds it for readers that must put frames of many files back in order.
+    """
+    t, have = F.col("type"), set(chunks.columns)
+    null = F.lit(None).cast("string")
+    text = F.coalesce(F.col("content"), null) if "content" in have else null
+    call = F.struct(F.col("tool_call_id").alias("id"), F.lit("function").alias("type"),
+                    F.struct(F.col("tool_name").alias("name"), F.col("arguments").alias("arguments")).alias("function"))
+    tool = [F.col("tool_call_id").alias("toolCallId"), F.col("tool_name").alias("toolName"), F.try_parse_json("input").alias("input")]
+    index = F.col("index") if "index" in have else F.lit(None).cast("long")
+    fields = {
+        "content": [text.alias("content"), F.col("delta"), F.col("role")],
+        "thinking": [text.alias("content"), F.col("delta")],
+        "tool_call": [index.alias("index"), call.alias("toolCall")],
+        "tool_result": [F.col("tool_call_id").alias("toolCallId"), F.col("content")],
+        "tool-input-available": tool,
+        "approval-requested": [*tool, F.struct(F.col("tool_call_id").alias("id"), F.lit(True).alias("needsApproval")).alias("approval")],
+        "error": [F.struct(F.col("error_message").alias("message"), null.alias("code")).alias("error")],
+        "done": [F.col("finish_reason").alias("finishReason"), F.try_parse_json("usage").alias("usage")],
+    }
+    common = [F.col("run_id").alias("id"), F.col("model"), F.col("timestamp"), t.alias("type")]
+    common += [F.col("seq")] if with_seq else []
+    keep = {"ignoreNullFields": "false"}
+    return F.coalesce(*[F.when(t == kind, F.to_json(F.struct(*common, *own), keep)) for kind, own in fields.items()],
+                      F.to_json(F.struct(*common), keep))
 
 
-def encode_sse(chunks: DataFrame) -> DataFrame:
+def encode_sse(chunks: DataFrame, with_seq: bool = False) -> DataFrame:
     """One ``data: {json}\\n\\n`` frame per chunk (non-ASCII kept as is)."""
-    return chunks.select("run_id", "seq", F.concat(F.lit("data: "), chunk_json(chunks), F.lit("\n\n")).alias("frame"))
+    return chunks.select("run_id", "seq", F.concat(F.lit("data: "), chunk_json(chunks, with_seq), F.lit("\n\n")).alias("frame"))
 
 
 def parse_sse_lines(lines: DataFrame, col: str = "value", strict: bool = False) -> DataFrame:

@@ -43,9 +43,13 @@ WIRE = T.StructType([
 def typed_chunks(parsed: DataFrame, payload: str = "payload") -> DataFrame:
     """Wire JSON -> the wide chunk table (per-kind columns NULL elsewhere), with an event-time column."""
     w = F.from_json(F.col(payload), WIRE)
+    is_text = F.col("w.type").isin("content", "thinking")
     return parsed.select(w.alias("w")).select(
         F.col("w.id").alias("run_id"), F.col("w.seq").alias("seq"), F.col("w.type").alias("type"),
         F.col("w.model").alias("model"), F.col("w.timestamp").alias("timestamp"),
+        # the wire has no part index; a text part starts where the accumulated content is the delta itself
+        F.when(is_text, F.lit(0).cast("long")).alias("part_index"),
+        F.when(is_text, F.coalesce(F.col("w.content") == F.col("w.delta"), F.lit(False))).alias("is_start"),
         F.col("w.delta").alias("delta"), F.col("w.role").alias("role"),
         F.coalesce(F.col("w.toolCallId"), F.col("w.toolCall.id")).alias("tool_call_id"),
         F.coalesce(F.col("w.toolName"), F.col("w.toolCall.function.name")).alias("tool_name"),
