@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracefold.llm import langid, quality, toxicity
+from tracefold.llm import common, langid, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -149,7 +149,7 @@ def test_kneser_ney_equals_direct_recursion(spark):
     toxic, plain = ["abba", "abab", "babab", "abba", "ccc"], ["bbaa", "aabb", "abab", "bab", "bab", "aab", "caca"]
     rows = [(i, " ".join(toxic), 1) for i in range(2)] + [(9, " ".join(plain * 2), 0), (10, None, 0)]
     counts = toxicity.count_grams(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
-    grams = toxicity.kneser_ney([tuple(r) for r in counts.collect()])
+    grams = toxicity.kneser_ney(common.collected(counts))
     words = ["abba", "abab", "zzz", "bbaa", "abz", "c", "ccca", "babbaba"]
     plainly = plain_chances(toxic * 2, plain * 2)
     assert np.allclose(grams.evidence(words), [plainly(w) for w in words])
@@ -159,7 +159,7 @@ def test_toxicity_of_odd_rows(spark, make_docs, odd_texts):
     train = spark.createDataFrame(
         [(i, f"nice day at the lake {i % 7}", 0) for i in range(60)] + [(100 + i, f"you moron scum {i % 5}", 1) for i in range(40)]
         + [(500, None, 1), (501, "x", None)], "doc_id long, text string, toxic int")
-    model = toxicity.fit(train)
+    model = toxicity.fit(train, train)
     docs = make_docs([*odd_texts, (1, "what a moron"), (2, "nice day at the lake now")]).withColumn("score", F.lit("clash"))
     got = {(r.doc_id, r.text): (r.score, r.predicted) for r in toxicity.score(docs, model).collect()}
     assert all(0 <= s <= 1 and p == int(s >= 0.3) for s, p in got.values())
@@ -168,7 +168,7 @@ def test_toxicity_of_odd_rows(spark, make_docs, odd_texts):
     assert toxicity.score(make_docs([]), model).count() == 0
     for only, want in ((0, 0.0), (1, 1.0), (None, 0.0)):
         part = train.where(F.col("toxic") == only) if only is not None else train.where("false")
-        assert {r.score for r in toxicity.score(docs, toxicity.fit(part)).collect()} == {want}
+        assert {r.score for r in toxicity.score(docs, toxicity.fit(train, part)).collect()} == {want}
 
 
 def test_op3_scores_of_held_out_documents(spark, tables):
@@ -206,7 +206,7 @@ def test_quality_of_odd_rows(spark, make_docs, odd_texts):
     train = spark.createDataFrame(
         [(i, f"A sentence, with words {i}. And one more.", 1) for i in range(60)] + [(100 + i, "### ||| ### " * (i + 1), 0) for i in range(40)]
         + [(500, None, 0), (501, "x", None)], "doc_id long, text string, quality int")
-    model = quality.fit(train)
+    model = quality.fit(train, train)
     docs = make_docs([*odd_texts, (1, "A sentence, with words 99. And one more."), (2, "||| ###")]).withColumn("PREDICTED", F.lit("clash"))
     got = {(r.doc_id, r.text): (r.score, r.predicted) for r in quality.score(docs, model).collect()}
     assert all(0 <= s <= 1 and p == int(s >= 0.5) for s, p in got.values())
@@ -214,5 +214,5 @@ def test_quality_of_odd_rows(spark, make_docs, odd_texts):
     assert got[(1, "A sentence, with words 99. And one more.")][1] == 1 and got[(2, "||| ###")][1] == 0
     assert quality.score(make_docs([]), model).count() == 0
     for only, want in ((0, 0), (1, 1)):
-        assert {r.predicted for r in quality.score(docs, quality.fit(train.where(F.col("quality") == only))).collect()} == {want}
-    assert {r.score for r in quality.score(docs, quality.fit(train.where("false"))).collect()} == {0.5}
+        assert {r.predicted for r in quality.score(docs, quality.fit(train, train.where(F.col("quality") == only))).collect()} == {want}
+    assert {r.score for r in quality.score(docs, quality.fit(train, train.where("false"))).collect()} == {0.5}

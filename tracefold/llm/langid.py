@@ -98,8 +98,10 @@ class Model:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regressions of the -1/+1 columns of ``y`` on ``x``, all at once, by Nesterov's accelerated descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Logistic regressions of the -1/+1 columns of ``y`` on ``x``, all at once, by Nesterov's accelerated descent.
+
+    The last column of ``x`` is 1 and gets the intercepts.
+    """
     top = np.ones(x.shape[1], np.float32)
     for _ in range(20):  # power iteration: the step is one over the gradient's Lipschitz constant
         top = x.T @ (x @ (top / np.linalg.norm(top))) / len(x)
@@ -130,10 +132,13 @@ def fit(labelled: DataFrame, per_language: int = 1500, features: int = 4096) ->
                 pa.array([lang for lang, _ in rows], pa.string()),
                 pa.array([p.astype(np.float16).tobytes() for _, p in rows], pa.binary())], names=["lang", "profile"])
 
-    rows = sorted(picked.mapInArrow(run, "lang string, profile binary").collect())
-    x = np.array([np.frombuffer(r.profile, np.float16) for r in rows], dtype=np.float32).reshape(len(rows), features)
-    y = codewords(len(languages))[[languages.index(r.lang) for r in rows]]
-    return Model(languages, codewords(len(languages)), *logistic(x, y))
+    table = picked.mapInArrow(run, "lang string, profile binary").toArrow()
+    x = np.ones((table.num_rows, features + 1), np.float32)
+    for i, p in enumerate(table.column("profile")):
+        x[i, :-1] = np.frombuffer(p.as_buffer(), np.float16)
+    code = codewords(len(languages))
+    y = code[[languages.index(lang) for lang in table.column("lang").to_pylist()]].reshape(-1, code.shape[1])
+    return Model(languages, code, *logistic(x, y))
 
 
 ADDED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),

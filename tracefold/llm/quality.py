@@ -90,22 +90,21 @@ def tree_1d(g: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def tree_2d(g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A depth-two tree on a pair's grid: one cut on one feature, then each side cut on the other."""
+    """The best depth-two tree on a pair's grid: a cut on one feature, then each side cut on the other."""
     best, won = np.full(g.shape, -g.sum() / (h.sum() + 1.0)), gain(g.sum(), h.sum())
     for turn in (False, True):
         a, b = (g.T, h.T) if turn else (g, h)
-        cut = split(a.sum(axis=1), b.sum(axis=1))
-        step, total = np.empty(a.shape), 0.0
-        for lo, hi in ((0, cut), (cut, len(a))):
-            if lo < hi:
+        for cut in range(1, len(a)):
+            step, total = np.empty(a.shape), 0.0
+            for lo, hi in ((0, cut), (cut, len(a))):
                 ga, ha = a[lo:hi].sum(axis=0), b[lo:hi].sum(axis=0)
                 mid = split(ga, ha)
                 for p, q in ((0, mid), (mid, len(ga))):
                     if p < q:
                         step[lo:hi, p:q] = -ga[p:q].sum() / (ha[p:q].sum() + 1.0)
                         total += gain(ga[p:q].sum(), ha[p:q].sum())
-        if total > won:
-            best, won = (step.T if turn else step), total
+            if total > won:
+                best, won = (step.T if turn else step), total
     return best
 
 
@@ -172,24 +171,21 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 60
     return Model(intercept, tuple(cut), tuple(tables), tuple(chosen), tuple(coarse), tuple(grids))
 
 
-def fit(labelled: DataFrame, rows: int = 10_000) -> Model:
-    """Fit on a bounded sample of (doc_id, text, quality)."""
-    known = labelled.where(F.col("quality").isin(0, 1)).select("doc_id", "text", F.col("quality").cast("int").alias("y"))
-    n = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(n) < 2:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000) -> Model:
+    """Fit on a bounded sample of the texts that ``labels`` (doc_id, quality) names."""
+    picked, n, _ = common.labelled_sample(docs, labels, "quality", {0: rows, 1: rows}, "quality")
+    if picked is None:
         return constant({(): 0.5, (0,): 1e-9, (1,): 1 - 1e-9}[tuple(n)])
-    share = F.when(F.col("y") == 1, min(1.0, rows / n[1])).otherwise(min(1.0, rows / n[0]))
-    picked = known.where(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 31)) < share * (1 << 31))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [statistics(t) for t in common.texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    found = sorted(map(tuple, picked.select("text", "y").mapInArrow(run, "y int, x array<double>").collect()))
+    found = sorted(map(tuple, picked.select("text", "label").mapInArrow(run, "y int, x array<double>").collect()))
     y = np.array([r[0] for r in found], dtype=float)
-    if y.min() == y.max():
-        return constant(1e-9 if y.max() == 0 else 1 - 1e-9)
+    if len(set(y)) < 2:
+        return constant({(): 0.5, (0.0,): 1e-9, (1.0,): 1 - 1e-9}[tuple(set(y))])
     return boost(np.array([r[1] for r in found]), y)
 
 
@@ -208,7 +204,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, quality) that a model may learn from: two of three folds of the ids."""
-    known = labels.where(common.fold("doc_id", 3) != 1).select("doc_id", "quality")
-    return docs.where(common.fold("doc_id", 3) != 1).select("doc_id", "text").join(known, "doc_id")
+def learning_labels(labels: DataFrame) -> DataFrame:
+    """The labels that a model may learn from: two of three folds of the ids."""
+    return labels.where(common.fold("doc_id", 3) != 1)
