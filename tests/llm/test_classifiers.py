@@ -38,9 +38,9 @@ def test_languages_of_odd_rows(spark, make_docs, odd_texts):
         + [(900, "x", None, "s", 1), (901, None, "en", "s", 1), (902, "12 34", "de", "s", 1)],
         "doc_id long, text string, lang string, source string, n_chars long")
     model = langid.fit(train)
-    docs = make_docs([*odd_texts, (1, "und die katze"), (2, "12 -- !"), (2, "12 -- !")]).withColumn("score", F.lit("clash"))
+    docs = make_docs([*odd_texts, (1, "und die katze"), (2, "12 -- !"), (2, "12 -- !"), (3, "² ½ Ⅷ")]).withColumn("score", F.lit("clash"))
     got = [tuple(r) for r in langid.identify(docs, model).select("text", "lang_pred", "score", "ambiguous").collect()]
-    assert len(got) == len(odd_texts) + 3
+    assert len(got) == len(odd_texts) + 4
     for text, lang, score, unsure in got:
         if not any(c.isalpha() for c in text or ""):
             assert (lang, score, unsure) == ("und", 0.0, True)

@@ -40,7 +40,7 @@ SPREAD = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], dtype=np.uint32)
 def profile(text: str | None, features: int) -> np.ndarray | None:
     """Share of each hashed letter n-gram, square-rooted; None without a letter. Long texts are counted in blocks."""
     words = LETTERS.findall((text or "").lower())
-    if not words:
+    if not any(any(map(str.isalpha, w)) for w in words):  # the pattern also takes numerals such as ² and Ⅷ
         return None
     total, shift = np.zeros(features), np.uint32(32 - (features.bit_length() - 1))
     tail = ""  # the letters before a block, which its first n-grams begin with
