@@ -1,7 +1,7 @@
 """The three tool calls of the chat agent, composed from the library's operators.
 
 * ``execute_sql``      guarded query (G7) -> Parquet artifact + manifest (S6) -> tool-result envelope (G8)
-* ``preview_schema``   schema report (S3) -> DDL text (S4)
+* ``preview_schema``   column metadata -> DDL text (S4)
 * ``export_csv``       live-artifact check (J4/T10) -> CSV (S7)
 
 Each returns the envelope text a client receives; failures are envelopes with
@@ -15,7 +15,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.catalog import schema_report, schema_text
+from .operators.catalog import column_metadata, schema_text
 from .operators.guard import guarded_query
 from .schemas import ARTIFACT_TTL_MINUTES, LEVELS, SQL_MAX_LIMIT
 from .sources import artifacts as store
@@ -59,8 +59,7 @@ def preview_schema(spark: SparkSession, tables: dict[str, DataFrame] | None = No
             domains = {"log_level": LEVELS}
         if not tables:
             return _envelope("Database Schema:\n(no tables found)")
-        report = schema_report(spark, tables, exact=False)
-        rows = schema_text(report, domains).orderBy(F.col("kind").desc(), "name").collect()
+        rows = schema_text(column_metadata(spark, tables), domains).orderBy(F.col("kind").desc(), "name").collect()
         enums = [r["ddl"] for r in rows if r["kind"] == "enum"]
         ddl = [r["ddl"] for r in rows if r["kind"] == "table"]
         parts = []

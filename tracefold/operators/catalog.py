@@ -72,12 +72,15 @@ def schema_report(spark: SparkSession, tables: dict[str, DataFrame], exact: bool
     for name, df in tables.items():
         p = profile(name, df, exact)
         prof = p if prof is None else prof.unionByName(p)
-    return (F.broadcast(meta).join(prof, ["table_name", "column_name"], "left")
+    return (meta.join(prof, ["table_name", "column_name"], "left")
             .orderBy("table_name", "ordinal"))
 
 
 def schema_text(report: DataFrame, domains: dict[str, list[str]] | None = None) -> DataFrame:
-    """One CREATE TYPE line per enum and one CREATE TABLE block per table."""
+    """One CREATE TYPE line per enum and one CREATE TABLE block per table.
+
+    Needs the columns of ``column_metadata`` only, so no table is read.
+    """
     col_def = F.concat(F.lit("    "), F.col("column_name"), F.lit(" "), F.col("data_type"),
                        F.when(F.col("not_null"), F.lit(" NOT NULL")).otherwise(F.lit("")))
     tables = (report.groupBy("table_name")
@@ -122,7 +125,7 @@ def domain_columns(meta: DataFrame, domain: DataFrame, column_enum: dict[tuple[s
     spark = meta.sparkSession
     link = spark.createDataFrame([(t, c, e) for (t, c), e in column_enum.items()],
                                  "table_name string, column_name string, enum_name string")
-    return (meta.join(F.broadcast(link), ["table_name", "column_name"])
-            .join(F.broadcast(domain), "enum_name")
+    return (meta.join(link, ["table_name", "column_name"])
+            .join(domain, "enum_name")
             .select("table_name", "column_name", "enum_name", "value", "sort_order")
             .orderBy("enum_name", "sort_order"))

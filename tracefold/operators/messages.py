@@ -101,18 +101,16 @@ def dump_messages(parts: DataFrame) -> DataFrame:
     return req.unionByName(resp)
 
 
-def history_for_run(requests: DataFrame, state: DataFrame, salt: int = 16) -> DataFrame:
+def history_for_run(requests: DataFrame, state: DataFrame) -> DataFrame:
     """where a request's history comes from.
 
     A stored run wins ('store'); a continuation without a stored run is an
-    error row; otherwise the request's own messages minus a trailing user prompt.
-    The join is salted: requests carry ``turn % salt`` and each state row is
-    repeated once per salt value, so the requests of one busy run meet its
-    state in up to ``salt`` tasks instead of one.
+    error row; otherwise the request's own messages minus a trailing user prompt
+    (``request_history`` gives these). State has one row per run, so the requests of
+    a busy run are split by Spark's skew join, without copying any state row.
     """
-    st = (state.select(RUN, F.col("messages").alias("stored_messages"), F.lit(True).alias("__stored"))
-          .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))))
-    j = requests.withColumn("__salt", F.pmod(F.col("turn"), F.lit(salt))).join(st, [RUN, "__salt"], "left")
+    st = state.select(RUN, F.col("messages").alias("stored_messages"), F.lit(True).alias("__stored"))
+    j = requests.join(st, RUN, "left")
     stored = F.coalesce(F.col("__stored"), F.lit(False))
     source = (F.when(stored, F.lit("store"))
               .when(F.col("is_continuation"), F.lit("error"))
