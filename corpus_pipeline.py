@@ -11,10 +11,13 @@ of rows without an id, one a group). Documents contaminated by the benchmark go.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import decontam, langid, packing, simhash, toxicity
+from tracefold.llm import common, decontam, langid, packing, simhash, toxicity
 from tracefold.llm.queries import END_ID, tokenizer_path
 from tracefold.session import materialize
 from tracefold.sources.tables import table
@@ -23,22 +26,36 @@ DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC = 0.3
 
 
+def stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage runs with small Arrow batches."""
+
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.bounded_batches(spark)
+        return fn(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def documents(df: DataFrame) -> DataFrame:
     return df.select(*DOCUMENTS)
 
 
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID (6): documents of no language go."""
     model = langid.fit(langid.learning_rows(table(spark, sf_dir, "documents")))
     return documents(langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN))
 
 
+@stage
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity (2): documents scored toxic go."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), toxicity.learning_labels(table(spark, sf_dir, "labels")))
     return documents(toxicity.score(docs, model, TOXIC).where(F.col("predicted") == 0))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup (1): the row with the least doc_id of each group stays."""
     found = simhash.near_duplicates(docs, shingle=3, distance=2)
@@ -50,12 +67,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return documents(named).unionByName(documents(unnamed))
 
 
+@stage
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination (7): contaminated documents go."""
     judged = decontam.judged(docs, table(spark, sf_dir, "benchmark"), window=13)
     return documents(judged.where(~F.col("contaminated")))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing (5): the documents left, as pieces of sequences of at most 4096 ids."""
     return packing.pack(docs, tokenizer_path(), END_ID)
@@ -71,6 +90,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage's rows are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, step in STAGES[:-1]:
+        docs = materialize(step(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,11 +6,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500, size: str = "16m") -> None:
+    """Rows here hold whole texts, so Arrow batches are kept small: at most ``rows`` rows and about ``size`` bytes.
+
+    A setting of the session that is already lower stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the column's text, modulo ``modulus`` (null ids hash as empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -15,7 +15,7 @@ import numpy as np
 
 LANES = 256
 BITS = 20
-CHECKPOINT_STEPS = 256
+CHECKPOINT_STEPS = 128
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 

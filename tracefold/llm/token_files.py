@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from . import common, rans, tokens
 
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 16
 RAW = "part int, block int, local_start long, n_ids long, n_docs long, doc_ids array<long>, sizes array<long>, ids binary"
 CODED = "part int, block int, first_doc long, first_id long, n_ids long, n_docs long, payload binary"
 
@@ -141,29 +141,32 @@ def read_table(spark: SparkSession, path: str) -> rans.Table:
     return rans.Table(freq)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Decode every block on its own: (doc_id, start, n_tokens, ids_crc32, ids as little-endian 32-bit integers)."""
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Decode every block on its own: (doc_id, start, n_tokens, ids_crc32[, ids as little-endian 32-bit integers])."""
     table = read_table(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, starts = table.slots(), table.starts()
         for first, payload in common.rows_of(batches, "first_id", "payload"):
             block = rans.Block(payload)
-            data = block.decode(table, slots, starts).astype("<u4").tobytes()
+            data = memoryview(block.decode(table, slots, starts).astype("<u4")).cast("B")
             ends = np.cumsum([n for _, n in block.docs])
             begins = ends - [n for _, n in block.docs]
-            parts = [data[4 * a: 4 * b] for a, b in zip(begins, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([d for d, _ in block.docs], pa.int64()), pa.array(begins + first, pa.int64()),
-                pa.array([n for _, n in block.docs], pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64()),
-                pa.array(parts, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+            parts = [data[4 * a: 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+            columns = {
+                "doc_id": pa.array([d for d, _ in block.docs], pa.int64()), "start": pa.array(begins + first, pa.int64()),
+                "n_tokens": pa.array([n for _, n in block.docs], pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(p) for p in parts], pa.int64())}
+            if with_ids:
+                columns["ids"] = pa.array([bytes(p) for p in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return spark.read.schema(CODED).parquet(f"{path}/blocks").select("first_id", "payload").mapInArrow(
-        run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    return spark.read.schema(CODED).parquet(f"{path}/blocks").select("first_id", "payload").mapInArrow(run, schema)
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write the token files of ``docs`` into the shared folder, read them back, and report each document."""
     path = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/token-files-{uuid.uuid4().hex[:12]}"
     write_tokens(docs, path, tokenizer, end_id)
-    return read_tokens(docs.sparkSession, path).drop("ids")
+    return read_tokens(docs.sparkSession, path, with_ids=False)

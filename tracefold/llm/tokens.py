@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 
 # The tokenizer file's pattern for printable ASCII and Latin-1 letters, after lower-casing.
 FAST_CHUNK = re.compile("[!-~À-ÖØ-öø-ÿ]+")
