@@ -1,14 +1,16 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests. DataFrame functions only.
 
-A text's units are its lines, cut at sentence ends; a text with fewer than ``FEW`` of them also has its words as
-units, or an edit would leave it little in common. The set of the units' 64-bit digests goes into cells: a digest is hashed (with a salt) to
-a key that is added to one cell in each of ``ROWS`` rows of ``WIDTH``; a cell keeps the number of keys and the xor
-of the keys and of their checks. Subtracting two versions' cells cancels what they share. A cell with one key left
-whose check fits is pure; peeling takes such keys out of all their cells until none is left.
-
-The fingerprint is one page of cells, of fixed size. Two fingerprints are subtracted and peeled first; where that
-fails (too many differences), sketches of more pages are made from the digests, sized for all units of both
-sides, then doubled with a new salt until peeling succeeds. A page holds few keys whatever the text's length, so the
+A text's units are its lines; a line over ``LONG`` characters is cut into its sentences, and a sentence over ``LONG``
+into its words. In a text under ``MIDDLE`` characters all sentences are units too, under ``SHORT`` also all words,
+or an edit would leave a text of few lines nothing in common. The set of the units' 64-bit digests goes into cells: a digest
+is hashed (with a salt) to a key that is added to one cell in each of ``ROWS`` rows; a cell keeps the number of keys
+and the xor of the keys and of their checks. Subtracting two versions' cells cancels what they share. A cell with
+one key left whose check fits is pure; peeling takes such keys out of all their cells until none is left.
+
+The fingerprint is one page of ``ROWS`` rows of ``WIDTH`` cells, of fixed size. Two fingerprints are subtracted and
+peeled first. Where that fails (too many differences) a larger sketch is made of the digests: as many small pages
+as the units of both sides need, each peeled on its own. A page that does not peel is sketched again from its own
+digests, on ever more pages with a new salt each time. A page holds few keys whatever the text's length, so the
 work is near linear in it. All of this is one expression on a row: no shuffle, no unbounded group.
 
 The edited text needs the next document in descending ``doc_id``. Rows are dealt out by ranges of ``doc_id``
@@ -30,11 +32,11 @@ from pyspark.sql import functions as F
 from . import common
 
 ROWS, WIDTH = 4, 8
-CELLS = ROWS * WIDTH
-FEW = 8
-PAGE_KEYS = 8
+PAGE_WIDTH, PAGE_KEYS = 4, 3
+SHORT, MIDDLE, LONG = 400, 3000, 1200
 ATTEMPTS = 12
-UNITS = r"\n+|(?<=[.!?])\s+"
+ROUNDS = 10
+SENTENCES = r"(?<=[.!?])\s+"
 DIFFERENCE = "struct<mine: array<bigint>, theirs: array<bigint>>"
 
 
@@ -45,8 +47,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def digests(text: Column) -> Column:
     """The set of the digests of a text's units."""
-    units = F.split(text, UNITS)
-    every = F.when(F.size(units) < FEW, F.concat(units, F.split(text, r"\s+"))).otherwise(units)
+    def cut(units: Column, pattern: str) -> Column:
+        return F.flatten(F.transform(units, lambda u: F.when(F.length(u) > LONG, F.split(u, pattern)).otherwise(F.array(u))))
+
+    lines = cut(cut(F.split(text, r"\n+"), SENTENCES), r"\s+")
+    none = F.array().cast("array<string>")
+    every = F.concat(lines, F.when(F.length(text) < MIDDLE, F.split(text, rf"\n+|{SENTENCES}")).otherwise(none),
+                     F.when(F.length(text) < SHORT, F.split(text, r"\s+")).otherwise(none))
     return F.array_distinct(F.transform(F.filter(every, lambda u: F.trim(u) != ""), lambda u: F.xxhash64(u)))
 
 
@@ -54,85 +61,78 @@ def shift(fn: str, value: Column, by: Column) -> Column:
     return F.call_function(fn, value, by.cast("int"))
 
 
-def keyed(digest_set: Column, sign: int, salt: Column) -> Column:
-    """Keys of the digests: key, check, the cells it goes to as bits, sign."""
+def cell_bits(key: Column, width: int) -> Column:
+    """The cells of a key: one bit in each row's ``width`` bits."""
+    bits = [shift("shiftleft", F.lit(1).cast("long"), F.shiftright(key, 40 + 4 * r).bitwiseAND(F.lit(width - 1).cast("long")) + r * width)
+            for r in range(ROWS)]
+    out = bits[0]
+    for b in bits[1:]:
+        out = out.bitwiseOR(b)
+    return out
+
+
+def keyed(digest_set: Column, sign: int, salt: Column, width: int) -> Column:
+    """Keys of the digests: key, check, the cells it goes to as bits, sign, digest."""
+    return F.transform(digest_set, lambda d: let(F.xxhash64(salt, d), lambda k: F.struct(
+        k.alias("k"), F.xxhash64(k).alias("c"), cell_bits(k, width).alias("m"), F.lit(sign).alias("n"), d.alias("d"))))
 
-    def one(k: Column) -> Column:
-        cells = [shift("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 40 + 4 * r).bitwiseAND(F.lit(WIDTH - 1).cast("long")) + r * WIDTH)
-                 for r in range(ROWS)]
-        bits = cells[0]
-        for c in cells[1:]:
-            bits = bits.bitwiseOR(c)
-        return F.struct(k.alias("k"), F.xxhash64(k).alias("c"), bits.alias("m"), F.lit(sign).alias("g"))
 
-    return F.transform(digest_set, lambda d: let(F.xxhash64(salt, d), one))
+def added(cell: Column, x: Column, sign: int) -> Column:
+    """A cell with a key added (1) or taken out (-1), if it is one of the key's cells."""
+    return F.when(x["m"].bitwiseAND(cell["b"]) != 0, F.struct(
+        cell["b"].alias("b"), (cell["n"] + x["n"] if sign > 0 else cell["n"] - x["n"]).alias("n"),
+        cell["k"].bitwiseXOR(x["k"]).alias("k"), cell["c"].bitwiseXOR(x["c"]).alias("c"))).otherwise(cell)
 
 
-def page(keys: Column) -> Column:
-    """The cells of one page: index, number of keys, xor of keys, xor of checks."""
+def page(keys: Column, width: int) -> Column:
+    """The cells of one page: its bit, number of keys, xor of keys, xor of checks."""
     zero = F.lit(0).cast("long")
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.aggregate(
-        keys, F.struct(i.alias("i"), F.lit(0).alias("n"), zero.alias("k"), zero.alias("c")),
-        lambda s, x: F.when(shift("shiftright", x["m"], i).bitwiseAND(F.lit(1).cast("long")) == 1, F.struct(
-            s["i"].alias("i"), (s["n"] + x["g"]).alias("n"), s["k"].bitwiseXOR(x["k"]).alias("k"),
-            s["c"].bitwiseXOR(x["c"]).alias("c"))).otherwise(s)))
+    return F.transform(F.array(*[F.lit(1 << i).cast("long") for i in range(ROWS * width)]), lambda b: F.aggregate(
+        keys, F.struct(b.alias("b"), F.lit(0).alias("n"), zero.alias("k"), zero.alias("c")), lambda s, x: added(s, x, 1)))
 
 
 def subtract(a: Column, b: Column) -> Column:
     """Cells of one page less those of another."""
     return F.zip_with(a, b, lambda x, y: F.struct(
-        x["i"].alias("i"), (x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
+        x["b"].alias("b"), (x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
 
 
 def occupied(cells: Column) -> Column:
     return F.filter(cells, lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["c"] != 0))
 
 
-def peel(cells: Column) -> Column:
-    """Take pure keys out until none is left: the cells that remain, keys of the first side, keys of the second."""
+def peel(cells: Column, width: int) -> Column:
+    """Take pure keys out, round by round: the cells that remain, keys of the first side, keys of the second."""
     none = F.array().cast("array<bigint>")
 
-    def take(s: Column, cell: Column) -> Column:
-        """``s`` less the key of a pure cell."""
-        def without(x: Column) -> Column:
-            rest = F.transform(s["cells"], lambda c: F.when(
-                shift("shiftright", x["m"], c["i"]).bitwiseAND(F.lit(1).cast("long")) == 1, F.struct(
-                    c["i"].alias("i"), (c["n"] - x["n"]).alias("n"), c["k"].bitwiseXOR(x["k"]).alias("k"),
-                    c["c"].bitwiseXOR(x["c"]).alias("c"))).otherwise(c))
-            return F.struct(
-                occupied(rest).alias("cells"),
-                F.when(x["n"] == 1, F.concat(s["mine"], F.array(x["k"]))).otherwise(s["mine"]).alias("mine"),
-                F.when(x["n"] == -1, F.concat(s["theirs"], F.array(x["k"]))).otherwise(s["theirs"]).alias("theirs"))
-
-        bits = [shift("shiftleft", F.lit(1).cast("long"), F.shiftright(cell["k"], 40 + 4 * r).bitwiseAND(F.lit(WIDTH - 1).cast("long")) + r * WIDTH)
-                for r in range(ROWS)]
-        mask = bits[0]
-        for b in bits[1:]:
-            mask = mask.bitwiseOR(b)
-        return let(F.struct(cell["n"].alias("n"), cell["k"].alias("k"), cell["c"].alias("c"), mask.alias("m")), without)
-
     def step(s: Column, _: Column) -> Column:
-        pure = F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"]) == c["c"]))
-        return let(pure, lambda p: F.when(F.size(p) == 0, s).otherwise(take(s, F.element_at(p, 1))))
+        pure = F.transform(
+            F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"]) == c["c"])),
+            lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["c"].alias("c"), cell_bits(c["k"], width).alias("m")))
+        return let(F.array_distinct(pure), lambda p: F.when(F.size(p) == 0, s).otherwise(F.struct(
+            occupied(F.transform(s["cells"], lambda c: F.aggregate(p, c, lambda a, x: added(a, x, -1)))).alias("cells"),
+            F.concat(s["mine"], F.transform(F.filter(p, lambda x: x["n"] == 1), lambda x: x["k"])).alias("mine"),
+            F.concat(s["theirs"], F.transform(F.filter(p, lambda x: x["n"] == -1), lambda x: x["k"])).alias("theirs"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(
+        occupied(cells).alias("cells"), none.alias("mine"), none.alias("theirs")), step)
 
-    return let(occupied(cells), lambda o: F.aggregate(
-        F.sequence(F.lit(0), F.size(o)), F.struct(o.alias("cells"), none.alias("mine"), none.alias("theirs")), step))
 
+def done(peeled: Column) -> Column:
+    """The difference that a page gave, or null if it did not peel."""
+    return F.when(F.size(peeled["cells"]) == 0, F.struct(peeled["mine"].alias("mine"), peeled["theirs"].alias("theirs")).cast(DIFFERENCE))
 
-def whole(results: Column) -> Column:
-    """The pages' differences, or null if any page did not peel."""
-    return F.when(F.forall(results, lambda r: F.size(r["cells"]) == 0), F.struct(
-        F.flatten(F.transform(results, lambda r: r["mine"])).alias("mine"),
-        F.flatten(F.transform(results, lambda r: r["theirs"])).alias("theirs")).cast(DIFFERENCE))
 
+def attempt(a: Column, b: Column, number: Column, otherwise: Callable[[Column], Column] | None = None) -> Column:
+    """Sketch both digest sets on 2^e pages, subtract, peel: the differing keys, or null.
 
-def attempt(a: Column, b: Column, number: Column) -> Column:
-    """Sketch both digest sets on 2^e pages, subtract, peel: the differing keys, or null."""
-    e = (F.ceil(F.log2(F.greatest(F.size(a) + F.size(b), F.lit(1)) / PAGE_KEYS)).cast("int"))
+    ``otherwise`` makes the difference of a page that does not peel from the page's keys.
+    """
+    e = F.ceil(F.log2(F.greatest(F.size(a) + F.size(b), F.lit(1)) / PAGE_KEYS)).cast("int")
     e = F.greatest(e, F.lit(0)) + number - 1
-    wide = F.shiftright(e, 1)  # pages are found in two steps of about the square root of their number
 
     def pages(keys: Column, bits: Column, outer: Column) -> Column:
+        """Keys by page, found in two steps of about the square root of the number of pages."""
         inner, low = bits - outer, shift("shiftleft", F.lit(1).cast("long"), bits - outer) - 1
         top = shift("shiftleft", F.lit(1).cast("long"), outer) - 1
         return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), top), lambda t: let(
@@ -140,18 +140,35 @@ def attempt(a: Column, b: Column, number: Column) -> Column:
             lambda part: F.transform(F.sequence(F.lit(0).cast("long"), low),
                                      lambda q: F.filter(part, lambda x: x["k"].bitwiseAND(low) == q)))))
 
-    keys = F.concat(keyed(a, 1, number), keyed(b, -1, number))
-    found = let(F.struct(keys.alias("keys"), e.alias("e"), wide.alias("w")), lambda s: pages(s["keys"], s["e"], s["w"]))
-    return let(F.transform(found, lambda p: peel(page(p))), whole)
+    def solved(p: Column) -> Column:
+        first = let(peel(page(p, PAGE_WIDTH), PAGE_WIDTH), done)
+        return F.coalesce(first, otherwise(p)) if otherwise else first
+
+    def whole(parts: Column) -> Column:
+        return F.when(F.forall(parts, lambda r: r.isNotNull()), F.struct(
+            F.flatten(F.transform(parts, lambda r: r["mine"])).alias("mine"),
+            F.flatten(F.transform(parts, lambda r: r["theirs"])).alias("theirs")).cast(DIFFERENCE))
+
+    keys = F.concat(keyed(a, 1, number, PAGE_WIDTH), keyed(b, -1, number, PAGE_WIDTH))
+    found = let(F.struct(keys.alias("keys"), e.alias("e"), F.shiftright(e, 1).alias("w")), lambda s: pages(s["keys"], s["e"], s["w"]))
+    return let(F.transform(F.filter(found, lambda p: F.size(p) > 0), solved), whole)
+
+
+def again(p: Column) -> Column:
+    """The difference of a page that did not peel: its digests on ever larger sketches with new salts."""
+    mine, theirs = (F.transform(F.filter(p, lambda x: x["n"] == n), lambda x: x["d"]) for n in (1, -1))
+    return let(F.struct(mine.alias("mine"), theirs.alias("theirs")), lambda s: F.aggregate(
+        F.sequence(F.lit(2), F.lit(ATTEMPTS)), F.lit(None).cast(DIFFERENCE),
+        lambda found, t: F.coalesce(found, attempt(s["mine"], s["theirs"], t))))
 
 
 def differences(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """Keys that only one side has: from the fingerprints' cells if these peel, else from ever larger sketches.
+    """Keys that only one side has: from the fingerprints' cells if these peel, else from larger sketches.
 
-    ``theirs`` and ``mine`` are keys of the attempt that succeeded, one for each differing digest.
+    ``mine`` and ``theirs`` hold one key for each differing digest, under the salt of the attempt that gave it.
     """
-    first = let(F.array(peel(subtract(cells_a, cells_b))), whole)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS)), first, lambda done, t: F.coalesce(done, attempt(a, b, t)))
+    first = let(peel(subtract(cells_a, cells_b), WIDTH), done)
+    return F.coalesce(first, attempt(a, b, F.lit(1), again))
 
 
 def likeness(a: Column, b: Column, difference: Column) -> Column:
@@ -166,30 +183,31 @@ def as_text(cells: Column) -> Column:
         F.lpad(F.hex(F.pmod(c["n"], F.lit(65536))), 4, "0"), F.lpad(F.hex(c["k"]), 16, "0"), F.right(F.lpad(F.hex(c["c"]), 16, "0"), F.lit(4))))))
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, units, cells) of every text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    units = docs.select("doc_id", text.alias("text")).withColumn("units", digests(F.col("text")))
-    return units.withColumn("cells", page(keyed(F.col("units"), 1, F.lit(0))))
+def sketched(texts: DataFrame) -> DataFrame:
+    """``texts`` with the digests of each text and the cells of its fingerprint."""
+    units = texts.withColumn("units", digests(F.col("text")))
+    return units.withColumn("cells", page(keyed(F.col("units"), 1, F.lit(0), WIDTH), WIDTH))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` with ``next_<column>`` of the next row in descending doc_id (after the last: the first)."""
+def with_next(docs: DataFrame) -> DataFrame:
+    """``sketched`` rows with next_text, next_units and next_cells of the next row in descending doc_id (after the last: the first)."""
     order = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))
     bounds = common.range_bounds(docs, "doc_id", common.shuffle_parts(docs))
     part = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= order.cast("double"))) if len(bounds) else F.lit(0)
-    keyed_docs = docs.withColumn("_order", order).withColumn("_part", part)
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+                        order.alias("_order"), part.alias("_part"))
     window = Window.partitionBy("_part").orderBy(F.col("_order").desc(), "text")
-    following = keyed_docs.withColumn("_next", F.lead(F.struct(*columns)).over(window))
+    following = sketched(texts).withColumn("_next", F.lead(F.struct("text", "units", "cells")).over(window))
     # the first row of each range: its greatest id, found on ids alone, and of that id the least text
-    greatest = keyed_docs.groupBy("_part").agg(F.max("_order").alias("_order"))
-    heads = keyed_docs.join(greatest, ["_part", "_order"]).groupBy("_part").agg(
-        F.min(F.struct("text", *[c for c in columns if c != "text"])).alias("_head"))
+    greatest = texts.groupBy("_part").agg(F.max("_order").alias("_order"))
+    heads = texts.join(greatest, ["_part", "_order"]).groupBy("_part").agg(F.min("text").alias("text"))
     ranges = Window.orderBy(F.col("_part").desc())
-    heads = heads.select("_part", F.coalesce(F.lead("_head").over(ranges), F.first("_head").over(
-        ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_wrap"))
-    return following.join(heads, "_part").select(*docs.columns, *[
-        F.coalesce(F.col("_next")[c], F.col("_wrap")[c]).alias(f"next_{c}") for c in columns])
+    wrapped = heads.select("_part", F.coalesce(F.lead("text").over(ranges), F.first("text").over(
+        ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("text"))
+    wrapped = sketched(wrapped).select("_part", F.struct("text", "units", "cells").alias("_wrap"))
+    after = F.coalesce("_next", "_wrap")
+    return following.join(wrapped, "_part").withColumn("_after", after).select(
+        "doc_id", "text", "units", "cells", *[F.col("_after")[c].alias(f"next_{c}") for c in ("text", "units", "cells")])
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -200,9 +218,9 @@ def edited(text: Column, following: Column) -> Column:
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and the likeness to that and to the next document."""
-    rows = with_next(sketched(docs), ["text", "units", "cells"])
+    rows = with_next(docs)
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("edited_units", digests(F.col("edited")))
-    rows = rows.withColumn("edited_cells", page(keyed(F.col("edited_units"), 1, F.lit(0))))
+    rows = rows.withColumn("edited_cells", page(keyed(F.col("edited_units"), 1, F.lit(0), WIDTH), WIDTH))
 
     def near(units: str, cells: str) -> Column:
         return let(differences(F.col("units"), F.col(units), F.col("cells"), F.col(cells)),
