@@ -1,5 +1,7 @@
 """Toxicity, language and quality models: held-out accuracy, the models' own rules, odd rows."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -171,6 +173,29 @@ def test_toxicity_of_odd_rows(spark, make_docs, odd_texts):
         assert {r.score for r in toxicity.score(docs, toxicity.fit(train, part)).collect()} == {want}
 
 
+def test_toxicity_beside_digits_and_without_blanks(spark, make_docs):
+    rnd, words, toxic = random.Random(5), "今天 我们 公园 散步 看花 天气 很好 朋友 吃饭 回家 明天 开心".split(), "你这个白痴快滚开"
+
+    def sentence(inner=""):
+        """A text without blanks, with a year and ``inner`` somewhere."""
+        parts = [*rnd.choices(words, k=rnd.randint(20, 60)), inner]
+        rnd.shuffle(parts)
+        return "".join(parts[:9]) + f"{rnd.randint(1900, 2030)}年" + "".join(parts[9:])
+
+    train = spark.createDataFrame(
+        [(i, f"nice day at the lake {i % 7} and home again", 0) for i in range(100)] + [(100 + i, f"you moron scum {i % 5}", 1) for i in range(100)]
+        + [(200 + i, sentence(), 0) for i in range(200)] + [(400 + i, sentence(toxic), 1) for i in range(200)],
+        "doc_id long, text string, toxic int")
+    model = toxicity.fit(train, train)
+    bad = ["what a moron2024", "you scum,12", "7moron8", *[sentence(toxic) for _ in range(40)]]
+    good = ["nice day2024", "12345", "lake,12 and home", *[sentence() for _ in range(40)]]
+    rows = {r.text: r.predicted for r in toxicity.score(make_docs(list(enumerate([*bad, *good]))), model).collect()}
+    assert rows == {**dict.fromkeys(bad, 1), **dict.fromkeys(good, 0)}
+    assert toxicity.words_of("id1ot 12 x") == ["id", "ot", "x"]
+    for at in range(200):  # an expression is whole in some piece, wherever it stands
+        assert any(toxic in p for p in toxicity.words_of("花" * at + toxic + "花" * 90))
+
+
 def test_op3_scores_of_held_out_documents(spark, tables):
     from tracefold.llm.queries import QUERIES
     got = QUERIES["op3_quality"](spark, SF)
