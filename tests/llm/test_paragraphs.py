@@ -77,6 +77,24 @@ def test_op9_tells_edits_from_neighbours(spark, result):
     assert len(set(prints.values())) == len(by_text)
 
 
+def test_edited_texts_share_units_at_any_length(make_docs):
+    words = [f"word{i}" for i in range(400)]
+    texts = ["".join(words)[:n] for n in (3, 4, 7, 40, 399, 400, 401, 1201, 3000, 9000)]  # no blanks
+    texts += [" ".join(words)[:n] for n in (9, 399, 659, 1199, 1201, 2999)]  # one sentence
+    texts += ["x" + " ".join(words)[:900] + ". " + "Short. " * 40, " ".join(words)[:1000] + "\n" + "line\n" * 60]  # a long head
+    rows = P.edited_likeness(make_docs([*enumerate(texts), (-1, "0" * 9000)])).collect()
+    assert len(rows) == len(texts) + 1
+    assert {r.doc_id: r.near_edited for r in rows if r.near_edited == 0} == {}
+
+
+def test_units_of_a_text(spark):
+    def count(text):
+        return spark.createDataFrame([(text,)], "text string").select(F.size(P.digests(F.col("text"))).alias("n")).first().n
+    assert count("ab\ncd\nef\ngh\nij") == 5  # lines alone
+    assert count("One two. Three four five. Six. Seven. Eight.") == 1 + 5 + 3  # the line, its sentences, words of the second
+    assert count(" \n") == 0
+
+
 def test_no_python_in_the_plan(spark):
     text = P.edited_likeness(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text and "Pandas" not in text

@@ -1,8 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests. DataFrame functions only.
 
-A text's units are its lines; a line over ``LONG`` characters is cut into its sentences, and a sentence over ``LONG``
-into its words. In a text under ``MIDDLE`` characters all sentences are units too, under ``SHORT`` also all words,
-or an edit would leave a text of few lines nothing in common. The set of the units' 64-bit digests goes into cells: a digest
+A text's units are its lines. A unit over ``LONG`` characters, or over one in ``SHARES`` of the text's, is also cut
+further: lines into sentences, sentences into words, words (a text without blanks) into runs of 8 letters, these into
+runs of 2. So no text has few units, and what an edit leaves of a text keeps units, whatever its length. The larger
+units stay beside their parts, as the edited text may be shorter and then cuts further. The set of the units' 64-bit digests goes into cells: a digest
 is hashed (with a salt) to a key that is added to one cell in each of ``ROWS`` rows; a cell keeps the number of keys
 and the xor of the keys and of their checks. Subtracting two versions' cells cancels what they share. A cell with
 one key left whose check fits is pure; peeling takes such keys out of all their cells until none is left.
@@ -33,7 +34,7 @@ from . import common
 
 ROWS, WIDTH = 4, 8
 PAGE_WIDTH, PAGE_KEYS = 4, 3
-SHORT, MIDDLE, LONG = 400, 3000, 1200
+SHARES, LONG = 4, 1200
 ATTEMPTS = 12
 ROUNDS = 10
 SENTENCES = r"(?<=[.!?])\s+"
@@ -47,13 +48,18 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def digests(text: Column) -> Column:
     """The set of the digests of a text's units."""
-    def cut(units: Column, pattern: str) -> Column:
-        return F.flatten(F.transform(units, lambda u: F.when(F.length(u) > LONG, F.split(u, pattern)).otherwise(F.array(u))))
-
-    lines = cut(cut(F.split(text, r"\n+"), SENTENCES), r"\s+")
-    none = F.array().cast("array<string>")
-    every = F.concat(lines, F.when(F.length(text) < MIDDLE, F.split(text, rf"\n+|{SENTENCES}")).otherwise(none),
-                     F.when(F.length(text) < SHORT, F.split(text, r"\s+")).otherwise(none))
+    limit = F.least(F.lit(LONG), F.length(text) / SHARES)
+    finer = [lambda u: F.split(u, SENTENCES), lambda u: F.split(u, r"\s+"), lambda u: F.regexp_extract_all(u, F.lit("(?s).{1,8}"), F.lit(0)),
+             lambda u: F.regexp_extract_all(u, F.lit("(?s).{1,2}"), F.lit(0))]
+
+    def units(found: Column, cuts: list[Callable[[Column], Column]]) -> Column:
+        """The units found, followed by what the long ones are cut into."""
+        if not cuts:
+            return found
+        parts = F.flatten(F.transform(F.filter(found, lambda u: F.length(u) > limit), cuts[0]))
+        return F.concat(found, let(parts, lambda p: units(p, cuts[1:])))
+
+    every = let(F.split(text, r"\n+"), lambda lines: units(lines, finer))
     return F.array_distinct(F.transform(F.filter(every, lambda u: F.trim(u) != ""), lambda u: F.xxhash64(u)))
 
 
