@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat, common, decontam, langid, lm, packing, paragraphs, quality, simhash, token_files, toxicity
+from . import (chat, common, decontam, divergence, filter_audit, langid, licenses, lm, packing, paragraphs, quality, simhash,
+               token_files, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -118,3 +119,30 @@ def op9_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as rANS token blocks, written, read back and digested (token_files.token_digests)."""
     return token_files.token_digests(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents in all orders, exact duplicates found by radix tries (filter_audit.audit)."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op11_filter_audit"] = filter_audit.ORACLE
+
+
+@query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in all documents, notices by an exact set-similarity join (licenses.scan)."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_license_scan"] = licenses.oracle()
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word use of all (lang, source) groups, distances and leading terms by skybands (divergence.divergence)."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_source_divergence"] = divergence.oracle()
