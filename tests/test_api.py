@@ -53,6 +53,24 @@ def test_a_cut_off_result_says_so(spark, scratch):
     assert (row.row_count, row.was_capped) == (5000, False)
 
 
+@pytest.mark.parametrize("sql, rows, cut", [
+    ("SELECT id FROM five_thousand", 1000, True),                             # the cap goes into the text
+    ("SELECT id FROM five_thousand WHERE 'no limit' <> ''", 1000, True),      # no cap in the text
+    ("SELECT id FROM five_thousand -- all", 1000, True),                      # the comment swallows it
+    ("SELECT id FROM five_thousand LIMIT 3000", 1000, True),
+    ("SELECT id FROM five_thousand WHERE id < 1000", 1000, False),
+    ("SELECT id FROM (SELECT id FROM five_thousand LIMIT 10) x LIMIT 4000", 10, False),
+    ("SELECT id FROM (SELECT id FROM five_thousand LIMIT 4000) x LIMIT 10", 1000, False),  # every LIMIT is rewritten
+])
+def test_a_cut_off_result_says_so_in_textual_mode(spark, scratch, sql, rows, cut):
+    spark.range(5000).createOrReplaceTempView("five_thousand")
+    env = json.loads(api.execute_sql(spark, "run-9", sql, scratch, mode="textual"))
+    assert env["artifacts"][0]["row_count"] == rows and ("capped" in env["message"]) == cut
+    row = store.read_manifest(spark, scratch).first()
+    assert (row.row_count, row.was_capped) == (rows, cut)
+    assert store.read_artifact(spark, scratch, "run-9", row.artifact_id).count() == rows
+
+
 def test_run_ids_stay_below_the_root_and_errors_are_not_an_empty_manifest(spark, scratch):
     for bad in ("../x", "a/b", "..", ".hidden", "a b"):
         env = json.loads(api.execute_sql(spark, bad, "SELECT 1 AS x", scratch, allowed_tables=set()))

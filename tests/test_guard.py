@@ -5,8 +5,9 @@ import json
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 
-from tracefold.operators.guard import check_statement, guarded_query
+from tracefold.operators.guard import check_analysed, check_statement, guarded_query
 
 
 @pytest.fixture(scope="module")
@@ -168,3 +169,69 @@ def test_unicode_blanks_are_blanks(spark, views):
     row = spark.createDataFrame([("\u3000SELECT 1\u3000; \u2003",)], "sql string").select(
         is_select(F.col("sql")).alias("s"), capped_text(F.col("sql"), 7).alias("c")).first()
     assert row.s and row.c == "\u3000SELECT 1\u3000 LIMIT 7"
+
+
+HIDDEN = [
+    "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'java.home') FROM t",
+    "SELECT IDENTIFIER('re' || 'flect')('java.lang.System', 'getProperty', 'java.home') FROM t",
+    "SELECT id FROM t WHERE IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'java.home') = 'x'",
+    "SELECT id FROM t WHERE k IN (SELECT IDENTIFIER('re' || 'flect')('java.lang.System', 'getProperty', 'java.home') FROM t)",
+    "SELECT (SELECT max(IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'java.home')) FROM t) AS x FROM t",
+    "SELECT count(*) FROM t GROUP BY IDENTIFIER('try_' || 'reflect')('java.lang.System', 'getProperty', 'java.home')",
+    "SELECT id FROM t ORDER BY IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'java.home')",
+    "SELECT IDENTIFIER('input_file_name')() FROM t",
+]
+
+
+@pytest.mark.parametrize("mode", ["structural", "textual"])
+@pytest.mark.parametrize("sql", HIDDEN)
+def test_no_spelling_of_a_function_passes(spark, views, sql, mode):
+    res = guarded_query(spark, sql, 1000, allowed_tables=views, mode=mode)
+    assert not res.ok and res.df is None and "not allowed" in res.message
+
+
+@pytest.mark.parametrize("sql", [*HIDDEN, "WITH a AS (SELECT reflect('java.lang.System', 'getProperty', 'java.home') AS x FROM t) SELECT * FROM a",
+                                 "SELECT * FROM t JOIN LATERAL (SELECT java_method('java.util.UUID', 'randomUUID')) x",
+                                 "SELECT transform(array(1), x -> reflect('java.lang.System', 'getProperty', 'java.home')) FROM t"])
+def test_the_analysed_plan_alone_refuses_them(spark, views, sql):
+    try:
+        df = spark.sql(sql)
+    except AnalysisException:
+        return  # Spark itself refuses some: reflection counts as non-deterministic
+    assert "not allowed" in check_analysed(spark, df)
+
+
+def test_user_functions_are_refused_in_the_analysed_plan(spark, views):
+    spark.udf.register("shout", lambda x: str(x).upper())
+    try:
+        assert "PythonUDF" in check_analysed(spark, spark.sql("SELECT shout(id) FROM t"))
+        spark.sql("SELECT shout(id) AS s FROM t").createOrReplaceTempView("shouted")
+        assert check_analysed(spark, spark.sql("SELECT s FROM shouted WHERE s <> ''")) is None  # a registered view may use them
+    finally:
+        spark.sql("DROP TEMPORARY FUNCTION shout")
+        spark.catalog.dropTempView("shouted")
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT k, grouping_id(), collect_list(id), count(DISTINCT id) FILTER (WHERE id > 5), listagg(CAST(id AS STRING), ',') FROM t GROUP BY CUBE (k)",
+    "SELECT k, sum(id) OVER (PARTITION BY k ORDER BY id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), lag(id) OVER (ORDER BY id) FROM t",
+    "SELECT transform(array(id), x -> x + 1), aggregate(array(id, 2), 0L, (s, x) -> s + x), map('a', id)['a'], named_struct('z', id).z FROM t",
+    "SELECT TIMESTAMP '2024-01-01' + INTERVAL 1 DAY, extract(HOUR FROM TIMESTAMP '2024-01-01'), date_trunc('day', current_timestamp()), id BETWEEN 1 AND 2 FROM t",
+    "SELECT try_cast('x' AS INT), id::string, try_parse_json('{}'), get_json_object('{}', '$.a'), from_json('{}', 'a INT').a, ceil(id), lpad('a', 3, 'b'), to_char(id, '999') FROM t",
+    "SELECT * FROM t PIVOT (count(*) FOR k IN (0, 1))",
+    "SELECT id, y FROM t LATERAL VIEW explode(array(k)) z AS y",
+    "SELECT window(TIMESTAMP '2024-01-01', '1 hour').start, percentile_approx(id, 0.5), approx_count_distinct(k) FROM t GROUP BY ALL",
+    "SELECT id FROM t a WHERE EXISTS (SELECT 1 FROM t b WHERE b.id = a.id) AND k = (SELECT max(k) FROM t)",
+    "SELECT * FROM VALUES (1, 'a') AS v(x, y) UNION ALL SELECT id, 'b' FROM t",
+    "SELECT left('abc', 2), url_encode('a b'), regexp_extract('a1', '[0-9]', 0), startswith('ab', 'a'), luhn_check('12'), typeof(id), uuid() FROM t",
+])
+def test_ordinary_statements_pass_the_analysed_check(spark, views, sql):
+    res = guarded_query(spark, sql, 1000, allowed_tables=views)
+    assert res.ok, res.message
+
+
+@pytest.mark.parametrize("sql", ["SELECT * FROM t a CROSS JOIN t b", "SELECT * FROM t a, t b LIMIT 10", "SELECT * FROM t a JOIN t b ON a.id < b.id",
+                                 "SELECT * FROM t WHERE id NOT IN (SELECT CASE WHEN k > 0 THEN k END FROM t)"])
+def test_textual_mode_refuses_all_pairs_too(spark, views, sql):
+    res = guarded_query(spark, sql, 1000, allowed_tables=views, mode="textual")
+    assert not res.ok and ("all pairs" in res.message or "NOT IN" in res.message)

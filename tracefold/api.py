@@ -37,8 +37,9 @@ def execute_sql(spark: SparkSession, run_id: str, sql: str, root: str, max_rows:
     if not res.ok:
         return res.envelope()
     try:
-        # the textual mode has put its cap into the statement's text
-        ref = store.write_artifact(res.uncapped, run_id, root, None if mode == "textual" else max_rows)
+        # a cap in the statement's text has loopholes, so the plan is capped too; the statement as given tells the cut
+        rows, asked = (res.df, res.uncapped) if mode == "textual" else (res.uncapped, None)
+        ref = store.write_artifact(rows, run_id, root, max_rows, asked=asked)
     except Exception as exc:  # noqa: BLE001  (reported to the caller as a failed tool result)
         return _envelope(f"Error: query failed: {str(exc).splitlines()[0]}", data={"success": False})
     capped = ", capped" if ref.was_capped else ""

@@ -136,6 +136,40 @@ TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplod
                    "stack", "json_tuple"}
 SUBQUERY = "org.apache.spark.sql.catalyst.expressions.SubqueryExpression"
 
+# the analysed plan: nodes that a statement may resolve to (a View is a registered relation; what is below it was not
+# written by the statement), and leaves that a checked relation name may stand for
+ANALYSED_NODES = QUERY_NODES | {"View", "Range", "LogicalRelation", "HiveTableRelation", "DataSourceV2Relation", "LogicalRDD"}
+TRUSTED_NODES = {"View", "LogicalRelation", "HiveTableRelation", "DataSourceV2Relation", "LogicalRDD"}
+# expressions of the analysed plan that no function name stands for: references, literals, windows, subqueries,
+# access to parts, interval arithmetic and implicit conversions
+STRUCTURAL = {
+    "Alias", "AttributeReference", "OuterReference", "Literal", "SortOrder", "LambdaFunction", "NamedLambdaVariable",
+    "WindowExpression", "WindowSpecDefinition", "SpecifiedWindowFrame", "UnspecifiedFrame$", "CurrentRow$",
+    "UnboundedPreceding$", "UnboundedFollowing$", "aggregate.AggregateExpression", "aggregate.PivotFirst",
+    "ScalarSubquery", "LateralSubquery", "ListQuery", "InSubquery", "Exists", "GetStructField", "GetArrayItem",
+    "GetArrayStructFields", "GetMapValue", "CommonExpressionDef", "CommonExpressionRef", "With", "Cast", "UpCast",
+    "TryEval", "KnownNullable", "KnownNotNull", "KnownFloatingPointNormalized", "NormalizeNaNAndZero", "EqualTo", "In",
+    "InSet", "IsNull", "IsNotNull", "Not", "And", "Or", "CaseWhen", "If", "LikeAll", "NotLikeAll", "LikeAny", "NotLikeAny",
+    "SubtractDates", "SubtractTimestamps", "SubtractTimes", "DateAddInterval", "DateAddYMInterval", "TimeAddInterval",
+    "TimestampAddInterval", "TimestampAddYMInterval", "TimestampDiff", "TimestampAdd", "MultiplyInterval", "DivideInterval",
+    "MultiplyDTInterval", "MultiplyYMInterval", "DivideDTInterval", "DivideYMInterval", "ExtractIntervalPart",
+    "PreciseTimestampConversion", "TimeWindow", "SessionWindow", "ResolvedCollation", "VirtualColumn",
+    "ConcatWs", "CheckOverflow", "MakeDecimal", "UnscaledValue", "DateFormatClass", "CreateNamedStruct",
+}
+# what functions that the registry lists under a builder's name become
+BUILT = {
+    "Inline", "Explode", "PosExplode", "GeneratorOuter", "DatePart", "Collate", "Mask", "ToCharacter", "Hour", "Minute",
+    "Second", "HoursOfTime", "MinutesOfTime", "SecondsOfTime", "SecondWithFraction", "SecondsOfTimeWithFraction", "Year",
+    "Quarter", "Month", "WeekOfYear", "DayOfMonth", "DayOfWeek", "DayOfYear", "YearOfWeek", "WeekDay", "Ceil", "RoundCeil",
+    "Floor", "RoundFloor", "CurrentDate", "MakeTimestamp", "TryMakeTimestamp", "MakeTimestampFromDateTime", "ParseToDate",
+    "ParseToTimestamp", "ToTime", "StartsWith", "EndsWith", "Contains", "StringLPad", "StringRPad", "BinaryPad",
+    "variant.ParseJson", "variant.VariantGet", "aggregate.Mode", "aggregate.PercentileCont", "aggregate.PercentileDisc",
+    "aggregate.Sum", "aggregate.Average", "aggregate.CountMinSketchAgg",
+}
+# calls that a listed function is rewritten into; allowed below such a function only
+REWRITTEN = {"objects.StaticInvoke", "objects.Invoke"}
+INHERITS = "org.apache.spark.sql.catalyst.expressions.InheritAnalysisRules"
+
 
 @dataclass
 class GuardedResult:
@@ -200,9 +234,12 @@ class _Walk:
         return None
 
     def expression(self, e, scope: frozenset[str]) -> str | None:
-        if e.getClass().getSimpleName() in ("UnresolvedFunction", "UnresolvedGenerator"):
+        kind = e.getClass().getSimpleName()
+        if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
             if err := self.called(e):
                 return err
+        if kind == "ExpressionWithUnresolvedIdentifier":
+            return "Error: IDENTIFIER(...) is not allowed in a read-only query."
         if is_instance_of(self.gateway, e, SUBQUERY):
             if err := self.plan(e.plan(), scope):
                 return err
@@ -229,6 +266,67 @@ class _Walk:
         return None
 
 
+_listed: tuple[object, frozenset[str]] | None = None
+
+
+def listed_expressions(spark: SparkSession) -> frozenset[str]:
+    """The allow-list of the analysed plan: the classes of Spark's own functions outside the refused groups, and the
+    fixed sets above. Read once per JVM."""
+    global _listed
+    if _listed is None or _listed[0] is not spark._jvm:
+        found, refused = set(STRUCTURAL | BUILT), set()
+        entries = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.expressions().iterator()
+        while entries.hasNext():
+            entry = entries.next()
+            info = entry._2()._1()
+            name = info.getClassName().removeprefix(BUILTIN_PREFIX)
+            (refused if info.getGroup() in REFUSED_GROUPS and entry._1() not in MISC_ALLOWED else found).add(name)
+        _listed = (spark._jvm, frozenset(found - refused))
+    return _listed[1]
+
+
+class _Analysed:
+    """One pass over an analysed plan: the class of every node and expression that the statement itself brought in."""
+
+    def __init__(self, spark: SparkSession):
+        self.gateway, self.listed = spark.sparkContext._gateway, listed_expressions(spark)
+
+    def plan(self, node) -> str | None:
+        name = node.getClass().getSimpleName()
+        if name not in ANALYSED_NODES:
+            return f"Error: {name} is not allowed in a read-only query."
+        if name in TRUSTED_NODES:
+            return None
+        for e in _items(node.expressions()):
+            if err := self.expression(e, False):
+                return err
+        for child in _items(node.children()):
+            if err := self.plan(child):
+                return err
+        return None
+
+    def expression(self, e, rewritten: bool) -> str | None:
+        name = e.getClass().getName().removeprefix(BUILTIN_PREFIX)
+        if name not in self.listed and not (rewritten and name in REWRITTEN):
+            return f"Error: {name.rpartition('.')[2]} is not allowed in a read-only query."
+        if is_instance_of(self.gateway, e, SUBQUERY):
+            if err := self.plan(e.plan()):
+                return err
+        below = rewritten or is_instance_of(self.gateway, e, INHERITS)
+        for child in _items(e.children()):
+            if err := self.expression(child, below):
+                return err
+        return None
+
+
+def check_analysed(spark: SparkSession, df: DataFrame) -> str | None:
+    """Test what a statement resolved to, so that no spelling of a function's name matters; nothing runs.
+
+    Every node and every expression of the analysed plan, down to the registered relations, must be on the allow-list.
+    """
+    return _Analysed(spark).plan(df._jdf.queryExecution().analyzed())
+
+
 def check_statement(spark: SparkSession, sql: str, allowed_tables: set[str] | None = None,
                     allow_with: bool = True) -> str | None:
     """Return an error text if the statement is not a plain read-only query, else None.
@@ -289,10 +387,14 @@ def guarded_query(spark: SparkSession, sql: str, max_rows: int = SQL_MAX_LIMIT,
                   allow_pairwise: bool = False, mode: str = "structural") -> GuardedResult:
     """Check, then plan ``sql`` with a structural cap of ``max_rows`` rows.
 
-    After the parse-only checks the statement is analysed and planned (nothing
-    runs); a plan that pairs all rows of two inputs (cross join, non-equi join
-    planned as a nested loop) or broadcasts a ``NOT IN`` subquery is refused
-    unless ``allow_pairwise``. Failures come back as a result with
+    The parsed statement is checked first, then what it resolves to
+    (``check_analysed``), then its physical plan: one that pairs all rows of
+    two inputs (cross join, non-equi join planned as a nested loop) or
+    broadcasts a ``NOT IN`` subquery is refused unless ``allow_pairwise``. All
+    checks hold in both modes, and nothing runs. ``mode='textual'`` puts the cap
+    into the text, by the textual rules and with their loopholes; ``uncapped``
+    is then the statement as it was given, so a caller can cap the plan as well
+    and tell whether rows were cut off. Failures come back as a result with
     ``data={'success': False}``, never as an exception. The DataFrame is lazy:
     executors do the work when it is written.
     """
@@ -302,9 +404,8 @@ def guarded_query(spark: SparkSession, sql: str, max_rows: int = SQL_MAX_LIMIT,
 
     if allowed_tables is None:
         allowed_tables = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    asked = sql
     if mode == "textual":
-        # exact reference behaviour: keyword guard, SELECT-only, LIMIT text rewrite (with its loopholes),
-        # still behind the parse-only check
         reason, sql = textual_guard(spark, sql, max_rows)
         if reason:
             return failed(reason)
@@ -313,11 +414,11 @@ def guarded_query(spark: SparkSession, sql: str, max_rows: int = SQL_MAX_LIMIT,
         return failed(err)
     try:
         df = spark.sql(sql)
-        if mode == "textual":
-            return GuardedResult(True, "Query planned.", df, uncapped=df)
-        capped = df.limit(int(max_rows))
+        if err := check_analysed(spark, df):
+            return failed(err)
+        capped = df if mode == "textual" else df.limit(int(max_rows))
         if not allow_pairwise and (err := pairwise(capped._jdf.queryExecution().sparkPlan())):
             return failed(err)
-        return GuardedResult(True, "Query planned.", capped, uncapped=df)
+        return GuardedResult(True, "Query planned.", capped, uncapped=spark.sql(asked) if asked != sql else df)
     except Exception as exc:  # noqa: BLE001
         return failed(f"Error: query failed: {str(exc).splitlines()[0]}")

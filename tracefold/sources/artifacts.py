@@ -64,11 +64,12 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_artifact(df: DataFrame, run_id: str, root: str, max_rows: int | None = SQL_MAX_LIMIT,
-                   type_: str = "table", now: dt.datetime | None = None) -> ArtifactRef:
+                   type_: str = "table", now: dt.datetime | None = None, asked: DataFrame | None = None) -> ArtifactRef:
     """Store a result as Parquet under ``root/<run>/<artifact id>`` and append a manifest row.
 
     ``df`` is the result before the cap. It runs once, up to one row beyond ``max_rows``: that row is counted,
-    not stored, and tells ``was_capped`` (None: no cap). Ids are random (W5), so writers never meet, and existing
+    not stored, and tells ``was_capped`` (None: no cap). ``asked`` is what was asked for, where ``df`` already has a
+    cap of its own: it is counted, to one row beyond the stored ones at most, if ``df`` was not cut. Ids are random (W5), so writers never meet, and existing
     data is never overwritten. The manifest row follows the data, so a reader never sees half an artifact.
     Timestamps are stored as text (R10); every row keeps its place in the result for previews.
     """
@@ -86,6 +87,8 @@ def write_artifact(df: DataFrame, run_id: str, root: str, max_rows: int | None =
     n = int(obs.get["rows"])
     was_capped = max_rows is not None and n > max_rows
     stored = min(n, max_rows) if max_rows is not None else n
+    if asked is not None and not was_capped:
+        was_capped = asked.limit(stored + 1).count() > stored
     created = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     row = [(folder, artifact_id, type_, stored, stored, was_capped, len(df.columns), created, location)]
     (spark.createDataFrame(row, ARTIFACT_MANIFEST).coalesce(1)
