@@ -6,7 +6,8 @@ Here the order is cut into buckets that are monotone in the order key
 (``bucket = seq div width``): a small per-(key, bucket) total is computed with
 partial aggregation, prefix offsets are taken over those totals, and the final
 window runs per (key, bucket).  The result is exact; the largest task holds one
-bucket, not one key.
+bucket, not one key. A row without a place in the order (NULL bucket) raises:
+it would otherwise be lost in the join with the offsets.
 """
 
 from __future__ import annotations
@@ -15,6 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _placed(bucket: Column) -> Column:
+    lost = F.raise_error(F.lit("a running counter needs an order value (seq) on every row")).cast("long")
+    return F.when(bucket.isNotNull(), bucket.cast("long")).otherwise(lost)
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, bucket: Column,
                 out: str, inclusive: bool = True) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows of the same ``keys`` up to this row (in ``order``).
@@ -24,7 +30,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
     """
     b = "__bucket"
     v = "__value"
-    d = df.withColumn(b, bucket).withColumn(v, value)
+    d = df.withColumn(b, _placed(bucket)).withColumn(v, value)
     totals = d.groupBy(*keys, b).agg(F.sum(v).alias("__bucket_total"))
     prior = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, b, F.coalesce(F.sum("__bucket_total").over(prior), F.lit(0)).alias("__offset"))
@@ -52,7 +58,7 @@ def lag_in_order(df: DataFrame, keys: list[str], order: str, bucket: Column, col
     must be unique within a key and ``bucket`` non-decreasing in it.
     """
     b = "__bucket"
-    d = df.withColumn(b, bucket)
+    d = df.withColumn(b, _placed(bucket))
     w = Window.partitionBy(*keys, b).orderBy(order)
     inner = d.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in cols],
                      F.row_number().over(w).alias("__rn"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import runs as RU
 from ..session import NOW
 from ..sources import derive, sse
 from ..sources.records import SAMPLE_TEMPLATES, sample_records
 from ..sources.tables import table
+from ..streaming.streams import ingest_captures
 from .oracle_views import with_views
 from .registry import register
 
@@ -47,3 +50,39 @@ def s9(spark, sf):
     extra = runs.select(F.explode(F.array(F.lit("data: [DONE]"), F.lit(": keep-alive"), F.lit("  "))).alias("value"))
     parsed = sse.parse_sse_lines(frames.unionByName(extra))
     return sse.stream_fields(parsed)
+
+
+_KEYS_SORTED = """'{{' || array_to_string([ '"' || k || '":' || json_extract({c}, '$.' || k) FOR k IN list_sort(json_keys({c})) ], ',') || '}}'"""
+
+
+@register("t1_ingest_captures", with_views(["chunks"], f"""
+, told AS (
+  SELECT *, seq // {derive.TURN_STRIDE} AS turn,
+    CASE WHEN type IN ('content', 'thinking') THEN string_agg(delta, '') OVER (
+      PARTITION BY run_id, seq // {derive.TURN_STRIDE}, type ORDER BY seq) ELSE content END AS whole,
+    CASE WHEN type = 'tool_call' THEN count(*) OVER (PARTITION BY run_id, type ORDER BY seq) - 1 END AS idx,
+    CASE WHEN type = 'error' AND length(error_message) % 2 = 0 THEN 'E1' END AS code
+  FROM chunks),
+placed AS (
+  SELECT *, first_value(timestamp) OVER w * {sse.CAPTURE_STRIDE} + 2 * row_number() OVER w AS place
+  FROM told WINDOW w AS (PARTITION BY run_id, turn ORDER BY seq))
+SELECT run_id, place AS seq, type, model, timestamp, part_index, is_start, delta, role, tool_call_id, tool_name, arguments,
+  CASE WHEN input IS NOT NULL THEN {_KEYS_SORTED.format(c="input")} END AS input, whole AS content, error_message,
+  finish_reason, CASE WHEN usage IS NOT NULL THEN {_KEYS_SORTED.format(c="usage")} END AS usage, idx AS "index", code AS error_code
+FROM placed""".replace(", told AS", "WITH told AS", 1)))
+def t1_ingest(spark, sf):
+    """S10 then T1, all columns: the frames of each turn, without any number, as one capture with keep-alives; the
+    capture's own order gives the place of every chunk."""
+    turn = Window.partitionBy("run_id", "turn", "type").orderBy("seq")
+    is_text = F.col("type").isin("content", "thinking")
+    c = derive.chunks(spark, sf)
+    index = RU.index_tool_calls(c).select("run_id", "seq", "index")
+    told = c.withColumn("turn", derive.turn_of(F.col("seq"))).withColumn(
+        "content", F.when(is_text, F.concat_ws("", F.collect_list("delta").over(turn))).otherwise(F.col("content")))
+    told = told.withColumn("error_code", F.when((F.col("type") == "error") & (F.length("error_message") % 2 == 0), F.lit("E1")))
+    told = told.join(index, ["run_id", "seq"], "left")
+    frames = told.select("run_id", "turn", "seq", F.concat(F.lit("data: "), sse.chunk_json(told), F.lit("\n\n")).alias("frame"))
+    # a capture holds one turn: one response, bounded
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "frame"))), lambda x: x["frame"]), "")
+    captures = frames.groupBy("run_id", "turn").agg(F.concat(F.lit(": keep-alive\n\n"), text, F.lit("data: [DONE]\n\n")).alias("value"))
+    return ingest_captures(captures.select("value")).drop("event_time")

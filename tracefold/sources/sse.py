@@ -11,8 +11,8 @@ from ..functions.json import is_object_at
 def chunk_json(chunks: DataFrame, with_seq: bool = False) -> Column:
     """The wire form of a chunk: the common fields and those of its kind (camelCase), NULLs of a kind's fields kept.
 
-    ``input`` and ``usage`` are JSON values. ``index`` (W3) and the accumulated ``content`` (W1) of text chunks are
-    taken from columns ``index`` and ``content`` where the table has them. The wire has no ``seq``; ``with_seq``
+    ``input`` and ``usage`` are JSON values. ``index`` (W3), the accumulated ``content`` (W1) of text chunks and the
+    error's ``code`` are taken from columns ``index``, ``content`` and ``error_code`` where the table has them. The wire has no ``seq``; ``with_seq``
     adds it for readers that must put frames of many files back in order.
     """
     t, have = F.col("type"), set(chunks.columns)
@@ -22,6 +22,7 @@ def chunk_json(chunks: DataFrame, with_seq: bool = False) -> Column:
                     F.struct(F.col("tool_name").alias("name"), F.col("arguments").alias("arguments")).alias("function"))
     tool = [F.col("tool_call_id").alias("toolCallId"), F.col("tool_name").alias("toolName"), F.try_parse_json("input").alias("input")]
     index = F.col("index") if "index" in have else F.lit(None).cast("long")
+    code = F.col("error_code") if "error_code" in have else null
     fields = {
         "content": [text.alias("content"), F.col("delta"), F.col("role")],
         "thinking": [text.alias("content"), F.col("delta")],
@@ -29,7 +30,7 @@ def chunk_json(chunks: DataFrame, with_seq: bool = False) -> Column:
         "tool_result": [F.col("tool_call_id").alias("toolCallId"), F.col("content")],
         "tool-input-available": tool,
         "approval-requested": [*tool, F.struct(F.col("tool_call_id").alias("id"), F.lit(True).alias("needsApproval")).alias("approval")],
-        "error": [F.struct(F.col("error_message").alias("message"), null.alias("code")).alias("error")],
+        "error": [F.struct(F.col("error_message").alias("message"), code.alias("code")).alias("error")],
         "done": [F.col("finish_reason").alias("finishReason"), F.try_parse_json("usage").alias("usage")],
     }
     common = [F.col("run_id").alias("id"), F.col("model"), F.col("timestamp"), t.alias("type")]
@@ -62,6 +63,25 @@ def parse_sse_lines(lines: DataFrame, col: str = "value", strict: bool = False)
     return out.where(is_object_at(F.col("__v"), "$")).drop("__v")
 
 
+# a capture's lines are numbered from its first frame's time in milliseconds, times this
+CAPTURE_STRIDE = 1 << 20
+
+
+def capture_lines(captures: DataFrame, col: str = "value") -> DataFrame:
+    """The lines of whole captures, one capture a row, with ``capture_seq``: each line's place in its run's order.
+
+    The wire numbers no frames, so the place comes from the capture itself: the line's position, after the time of the
+    capture's first frame. A run that goes on in another response (a continuation) has its frames in another, later
+    capture, and these come behind. Position is unique within a capture of any length.
+    """
+    lines = captures.select("*", F.split(F.col(col), "\r\n|\n|\r").alias("__lines"))
+    first = F.try_element_at(F.filter("__lines", lambda x: x.rlike(r"^\s*(data:)?\s*\{")), F.lit(1))
+    began = F.get_json_object(F.regexp_replace(first, r"^\s*(data:)?\s*", ""), "$.timestamp").try_cast("long")
+    timed = lines.withColumn("__began", F.coalesce(began, F.lit(0).cast("long")))
+    out = timed.select(*[F.col(c) for c in captures.columns if c != col], "__began", F.posexplode("__lines").alias("__at", col))
+    return out.withColumn("capture_seq", F.col("__began") * CAPTURE_STRIDE + F.col("__at")).drop("__began", "__at")
+
+
 def read_sse(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """S9 over captured stream files (one line per row)."""
     return parse_sse_lines(spark.read.text(path), "value", strict)

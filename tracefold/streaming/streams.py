@@ -17,17 +17,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schemas import CHUNKS, KEEPALIVE_SECONDS
 from ..operators.runs import fold_run_state_summaries, run_state_summary
-from ..sources.sse import parse_sse_lines
+from ..sources.sse import capture_lines, parse_sse_lines
 
 # ---------------------------------------------------------------------------
 # ingest
 # ---------------------------------------------------------------------------
 
+# The fields of the wire's frames (all kinds in one), by their wire names.
 WIRE = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("model", T.StringType()),
     T.StructField("timestamp", T.LongType()), T.StructField("type", T.StringType()),
     T.StructField("seq", T.LongType()), T.StructField("content", T.StringType()),
     T.StructField("delta", T.StringType()), T.StructField("role", T.StringType()),
+    T.StructField("index", T.LongType()),
     T.StructField("toolCallId", T.StringType()), T.StructField("toolName", T.StringType()),
     T.StructField("input", T.StringType()),
     T.StructField("toolCall", T.StructType([
@@ -40,12 +42,16 @@ WIRE = T.StructType([
 ])
 
 
-def typed_chunks(parsed: DataFrame, payload: str = "payload") -> DataFrame:
-    """Wire JSON -> the wide chunk table (per-kind columns NULL elsewhere), with an event-time column."""
-    w = F.from_json(F.col(payload), WIRE)
+def typed_chunks(parsed: DataFrame, payload: str = "payload", seq: str | None = None) -> DataFrame:
+    """Wire JSON -> the wide chunk table (per-kind columns NULL elsewhere), ``index``, ``error_code`` and the event time.
+
+    ``seq`` names a column with the place of frames that carry none themselves.
+    """
+    own = F.col("w.seq") if seq is None else F.coalesce(F.col("w.seq"), F.col("__seq"))
+    kept = [] if seq is None else [F.col(seq).alias("__seq")]
     is_text = F.col("w.type").isin("content", "thinking")
-    return parsed.select(w.alias("w")).select(
-        F.col("w.id").alias("run_id"), F.col("w.seq").alias("seq"), F.col("w.type").alias("type"),
+    return parsed.select(F.from_json(F.col(payload), WIRE).alias("w"), *kept).select(
+        F.col("w.id").alias("run_id"), own.alias("seq"), F.col("w.type").alias("type"),
         F.col("w.model").alias("model"), F.col("w.timestamp").alias("timestamp"),
         # the wire has no part index; a text part starts where the accumulated content is the delta itself
         F.when(is_text, F.lit(0).cast("long")).alias("part_index"),
@@ -56,20 +62,27 @@ def typed_chunks(parsed: DataFrame, payload: str = "payload") -> DataFrame:
         F.col("w.toolCall.function.arguments").alias("arguments"), F.col("w.input").alias("input"),
         F.col("w.content").alias("content"), F.col("w.error.message").alias("error_message"),
         F.col("w.finishReason").alias("finish_reason"), F.col("w.usage").alias("usage"),
+        F.col("w.index").alias("index"), F.col("w.error.code").alias("error_code"),
         F.timestamp_millis(F.col("w.timestamp")).alias("event_time"))
 
 
+def ingest_captures(captures: DataFrame, col: str = "value") -> DataFrame:
+    """T1 over captures, one whole capture a row (batch or stream): chunks in the order of their capture."""
+    return typed_chunks(parse_sse_lines(capture_lines(captures, col), col), seq="capture_seq")
+
+
 def stream_chunks(spark: SparkSession, path: str, fmt: str = "sse", max_files_per_trigger: int | None = None) -> DataFrame:
-    """Chunk files as a stream.  ``fmt='sse'``: captured event-stream text; ``'json'``: one JSON chunk per line."""
+    """Files of captured frames as a stream: event-stream text (``'sse'``) or one JSON chunk per line (``'json'``).
+
+    A file is one capture, that of one response, and is read as one row, so that its order is kept; ``seq`` comes from
+    the frames where they have one, else from the capture (``sse.capture_lines``).
+    """
+    if fmt not in ("sse", "json"):
+        raise ValueError(f"unknown format {fmt!r}")
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.format("text").load(path)
-    if fmt == "sse":
-        parsed = parse_sse_lines(lines, "value")
-    else:
-        parsed = lines.select(F.col("value").alias("payload")).where(F.col("payload") != "")
-    return typed_chunks(parsed)
+    return ingest_captures(reader.format("text").option("wholetext", True).load(path))
 
 
 # ---------------------------------------------------------------------------
@@ -259,6 +272,6 @@ def activity_sessions_batch(chunks: DataFrame, gap_seconds: int = KEEPALIVE_SECO
             .select("run_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n_chunks"))
 
 
-__all__ = ["stream_chunks", "typed_chunks", "stream_error_rollup", "error_rollup_closed", "stream_run_state",
+__all__ = ["stream_chunks", "ingest_captures", "typed_chunks", "stream_error_rollup", "error_rollup_closed", "stream_run_state",
            "run_state_summary", "fold_run_state_summaries", "stream_run_state_compacted", "read_run_state",
            "stream_approvals", "approvals_batch", "stream_activity_sessions", "activity_sessions_batch", "CHUNKS"]
