@@ -9,7 +9,7 @@ id seen; all rows above it are settled at once, so a text leaves one row a trie,
 is emptied only when it holds ``HELD`` bytes of different texts or its task ends. What is left goes to ranges of
 texts: bounds are the shortest prefixes that cut the texts' bytes into even parts, as many as there are shuffle
 partitions, found from keys that every trie gives (merged in ``MERGERS`` tasks; the driver gets at most
-``MERGERS * KEYS`` keys a partition). A prefix grows until it tells the texts apart, so many texts with one beginning
+``MERGERS * MERGED`` keys a partition). A prefix grows until it tells the texts apart, so many texts with one beginning
 are still dealt out. Range tasks read their texts in order, so a trie over ``HELD`` bytes is emptied between two
 texts, and memory stays bounded for a range of any size.
 
@@ -39,7 +39,7 @@ LEAST_WORDS = 200
 CAPITALS, MARKS = bytes(range(65, 91)), b"#$%&*|"
 
 HELD = 32 << 20
-KEYS, MERGERS = 16, 16
+KEYS, MERGERS, MERGED = 64, 16, 4
 SETTLED, OPEN, KEY = 0, 1, 2
 ROWS = "kind int, doc_id long, part string, mask int, text binary, parts array<string>, trie string, weight long"
 NAMES = [c.split()[0] for c in ROWS.split(", ")]
@@ -96,7 +96,7 @@ def left_open(trie: radix.Trie, with_keys: bool) -> Iterator[pa.RecordBatch]:
             rows, size = [], 0
     yield from batches_of(rows)
     if with_keys:
-        cuts = radix.weighted_cuts(keys, KEYS)
+        cuts = radix.weighted_cuts(keys, KEYS, radix.phase_of(name))
         yield from batches_of([(KEY, None, None, None, key, None, name, weight) for key, weight in cuts])
 
 
@@ -131,10 +131,11 @@ def first_tries(docs: DataFrame, held: int) -> DataFrame:
 
 def bounds_of(keys: DataFrame, parts: int) -> list[bytes]:
     """At most ``parts - 1`` bounds that cut the texts' bytes evenly: keys merged in ``MERGERS`` tasks, then on the driver."""
-    most = KEYS * parts
+    most = MERGED * parts
 
-    def merge(table: pa.Table) -> pa.Table:
-        cuts = radix.weighted_cuts(list(zip(table.column("text").to_pylist(), table.column("weight").to_pylist(), strict=True)), most)
+    def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        pairs = list(zip(table.column("text").to_pylist(), table.column("weight").to_pylist(), strict=True))
+        cuts = radix.weighted_cuts(pairs, most, (key[0].as_py() + 1) / MERGERS) if len(pairs) > most else pairs
         return pa.table({"text": pa.array([k for k, _ in cuts], pa.binary()), "weight": pa.array([w for _, w in cuts], pa.int64())})
 
     merged = keys.select("text", "weight", F.pmod(F.xxhash64("trie"), F.lit(MERGERS)).alias("merger")).groupBy(
@@ -189,9 +190,8 @@ def mask_counts(masks: DataFrame, labels: DataFrame) -> DataFrame:
     rows = masks.groupBy("doc_id", "part", "mask").agg(F.count(F.lit(1)).alias("n"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("bad"))
-    named = rows.where(F.col("doc_id").isNotNull()).join(known, "doc_id", "left")
-    unnamed = rows.where(F.col("doc_id").isNull()).withColumn("good", F.lit(0)).withColumn("bad", F.lit(0))
-    return named.unionByName(unnamed).groupBy("part", "mask").agg(
+    # rows are summed by id first, so even a hot id, or null, brings few of them to the join
+    return rows.join(known, "doc_id", "left").groupBy("part", "mask").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.coalesce("good", F.lit(0))).alias("good"),
         F.sum(F.col("n") * F.coalesce("bad", F.lit(0))).alias("bad"))
 

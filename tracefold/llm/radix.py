@@ -71,15 +71,21 @@ class Trie:
                 stack.append((node.below[first], text, key if only else text + bytes([first])))
 
 
-def weighted_cuts(keys: list[tuple[bytes, int]], parts: int) -> list[tuple[bytes, int]]:
+def weighted_cuts(keys: list[tuple[bytes, int]], parts: int, phase: float = 1.0) -> list[tuple[bytes, int]]:
     """At most ``parts`` keys, in order, each with an equal share of the weights of all (key, weight) pairs.
 
-    A key that holds several shares comes several times.
+    The first stands where ``phase`` of a share is reached: cuts of many lists with phases of their own do not fall
+    on the same places.
     """
     total = sum(w for _, w in keys)
     share, out, at = total / parts if parts else 0, [], 0.0
     for key, weight in sorted(keys):
         at += weight
-        while share and len(out) < parts and at >= share * (len(out) + 1) * (1 - 1e-9):
-            out.append((key, round(share)))
+        while share and len(out) < parts and at >= share * (len(out) + phase) * (1 - 1e-9):
+            out.append((key, max(1, round(share))))
     return out
+
+
+def phase_of(name: str) -> float:
+    """A phase in (0, 1] from a hexadecimal name."""
+    return 1 - int(name[:8], 16) / (1 << 32)
