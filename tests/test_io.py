@@ -141,3 +141,90 @@ def test_parsed_chunks_feed_the_text_fold(spark):
     chunks = typed_chunks(spark.createDataFrame([(json.dumps(x),) for x in lines], "payload string"))
     parts = accumulate_text(chunks, "content", final_only=True).orderBy("last_seq").collect()
     assert [p.content for p in parts] == ["abc", "xy"]
+
+
+ATTRIBUTES = ['{"a":"x","b":1}', '{"a":1}', '{"a":1.50}', '{"a":true}', '{"a":null}', '{"a":{"c":[1,"z"]}}', '{"a":["x",2]}', '{}', '[]', '["a","b"]',
+              '["b",7]', '[{"a":1}]', '"a"', '7', 'null', 'not json', '', None, '{"a.b":"dot"}', '{"A":"upper"}', '{"a":""}', '{"é":"ü"}',
+              '{"a":123456789012345678901234567890}', '{"a":"\\u00e9\\n"}']
+
+
+def test_parsed_attributes_give_the_same_rows(spark, scratch):
+    from tracefold.operators import records as R
+    from tracefold.sources.records import sample_records, write_records
+    ids = spark.range(len(ATTRIBUTES) * 3).select(F.col("id").alias("i"))
+    texts = F.array(*[F.lit(a) for a in ATTRIBUTES])
+    rec = sample_records(ids, "2024-01-15 10:00:00").withColumn(
+        "attributes", F.element_at(texts, (F.substring("span_id", 6, 9).cast("int") % len(ATTRIBUTES)) + 1))
+    plain, parsed = os.path.join(scratch, "plain"), os.path.join(scratch, "parsed")
+    write_records(rec, plain, 2)
+    write_records(rec, parsed, 2, parsed=True)
+    a, b = spark.read.parquet(plain), spark.read.parquet(parsed)
+    assert "attributes_variant" in b.columns
+    for key in ("a", "b", "A", "a.b", "é", "z", "x", "7"):
+        left, right = R.where_attr_has_key(a, key), R.where_attr_has_key(b, key)
+        assert sorted(r.span_id for r in left.collect()) == sorted(r.span_id for r in right.collect()), key
+        for value in ("x", "1", "1.50", "true", "", "dot", "upper", "é\n", '{"c":[1,"z"]}', '["x",2]', "ü", "123456789012345678901234567890"):
+            left, right = R.where_attr_equals(a, key, value), R.where_attr_equals(b, key, value)
+            assert sorted(r.span_id for r in left.collect()) == sorted(r.span_id for r in right.collect()), (key, value)
+            plan = right.select("span_id")._jdf.queryExecution().executedPlan().toString()
+            assert "json" not in plan.lower().replace("attributes_json_schema", "")
+
+
+def test_profile_sketches_merge(spark, scratch):
+    from tracefold.operators import catalog as C
+    from tracefold.sources.records import write_records
+    rec = derive.load_records(spark, "/root/testdata/sf0.01").drop("user_id")
+    stored, kept = os.path.join(scratch, "records"), os.path.join(scratch, "sketches")
+    write_records(rec, stored, 2)
+    table = spark.read.parquet(stored)
+    days = sorted(str(r.day) for r in table.select("day").distinct().collect())
+    early = table.where(F.col("day").cast("string") < days[len(days) // 2])
+    assert C.refresh_profile(spark, early, kept).where("column_name = 'span_id'").first().n_rows == early.count()
+    before = spark.read.parquet(kept).count()
+    got = {r.column_name: r for r in C.refresh_profile(spark, table, kept).collect()}  # reads the new days only
+    assert spark.read.parquet(kept).groupBy("part", "column_name").count().where("count > 1").count() == 0
+    assert spark.read.parquet(kept).count() > before
+    exact = {r.column_name: r for r in C.profile("records", table.drop("day"), exact=True).collect()}
+    assert set(got) == set(exact)
+    n = table.count()
+    for name, want in exact.items():
+        r = got[name]
+        assert (r.n_rows, r.n_nulls, r.min_value, r.max_value) == (want.n_rows, want.n_nulls, want.min_value, want.max_value), name
+        assert abs(r.n_distinct - want.n_distinct) <= max(1, 0.06 * want.n_distinct), name
+    ids = [r.event_id for r in table.select("event_id").orderBy("event_id").collect()]
+    for q, value in zip((0.25, 0.5, 0.75), got["event_id"].quantiles, strict=True):
+        assert abs(sum(i <= value for i in ids) / n - q) < 0.03
+    assert got["level"].quantiles is None
+    plan = C.profile_sketches(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+
+
+def test_profile_of_no_rows_and_odd_columns(spark):
+    from tracefold.operators import catalog as C
+    empty = spark.createDataFrame([], "day date, a int, b string")
+    assert C.merged_profile(C.profile_sketches(empty)).count() == 0
+    odd = spark.createDataFrame([("2024-01-01", 10, None, [1], 1.5), ("2024-01-02", 9, None, None, None), ("2024-01-02", None, None, [1], float("nan"))],
+                                "day string, a int, b string, c array<int>, d double")
+    got = {r.column_name: r for r in C.merged_profile(C.profile_sketches(odd)).collect()}
+    assert (got["a"].min_value, got["a"].max_value, got["a"].n_nulls) == ("9", "10", 1)  # numbers, not texts
+    assert (got["b"].n_distinct, got["b"].n_nulls, got["c"].n_distinct, got["d"].n_rows) == (0, 3, 1, 3)
+
+
+def test_natural_order(spark):
+    from tracefold.operators import records as R
+    texts = ["a10", "A2", "a1", "b", "a", "", "10", "9", "007", "7a", "a2b", "a2B1", None, "x" * 30 + "9" * 40, "x" * 30 + "1" + "0" * 40, "item 1.10", "item 1.9", "é2"]
+    got = [r.t for r in R.sort_rows(spark.createDataFrame([(t,) for t in texts], "t string").repartition(4), [("t", "asc")], natural=True).collect()]
+    assert got == ["", "a", "a1", "A2", "a2b", "a2B1", "a10", "b", "item 1.9", "item 1.10", "x" * 30 + "9" * 40, "x" * 30 + "1" + "0" * 40,
+                   "é2", "007", "7a", "9", "10", None]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tracefold.session import checkpoint_dir
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checkpoint_dir(fake)

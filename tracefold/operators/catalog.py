@@ -7,6 +7,7 @@ the map side, unpivoted with ``stack``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +65,85 @@ def profile(name: str, df: DataFrame, exact: bool = False) -> DataFrame:
     return wide.select(F.lit(name).alias("table_name"), F.col("__rows").alias("n_rows"), F.expr(stack))
 
 
+# ---------------------------------------------------------------------------
+# profiles kept as sketches
+# ---------------------------------------------------------------------------
+
+LG_CONFIG = 12  # 2^12 HyperLogLog registers: about 1.6 % standard error
+KLL_K = 200     # about 1.3 % of the rows as rank error
+
+
+def _number(c, dtype):
+    """A value as a number for quantiles (numbers, timestamps as seconds), else None."""
+    if isinstance(dtype, T.NumericType):
+        return c.cast("double")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")) / 1e6
+    return None
+
+
+def profile_sketches(df: DataFrame, by: str = "day") -> DataFrame:
+    """One row per value of ``by`` and column: exact counts and bounds, a HyperLogLog sketch of the values, a KLL sketch.
+
+    One partial aggregate over the table, with no row per distinct value; the rows merge (``merged_profile``), so the
+    sketches of a day are made once.
+    """
+    fields = [f for f in df.schema.fields if f.name != by]
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    for i, f in enumerate(fields):
+        c = F.col(f"`{f.name}`")
+        o, q = _orderable_text(c, f.dataType), _number(c, f.dataType)
+        value = c if isinstance(f.dataType, (T.StringType, T.IntegerType, T.LongType)) else F.to_json(F.struct(c))
+        aggs += [F.count_if(c.isNull()).alias(f"n{i}"),
+                 F.hll_sketch_agg(F.when(c.isNotNull(), value), F.lit(LG_CONFIG)).alias(f"h{i}"),
+                 (_as_text(F.min(o), f.dataType) if o is not None else F.lit(None).cast("string")).alias(f"lo{i}"),
+                 (_as_text(F.max(o), f.dataType) if o is not None else F.lit(None).cast("string")).alias(f"hi{i}"),
+                 (F.kll_sketch_agg_double(q, F.lit(KLL_K)) if q is not None else F.lit(None).cast("binary")).alias(f"k{i}")]
+    wide = df.groupBy(F.col(by).alias("part")).agg(*aggs)
+    rows = F.explode(F.array(*[F.struct(
+        F.lit(f.name).alias("column_name"), F.lit(isinstance(f.dataType, T.IntegralType)).alias("is_number"), F.col(f"n{i}").alias("n_nulls"),
+        F.col(f"h{i}").alias("distinct"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"), F.col(f"k{i}").alias("quantiles"))
+        for i, f in enumerate(fields)]))
+    return wide.select(F.col("part").cast("string").alias("part"), "n_rows", rows.alias("c")).select("part", "n_rows", "c.*")
+
+
+def merged_profile(sketches: DataFrame, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """The profile of all parts from their sketches: exact n_rows, n_nulls, min_value and max_value; estimates of
+    n_distinct and of the quantiles. Reads one row per part and column, whatever the table's size."""
+    by_number = F.col("is_number")
+
+    def bound(fn, name):
+        return F.coalesce(F.when(F.any_value(by_number), fn(F.when(by_number, F.col(name).try_cast("long"))).cast("string")), fn(name))
+
+    merged = sketches.groupBy("column_name").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_nulls").alias("n_nulls"),
+        F.hll_sketch_estimate(F.hll_union_agg("distinct", F.lit(True))).alias("n_distinct"),
+        bound(F.min, "lo").alias("min_value"), bound(F.max, "hi").alias("max_value"),
+        F.kll_merge_agg_double("quantiles").alias("__q"))
+    known = F.col("__q").isNotNull() & (F.kll_sketch_get_n_double("__q") > 0)
+    values = [F.kll_sketch_get_quantile_double("__q", F.lit(float(q))) for q in quantiles]
+    return merged.withColumn("quantiles", F.when(known, F.array(*values))).drop("__q")
+
+
+def refresh_profile(spark: SparkSession, records: DataFrame, path: str, by: str = "day") -> DataFrame:
+    """The profile of a table stored by ``by`` (``sources.records.write_records``), from kept sketches.
+
+    Only parts that have no sketches under ``path`` are read (a filter on the partition column); theirs are appended.
+    The parts' names, one per directory, come to the driver. A part is sketched once: rows added to it later need its
+    sketches removed first.
+    """
+    try:
+        kept = spark.read.parquet(path)
+        done = [r.part for r in kept.select("part").distinct().collect()]
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        done = []
+    fresh = records.where(~F.col(by).cast("string").isin(done)) if done else records
+    profile_sketches(fresh, by).write.mode("append").parquet(path)
+    return merged_profile(spark.read.parquet(path))
+
+
 def schema_report(spark: SparkSession, tables: dict[str, DataFrame], exact: bool = False,
                   declared: dict[str, T.StructType] | None = None) -> DataFrame:
     """S3 + L4: columns of all tables in (table, ordinal) order, with their data profile."""

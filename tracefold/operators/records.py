@@ -16,18 +16,35 @@ def _json_key_path(key: str) -> str:
     return "$['" + key.replace("'", "\\'") + "']"
 
 
-def attr_text(key: str, col: str = "attributes") -> Column:
+# the attributes parsed once, when the records are written (``sources.records.write_records``)
+PARSED = "_variant"
+
+
+def _parsed(df: DataFrame, col: str) -> str | None:
+    """The VARIANT column that goes with a JSON text column, if the table has one."""
+    return col + PARSED if col + PARSED in df.columns else None
+
+
+def attr_text(key: str, col: str = "attributes", parsed: str | None = None) -> Column:
     """``attributes->>'key'``: the value as text (JSON false -> 'false', JSON null -> NULL)."""
+    if parsed:
+        return F.variant_get(F.col(parsed), _json_key_path(key), "string")
     return F.get_json_object(F.col(col), _json_key_path(key))
 
 
 def where_attr_equals(df: DataFrame, key: str, value: str, col: str = "attributes") -> DataFrame:
-    """Text comparison of one top-level attribute."""
-    return df.where(attr_text(key, col) == F.lit(value))
+    """Text comparison of one top-level attribute; read from the parsed column where the table has one."""
+    return df.where(attr_text(key, col, _parsed(df, col)) == F.lit(value))
 
 
-def has_attr_key(key: str, col: str = "attributes") -> Column:
+def has_attr_key(key: str, col: str = "attributes", parsed: str | None = None) -> Column:
     """``attributes ? 'key'``: top-level key present (even with a null value), or a string element of a top-level array."""
+    if parsed:
+        v = F.col(parsed)
+        # a JSON null is a value of a variant, so only an absent key gives NULL
+        in_object = F.variant_get(v, _json_key_path(key), "variant").isNotNull()
+        elements = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<string>"))
+        return in_object | F.coalesce(F.array_contains(elements, F.lit(key)), F.lit(False))
     in_object = F.coalesce(F.array_contains(F.json_object_keys(F.col(col)), F.lit(key)), F.lit(False))
     in_array = F.coalesce(F.array_contains(F.from_json(F.col(col), T.ArrayType(T.StringType())), F.lit(key)),
                           F.lit(False))
@@ -35,8 +52,8 @@ def has_attr_key(key: str, col: str = "attributes") -> Column:
 
 
 def where_attr_has_key(df: DataFrame, key: str, col: str = "attributes") -> DataFrame:
-    """R2."""
-    return df.where(has_attr_key(key, col))
+    """R2; read from the parsed column where the table has one."""
+    return df.where(has_attr_key(key, col, _parsed(df, col)))
 
 
 def recent_as_written(now: str, col: str = "start_timestamp") -> Column:
@@ -202,15 +219,35 @@ def preview(df: DataFrame, order_by: list, n: int = PREVIEW_ROWS) -> DataFrame:
     return df.orderBy(*order_by).limit(max(int(n), 1))
 
 
-def sort_rows(df: DataFrame, keys: list[tuple[str, str]], case_insensitive: bool = False) -> DataFrame:
+def natural_key(text: Column) -> Column:
+    """A sort key in natural order: "a2" before "a10", "A3" beside "a3", "07" beside "7", text before digits.
+
+    The lower-cased text is cut into runs of digits and of other characters; a run of digits counts by its number of
+    digits without leading zeros, then by them, which is its value however long it is. The key is an array of
+    structs, which Spark orders run by run, a text before its own continuations.
+    """
+    def part(p: Column) -> Column:
+        digits = F.ltrim(p, F.lit("0"))
+        return F.when(p.rlike("^[0-9]"), F.struct(F.lit(1).alias("is_number"), F.length(digits).alias("size"), digits.alias("run"))) \
+                .otherwise(F.struct(F.lit(0).alias("is_number"), F.lit(0).alias("size"), p.alias("run")))
+
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit("[0-9]+|[^0-9]+"), F.lit(0)), part)
+
+
+def sort_rows(df: DataFrame, keys: list[tuple[str, str]], case_insensitive: bool = False, natural: bool = False) -> DataFrame:
     """L2: sort by chosen columns; NULLs last in both directions.
 
-    ``case_insensitive`` compares string columns in lower case, as the grid's text sort does.
+    ``natural`` sorts string columns as the grid does by itself (``natural_key``); ``case_insensitive`` compares them in
+    lower case, as the grid's text sort does. A full sort is a range exchange on the keys, so any number of rows is
+    spread over the tasks.
     """
     def key(c):
         col = F.col(c)
-        if case_insensitive and isinstance(df.schema[c].dataType, T.StringType):
-            col = F.lower(col)
+        if isinstance(df.schema[c].dataType, T.StringType):
+            if natural:
+                return natural_key(col)
+            if case_insensitive:
+                return F.lower(col)
         return col
 
     cols = [key(c).desc_nulls_last() if d.lower().startswith("desc") else key(c).asc_nulls_last()

@@ -187,22 +187,30 @@ def run_state_summary(updates: DataFrame, slice_cols: list[str]) -> DataFrame:
         F.count_if(live).alias("n_writes"))
 
 
-def fold_run_state_summaries(summaries: DataFrame, order: Column) -> DataFrame:
-    """Current run state from slice summaries; ``order`` must follow seq order across the slices of a run.
+def merge_run_state_summaries(summaries: DataFrame, order: Column) -> DataFrame:
+    """Slice summaries of a run folded into one that can be folded again; ``order`` must follow seq order across slices.
 
     Slices before the one holding a run's latest clear are dropped, the rest
-    fold by per-field seq.  The join on run_id sees one row per slice.
+    fold by per-field seq.  The join on run_id sees one row per slice. The
+    merged row stands in the place (``slice``) of the run's last one.
     """
     s = summaries.withColumn("__order", order)
     last_clear = s.groupBy(RUN).agg(F.max(F.when(F.col("clear_seq").isNotNull(), F.col("__order"))).alias("__co"))
     keep = s.join(last_clear, RUN).where(F.col("__co").isNull() | (F.col("__order") >= F.col("__co")))
-    state = keep.groupBy(RUN).agg(
-        F.max_by("messages", "msg_seq").alias("messages"),
-        F.max_by("pending", "pend_seq").alias("pending"),
-        F.max_by("model", "model_seq").alias("model"),
+    last_slice = [F.max("slice").alias("slice")] if "slice" in summaries.columns else []
+    return keep.groupBy(RUN).agg(
+        *last_slice, F.max("clear_seq").alias("clear_seq"),
+        F.max("msg_seq").alias("msg_seq"), F.max_by("messages", "msg_seq").alias("messages"),
+        F.max("pend_seq").alias("pend_seq"), F.max_by("pending", "pend_seq").alias("pending"),
+        F.max("model_seq").alias("model_seq"), F.max_by("model", "model_seq").alias("model"),
         F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"),
         F.sum("n_writes").alias("n_writes"))
-    return state.where(F.col("n_writes") > 0)
+
+
+def fold_run_state_summaries(summaries: DataFrame, order: Column) -> DataFrame:
+    """Current run state from slice summaries (``merge_run_state_summaries``); cleared runs have none."""
+    return merge_run_state_summaries(summaries, order).where(F.col("n_writes") > 0).select(
+        RUN, "messages", "pending", "model", "created_at", "updated_at", "n_writes")
 
 
 def fold_run_state(updates: DataFrame, bucket_width: int = 4096) -> DataFrame:

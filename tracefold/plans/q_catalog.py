@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import catalog as C
 from ..schemas import LEVELS, RECORDS
 from ..sources import derive
@@ -48,6 +50,15 @@ def s3(spark, sf):
                       "min_value", "max_value")
 
 
+@register("s3_profile_sketches", with_views(["records"], f"""
+WITH {_report_sql()}
+SELECT column_name, n_rows, n_nulls, min_value, max_value FROM report"""))
+def s3_sketches(spark, sf):
+    """S3 from sketches of each day, merged: the exact columns (estimates are tested for their error bounds)."""
+    days = _records(spark, sf).withColumn("day", F.to_date("start_timestamp"))
+    return C.merged_profile(C.profile_sketches(days)).select("column_name", "n_rows", "n_nulls", "min_value", "max_value")
+
+
 _ENUM_SQL = "CREATE TYPE log_level AS ENUM (" + ", ".join(f"''{v}''" for v in LEVELS) + ");"
 
 

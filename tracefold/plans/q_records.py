@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import records as R
 from ..session import DAY, NOW
 from ..sources import derive
+from ..sources.records import with_parsed
 from ..streaming.streams import error_rollup_closed
 from .oracle_views import with_views
 from .registry import register
@@ -205,6 +207,43 @@ def sort_rows_then_cap(spark, sf):
     return R.cap(R.sort_rows(df, [("service_name", "desc"), ("span_id", "asc")]), 1000)
 
 
+_LABEL = """CASE event_id % 5 WHEN 0 THEN upper(level) || ' ' || (event_id % 12) WHEN 1 THEN level || ' 0' || (event_id % 12)
+  WHEN 2 THEN (event_id % 30) || level WHEN 3 THEN level || ' ' || (event_id % 120) || '.' || (event_id % 7) ELSE level END"""
+
+
+@register("l2_natural_sort", with_views(["records"], f"""
+, labelled AS (SELECT trace_id, event_id, CASE WHEN event_id % 23 <> 0 THEN {_LABEL} END AS label FROM records),
+keyed AS (
+  SELECT *, [ CASE WHEN regexp_matches(p, '^[0-9]') THEN {{'k': 1, 'n': length(ltrim(p, '0')), 't': ltrim(p, '0')}}
+                   ELSE {{'k': 0, 'n': 0, 't': p}} END FOR p IN regexp_extract_all(lower(label), '[0-9]+|[^0-9]+') ] AS key
+  FROM labelled)
+SELECT trace_id, event_id, label,
+  row_number() OVER (PARTITION BY trace_id ORDER BY (label IS NULL), key, event_id) AS place,
+  row_number() OVER (PARTITION BY trace_id ORDER BY (label IS NULL), key DESC, event_id) AS place_desc
+FROM keyed""".replace(", labelled AS", "WITH labelled AS", 1)))
+def l2_natural(spark, sf):
+    """L2: all rows of each trace in the grid's natural order of a mixed label, both ways, NULLs last; no cap."""
+    label = F.expr("""CASE WHEN event_id % 23 <> 0 THEN CASE event_id % 5 WHEN 0 THEN upper(level) || ' ' || (event_id % 12)
+      WHEN 1 THEN level || ' 0' || (event_id % 12) WHEN 2 THEN (event_id % 30) || level
+      WHEN 3 THEN level || ' ' || (event_id % 120) || '.' || (event_id % 7) ELSE level END END""")
+    rows = _rec(spark, sf).select("trace_id", "event_id", label.alias("label"))
+    key = R.natural_key(F.col("label"))
+    up = Window.partitionBy("trace_id").orderBy(key.asc_nulls_last(), "event_id")
+    down = Window.partitionBy("trace_id").orderBy(key.desc_nulls_last(), "event_id")
+    return rows.withColumn("place", F.row_number().over(up)).withColumn("place_desc", F.row_number().over(down))
+
+
+@register("attr_filters_parsed", with_views(["records"], f"""
+SELECT {_RC}, 'equals' AS filter FROM records WHERE json_extract_string(attributes, '$.foobar') = 'false'
+UNION ALL
+SELECT {_RC}, 'has_key' FROM records WHERE list_contains(json_keys(attributes), 'foobar')"""))
+def attr_filters_parsed(spark, sf):
+    """R1 and R2 on attributes parsed once into a VARIANT column (the layout that write_records stores)."""
+    rec = with_parsed(_rec(spark, sf))
+    equal = R.where_attr_equals(rec, "foobar", "false").select(*REC_COLS, F.lit("equals").alias("filter"))
+    return equal.unionByName(R.where_attr_has_key(rec, "foobar").select(*REC_COLS, F.lit("has_key").alias("filter")))
+
+
 @register("t2_error_rollup_closed", with_views(["records"], f"""
 SELECT date_trunc('hour', start_timestamp) AS window_start, date_trunc('hour', start_timestamp) + INTERVAL 1 HOUR AS window_end,
        service_name, count(*) AS n_errors

@@ -8,8 +8,10 @@ from ..functions import approvals as FA
 from ..functions import envelopes as FE
 from ..functions import usage as FU
 from ..operators import runs as RU
+from ..schemas import KEEPALIVE_SECONDS
 from ..sources import derive
 from ..sources.derive import TURN_STRIDE as K
+from ..streaming import streams as ST
 from .oracle_views import with_views
 from .registry import register
 
@@ -381,6 +383,34 @@ def t5(spark, sf):
     return RU.idle_gaps(_chunks(spark, sf))
 
 
+def _requests(chunks):
+    return chunks.where("type = 'approval-requested'").select("run_id", "tool_call_id", F.timestamp_millis("timestamp").alias("event_time"))
+
+
+@register("t4_approval_outcomes", V(["chunks", "approvals"], """
+SELECT r.run_id, r.tool_call_id, r.event_time, min(d.decided_at) AS decided_at, arg_min(d.value, d.decided_at) AS value,
+       CASE WHEN min(d.decided_at) IS NULL THEN 'timed_out' ELSE 'decided' END AS status
+FROM (SELECT run_id, tool_call_id, epoch_ms(timestamp) AS event_time FROM chunks WHERE type = 'approval-requested') r
+LEFT JOIN approvals d ON d.run_id = r.run_id AND d.tool_call_id = r.tool_call_id
+  AND d.decided_at BETWEEN r.event_time AND r.event_time + INTERVAL 300 SECOND
+GROUP BY r.run_id, r.tool_call_id, r.event_time"""))
+def t4(spark, sf):
+    """T4: every approval request with its first decision within 5 minutes, or timed out (twin of the stream)."""
+    return ST.approval_outcomes(_requests(_chunks(spark, sf)), _dec(spark, sf), 300)
+
+
+@register("t5_activity_sessions", V(["chunks"], f"""
+SELECT run_id, min(moment) AS session_start, max(moment) + INTERVAL {KEEPALIVE_SECONDS} SECOND AS session_end, count(*) AS n_chunks
+FROM (SELECT run_id, moment, sum(fresh) OVER (PARTITION BY run_id ORDER BY moment ROWS UNBOUNDED PRECEDING) AS s
+      FROM (SELECT run_id, epoch_ms(timestamp) AS moment, CASE WHEN timestamp - lag(timestamp) OVER (
+              PARTITION BY run_id ORDER BY timestamp) > {KEEPALIVE_SECONDS * 1000} THEN 1 ELSE 0 END AS fresh FROM chunks))
+GROUP BY run_id, s"""))
+def t5_sessions(spark, sf):
+    """T5: activity sessions per run, cut where a run is silent for over 15 s (twin of the stream)."""
+    c = _chunks(spark, sf).select("run_id", F.timestamp_millis("timestamp").alias("event_time"))
+    return ST.activity_sessions_batch(c)
+
+
 @register("t6_split_segments", V(["chunks"], """
 SELECT run_id, seq, type,
        CAST(coalesce(sum(CASE WHEN type = 'done' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY seq

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,15 +47,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised intermediates.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared file
-    system every executor can reach).  Only when it is unset (tests, local runs)
-    a scratch folder is created and registered.
+    system every executor can reach); without it this raises, as a folder of
+    one machine would lose data.  Only a local session (one JVM: tests, local
+    runs) gets a scratch folder of its own when it is unset.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if configured:
         return str(configured)
-    local = tempfile.mkdtemp(prefix="tracefold-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    local = tempfile.mkdtemp(prefix="tracefold-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
     return local

@@ -1,4 +1,4 @@
-"""Structured Streaming operators.
+"""Structured Streaming operators.
 
 Each one has a batch twin in ``tracefold.operators`` and the tests run both
 over the same files (``trigger(availableNow=True)``) and compare.  Event time
@@ -7,17 +7,14 @@ is a TIMESTAMP column (``withWatermark`` refuses TIMESTAMP_NTZ).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..schemas import CHUNKS, KEEPALIVE_SECONDS
-from ..operators.runs import fold_run_state_summaries, run_state_summary
+from ..operators.runs import fold_run_state_summaries, merge_run_state_summaries, run_state_summary
+from ..schemas import ARTIFACT_TTL_MINUTES, CHUNKS, KEEPALIVE_SECONDS
 from ..sources.sse import capture_lines, parse_sse_lines
+from . import stateful
 
 # ---------------------------------------------------------------------------
 # ingest
@@ -115,106 +112,107 @@ def error_rollup_closed(records: DataFrame, max_event_time, window: str = "1 hou
 # Run state, incrementally
 # ---------------------------------------------------------------------------
 
-RUN_STATE_OUT = T.StructType([
-    T.StructField("run_id", T.StringType()), T.StructField("messages", T.StringType()),
-    T.StructField("pending", T.StringType()), T.StructField("model", T.StringType()),
-    T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType()),
-    T.StructField("n_writes", T.LongType()), T.StructField("exists", T.BooleanType()),
-])
-RUN_STATE = T.StructType([
-    T.StructField("clear_seq", T.LongType()),
-    T.StructField("msg_seq", T.LongType()), T.StructField("messages", T.StringType()),
-    T.StructField("pend_seq", T.LongType()), T.StructField("pending", T.StringType()),
-    T.StructField("model_seq", T.LongType()), T.StructField("model", T.StringType()),
-    T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType()),
-    T.StructField("n_writes", T.LongType()),
-])
-_EMPTY = dict(clear_seq=None, msg_seq=None, messages=None, pend_seq=None, pending=None, model_seq=None,
-              model=None, created_at=None, updated_at=None, n_writes=0)
-
-
-def _later(a, b) -> bool:
-    return b is None or (a is not None and a > b)
-
-
-def _none(v):
-    return None if v is None or (not isinstance(v, str) and pd.isna(v)) else v
+def stream_run_state(updates: DataFrame, idle_seconds: int | None = None, late_seconds: int = 600) -> DataFrame:
+    """W10 incrementally (update mode, one state row per run that had writes).
 
-
-def _fold_run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold one run's new writes into its state (vectorised over the micro-batch).
-
-    Every latest-value field keeps the seq it came from, so writes of one batch
-    may come in any order and a write older than the field's value is ignored.
-    Assumption (a run has one writer): a ``clear`` is not overtaken by later
-    writes of an earlier micro-batch; rows older than the latest clear are dropped.
+    Each task folds its rows first (``stateful.partial_folds``), so a run with a third of a batch's rows sends one row
+    a task to its state. Writes and clears may come in any order within ``late_seconds`` of the run's newest write.
+    With ``idle_seconds`` the state of idle and of cleared runs leaves (``stateful.RunState``); the query then runs on
+    processing time, which ``availableNow`` never finishes.
     """
-    s = dict(zip(RUN_STATE.fieldNames(), state.get)) if state.exists else dict(_EMPTY)
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
-    if s["clear_seq"] is not None:
-        pdf = pdf[pdf["seq"] > s["clear_seq"]]
-    clears = pdf[pdf["kind"] == "clear"]
-    if len(clears):
-        last_clear = int(clears["seq"].max())
-        s = dict(_EMPTY, clear_seq=last_clear)
-        pdf = pdf[pdf["seq"] > last_clear]
-    w = pdf[pdf["kind"] != "clear"]
-    for kind, seq_f, val_f in (("set_messages", "msg_seq", "messages"), ("set_pending", "pend_seq", "pending")):
-        rows = w[w["kind"] == kind]
-        if len(rows):
-            last = rows.iloc[-1]
-            if _later(int(last["seq"]), s[seq_f]):
-                s[seq_f], s[val_f] = int(last["seq"]), _none(last[val_f])
-    models = w[w["model"].notna()]
-    if len(models):
-        last = models.iloc[-1]
-        if _later(int(last["seq"]), s["model_seq"]):
-            s["model_seq"], s["model"] = int(last["seq"]), last["model"]
-    if len(w):
-        lo = pd.Timestamp(w["written_at"].min()).to_pydatetime()
-        hi = pd.Timestamp(w["written_at"].max()).to_pydatetime()
-        s["created_at"] = lo if s["created_at"] is None else min(s["created_at"], lo)
-        s["updated_at"] = hi if s["updated_at"] is None else max(s["updated_at"], hi)
-        s["n_writes"] = int(s["n_writes"] or 0) + len(w)
-    state.update(tuple(s[f] for f in RUN_STATE.fieldNames()))
-    yield pd.DataFrame([{"run_id": key[0], "messages": s["messages"], "pending": s["pending"], "model": s["model"],
-                         "created_at": s["created_at"], "updated_at": s["updated_at"],
-                         "n_writes": int(s["n_writes"] or 0), "exists": bool(s["n_writes"])}])
-
-
-def stream_run_state(updates: DataFrame) -> DataFrame:
-    """W10 incrementally (update mode, one state row per run)."""
-    return updates.groupBy("run_id").applyInPandasWithState(
-        _fold_run, RUN_STATE_OUT, RUN_STATE, "update", GroupStateTimeout.NoTimeout)
+    stateful.use_rocksdb(updates.sparkSession)
+    columns = updates.select("run_id", F.col("seq").cast("long").alias("seq"), "kind", "messages", "pending", "model",
+                             F.unix_micros(F.col("written_at").cast("timestamp")).alias("written_at"))
+    folded = columns.mapInArrow(stateful.partial_folds, stateful.PARTIAL)
+    idle = idle_seconds * 1000 if idle_seconds else None
+    return _timed(folded.groupBy("run_id").transformWithState(
+        stateful.RunState(idle, late_seconds * 1000), stateful.RUN_STATE_OUT, "update", "processingTime" if idle else "none"),
+        "created_at", "updated_at")
+
+
+def _timed(df: DataFrame, *columns: str) -> DataFrame:
+    """Microseconds as timestamps."""
+    return df.withColumns({c: F.timestamp_micros(c) for c in columns})
+
+
+BATCH, SNAPSHOT = "batch", "snapshot"
+
+
+def _summary_folders(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """The last whole snapshot's batch id (-1: none) and the ids of the whole batch folders behind it."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {BATCH: [], SNAPSHOT: []}
+    for entry in fs.listStatus(root) if fs.exists(root) else []:
+        kind, _, number = entry.getPath().getName().partition("=")
+        # a folder counts once its write has been committed
+        if kind in found and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
+            found[kind].append(int(number))
+    last = max(found[SNAPSHOT], default=-1)
+    return last, sorted(n for n in found[BATCH] if n > last)
+
+
+def _summaries(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The summaries that make up the current state: one snapshot and the batches behind it."""
+    last, batches = _summary_folders(spark, path)
+    parts = [spark.read.parquet(f"{path}/{SNAPSHOT}={last}").withColumn("batch_id", F.lit(last).cast("long"))] if last >= 0 else []
+    batches = [n for n in batches if upto is None or n <= upto]
+    if batches:
+        rows = spark.read.option("basePath", path).parquet(*[f"{path}/{BATCH}={n}" for n in batches])
+        parts.append(rows.withColumn("batch_id", F.col(BATCH).cast("long")).drop(BATCH))
+    if not parts:
+        raise FileNotFoundError(f"no run state under {path}")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def stream_run_state_compacted(updates: DataFrame, summary_path: str | None = None, checkpoint: str | None = None,
-                               name: str = "run_state", bucket_width: int = 4096):
-    """T3 without a hot task: each micro-batch is summarised per (run, seq bucket) with partial
-    aggregates (``operators.runs.run_state_summary``) and written to ``summary_path/batch_id=<n>``
-    (overwritten on retry, so a re-run batch does not count twice).  Read the state with
-    ``read_run_state(spark, summary_path)``.  Returns the started query.
+                               name: str = "run_state", bucket_width: int = 4096, snapshot_every: int = 20):
+    """T3 without keyed state: each micro-batch is summarised per (run, seq bucket) with partial aggregates
+    (``operators.runs.run_state_summary``) and written to ``summary_path/batch=<n>`` (overwritten on retry, so a re-run
+    batch does not count twice). Every ``snapshot_every`` batches the last snapshot and the batches behind it are folded
+    into one row a run (``snapshot=<n>``); older folders are not read again, and those that the snapshot before
+    already covered are deleted. Read the state with ``read_run_state(spark, summary_path)``. Returns the started query.
     """
     from ..session import checkpoint_dir
     root = checkpoint_dir(updates.sparkSession).rstrip("/")
-    summary_path = summary_path or f"{root}/{name}/summaries"
+    summary_path = (summary_path or f"{root}/{name}/summaries").rstrip("/")
     checkpoint = checkpoint or f"{root}/{name}/checkpoint"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         sliced = batch.withColumn("slice", F.floor(F.col("seq") / F.lit(bucket_width)))
-        run_state_summary(sliced, ["slice"]).write.mode("overwrite").parquet(f"{summary_path}/batch_id={batch_id}")
+        run_state_summary(sliced, ["slice"]).write.mode("overwrite").parquet(f"{summary_path}/{BATCH}={batch_id}")
+        if (batch_id + 1) % snapshot_every == 0:
+            before, _ = _summary_folders(spark, summary_path)
+            if before < batch_id:
+                folded = merge_run_state_summaries(_summaries(spark, summary_path, batch_id), F.struct("slice", "batch_id"))
+                folded.write.mode("overwrite").parquet(f"{summary_path}/{SNAPSHOT}={batch_id}")
+                _forget(spark, summary_path, before)
 
     return (updates.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def _forget(spark: SparkSession, path: str, upto: int) -> None:
+    """Delete the batches that an older snapshot covers, and the snapshots before it; its readers are long done."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in fs.listStatus(root):
+        kind, _, number = entry.getPath().getName().partition("=")
+        if (kind == BATCH and int(number) <= upto) or (kind == SNAPSHOT and int(number) < upto):
+            fs.delete(entry.getPath(), True)
+
+
 def read_run_state(spark: SparkSession, summary_path: str) -> DataFrame:
-    """Current run state from the summaries of ``stream_run_state_compacted``.
+    """Current run state from the folders of ``stream_run_state_compacted``: the last snapshot and what follows it.
 
-    Slices are ordered by (seq bucket, batch): a bucket split over two batches
-    keeps its seq order because a run's writes arrive in order.
+    Slices are ordered by (seq bucket, batch): a bucket split over two batches keeps its seq order because a run's
+    writes arrive in order.
     """
-    return fold_run_state_summaries(spark.read.parquet(summary_path), F.struct("slice", "batch_id"))
+    return fold_run_state_summaries(_summaries(spark, summary_path.rstrip("/")), F.struct("slice", "batch_id"))
 
 
 # ---------------------------------------------------------------------------
@@ -241,6 +239,38 @@ def stream_approvals(requests: DataFrame, decisions: DataFrame, bound: str = "10
                     F.when(F.col("d.decided_at").isNull(), F.lit("timed_out")).otherwise(F.lit("decided")).alias("status"))
 
 
+def stream_approval_outcomes(requests: DataFrame, decisions: DataFrame, bound_seconds: int = 600,
+                             late_seconds: int = 60) -> DataFrame:
+    """T4 on the clock: each request with its first decision within the bound, or ``timed_out`` (``stateful.ApprovalOutcome``).
+
+    Same inputs as ``stream_approvals``. A time-out needs no later traffic: a processing-time timer fires
+    ``late_seconds`` after the bound. State is keyed by (run, tool call), so a hot run is spread over all tasks.
+    """
+    stateful.use_rocksdb(requests.sparkSession)
+    asked = requests.select("run_id", "tool_call_id", F.lit("request").alias("kind"), F.unix_micros("event_time").alias("at"),
+                            F.lit(None).cast("string").alias("value"))
+    told = decisions.select("run_id", "tool_call_id", F.lit("decision").alias("kind"), F.unix_micros("decided_at").alias("at"), "value")
+    return _timed(asked.unionByName(told).groupBy("run_id", "tool_call_id").transformWithState(
+        stateful.ApprovalOutcome(bound_seconds * 1000, late_seconds * 1000), stateful.OUTCOME, "append", "processingTime"),
+        "event_time", "decided_at")
+
+
+def approval_outcomes(requests: DataFrame, decisions: DataFrame, bound_seconds: int = 600) -> DataFrame:
+    """Batch twin of ``stream_approval_outcomes``: the first decision within the bound, one row a request.
+
+    An equi-join on (run, tool call), then one aggregate per request.
+    """
+    end = F.col("event_time") + F.make_dt_interval(secs=F.lit(bound_seconds))
+    r = requests.select("run_id", "tool_call_id", "event_time").withColumn("__until", end)
+    d = decisions.select(F.col("run_id").alias("__run"), F.col("tool_call_id").alias("__id"), "decided_at", "value")
+    fits = ((F.col("run_id") == F.col("__run")) & (F.col("tool_call_id") == F.col("__id"))
+            & F.col("decided_at").between(F.col("event_time"), F.col("__until")))
+    first = F.min(F.when(F.col("decided_at").isNotNull(), F.struct("decided_at", "value")))
+    return (r.join(d, fits, "left").groupBy("run_id", "tool_call_id", "event_time").agg(first.alias("d"))
+            .select("run_id", "tool_call_id", "event_time", "d.decided_at", "d.value",
+                    F.when(F.col("d").isNull(), F.lit("timed_out")).otherwise(F.lit("decided")).alias("status")))
+
+
 def approvals_batch(requests: DataFrame, decisions: DataFrame, bound: str = "10 minutes") -> DataFrame:
     """Batch twin of T4."""
     r = requests.alias("r")
@@ -272,6 +302,31 @@ def activity_sessions_batch(chunks: DataFrame, gap_seconds: int = KEEPALIVE_SECO
             .select("run_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n_chunks"))
 
 
+# ---------------------------------------------------------------------------
+# Artifacts leave at their time limit
+# ---------------------------------------------------------------------------
+
+def stream_artifact_life(manifest: DataFrame, ttl_seconds: int = ARTIFACT_TTL_MINUTES * 60) -> DataFrame:
+    """T10 on the manifest as a stream: a ``live`` row when an artifact is registered, ``expired`` when its time is up.
+
+    Needs no later traffic; a late registration that is older than the one known is ignored, and one that is too old on
+    arrival never becomes live (``stateful.ArtifactLife``).
+    """
+    stateful.use_rocksdb(manifest.sparkSession)
+    rows = manifest.where(F.col("created_at").isNotNull()).select("run_id", "artifact_id",
+                                                               F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_at"))
+    return _timed(rows.groupBy("run_id", "artifact_id").transformWithState(
+        stateful.ArtifactLife(ttl_seconds * 1000), stateful.LIFE, "append", "processingTime"), "created_at", "at")
+
+
+def live_artifacts(life: DataFrame) -> DataFrame:
+    """The ids that are live by the rows of ``stream_artifact_life``."""
+    # at one moment an expiry comes before a new registration
+    last = life.groupBy("run_id", "artifact_id").agg(F.max(F.struct("at", (F.col("event") == "live").alias("is_live"), "created_at")).alias("l"))
+    return last.where(F.col("l.is_live")).select("run_id", "artifact_id", "l.created_at")
+
+
 __all__ = ["stream_chunks", "ingest_captures", "typed_chunks", "stream_error_rollup", "error_rollup_closed", "stream_run_state",
            "run_state_summary", "fold_run_state_summaries", "stream_run_state_compacted", "read_run_state",
-           "stream_approvals", "approvals_batch", "stream_activity_sessions", "activity_sessions_batch", "CHUNKS"]
+           "stream_approvals", "approvals_batch", "stream_approval_outcomes", "approval_outcomes",
+           "stream_artifact_life", "live_artifacts", "stream_activity_sessions", "activity_sessions_batch", "CHUNKS"]
