@@ -80,7 +80,7 @@ def test_empty_table(spark):
 def test_skyband_keeps_those_with_few_dominators():
     rnd = random.Random(6)
     for k in (1, 3, 10):
-        rows = [(rnd.randint(1, 8), rnd.randint(1, 8), f"t{i:03}".encode()) for i in rnd.sample(range(999), 150)]
+        rows = [(rnd.randint(1, 8), rnd.randint(1, 8), f"t{i:03}".encode(), i) for i in rnd.sample(range(999), 150)]
         want = {b for b in rows if sum(a[0] >= b[0] and a[1] <= b[1] and a[2] < b[2] for a in rows) < k}
         assert set(D.band_of(rows, k)) == want
 

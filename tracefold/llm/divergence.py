@@ -8,12 +8,13 @@ p = 1 + floor(10^9 (c + 5) / (N + 5 V)), N its count of all kept terms; a langua
   together, where a window over them gives its documents and occurrences in the language. A frequent term has one
   row a group and task there, whatever its number of occurrences.
 * **Pairs.** The distance of two groups of a language is the sum of |p - q| over its kept terms. Terms are dealt out in
-  slices of at most about ``CELLS`` cells (terms times groups); a task holds one slice as a matrix and gives
-  one partial sum for each pair, which Spark adds up. A group without a term has its least share there.
+  slices of about ``CELLS`` cells (terms times groups) or as many terms as groups; a task holds one slice as a
+  matrix and gives one partial sum for each pair, which Spark adds up. A group without a term has its least share there.
 * **Terms.** A term's excess over the language is greatest where the group's count is high and the language's is low.
   Within one group the shares only depend on these two counts, so a term that is met or beaten in both by k
   others that are also earlier in UTF-8 cannot be among the first k. Partitions keep the skyband: terms dominated
   so by fewer than k others. Skybands are merged into one per group, and its terms are ranked by their exact excess.
+  Terms without excess are left out first: what dominates a term with excess has at least as much.
 
 All arithmetic is on whole numbers: shares by long division in three steps of three digits, exact for counts up to 10^15.
 
@@ -37,13 +38,13 @@ from ..session import materialize
 from . import common
 
 SMOOTH, SCALE = 5, 1_000_000_000
-CELLS = 2_000_000
+CELLS = 32_768
 ENTRIES = 400_000
 BAND_ROWS = 100_000
 # A-Z become a-z; other ASCII characters but letters become blanks; bytes of other characters stay.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 COUNTS = "lang string, source string, term string, n long, docs long"
-BAND = "lang string, source string, term string, n long, lang_n long"
+BAND = "lang string, source string, term string, n long, lang_n long, value long"
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -115,7 +116,8 @@ def shares(counts: np.ndarray, total: np.ndarray | int) -> np.ndarray:
 
 def pair_sums(kept: DataFrame, totals: dict[str, tuple[list[str], list[int], int]]) -> DataFrame:
     """(lang, one, other, value): sums of |p - q| over a language's kept terms, for one < other in its list of sources."""
-    slices = {lang: max(1, -(-v * len(names) // CELLS)) for lang, (names, _, v) in totals.items()}
+    # terms in a slice: CELLS over the groups, but no fewer than the groups, so that partial sums stay below the input
+    slices = {lang: max(1, -(-v // max(CELLS // len(names), len(names)))) for lang, (names, _, v) in totals.items()}
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         lang = key[0].as_py()
@@ -143,7 +145,7 @@ def pair_sums(kept: DataFrame, totals: dict[str, tuple[list[str], list[int], int
         "lang", "one", "other").agg(F.sum("value").alias("value"))
 
 
-def pairs(groups: DataFrame, sums: DataFrame, totals: dict[str, tuple[list[str], list[int], int]]) -> DataFrame:
+def pairs(groups: DataFrame, sums: DataFrame) -> DataFrame:
     """(lang, source, item, value): every group and each other source of its language."""
     order = Window.partitionBy("lang").orderBy("source")
     numbered = groups.select("lang", "source", (F.row_number().over(order) - 1).cast("long").alias("k"))
@@ -154,8 +156,8 @@ def pairs(groups: DataFrame, sums: DataFrame, totals: dict[str, tuple[list[str],
         "lang", "source", "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
 
 
-def band_of(rows: list[tuple[int, int, bytes]], k: int) -> list[tuple[int, int, bytes]]:
-    """The (count, language count, term) rows dominated by fewer than k others.
+def band_of(rows: list[tuple[int, int, bytes, int]], k: int) -> list[tuple[int, int, bytes, int]]:
+    """The (count, language count, term, excess) rows dominated by fewer than k others.
 
     In the order (falling count, rising language count, term) a row comes behind all that dominate it, and a row
     dominated by k others is dominated by k of the band, so the band found so far tells.
@@ -179,21 +181,22 @@ def skybands(counts: DataFrame, k: int) -> DataFrame:
     """Every partition's skyband of each of its groups. Memory is bounded: what grows too large is handed on."""
 
     def table(bands: dict[tuple[str, str], list]) -> Iterator[pa.RecordBatch]:
-        rows = [(g[0], g[1], t, n, m) for g, band in bands.items() for n, m, t in band]
+        rows = [(g[0], g[1], *row) for g, band in bands.items() for row in band]
         for at in range(0, len(rows), 20_000):
-            lang, source, term, n, m = zip(*rows[at: at + 20_000], strict=True)
+            lang, source, n, m, term, value = zip(*rows[at: at + 20_000], strict=True)
             yield pa.RecordBatch.from_arrays([
                 pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()),
-                pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=["lang", "source", "term", "n", "lang_n"])
+                *[pa.array(x, pa.int64()) for x in (n, m, value)]], names=["lang", "source", "term", "n", "lang_n", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands: dict[tuple[str, str], list[tuple[int, int, bytes]]] = {}
+        bands: dict[tuple[str, str], list[tuple[int, int, bytes, int]]] = {}
         held = 0
         for batch in batches:
-            term = batch.column("term").cast(pa.binary()).to_pylist()
-            for lang, source, t, n, m in zip(*(batch.column(c).to_pylist() for c in ("lang", "source")), term,
-                                             *(batch.column(c).to_pylist() for c in ("n", "lang_n")), strict=True):
-                bands.setdefault((lang, source), []).append((n, m, t))
+            terms_ = batch.column("term").cast(pa.binary()).to_pylist()
+            groups = zip(*(batch.column(c).to_pylist() for c in ("lang", "source")), strict=True)
+            numbers = (batch.column(c).to_pylist() for c in ("n", "lang_n", "value"))
+            for group, t, n, m, value in zip(groups, terms_, *numbers, strict=True):
+                bands.setdefault(group, []).append((n, m, t, value))
             held += batch.num_rows
             if held > BAND_ROWS:
                 bands = {g: band_of(rows, k) for g, rows in bands.items()}
@@ -212,10 +215,11 @@ def share(n: str, total: str) -> str:
 
 def excess(kept: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     """(lang, source, item, value): candidates for the k terms that exceed the language's share most, from skybands."""
-    merged = skybands(skybands(kept, k).repartition("lang", "source"), k)
-    found = merged.join(groups, ["lang", "source"])
     value = F.expr(f"cast({share('n', 'total')} - {share('lang_n', 'lang_total')} as bigint)")
-    return found.select("lang", "source", F.col("term").alias("item"), value.alias("value")).where(F.col("value") > 0)
+    more = kept.join(groups, ["lang", "source"]).withColumn("value", value).where(F.col("value") > 0)
+    bands = skybands(more.select("lang", "source", "term", "n", "lang_n", "value"), k)
+    merged = skybands(bands.repartition("lang", "source"), k)
+    return merged.select("lang", "source", F.col("term").alias("item"), "value")
 
 
 def divergence(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:
@@ -234,7 +238,7 @@ def divergence(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:
             "lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
 
     terms_ = ranked(excess(kept, groups, top), "term").where(F.col("rank") <= top)
-    return ranked(pairs(groups, pair_sums(kept, totals), totals), "pair").unionByName(terms_)
+    return ranked(pairs(groups, pair_sums(kept, totals)), "pair").unionByName(terms_)
 
 
 def oracle(least: int = 30, top: int = 50) -> str:
