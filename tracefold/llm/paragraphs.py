@@ -3,20 +3,24 @@
 A text's units are its lines. A unit over ``LONG`` characters, or over one in ``SHARES`` of the text's, is also cut
 further: lines into sentences, sentences into words, words (a text without blanks) into runs of 8 letters, these into
 runs of 2. So no text has few units, and what an edit leaves of a text keeps units, whatever its length. The larger
-units stay beside their parts, as the edited text may be shorter and then cuts further. The set of the units' 64-bit digests goes into cells: a digest
-is hashed (with a salt) to a key that is added to one cell in each of ``ROWS`` rows; a cell keeps the number of keys
-and the xor of the keys and of their checks. Subtracting two versions' cells cancels what they share. A cell with
-one key left whose check fits is pure; peeling takes such keys out of all their cells until none is left.
+units stay beside their parts, as the edited text may be shorter and then cuts further.
 
-The fingerprint is one page of ``ROWS`` rows of ``WIDTH`` cells, of fixed size. Two fingerprints are subtracted and
-peeled first. Where that fails (too many differences) a larger sketch is made of the digests: as many small pages
-as the units of both sides need, each peeled on its own. A page that does not peel is sketched again from its own
-digests, on ever more pages with a new salt each time. A page holds few keys whatever the text's length, so the
-work is near linear in it. All of this is one expression on a row: no shuffle, no unbounded group.
+A sketch is a table of cells. The 64-bit digest of a unit goes to one cell in each of several rows; a cell keeps the
+number of digests, their xor and the xor of their checks. Cells are sums, so they are made by one aggregate over rows
+(digest, cell), and subtracting one version's cells from another's is the same aggregate with signs: what both share
+cancels. A cell left with one digest whose check fits is pure. A peeling pass takes the pure cells of one row (there a
+digest has one cell only, so none is taken twice) and takes their digests out of the other rows' cells; passes go
+through the rows in turn until nothing is left. What was taken out is the difference, digest by digest.
 
-The edited text needs the next document in descending ``doc_id``. Rows are dealt out by ranges of ``doc_id``
-(the only shuffle of texts), each range is a window, and its last row takes the first text of the next range
-from a table with one row per range.
+The fingerprint is the sketch of fixed size, ``ROWS`` rows of ``WIDTH`` cells. It holds few differences, so two texts
+are compared by sketches of the same digests with as many cells a row as twice their units, rounded up to a power of
+two; a difference that does not peel (two digests that meet in every row, mostly) is sketched again, larger and with
+another salt, until it does.
+
+Everything runs where the texts are: they are shuffled once, by ranges of ``doc_id``, with the first text of the next
+range sent along as one more row; sketches, subtraction and peeling are aggregates within these partitions. A
+text of any length is as many rows as it has units, so the work is linear in them, and no list of a text's units is
+held but its digests.
 
 Defined results: null and empty texts have no units; two texts without units have likeness 1, and one without
 units has likeness 0 to any other. Null ids come last in the descending order; repeated ids follow each other
@@ -30,15 +34,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import common
 
 ROWS, WIDTH = 4, 8
-PAGE_WIDTH, PAGE_KEYS = 4, 3
-SHARES, LONG = 4, 1200
+SIZED_ROWS, LEAST_WIDTH = 3, 16
+PASSES = 8
 ATTEMPTS = 12
-ROUNDS = 10
+SHARES, LONG = 4, 1200
+SPREAD = 4  # ranges for each shuffle partition: a range's cells are held by one task
 SENTENCES = r"(?<=[.!?])\s+"
-DIFFERENCE = "struct<mine: array<bigint>, theirs: array<bigint>>"
+
+# kinds of rows in the tables below
+OWN, EDITED, TO_EDITED, TO_NEXT = 0, 1, 2, 3  # cells: two fingerprints, two differences
+FOUND = 2  # the digests taken out of the differences: kinds TO_EDITED + FOUND and TO_NEXT + FOUND
+UNITS = 6  # the digests themselves, of the own, edited and next text
+HEADER = 10  # the text's numbers: id, characters, four parts of the edited text's digest, three numbers of units
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -48,172 +59,164 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def digests(text: Column) -> Column:
     """The set of the digests of a text's units."""
-    limit = F.least(F.lit(LONG), F.length(text) / SHARES)
     finer = [lambda u: F.split(u, SENTENCES), lambda u: F.split(u, r"\s+"), lambda u: F.regexp_extract_all(u, F.lit("(?s).{1,8}"), F.lit(0)),
              lambda u: F.regexp_extract_all(u, F.lit("(?s).{1,2}"), F.lit(0))]
 
-    def units(found: Column, cuts: list[Callable[[Column], Column]]) -> Column:
+    def units(found: Column, limit: Column, cuts: list[Callable[[Column], Column]]) -> Column:
         """The units found, followed by what the long ones are cut into."""
         if not cuts:
             return found
         parts = F.flatten(F.transform(F.filter(found, lambda u: F.length(u) > limit), cuts[0]))
-        return F.concat(found, let(parts, lambda p: units(p, cuts[1:])))
+        return F.concat(found, let(parts, lambda p: units(p, limit, cuts[1:])))
 
-    every = let(F.split(text, r"\n+"), lambda lines: units(lines, finer))
+    # the limit is taken once, not for every unit: a text's length costs a pass over it
+    every = let(F.least(F.lit(LONG), F.length(text) / SHARES), lambda limit: let(F.split(text, r"\n+"), lambda lines: units(lines, limit, finer)))
     return F.array_distinct(F.transform(F.filter(every, lambda u: F.trim(u) != ""), lambda u: F.xxhash64(u)))
 
 
-def shift(fn: str, value: Column, by: Column) -> Column:
-    return F.call_function(fn, value, by.cast("int"))
+def width_for(units: Column) -> Column:
+    """Cells a row for a difference of at most so many digests: a power of two, at least twice as many."""
+    least = F.greatest(2 * units, F.lit(LEAST_WIDTH))
+    return F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(least)).cast("int"))
 
 
-def cell_bits(key: Column, width: int) -> Column:
-    """The cells of a key: one bit in each row's ``width`` bits."""
-    bits = [shift("shiftleft", F.lit(1).cast("long"), F.shiftright(key, 40 + 4 * r).bitwiseAND(F.lit(width - 1).cast("long")) + r * width)
-            for r in range(ROWS)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return out
+def check(digest: Column, salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), digest)
 
 
-def keyed(digest_set: Column, sign: int, salt: Column, width: int) -> Column:
-    """Keys of the digests: key, check, the cells it goes to as bits, sign, digest."""
-    return F.transform(digest_set, lambda d: let(F.xxhash64(salt, d), lambda k: F.struct(
-        k.alias("k"), F.xxhash64(k).alias("c"), cell_bits(k, width).alias("m"), F.lit(sign).alias("n"), d.alias("d"))))
+def cells_of(digest: Column, width: Column, salt: int) -> list[Column]:
+    """The cell of a digest in each row of a sized sketch: 21 bits of a hash for each row."""
+    place = F.xxhash64(F.lit(salt + ATTEMPTS), digest)
+    return [F.shiftright(place, 21 * r).bitwiseAND((width - 1).cast("long")) + width * r for r in range(SIZED_ROWS)]
 
 
-def added(cell: Column, x: Column, sign: int) -> Column:
-    """A cell with a key added (1) or taken out (-1), if it is one of the key's cells."""
-    return F.when(x["m"].bitwiseAND(cell["b"]) != 0, F.struct(
-        cell["b"].alias("b"), (cell["n"] + x["n"] if sign > 0 else cell["n"] - x["n"]).alias("n"),
-        cell["k"].bitwiseXOR(x["k"]).alias("k"), cell["c"].bitwiseXOR(x["c"]).alias("c"))).otherwise(cell)
+def entry(kind: Column | int, width: Column, cell: Column, n: Column | int, k: Column, c: Column) -> Column:
+    value = [F.lit(x) if isinstance(x, int) else x for x in (kind, n)]
+    return F.struct(value[0].cast("int").alias("kind"), width.cast("int").alias("width"), cell.cast("long").alias("cell"),
+                    value[1].cast("long").alias("n"), k.alias("k"), c.alias("c"))
 
 
-def page(keys: Column, width: int) -> Column:
-    """The cells of one page: its bit, number of keys, xor of keys, xor of checks."""
-    zero = F.lit(0).cast("long")
-    return F.transform(F.array(*[F.lit(1 << i).cast("long") for i in range(ROWS * width)]), lambda b: F.aggregate(
-        keys, F.struct(b.alias("b"), F.lit(0).alias("n"), zero.alias("k"), zero.alias("c")), lambda s, x: added(s, x, 1)))
+def sized(kind: int, sign: int, digest: Column, width: Column, salt: int) -> list[Column]:
+    """A digest's rows of a sized sketch."""
+    return [entry(kind, width, cell, sign, digest, check(digest, salt)) for cell in cells_of(digest, width, salt)]
 
 
-def subtract(a: Column, b: Column) -> Column:
-    """Cells of one page less those of another."""
-    return F.zip_with(a, b, lambda x, y: F.struct(
-        x["b"].alias("b"), (x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
-
-
-def occupied(cells: Column) -> Column:
-    return F.filter(cells, lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["c"] != 0))
-
-
-def peel(cells: Column, width: int) -> Column:
-    """Take pure keys out, round by round: the cells that remain, keys of the first side, keys of the second."""
-    none = F.array().cast("array<bigint>")
+def fixed(kind: int, digest: Column) -> list[Column]:
+    """A digest's rows of a fingerprint."""
+    c = check(digest, 0)
+    return [entry(kind, F.lit(WIDTH), F.shiftright(c, 3 * r).bitwiseAND(F.lit(WIDTH - 1).cast("long")) + WIDTH * r, 1, digest, c)
+            for r in range(ROWS)]
 
-    def step(s: Column, _: Column) -> Column:
-        pure = F.transform(
-            F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"]) == c["c"])),
-            lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["c"].alias("c"), cell_bits(c["k"], width).alias("m")))
-        return let(F.array_distinct(pure), lambda p: F.when(F.size(p) == 0, s).otherwise(F.struct(
-            occupied(F.transform(s["cells"], lambda c: F.aggregate(p, c, lambda a, x: added(a, x, -1)))).alias("cells"),
-            F.concat(s["mine"], F.transform(F.filter(p, lambda x: x["n"] == 1), lambda x: x["k"])).alias("mine"),
-            F.concat(s["theirs"], F.transform(F.filter(p, lambda x: x["n"] == -1), lambda x: x["k"])).alias("theirs"))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(
-        occupied(cells).alias("cells"), none.alias("mine"), none.alias("theirs")), step)
+def spread_out(rows: DataFrame, keys: list[str], entries: Column) -> DataFrame:
+    return rows.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*")
 
 
-def done(peeled: Column) -> Column:
-    """The difference that a page gave, or null if it did not peel."""
-    return F.when(F.size(peeled["cells"]) == 0, F.struct(peeled["mine"].alias("mine"), peeled["theirs"].alias("theirs")).cast(DIFFERENCE))
+def summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells from their rows; cells of differences in which everything has cancelled are dropped."""
+    cells = rows.groupBy(*keys, "kind", "width", "cell").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
+    empty = (F.col("n") == 0) & (F.col("k") == 0) & (F.col("c") == 0)
+    return cells.where(~(F.col("kind").isin(TO_EDITED, TO_NEXT) & empty))
 
 
-def attempt(a: Column, b: Column, number: Column, otherwise: Callable[[Column], Column] | None = None) -> Column:
-    """Sketch both digest sets on 2^e pages, subtract, peel: the differing keys, or null.
+def peeled(cells: DataFrame, keys: list[str], salt: int, digests_kept: bool) -> DataFrame:
+    """The cells after all passes: what is left of kinds TO_* did not peel; kinds TO_* + FOUND are what was taken out.
 
-    ``otherwise`` makes the difference of a page that does not peel from the page's keys.
+    These are one row a digest (``cell``, with its sign in ``n``), or, unless ``digests_kept``, one row a sign
+    (``cell``) with their number.
     """
-    e = F.ceil(F.log2(F.greatest(F.size(a) + F.size(b), F.lit(1)) / PAGE_KEYS)).cast("int")
-    e = F.greatest(e, F.lit(0)) + number - 1
+    kind, width, cell, n, k, c = map(F.col, ("kind", "width", "cell", "n", "k", "c"))
+    for t in range(PASSES):
+        row = t % SIZED_ROWS
+        here = kind.isin(TO_EDITED, TO_NEXT) & (cell >= width * row) & (cell < width * (row + 1))
+        pure = here & (F.abs(n) == 1) & (check(k, salt) == c)
+        taken = entry(kind + FOUND, F.lit(0), k if digests_kept else n, n if digests_kept else 1, F.lit(0).cast("long"), F.lit(0).cast("long"))
+        others = [entry(kind, width, at, -n, k, c) for r, at in enumerate(cells_of(k, width, salt)) if r != row]
+        same = entry(kind, width, cell, n, k, c)
+        cells = summed(spread_out(cells, keys, F.when(pure, F.array(taken, *others)).otherwise(F.array(same))), keys)
+    return cells
 
-    def pages(keys: Column, bits: Column, outer: Column) -> Column:
-        """Keys by page, found in two steps of about the square root of the number of pages."""
-        inner, low = bits - outer, shift("shiftleft", F.lit(1).cast("long"), bits - outer) - 1
-        top = shift("shiftleft", F.lit(1).cast("long"), outer) - 1
-        return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), top), lambda t: let(
-            F.filter(keys, lambda x: shift("shiftright", x["k"], inner).bitwiseAND(top) == t),
-            lambda part: F.transform(F.sequence(F.lit(0).cast("long"), low),
-                                     lambda q: F.filter(part, lambda x: x["k"].bitwiseAND(low) == q)))))
 
-    def solved(p: Column) -> Column:
-        first = let(peel(page(p, PAGE_WIDTH), PAGE_WIDTH), done)
-        return F.coalesce(first, otherwise(p)) if otherwise else first
+def tagged(digests_: str, name: str, tag: int) -> Column:
+    """An array of digests as structs with a tag before them."""
+    return F.transform(digests_, lambda d: F.struct(F.lit(tag).alias(name), d.alias("d")))
 
-    def whole(parts: Column) -> Column:
-        return F.when(F.forall(parts, lambda r: r.isNotNull()), F.struct(
-            F.flatten(F.transform(parts, lambda r: r["mine"])).alias("mine"),
-            F.flatten(F.transform(parts, lambda r: r["theirs"])).alias("theirs")).cast(DIFFERENCE))
 
-    keys = F.concat(keyed(a, 1, number, PAGE_WIDTH), keyed(b, -1, number, PAGE_WIDTH))
-    found = let(F.struct(keys.alias("keys"), e.alias("e"), F.shiftright(e, 1).alias("w")), lambda s: pages(s["keys"], s["e"], s["w"]))
-    return let(F.transform(F.filter(found, lambda p: F.size(p) > 0), solved), whole)
-
-
-def again(p: Column) -> Column:
-    """The difference of a page that did not peel: its digests on ever larger sketches with new salts."""
-    mine, theirs = (F.transform(F.filter(p, lambda x: x["n"] == n), lambda x: x["d"]) for n in (1, -1))
-    return let(F.struct(mine.alias("mine"), theirs.alias("theirs")), lambda s: F.aggregate(
-        F.sequence(F.lit(2), F.lit(ATTEMPTS)), F.lit(None).cast(DIFFERENCE),
-        lambda found, t: F.coalesce(found, attempt(s["mine"], s["theirs"], t))))
+def likeness(both: Column, apart: Column) -> Column:
+    """Shared digests as a share of all, from the numbers of units of both texts and of differing ones: 0 to 1."""
+    return F.when(both == 0, 1.0).otherwise((both - apart) / (both + apart)).cast("double")
 
 
-def differences(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """Keys that only one side has: from the fingerprints' cells if these peel, else from larger sketches.
+def differences(pairs: DataFrame) -> DataFrame:
+    """(pair, mine, theirs) of rows (pair, a, b): the digests that only one of two sets has, recovered from their sketches.
 
-    ``mine`` and ``theirs`` hold one key for each differing digest, under the salt of the attempt that gave it.
+    ``pair`` is unique. Those that do not peel are sketched again, twice as large each time.
     """
-    first = let(peel(subtract(cells_a, cells_b), WIDTH), done)
-    return F.coalesce(first, attempt(a, b, F.lit(1), again))
+    out, left, attempt = None, pairs.select("pair", "a", "b"), 0
+    while left is not None:
+        if attempt == ATTEMPTS:
+            raise ValueError(f"sketches of {ATTEMPTS} sizes did not peel")
+        width = width_for((F.size("a") + F.size("b")) * (1 << attempt))
+        sides = F.concat(tagged("a", "sign", 1), tagged("b", "sign", -1))
+        rows = left.select("pair", width.alias("w"), F.explode(sides).alias("u")).select("pair", "w", "u.*")
+        entries = F.array(*[entry(TO_EDITED, F.col("w"), cell, F.col("sign"), F.col("d"), check(F.col("d"), attempt))
+                            for cell in cells_of(F.col("d"), F.col("w"), attempt)])
+        cells = peeled(summed(spread_out(rows, ["pair"], entries), ["pair"]), ["pair"], attempt, True)
+        found = F.col("kind") == TO_EDITED + FOUND
+        told = cells.groupBy("pair").agg(
+            F.collect_list(F.when(found & (F.col("n") == 1), F.col("cell"))).alias("mine"),
+            F.collect_list(F.when(found & (F.col("n") == -1), F.col("cell"))).alias("theirs"),
+            F.count_if(~found).alias("stuck"))
+        none = F.array().cast("array<bigint>")
+        whole = materialize(left.join(told, "pair", "left").select("pair", "a", "b", F.coalesce("mine", none).alias("mine"),
+                                                                   F.coalesce("theirs", none).alias("theirs"), F.coalesce("stuck", F.lit(0)).alias("stuck")), "sketches")
+        done = whole.where("stuck = 0").select("pair", "mine", "theirs")
+        out = done if out is None else out.unionByName(done)
+        left = whole.where("stuck > 0").select("pair", "a", "b")
+        left, attempt = (None if left.isEmpty() else left), attempt + 1
+    return out
 
 
-def likeness(a: Column, b: Column, difference: Column) -> Column:
-    """Shared digests as a share of all: 0 to 1."""
-    both, apart = F.size(a) + F.size(b), F.size(difference["mine"]) + F.size(difference["theirs"])
-    return F.when(both == 0, 1.0).otherwise((both - apart) / (both + apart)).cast("double")
+def hexadecimal(c: Column, digits: int = 16) -> Column:
+    return F.lpad(F.lower(F.hex(c)), digits, "0")
 
 
 def as_text(cells: Column) -> Column:
-    """The page as hexadecimal text: per cell 4 digits of the count, 16 of the keys, 4 of the checks."""
-    return F.concat_ws("", F.transform(cells, lambda c: F.lower(F.concat(
-        F.lpad(F.hex(F.pmod(c["n"], F.lit(65536))), 4, "0"), F.lpad(F.hex(c["k"]), 16, "0"), F.right(F.lpad(F.hex(c["c"]), 16, "0"), F.lit(4))))))
-
-
-def sketched(texts: DataFrame) -> DataFrame:
-    """``texts`` with the digests of each text and the cells of its fingerprint."""
-    units = texts.withColumn("units", digests(F.col("text")))
-    return units.withColumn("cells", page(keyed(F.col("units"), 1, F.lit(0), WIDTH), WIDTH))
+    """A fingerprint's cells as hexadecimal text: per cell 4 digits of the count, 16 of the digests, 16 of the checks."""
+    order = F.sequence(F.lit(0), F.lit(ROWS * WIDTH - 1))
+    known = F.map_from_entries(F.transform(cells, lambda x: F.struct(x["cell"].cast("int"), F.concat(
+        F.right(hexadecimal(x["n"]), F.lit(4)), hexadecimal(x["k"]), hexadecimal(x["c"])))))
+    return F.concat_ws("", let(known, lambda m: F.transform(order, lambda i: F.coalesce(F.try_element_at(m, i), F.lit("0" * 36)))))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``sketched`` rows with next_text, next_units and next_cells of the next row in descending doc_id (after the last: the first)."""
-    order = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))
-    bounds = common.range_bounds(docs, "doc_id", common.shuffle_parts(docs))
-    part = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= order.cast("double"))) if len(bounds) else F.lit(0)
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-                        order.alias("_order"), part.alias("_part"))
-    window = Window.partitionBy("_part").orderBy(F.col("_order").desc(), "text")
-    following = sketched(texts).withColumn("_next", F.lead(F.struct("text", "units", "cells")).over(window))
-    # the first row of each range: its greatest id, found on ids alone, and of that id the least text
-    greatest = texts.groupBy("_part").agg(F.max("_order").alias("_order"))
-    heads = texts.join(greatest, ["_part", "_order"]).groupBy("_part").agg(F.min("text").alias("text"))
-    ranges = Window.orderBy(F.col("_part").desc())
-    wrapped = heads.select("_part", F.coalesce(F.lead("text").over(ranges), F.first("text").over(
-        ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("text"))
-    wrapped = sketched(wrapped).select("_part", F.struct("text", "units", "cells").alias("_wrap"))
-    after = F.coalesce("_next", "_wrap")
-    return following.join(wrapped, "_part").withColumn("_after", after).select(
-        "doc_id", "text", "units", "cells", *[F.col("_after")[c].alias(f"next_{c}") for c in ("text", "units", "cells")])
+    """(_part, _row, doc_id, text, next_text) in descending doc_id; after the last comes the first. One shuffle of texts."""
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    bounds = common.range_bounds(docs, "doc_id", SPREAD * common.shuffle_parts(docs)).tolist()
+    # the number of bounds at or below the id, found by halving
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(order < F.lit(bounds[middle]).cast("long"), place(low, middle)).otherwise(place(middle + 1, high))
+
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), order.alias("_order"), place(0, len(bounds)).alias("_part"))
+    # the first row of each range has its greatest id, and of that id the least text; one id a range is collected
+    first = {r["_part"]: r["_order"] for r in texts.groupBy("_part").agg(F.max("_order").alias("_order")).collect()}
+    parts = sorted(first)
+    follows = {p: first[parts[k - 1]] for k, p in enumerate(parts)}  # the lowest range is followed by the highest
+    targets: dict[int, list[int]] = {}
+    for p, at in follows.items():
+        targets.setdefault(at, []).append(p)
+    heads = texts.where(F.col("_order").isin(list(targets))).groupBy("_order").agg(F.min("text").alias("text"))
+    to = F.coalesce(*[F.when(F.col("_order") == F.lit(at).cast("long"), F.array(*map(F.lit, ps))) for at, ps in targets.items()]) if targets else F.array(F.lit(0))
+    heads = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("_order"), F.explode(to).alias("_part"), F.lit(1).alias("_last"))
+    rows = texts.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_last", F.lit(0)).unionByName(heads)
+    window = Window.partitionBy("_part").orderBy("_last", F.col("_order").desc(), "text")
+    dealt = rows.repartitionById(len(bounds) + 1, F.col("_part")).withColumn("units", digests(F.col("text")))
+    return (dealt.withColumn("_row", F.row_number().over(window)).withColumn("_next", F.lead(F.struct("text", "units")).over(window))
+            .where(F.col("_last") == 0)
+            .select("_part", "_row", "doc_id", "text", "units", F.col("_next.text").alias("next_text"), F.col("_next.units").alias("next_units")))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -222,17 +225,62 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substr(text, F.lit(1), F.length(text) - third), F.substr(following, F.lit(1), third))
 
 
-def edited_likeness(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and the likeness to that and to the next document."""
-    rows = with_next(docs)
-    rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("edited_units", digests(F.col("edited")))
-    rows = rows.withColumn("edited_cells", page(keyed(F.col("edited_units"), 1, F.lit(0), WIDTH), WIDTH))
+KEYS = ["_part", "_row"]
+
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """One row a document: its numbers, both fingerprints' cells, what peeling found, and the digests if it got stuck."""
+    rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    rows = rows.withColumn("edited_units", digests(F.col("edited"))).withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256))
+    sizes = [F.size(c) for c in ("units", "edited_units", "next_units")]
+    numbers = [F.col("doc_id"), F.length("text").cast("long"),
+               *[F.conv(F.substring("sha", 1 + 16 * i, 16), 16, -10).cast("long") for i in range(4)], *[n.cast("long") for n in sizes]]
+    listed = [F.array(*[F.struct(F.lit(HEADER + i).alias("v"), x.alias("d")) for i, x in enumerate(numbers)])]
+    listed += [tagged(c, "v", i) for i, c in enumerate(("units", "edited_units", "next_units"))]
+    units = rows.select(*KEYS, width_for(sizes[0] + sizes[1]).alias("we"), width_for(sizes[0] + sizes[2]).alias("wn"), F.explode(F.concat(*listed)).alias("u"))
+    units = units.select(*KEYS, "we", "wn", "u.v", "u.d")
+    v, d, we, wn = map(F.col, ("v", "d", "we", "wn"))
+    # a digest is a row of its own as well: differences that get stuck are sketched again from these
+    zero, itself = F.lit(0).cast("long"), entry(v + UNITS, F.lit(0), d, 1, d, F.lit(0).cast("long"))
+    entries = (F.when(v == 0, F.array(itself, *fixed(OWN, d), *sized(TO_EDITED, 1, d, we, 0), *sized(TO_NEXT, 1, d, wn, 0)))
+               .when(v == 1, F.array(itself, *fixed(EDITED, d), *sized(TO_EDITED, -1, d, we, 0)))
+               .when(v == 2, F.array(itself, *sized(TO_NEXT, -1, d, wn, 0)))
+               .otherwise(F.array(entry(v, F.lit(0), zero, 1, d, zero))))
+    cells = peeled(summed(spread_out(units, KEYS, entries), KEYS), KEYS, 0, False)
+    kind, k = F.col("kind"), F.col("k")
+
+    def number(i: int) -> Column:
+        return F.max(F.when(kind == HEADER + i, k))
+
+    def apart(of: int) -> Column:
+        return F.coalesce(F.sum(F.when(kind == of + FOUND, F.col("n"))), F.lit(0))
+
+    told = cells.groupBy(*KEYS).agg(
+        *[number(i).alias(f"h{i}") for i in range(len(numbers))],
+        *[F.collect_list(F.when(kind == of, F.struct("cell", "n", "k", "c"))).alias(name) for of, name in ((OWN, "cells"), (EDITED, "edited_cells"))],
+        *[apart(of).alias(name) for of, name in ((TO_EDITED, "apart_edited"), (TO_NEXT, "apart_next"))],
+        *[(F.count_if(kind == of) > 0).alias(name) for of, name in ((TO_EDITED, "stuck_edited"), (TO_NEXT, "stuck_next"))],
+        *[F.collect_list(F.when(kind == UNITS + i, k)).alias(f"u{i}") for i in range(3)])
+    stuck = F.col("stuck_edited") | F.col("stuck_next")
+    return told.withColumns({f"u{i}": F.when(stuck, F.col(f"u{i}")) for i in range(3)}).withColumn("u1", F.when(F.col("stuck_edited"), F.col("u1"))).withColumn(
+        "u2", F.when(F.col("stuck_next"), F.col("u2")))
 
-    def near(units: str, cells: str) -> Column:
-        return let(differences(F.col("units"), F.col(units), F.col("cells"), F.col(cells)),
-                   lambda d: likeness(F.col("units"), F.col(units), d))
 
-    return rows.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+def edited_likeness(docs: DataFrame) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and the likeness to that and to the next document."""
+    rows = materialize(sketched(docs).select(
+        *KEYS, F.col("h0").alias("doc_id"), F.col("h1").alias("n_chars"), F.concat(*[hexadecimal(F.col(f"h{i}")) for i in range(2, 6)]).alias("edited_sha256"),
         as_text(F.col("cells")).alias("fingerprint"), as_text(F.col("edited_cells")).alias("edited_fingerprint"),
-        near("edited_units", "edited_cells").alias("near_edited"), near("next_units", "next_cells").alias("near_next"))
+        *[likeness(F.col("h6") + F.col(f"h{7 + i}"), F.col(name)).alias(to) for i, (name, to) in enumerate((("apart_edited", "near_edited"), ("apart_next", "near_next")))],
+        "u0", "u1", "u2"), "paragraph-sketches")
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    stuck = rows.where(F.col("u0").isNotNull())
+    if stuck.isEmpty():
+        return rows.select(*columns)
+    sides = [stuck.where(F.col(u).isNotNull()).select(F.struct(*KEYS, F.lit(u).alias("side")).alias("pair"), F.col("u0").alias("a"), F.col(u).alias("b")) for u in ("u1", "u2")]
+    again = differences(sides[0].unionByName(sides[1])).select("pair.*", (F.size("mine") + F.size("theirs")).alias("apart"))
+    again = again.groupBy(*KEYS).agg(*[F.max(F.when(F.col("side") == u, F.col("apart"))).alias(f"again_{u}") for u in ("u1", "u2")])
+    mended = stuck.join(again, KEYS, "left")
+    for u, to in (("u1", "near_edited"), ("u2", "near_next")):
+        mended = mended.withColumn(to, F.when(F.col(u).isNotNull(), likeness(F.size("u0") + F.size(u), F.col(f"again_{u}"))).otherwise(F.col(to)))
+    return rows.where(F.col("u0").isNull()).select(*columns).unionByName(mended.select(*columns))
