@@ -24,7 +24,7 @@ def crc(ids):
 
 
 def test_cached_ids_equal_the_library(spark, tokenizer_file, odd_texts):
-    w = tokens.Words(tokenizer_file, limit=50)  # a small cache is emptied often
+    w = tokens.Words(tokenizer_file, limit=5000)  # a small cache is emptied often
     assert w.by_word
     texts = [t for _, t in odd_texts] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     for t in texts:
@@ -82,6 +82,39 @@ def test_token_files_of_odd_rows(spark, make_docs, tokenizer_file, odd_texts, sc
         at += len(ids)
 
 
+FAR_IDS = [(1 << 60, "far above"), (-(1 << 62), "far below"), ((1 << 63) - 1, "last"), (-(1 << 63), "first"), (0, "zero"), (None, "none"),
+           ((1 << 53) + 1, "odd"), (1 << 53, "even")]
+
+
+def test_ids_of_any_size(spark, make_docs, tokenizer_file, scratch):
+    docs = make_docs([*FAR_IDS, *[(i * ((1 << 50) + 1), f"text {i}") for i in range(1, 200)]]).repartition(5)
+    token_files.write_tokens(docs, f"{scratch}/t", tokenizer_file, 2, block_ids=20)
+    got = sorted(token_files.read_tokens(spark, f"{scratch}/t").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, *sorted(r.doc_id for r in docs.collect() if r.doc_id is not None)]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    check_pieces(packing.pack(docs, tokenizer_file, 2, size=16).collect(), texts, tokenizer_file, 16)
+
+
+def test_files_follow_each_other_in_ascending_order(spark, make_docs, tokenizer_file, scratch):
+    import glob
+
+    import pyarrow.parquet as pq
+    docs = make_docs([(i, f"text number {i} " * (i % 7)) for i in range(3000)]).repartition(6)
+    token_files.write_tokens(docs, f"{scratch}/t", tokenizer_file, 2, block_ids=300)
+    files = sorted(glob.glob(f"{scratch}/t/blocks/part-*.parquet"))
+    firsts = [x for f in files for x in pq.read_table(f).column("first_doc").to_pylist()]
+    assert len(files) > 2 and len(firsts) > 50 and firsts == sorted(firsts)
+
+
+def test_cache_is_bounded_by_bytes(tokenizer_file):
+    w = tokens.Words(tokenizer_file, limit=100_000)
+    for i in range(200):
+        w.ids("".join(chr(0x4E00 + (i * 31 + k) % 20_000) for k in range(2000)))  # no blanks: one chunk a text
+        w.ids(" ".join(f"w{chr(97 + k % 26)}{chr(97 + i % 26)}{'x' * (k % 50)}" for k in range(300)))
+        kept = sum(len(k) + len(v) + tokens.ENTRY_BYTES for k, v in w.cache.items())
+        assert kept < 3 * 100_000 and all(len(k) <= tokens.LONGEST for k in w.cache)
+
+
 def test_token_files_of_no_rows(spark, make_docs, tokenizer_file, scratch):
     token_files.write_tokens(make_docs([]), f"{scratch}/t", tokenizer_file, 2)
     assert token_files.read_tokens(spark, f"{scratch}/t").count() == 0

@@ -64,12 +64,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: dict[
 
 
 def range_bounds(df: DataFrame, column: str, parts: int) -> np.ndarray:
-    """``parts - 1`` split points of a numeric column (approximate quantiles, one narrow pass)."""
+    """At most ``parts - 1`` split points of an integer column (approximate quantiles, one narrow pass)."""
     if parts < 2:
-        return np.empty(0)
+        return np.empty(0, dtype=np.int64)
     cuts = df.select(F.col(column).cast("double").alias("v")).approxQuantile(
         "v", [k / parts for k in range(1, parts)], 0.2 / parts)
-    return np.unique(np.array(cuts, dtype=np.float64))
+    # doubles are near enough for bounds; the greatest ones below 2^63 stay whole numbers of 64 bits
+    return np.unique(np.clip(np.array(cuts, dtype=np.float64), -2.0**63, np.nextafter(2.0**63, 0)).astype(np.int64))
 
 
 def shuffle_parts(df: DataFrame) -> int:
@@ -77,11 +78,24 @@ def shuffle_parts(df: DataFrame) -> int:
 
 
 def range_of(column: pa.Array, bounds: np.ndarray) -> np.ndarray:
-    """The range each value lies in; equal values share one, nulls take the first."""
-    values = column.cast(pa.float64()).fill_null(float("-inf")).to_numpy(zero_copy_only=False)
+    """The range each 64-bit value lies in; equal values share one, nulls take the first."""
+    values = column.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
     return np.searchsorted(bounds, values, side="right").astype(np.int32)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``size`` bytes."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Rows of the named columns, one batch at a time."""
     for batch in batches:

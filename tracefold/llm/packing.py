@@ -10,8 +10,8 @@ in which the minimum of ``best[i] + end[i]`` over a sliding span is kept in a mo
 boundary. Work goes on ``span_ids`` ids at a time; the last ids of a span, up to a window, stay open for the
 next. Those of a range are cut into powers of two, which need no padding.
 
-Defined results: null and empty texts pack their end id. Null ids come first, repeated ids lie side by side.
-An empty table gives no rows. Only ``doc_id`` and ``text`` are read.
+Defined results: null and empty texts pack their end id. Null ids come first, repeated ids lie side by side; ids may
+be any 64-bit numbers. An empty table gives no rows. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations

@@ -13,9 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LANES = 256
+LANES = 1024
 BITS = 20
-CHECKPOINT_STEPS = 128
+CHECKPOINT_STEPS = 64
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 

@@ -1,14 +1,16 @@
 """Token-ID / binary output: static rANS blocks in document order, written and read back by Spark.
 
-Flow: texts become ids in the scan's tasks; ids are dealt out by ranges of ``doc_id`` (one shuffle) and sorted;
-whole documents fill raw blocks; their ids are counted over all documents into one shared frequency table (at
-most one row per id of the vocabulary); then every block is coded on its own. Blocks are binary rows of a
-Parquet dataset, so Spark's committer gives atomic output on any file system and a lost task is simply rerun.
-Each block carries its documents, its first position in the corpus, checkpoints and checksums.
+Flow: texts become ids in the scan's tasks, which also count the ids; both are written to the shared folder, so a
+text is tokenized once. The counts of all documents make one shared frequency table (at most one row per id of the
+vocabulary). Documents are then dealt out by ranges of ``doc_id`` (one shuffle), sorted, and whole documents fill
+blocks, each coded on its own. Blocks are binary rows of a Parquet dataset whose files follow each other in
+ascending ``doc_id`` order, so Spark's committer gives atomic output on any file system and a lost task is
+simply rerun. Each block carries its documents, its first position in the corpus, checkpoints and checksums.
 
 Defined results: a null or empty text has the end id only. Rows with a null ``doc_id`` come first; repeated
-ids lie side by side, ordered by their token bytes. A text of any length stays in one block (with more
-checkpoints). An empty table gives an empty dataset. Columns other than ``doc_id`` and ``text`` are not read.
+ids lie side by side, ordered by their token bytes; ids may be any 64-bit numbers. A text of any length stays in one
+block (with more checkpoints). An empty table gives an empty dataset. Columns other than ``doc_id`` and ``text`` are
+not read.
 """
 
 from __future__ import annotations
@@ -20,116 +22,121 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from . import common, rans, tokens
 
-BLOCK_IDS = 1 << 16
-RAW = "part int, block int, local_start long, n_ids long, n_docs long, doc_ids array<long>, sizes array<long>, ids binary"
+BLOCK_IDS = 1 << 17
+# one row a document; a row without a range holds a task's counts of ids
+IDS = "part int, doc_id long, n long, ids binary"
 CODED = "part int, block int, first_doc long, first_id long, n_ids long, n_docs long, payload binary"
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int, bounds: np.ndarray) -> DataFrame:
-    """(part, doc_id, ids): the ids of every text with the end id, compressed; ``part`` is the range of its doc_id."""
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, bounds: np.ndarray, counted: bool = False) -> DataFrame:
+    """(part, doc_id, n, ids): the ids of every text with the end id, compressed; ``part`` is the range of its doc_id.
+
+    ``counted`` adds rows with a null part: how often each id occurs in the task's texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, _ = tokens.id_bytes(tokenizer, end_id)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            ids = pa.array([pack(encode(t)) for t in common.texts(batch)], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(common.range_of(batch.column("doc_id"), bounds), pa.int32()), batch.column("doc_id"), ids],
-                names=["part", "doc_id", "ids"])
+        encode, dtype = tokens.id_bytes(tokenizer, end_id)
+        compress, total = zstandard.ZstdCompressor(level=1).compress, np.zeros(0, dtype=np.int64)
+        for batch in common.grouped(batches):
+            sizes, packed = [], []
+            for data in encode(batch.column("text")):
+                sizes.append(len(data) // dtype.itemsize)
+                packed.append(compress(data))
+                if counted:
+                    found = np.bincount(np.frombuffer(data, dtype), minlength=len(total))
+                    found[: len(total)] += total
+                    total = found
+            yield pa.RecordBatch.from_arrays([
+                pa.array(common.range_of(batch.column("doc_id"), bounds), pa.int32()), batch.column("doc_id"),
+                pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["part", "doc_id", "n", "ids"])
+        if len(total):
+            yield pa.RecordBatch.from_arrays([
+                pa.array([None], pa.int32()), pa.array([None], pa.int64()), pa.array([int(total.sum())], pa.int64()),
+                pa.array([compress(total.astype("<i8").tobytes())], pa.binary())], names=["part", "doc_id", "n", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, IDS)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "part int, doc_id long, ids binary")
+def dealt_out(rows: DataFrame, parts: int) -> DataFrame:
+    """Every range in the task of its number, sorted by doc_id."""
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", "ids")
 
 
 def in_order(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """``tokenized`` rows dealt out by range and sorted by (part, doc_id) within each task."""
+    """``tokenized`` documents dealt out by range, in order."""
     bounds = common.range_bounds(docs, "doc_id", common.shuffle_parts(docs))
-    return tokenized(docs, tokenizer, end_id, bounds).repartition("part").sortWithinPartitions("part", "doc_id", "ids")
+    return dealt_out(tokenized(docs, tokenizer, end_id, bounds), len(bounds) + 1)
+
+
+def id_counts(rows: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in all documents: the tasks' counts summed by Spark, at most ``size`` rows collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, total = zstandard.ZstdDecompressor().decompress, np.zeros(size, dtype=np.int64)
+        for (data,) in common.rows_of(batches, "ids"):
+            found = np.frombuffer(unpack(data), "<i8")
+            total[: len(found)] += found
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+
+    counts = np.zeros(size, dtype=np.int64)
+    found = common.collected(rows.where(F.col("part").isNull()).select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")))
+    counts[found[:, 0]] = found[:, 1]
+    return counts
 
 
-def raw_blocks(ordered: DataFrame, dtype: str, block_ids: int) -> DataFrame:
-    """Fill blocks with whole documents of one range, in order, up to about ``block_ids`` ids each."""
+def coded_blocks(ordered: DataFrame, dtype: str, table: rans.Table, before: dict[int, int], block_ids: int) -> DataFrame:
+    """Fill blocks with whole documents of one range, in order, up to about ``block_ids`` ids each, and code them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        unpack, starts = zstandard.ZstdDecompressor().decompress, table.starts()
         width = np.dtype(dtype).itemsize
-        part, block, start, ids, sizes, pieces, held = None, 0, 0, [], [], [], 0
+        part, block, start, docs, pieces, held = None, 0, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
+            payload = rans.encode(np.frombuffer(b"".join(pieces), dtype), docs, table, starts)
             return pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()),
-                pa.array([held], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-                pa.array([sizes], pa.list_(pa.int64())), pa.array([pack(b"".join(pieces))], pa.binary())],
-                names=["part", "block", "local_start", "n_ids", "n_docs", "doc_ids", "sizes", "ids"])
-
-        for p, doc, data in common.rows_of(batches, "part", "doc_id", "ids"):
-            data = unpack(data)
-            n = len(data) // width
-            if ids and (p != part or held + n > block_ids):
+                pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([docs[0][0]], pa.int64()),
+                pa.array([before[part] + start], pa.int64()), pa.array([held], pa.int64()), pa.array([len(docs)], pa.int64()),
+                pa.array([payload], pa.binary())], names=[c.split()[0] for c in CODED.split(", ")])
+
+        for p, doc, n, data in common.rows_of(batches, "part", "doc_id", "n", "ids"):
+            if docs and (p != part or held + n > block_ids):
                 yield flush()
-                block, start, ids, sizes, pieces, held = block + 1, start + held, [], [], [], 0
+                block, start, docs, pieces, held = block + 1, start + held, [], [], 0
             if p != part:
                 part, block, start = p, 0, 0
-            ids.append(doc)
-            sizes.append(n)
-            pieces.append(data)
+            docs.append((doc, n))
+            pieces.append(unpack(data, max_output_size=n * width))
             held += n
-        if ids:
+        if docs:
             yield flush()
 
-    return ordered.mapInArrow(run, RAW)
-
-
-def id_counts(raw: DataFrame, dtype: str, size: int) -> np.ndarray:
-    """How often each id occurs in all documents: counted in tasks, summed by Spark, at most ``size`` rows collected."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, total = zstandard.ZstdDecompressor().decompress, np.zeros(size, dtype=np.int64)
-        for (data,) in common.rows_of(batches, "ids"):
-            total += np.bincount(np.frombuffer(unpack(data), dtype), minlength=size)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
-
-    counts = np.zeros(size, dtype=np.int64)
-    for row in raw.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[row.id] = row.n
-    return counts
+    return ordered.mapInArrow(run, CODED)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS) -> None:
     """Write ``path/table`` (the shared frequencies) and ``path/blocks`` (coded blocks, ascending doc_id)."""
     spark = docs.sparkSession
     dtype, vocab = tokens.id_dtype(tokenizer, end_id).str, tokens.words(tokenizer).tokenizer.get_vocab_size()
-    raw_path = f"{path}/raw"
-    raw_blocks(in_order(docs, tokenizer, end_id), dtype, block_ids).write.parquet(raw_path)
-    raw = spark.read.schema(RAW).parquet(raw_path)
-    table = rans.make_table(id_counts(raw, dtype, max(vocab, end_id + 1)))
-    rows = [(i, int(f)) for i, f in enumerate(table.freq)]
-    spark.createDataFrame(rows, "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
+    bounds = common.range_bounds(docs, "doc_id", common.shuffle_parts(docs))
+    tokenized(docs, tokenizer, end_id, bounds, counted=True).write.parquet(f"{path}/ids")
+    rows = spark.read.schema(IDS).parquet(f"{path}/ids")
+    table = rans.make_table(id_counts(rows, max(vocab, end_id + 1)))
+    freq = [(i, int(f)) for i, f in enumerate(table.freq)]
+    spark.createDataFrame(freq, "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
+    rows = rows.where(F.col("part").isNotNull())
     # one row per range, and there are at most as many ranges as shuffle partitions
-    parts = raw.groupBy("part").agg(F.sum("n_ids").alias("ids")).withColumn(
-        "before", F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = raw.join(F.broadcast(parts.select("part", F.coalesce("before", F.lit(0)).alias("before"))), "part").select(
-        "part", "block", (F.col("before") + F.col("local_start")).alias("first_id"), "n_ids", "n_docs", "doc_ids", "sizes", "ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, starts = zstandard.ZstdDecompressor().decompress, table.starts()
-        for batch in batches:
-            docs_of, sizes_of = batch.column("doc_ids").to_pylist(), batch.column("sizes").to_pylist()
-            data = [rans.encode(np.frombuffer(unpack(i), dtype), list(zip(d, s, strict=True)), table, starts)
-                    for d, s, i in zip(docs_of, sizes_of, batch.column("ids").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("part"), batch.column("block"), pa.array([d[0] for d in docs_of], pa.int64()),
-                batch.column("first_id"), batch.column("n_ids"), batch.column("n_docs"), pa.array(data, pa.binary())],
-                names=["part", "block", "first_doc", "first_id", "n_ids", "n_docs", "payload"])
-
-    placed.mapInArrow(run, CODED).write.parquet(f"{path}/blocks")
+    before, at = {}, 0
+    for r in sorted(rows.groupBy("part").agg(F.sum("n").alias("n")).collect(), key=lambda r: r.part):
+        before[r.part], at = at, at + r.n
+    coded_blocks(dealt_out(rows, len(bounds) + 1), dtype, table, before, block_ids).write.parquet(f"{path}/blocks")
 
 
 def read_table(spark: SparkSession, path: str) -> rans.Table:
