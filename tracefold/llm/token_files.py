@@ -44,14 +44,12 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, bounds: np.ndarray,
         encode, dtype = tokens.id_bytes(tokenizer, end_id)
         compress, total = zstandard.ZstdCompressor(level=1).compress, np.zeros(0, dtype=np.int64)
         for batch in common.grouped(batches):
-            sizes, packed = [], []
-            for data in encode(batch.column("text")):
-                sizes.append(len(data) // dtype.itemsize)
-                packed.append(compress(data))
-                if counted:
-                    found = np.bincount(np.frombuffer(data, dtype), minlength=len(total))
-                    found[: len(total)] += total
-                    total = found
+            data = encode(batch.column("text"))
+            sizes, packed = [len(d) // dtype.itemsize for d in data], [compress(d) for d in data]
+            if counted:
+                found = np.bincount(np.frombuffer(b"".join(data), dtype), minlength=len(total))
+                found[: len(total)] += total
+                total = found
             yield pa.RecordBatch.from_arrays([
                 pa.array(common.range_of(batch.column("doc_id"), bounds), pa.int32()), batch.column("doc_id"),
                 pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["part", "doc_id", "n", "ids"])
