@@ -39,7 +39,7 @@ from . import common
 
 ROWS, WIDTH = 4, 8
 SIZED_ROWS, LEAST_WIDTH = 3, 16
-PASSES = 8
+PASSES = 5  # at most half a digest a cell: a row in turn leaves 0.39, 0.07, 0.002, ... of a difference
 ATTEMPTS = 12
 SHARES, LONG = 4, 1200
 SPREAD = 4  # ranges for each shuffle partition: a range's cells are held by one task
@@ -147,12 +147,13 @@ def likeness(both: Column, apart: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise((both - apart) / (both + apart)).cast("double")
 
 
-def differences(pairs: DataFrame) -> DataFrame:
+def differences(pairs: DataFrame, attempt: int = 0) -> DataFrame:
     """(pair, mine, theirs) of rows (pair, a, b): the digests that only one of two sets has, recovered from their sketches.
 
-    ``pair`` is unique. Those that do not peel are sketched again, twice as large each time.
+    ``pair`` is unique. Those that do not peel are sketched again, twice as large each time, beginning with the size and
+    salt of ``attempt``.
     """
-    out, left, attempt = None, pairs.select("pair", "a", "b"), 0
+    out, left = None, pairs.select("pair", "a", "b")
     while left is not None:
         if attempt == ATTEMPTS:
             raise ValueError(f"sketches of {ATTEMPTS} sizes did not peel")
@@ -278,7 +279,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     if stuck.isEmpty():
         return rows.select(*columns)
     sides = [stuck.where(F.col(u).isNotNull()).select(F.struct(*KEYS, F.lit(u).alias("side")).alias("pair"), F.col("u0").alias("a"), F.col(u).alias("b")) for u in ("u1", "u2")]
-    again = differences(sides[0].unionByName(sides[1])).select("pair.*", (F.size("mine") + F.size("theirs")).alias("apart"))
+    again = differences(sides[0].unionByName(sides[1]), 1).select("pair.*", (F.size("mine") + F.size("theirs")).alias("apart"))
     again = again.groupBy(*KEYS).agg(*[F.max(F.when(F.col("side") == u, F.col("apart"))).alias(f"again_{u}") for u in ("u1", "u2")])
     mended = stuck.join(again, KEYS, "left")
     for u, to in (("u1", "near_edited"), ("u2", "near_next")):
