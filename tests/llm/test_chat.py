@@ -97,3 +97,16 @@ def test_op8_equals_its_sql(spark):
     rows = sorted(map(tuple, df.collect()))
     assert rows == sorted(con.sql(f"SELECT {', '.join(names)} FROM ({ORACLE['op8_chat_format']})").fetchall())
     assert rows[0][:2] == (-7, 2) and rows[0][3] == len("\\### Assistant: </turn> ok")
+
+
+def test_more_fields_than_a_layout_has(spark):
+    typed = spark.createDataFrame([(1, 0, "user", "hi", "en", 7)], "conv_id long, turn long, role string, text string, lang string, x int")
+    assert [tuple(r) for r in chat.canonical_turns(typed).collect()] == [(1, 0, "user", "hi")]
+    records = ['{"id": "a", "prompt": "p", "response": "r", "source": "s"}', '{"id": "b", "messages": [{"role": "user", "content": "x", "name": "n"}], "meta": {"k": [1]}}',
+               '{"id": "c", "system": "s", "prompt": "p", "response": "r", "extra": null}', '{"id": "d", "prompt": "p", "response": "r", "completion": "c"}']
+    rows = chat.json_turns(spark.createDataFrame([(r,) for r in records], "record string")).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.conv_id or "", r.turn or 0)):
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {"a": [("user", "p"), ("assistant", "r")], "b": [("user", "x")], "c": [("system", "s"), ("user", "p"), ("assistant", "r")],
+                   None: [(None, None)]}  # fields of two layouts alike: reported, no turns

@@ -56,6 +56,16 @@ def test_languages_of_odd_rows(spark, make_docs, odd_texts):
     assert {r.lang_pred for r in langid.identify(make_docs([(1, "a"), (2, None)]), none).collect()} == {"und"}
 
 
+def test_a_language_of_hot_copies_still_learns(spark, make_docs):
+    hot = [(i, "der hund und die katze " * 3, "de") for i in range(3000)]  # copies of one text, and a few others
+    rows = hot + [(5000 + i, f"das haus und der garten nummer {i} ", "de") for i in range(40)] + [
+        (9000 + i, f"the cat and the dog number {i} ", "en") for i in range(200)] + [(7, "der hund und die katze " * 3, "de")] * 500
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(train, per_language=100)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(make_docs([(1, "der garten und das haus"), (2, "the dog and the cat")]), model).collect()}
+    assert got == {1: "de", 2: "en"}
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 7, 8, 30])
 def test_codewords_differ(n):
     code = langid.codewords(n)

@@ -71,6 +71,27 @@ def test_offsets_map_to_the_original():
     assert decontam.char_spans("(école) À!", spans) == [(1, 9)]
 
 
+def test_repeated_items_count_once_and_characters_are_given(spark, make_docs):
+    items = [(1, "short item"), (1, "short item"), (1, "another item"), (2, "short item"), (None, "short item")]
+    docs = make_docs([(1, "Say: a Short  Item, and another ITEM!"), (2, "none"), (3, None), (4, "Ünï short\titem. short item")])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (1 << 20, 1):
+        got = {r.doc_id: r for r in decontam.find_items(docs, bench, block_bytes=block).collect()}
+        assert got[1]["items"] == ["", "1", "2"] and got[2]["items"] == got[3]["items"] == []
+        said = {d: [got[d].text[c.begin: c.end] for c in got[d].chars] for d in (1, 4)}
+        assert said == {1: ["Short  Item", "another ITEM"], 4: ["short\titem. short item"]}
+        assert decontam.judged(docs, bench, block_bytes=block).where("doc_id = 1").first().n_items == 3
+
+
+def test_many_items_are_read_once_a_task(make_docs, spark):
+    import time
+    items = spark.range(50_000).selectExpr("id AS item_id", "concat('item number ', id, ' of many') AS text")
+    docs = make_docs([(i, f"text {i} with item number {i * 7} of many words") for i in range(2000)]).coalesce(2)
+    start = time.time()
+    rows_ = decontam.find_items(docs, items, block_bytes=1 << 30).collect()
+    assert time.time() - start < 60 and all(r["items"] == ([str(r.doc_id * 7)] if r.doc_id * 7 < 50_000 else []) for r in rows_)
+
+
 def test_op7_equals_its_sql(spark):
     from tracefold.llm.queries import ORACLE, QUERIES
     got = rows(QUERIES["op7_decontamination"](spark, SF))

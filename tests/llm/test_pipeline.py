@@ -75,6 +75,15 @@ def test_planted_cases(spark, pipeline):
     assert [r.doc_id - 10**6 for r in pipeline.benchmark(spark, out, SF).collect()] == [0]
 
 
+def test_repeated_ids_leave_one_row_of_every_group(spark, pipeline, make_docs):
+    long = [" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma")]
+    rows = [(1, long[0]), (1, long[1]), (2, long[0]), (3, long[1] + " "), (1, long[0]), (4, long[2]), (4, long[2] + " ."), (None, "z no id"), (None, "a no id")]
+    want = {(1, long[0]), (1, long[1]), (4, long[2]), (None, "z no id"), (None, "a no id")}
+    for parts in (1, 4):
+        once = pipeline.near_duplicates(spark, make_docs(rows).repartition(parts), SF).collect()
+        assert len(once) == len(want) and {(r.doc_id, r.text) for r in once} == want
+
+
 def test_odd_rows_pass_every_stage(spark, pipeline, make_docs, odd_texts):
     from tracefold.session import materialize
     docs = materialize(make_docs([*odd_texts, (None, "no id"), (None, "another without id"), (None, "no id")]), "odd")

@@ -3,8 +3,9 @@
 **Layouts.** A record's layout is the set of its nested field paths (``[]`` stands for any array element). Its
 fingerprint, a hash of the sorted paths, selects a declarative mapping: which paths hold the conversation's
 id, the turn's place, the role and the text. ``canonical_turns`` reads typed tables by their schema;
-``json_turns`` reads JSON records whose layouts differ from row to row. An unknown layout raises (typed tables) or
-is reported (JSON rows keep ``layout`` and have no turns). Mappings are data: add one to ``LAYOUTS``.
+``json_turns`` reads JSON records whose layouts differ from row to row. Fields that no mapping names do not count, so
+a record with more fields than its layout's keeps its turns. An unknown layout raises (typed tables) or is reported (JSON
+rows keep ``layout`` and have no turns). Mappings are data: add one to ``LAYOUTS``.
 
 **Template.** A turn is ``### <role>``, a line feed, the text, and a line ``</turn>``. Inside roles and texts every
 backslash, ``#`` and ``<`` (and in a role every line feed) gets a backslash before it, so no control string can
@@ -13,7 +14,7 @@ first unescaped line feed. Reading back splits there and drops the backslashes.
 
 Defined results: null texts and roles are empty ones; only the exact role ``assistant`` is under the mask. Turns
 are ordered by (turn, role, text), a null turn first, so repeated turns have a defined order; all rows with a null
-``conv_id`` are one conversation. An empty table gives no rows. Other columns are not read.
+``conv_id`` are one conversation. An empty table gives no rows. Other columns and fields are not read.
 """
 
 from __future__ import annotations
@@ -67,6 +68,25 @@ LAYOUTS = {fingerprint(layout.paths): layout for layout in (
 )}
 
 
+KNOWN = frozenset(p for layout in LAYOUTS.values() for p in layout.paths)
+
+
+def layout_of(paths: list[str]) -> tuple[str, Layout | None]:
+    """The fingerprint of the paths that mappings know, and the mapping it selects.
+
+    Where none has exactly these paths (a record holds fields of two layouts), the one mapping that has all its paths
+    there and more of them than any other; None if there is none, or two alike.
+    """
+    known = KNOWN.intersection(paths)
+    mark = fingerprint(list(known)) if known else fingerprint(paths)
+    if mark in LAYOUTS:
+        return mark, LAYOUTS[mark]
+    within = sorted((x for x in LAYOUTS.values() if known.issuperset(x.paths)), key=lambda x: -len(x.paths))
+    if not within or (len(within) > 1 and len(within[0].paths) == len(within[1].paths)):
+        return mark, None
+    return mark, within[0]
+
+
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
     """Field paths of a Spark type."""
     if isinstance(kind, T.StructType):
@@ -94,7 +114,7 @@ def _role(role: Column, layout: Layout) -> Column:
 
 def canonical_turns(df: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) of a typed table, by the mapping that its schema's fingerprint selects."""
-    layout = LAYOUTS.get(fingerprint(schema_paths(df.schema)))
+    _, layout = layout_of(schema_paths(df.schema))
     if layout is None:
         raise ValueError(f"no mapping for the layout {sorted(schema_paths(df.schema))}")
     conv = F.col(layout.conv).alias("conv_id")
@@ -119,8 +139,7 @@ def _json_record(record: str | None) -> tuple[str | None, str | None, list[tuple
         value = None
     if not isinstance(value, dict):
         return None, None, []
-    mark = fingerprint(value_paths(value))
-    layout = LAYOUTS.get(mark)
+    mark, layout = layout_of(value_paths(value))
     if layout is None:
         return mark, None, []
 

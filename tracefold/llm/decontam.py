@@ -5,13 +5,14 @@ joined by single blanks. Every window of ``window`` consecutive item words (a sh
 pattern with a blank on either side, so it only matches whole words. A match's end in the normalised text gives
 its last word; the words' own offsets map it back to a character span of the original text.
 
-The items are collected only in blocks of at most ``block_bytes`` of text, whatever the benchmark's size (a
-single larger item makes a block of its own). With one block there is no shuffle at all; with more, each block
-scans the texts once more and the table between two scans is written to the shared folder.
+The items are collected only in blocks whose windows have at most ``block_bytes`` characters, which bounds the
+automaton, whatever the benchmark's size (a single larger item makes a block of its own). A task builds a block's
+automaton once. With one block there is no shuffle at all; with more, each block scans the texts once more and the
+table between two scans is written to the shared folder.
 
 Defined results: null, empty and word-less texts have no words, no hits and no items (digest of the empty
-string) and are not contaminated. Null or word-less items have no windows. Repeated items count once for each
-row, so the digest lists an id as often as it occurs. Empty tables work. Clashing columns are replaced.
+string) and are not contaminated. Null or word-less items have no windows. An item whose id is repeated counts once.
+Empty tables work. Clashing columns are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +31,7 @@ from ..session import materialize
 from . import common
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20  # characters of windows: some 40 bytes of automaton each
 
 
 def normalised(text: str | None) -> str:
@@ -46,7 +46,6 @@ def windows(words: list[str], size: int) -> list[str]:
     return [f" {' '.join(words[i: i + size])} " for i in range(max(1, len(words) - size + 1))]
 
 
-@lru_cache(maxsize=1)
 def automaton(items: tuple[tuple[int, str], ...], size: int):
     """The automaton of a block of items; a pattern's value is (number of words, places of its items); None if empty."""
     import ahocorasick
@@ -64,9 +63,13 @@ def automaton(items: tuple[tuple[int, str], ...], size: int):
 
 
 def scan(text: str | None, items: tuple[tuple[int, str], ...], size: int) -> tuple[int, list[tuple[int, int]], list[int]]:
+    """``found_in`` for one text and its items."""
+    return found_in(text, automaton(items, size))
+
+
+def found_in(text: str | None, machine) -> tuple[int, list[tuple[int, int]], list[int]]:
     """Number of words, merged hit spans as [first word, last word + 1), places of the items that occur."""
     words = WORD.findall(normalised(text))
-    machine = automaton(items, size)
     if not words or machine is None:
         return len(words), [], []
     joined, found, hits, ends = f" {' '.join(words)} ", set(), [], None
@@ -79,20 +82,14 @@ def scan(text: str | None, items: tuple[tuple[int, str], ...], size: int) -> tup
         last = bisect_right(ends, end)
         hits.append((last - length, last))
         found.update(ks)
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(hits):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return len(words), merged, sorted(found)
+    return len(words), _union(hits, []), sorted(found)
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[tuple[int, str], ...]]:
-    """The benchmark's items in blocks of about ``block_bytes`` of text, each collected on its own."""
+def item_blocks(benchmark: DataFrame, block_bytes: int, window: int) -> Iterator[tuple[tuple[int, str], ...]]:
+    """The benchmark's items in blocks with windows of about ``block_bytes`` in all, each collected on its own."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes)
+    blocks = -(-total * window // block_bytes)  # a word stands in as many windows as a window has words
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
         yield tuple(sorted((r.item_id or "", r.text) for r in rows))
@@ -102,14 +99,16 @@ HITS = [
     T.StructField("n_words", T.LongType()),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))),
     T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("chars", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))),
 ]
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with n_words, spans (merged word spans that items cover) and items (ids that occur, sorted)."""
+    """``docs`` with n_words, spans (merged word spans that items cover), items (ids that occur, sorted, each once) and
+    chars (the spans as code points of the original text)."""
     out, schema = common.extended(docs, HITS)
     first = True
-    for block in item_blocks(benchmark, block_bytes) if benchmark is not None else ():
+    for block in item_blocks(benchmark, block_bytes, window) if benchmark is not None else ():
         if not first:
             out = materialize(out, "decontam")
         out, first = _scan_block(out, schema, block, window, first), False
@@ -122,24 +121,28 @@ def _scan_block(df: DataFrame, schema: T.StructType, block: tuple[tuple[int, str
     shared = df.sparkSession.sparkContext.broadcast(block)  # at most block_bytes, or one item
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, types = shared.value, {f.name: f for f in HITS}
-        for batch in batches:
+        items, types, machine = shared.value, {f.name: f for f in HITS}, None
+        for k, batch in enumerate(batches):
+            machine = automaton(items, window) if k == 0 else machine
             counts, spans, ids = [], [], []
             for text in common.texts(batch):
-                n, hit, found = scan(text, items, window)
+                n, hit, found = found_in(text, machine)
                 counts.append(n)
                 spans.append(hit)
-                ids.append([items[k][0] for k in found])
+                ids.append(sorted({items[i][0] for i in found}))
             if not first:
                 spans = [_union(a, [(s["first"], s["last"]) for s in b])
                          for a, b in zip(spans, batch.column("spans").to_pylist(), strict=True)]
-                ids = [sorted(a + b) for a, b in zip(ids, batch.column("items").to_pylist(), strict=True)]
+                ids = [sorted({*a, *b}) for a, b in zip(ids, batch.column("items").to_pylist(), strict=True)]
                 batch = batch.drop_columns(list(types))
-            pairs = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+            texts = batch.column("text")
+            chars = [char_spans(texts[i].as_py(), s) if s else [] for i, s in enumerate(spans)]
+            pairs = [pa.list_(pa.struct([(a, pa.int64()), (b, pa.int64())])) for a, b in (("first", "last"), ("begin", "end"))]
             yield common.appended(batch, {
                 "n_words": pa.array(counts, pa.int64()),
-                "spans": pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], pairs),
-                "items": pa.array(ids, pa.list_(pa.string()))})
+                "spans": pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], pairs[0]),
+                "items": pa.array(ids, pa.list_(pa.string())),
+                "chars": pa.array([[{"begin": a, "end": b} for a, b in s] for s in chars], pairs[1])})
 
     return df.mapInArrow(run, schema)
 
@@ -168,7 +171,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes:
     return (found.withColumn("n_hit", hit).withColumn("n_items", F.size("items").cast("long"))
             .withColumn("items_sha256", F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256))
             .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-            .drop("spans", "items"))
+            .drop("spans", "items", "chars"))
 
 
 def digest(ids: list[str]) -> str:

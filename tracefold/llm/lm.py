@@ -195,7 +195,7 @@ def block_scores(seq: Sequence, counts: dict[int, np.ndarray], order: int, words
     return np.bincount(seq.doc, weights=value, minlength=len(seq.sizes))
 
 
-def stupid_backoff(docs: DataFrame, order: int = 2, block_words: int = 500_000) -> DataFrame:
+def stupid_backoff(docs: DataFrame, order: int = 3, block_words: int = 500_000) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of every document against all others."""
     blocks = materialize(blocks_of(docs, block_words), "lm-blocks")
     words = blocks.agg(F.sum("n_words")).first()[0] or 0
@@ -218,29 +218,38 @@ def stupid_backoff(docs: DataFrame, order: int = 2, block_words: int = 500_000)
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, SCORES)
 
 
-# DuckDB twin: order 2, counts of all documents less the document's own.
+# DuckDB twin: order 3, counts of all documents less the document's own.
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[^\x20\x09-\x0D]+') AS ws FROM documents),
-p AS (SELECT r, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM d, unnest(generate_series(1, len(ws))) AS u(i)),
+p AS (
+  SELECT r, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, CASE WHEN i > 2 THEN ws[i - 2] END AS u
+  FROM d, unnest(generate_series(1, len(ws))) AS x(i)),
 t AS (SELECT count(*) AS n FROM p),
 sizes AS (SELECT r, count(*) AS n FROM p GROUP BY r),
 c1 AS (SELECT w, count(*) AS c FROM p GROUP BY w),
 o1 AS (SELECT r, w, count(*) AS c FROM p GROUP BY r, w),
 c2 AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w),
 o2 AS (SELECT r, v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY r, v, w),
+c3 AS (SELECT u, v, w, count(*) AS c FROM p WHERE u IS NOT NULL GROUP BY u, v, w),
+o3 AS (SELECT r, u, v, w, count(*) AS c FROM p WHERE u IS NOT NULL GROUP BY r, u, v, w),
 e AS (
-  SELECT p.r, p.v IS NOT NULL AS two, c1.c - o1.c AS one, c2.c - o2.c AS pair, k1.c - q1.c AS context, t.n - sizes.n AS others
+  SELECT p.r, 1 + CAST(p.v IS NOT NULL AS INTEGER) + CAST(p.u IS NOT NULL AS INTEGER) AS most, c1.c - o1.c AS one, c2.c - o2.c AS pair,
+    c3.c - o3.c AS triple, k1.c - q1.c AS context, k2.c - q2.c AS context2, t.n - sizes.n AS others
   FROM p CROSS JOIN t JOIN sizes USING (r) JOIN c1 ON c1.w = p.w JOIN o1 ON o1.r = p.r AND o1.w = p.w
   LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w LEFT JOIN o2 ON o2.r = p.r AND o2.v = p.v AND o2.w = p.w
-  LEFT JOIN c1 AS k1 ON k1.w = p.v LEFT JOIN o1 AS q1 ON q1.r = p.r AND q1.w = p.v),
+  LEFT JOIN c3 ON c3.u = p.u AND c3.v = p.v AND c3.w = p.w
+  LEFT JOIN o3 ON o3.r = p.r AND o3.u = p.u AND o3.v = p.v AND o3.w = p.w
+  LEFT JOIN c1 AS k1 ON k1.w = p.v LEFT JOIN o1 AS q1 ON q1.r = p.r AND q1.w = p.v
+  LEFT JOIN c2 AS k2 ON k2.v = p.u AND k2.w = p.v LEFT JOIN o2 AS q2 ON q2.r = p.r AND q2.v = p.u AND q2.w = p.v),
 s AS (
   SELECT r, count(*) AS n, sum(CASE
-    WHEN pair > 0 THEN ln(pair) - ln(context)
-    WHEN one > 0 THEN (CASE WHEN two THEN ln(0.4) ELSE 0 END) + ln(one) - ln(others)
-    ELSE (CASE WHEN two THEN 2 ELSE 1 END) * ln(0.4) - ln(others + 1) END) AS total FROM e GROUP BY r)
+    WHEN triple > 0 THEN ln(triple) - ln(context2)
+    WHEN pair > 0 THEN (most - 2) * ln(0.4) + ln(pair) - ln(context)
+    WHEN one > 0 THEN (most - 1) * ln(0.4) + ln(one) - ln(others)
+    ELSE most * ln(0.4) - ln(others + 1) END) AS total FROM e GROUP BY r)
 SELECT doc_id, coalesce(s.n, 0) AS n_words, round(coalesce(total, 0), 4) AS log_score, round(total / s.n, 6) AS mean_log_score
 FROM d LEFT JOIN s USING (r)
 """

@@ -63,8 +63,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff scores of all documents by the bigram counts of all others (lm.stupid_backoff)."""
-    scored = lm.stupid_backoff(table(spark, sf_dir, "documents"), order=2)
+    """Stupid-backoff scores of all documents by the counts of all others' words, pairs and triples (lm.stupid_backoff)."""
+    scored = lm.stupid_backoff(table(spark, sf_dir, "documents"), order=3)
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"),
                          F.round("mean_log_score", 6).alias("mean_log_score"))
 
