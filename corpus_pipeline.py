@@ -5,8 +5,8 @@ last return the columns of ``documents``. Models are learned from the given tabl
 never from a stage's input, so a document's fate depends on its text and on what the earlier stages kept only.
 
 Defined results: a null or letter-less text has no language and is rejected; all other languages stay. Documents
-scored toxic at the threshold go. Of a near-duplicate group the row with the least doc_id stays (of repeated rows one;
-of rows without an id, one a group). Documents contaminated by the benchmark go. An empty table gives no pieces.
+scored toxic at the threshold go. Of a near-duplicate group the row with the least doc_id stays (of several rows with
+that id in the group, or of a group without ids, the least by text, lang, source and n_chars). Documents contaminated by the benchmark go. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -57,14 +57,26 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup (1): the row with the least doc_id of each group stays."""
+    """SimHash near-dedup (1): the row with the least doc_id of each group stays; of several such rows the least one."""
     found = simhash.near_duplicates(docs, shingle=3, distance=2)
-    ids = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(ids, "doc_id").dropDuplicates(["doc_id"])
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id", "fp", "root").distinct()
+    counts = docs.groupBy("doc_id").count()
+    repeated = counts.where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     # groups without any id (none in well-formed tables): one row of each
     roots = found.where(F.col("component_id").isNull()).select("fp", "root").distinct()
-    unnamed = simhash.with_fingerprint(docs.where(F.col("doc_id").isNull()), 3).join(roots, "fp").dropDuplicates(["root"])
-    return documents(named).unionByName(documents(unnamed))
+    unnamed = simhash.with_fingerprint(docs.where(F.col("doc_id").isNull()), 3).join(roots, "fp")
+    if repeated.isEmpty():
+        named = docs.join(kept.select("doc_id"), "doc_id")
+        return documents(named).unionByName(least_rows(unnamed))
+    # a repeated id may stand for texts of several groups: there its rows are told apart by their fingerprints
+    named = docs.join(kept.join(repeated, "doc_id", "left_anti").select("doc_id"), "doc_id")
+    several = simhash.with_fingerprint(docs.join(repeated, "doc_id", "left_semi"), 3).join(kept, ["doc_id", "fp"])
+    return documents(named).unionByName(least_rows(several)).unionByName(least_rows(unnamed))
+
+
+def least_rows(rows: DataFrame) -> DataFrame:
+    """The least row of each group, by all columns of documents."""
+    return rows.groupBy("root").agg(F.min(F.struct(*DOCUMENTS)).alias("d")).select("d.*")
 
 
 @stage
