@@ -26,18 +26,18 @@ def chunk_rows(spark, rows):
 # --- artifact store ---------------------------------------------------------
 
 def test_artifact_id_prefix_and_counter(spark):
-    df = spark.createDataFrame([("run123", 1, dt.datetime(2024, 1, 1)), ("run123", 2, dt.datetime(2024, 1, 2)),
-                                ("", 3, dt.datetime(2024, 1, 1))],
+    df = spark.createDataFrame([("nightly-load-7", 1, dt.datetime(2024, 1, 1)), ("nightly-load-7", 2, dt.datetime(2024, 1, 2)),
+                                ("", 3, dt.datetime(2024, 1, 1)), ("ab", 4, dt.datetime(2024, 1, 1))],
                                "run_id string, result_key int, created_at timestamp")
     ids = {r.result_key: r.artifact_id for r in A.assign_artifact_ids(df).collect()}
-    assert ids == {1: "a_run123_1", 2: "a_run123_2", 3: "a_unknown_1"}
+    assert ids == {1: "a_nightly-_1", 2: "a_nightly-_2", 3: "a_unknown_1", 4: "a_ab_1"}  # eight letters of the run
 
 
 def test_artifact_scoped_by_run(spark):
-    m = spark.createDataFrame([("run_a", "a_run_a_1", 2)], "run_id string, artifact_id string, row_count int")
-    req = spark.createDataFrame([("run_b", "a_run_a_1"), ("run_a", "a_run_a_1")], "run_id string, artifact_id string")
+    m = spark.createDataFrame([("spring", "a_spring_1", 2), ("autumn", "a_autumn_1", 3)], "run_id string, artifact_id string, row_count int")
+    req = spark.createDataFrame([("autumn", "a_spring_1"), ("spring", "a_spring_1"), ("winter", "a_autumn_1")], "run_id string, artifact_id string")
     hits = A.lookup_artifact(m, req).collect()
-    assert [(r.run_id, r.artifact_id) for r in hits] == [("run_a", "a_run_a_1")]
+    assert [(r.run_id, r.artifact_id) for r in hits] == [("spring", "a_spring_1")]
 
 
 def test_ttl_zero_expires_strictly(spark):
@@ -150,19 +150,19 @@ def test_parse_envelope(spark, text, valid, first_id):
 
 def test_pending_approval_until_result(spark):
     c = chunk_rows(spark, [
-        dict(run_id="run-1", seq=1, type="approval-requested", tool_call_id="call-1", tool_name="execute_sql",
+        dict(run_id="harvest", seq=1, type="approval-requested", tool_call_id="ask-sql", tool_name="execute_sql",
              input='{"sql":"SELECT 1"}', timestamp=1),
-        dict(run_id="run-1", seq=2, type="tool-input-available", tool_call_id="call-2", tool_name="export_csv",
-             input='{"artifact_id":"a_run-1_1"}', timestamp=2),
-        dict(run_id="run-1", seq=3, type="done", finish_reason="tool_calls", timestamp=3)])
+        dict(run_id="harvest", seq=2, type="tool-input-available", tool_call_id="save-csv", tool_name="export_csv",
+             input='{"artifact_id":"a_harvest_1"}', timestamp=2),
+        dict(run_id="harvest", seq=3, type="done", finish_reason="tool_calls", timestamp=3)])
     dec = spark.createDataFrame([], "run_id string, tool_call_id string, seq long, value string")
-    assert [r.tool_call_id for r in RU.pending_approvals(c, dec).collect()] == ["call-1"]
-    c2 = c.unionByName(chunk_rows(spark, [dict(run_id="run-1", seq=4, type="tool_result", tool_call_id="call-1",
+    assert [r.tool_call_id for r in RU.pending_approvals(c, dec).collect()] == ["ask-sql"]
+    c2 = c.unionByName(chunk_rows(spark, [dict(run_id="harvest", seq=4, type="tool_result", tool_call_id="ask-sql",
                                                 content="x", timestamp=4)]))
     assert RU.pending_approvals(c2, dec).count() == 0
     client = RU.pending_client_calls(c, spark.createDataFrame([], "run_id string, pos long, role string"), F.lit(0))
-    assert [r.tool_call_id for r in client.collect()] == ["call-2"]
-    assert RU.current_run(c, F.lit("s")).first().current_run == "run-1"
+    assert [r.tool_call_id for r in client.collect()] == ["save-csv"]
+    assert RU.current_run(c, F.lit("s")).first().current_run == "harvest"
 
 
 # --- findings -------------------------------------------------------------------
@@ -213,10 +213,10 @@ def test_finding9_usage_is_last_segment(spark):
 def test_finding6_empty_result_keeps_schema(spark, scratch):
     from tracefold.sources.artifacts import read_artifact, write_artifact
     df = spark.createDataFrame([], "a long, b string")
-    ref = write_artifact(df, "run123", scratch)
-    back = read_artifact(spark, scratch, "run123", ref.id)
+    ref = write_artifact(df, "empty-yield", scratch)
+    back = read_artifact(spark, scratch, "empty-yield", ref.id)
     assert back.columns == ["a", "b"] and back.count() == 0
-    assert ref.id.startswith("a_run123_") and ref.row_count == 0
+    assert ref.id.startswith("a_empty-yi_") and ref.row_count == 0
 
 
 def test_finding5_capped_count_and_flag(spark, scratch):

@@ -336,3 +336,41 @@ def test_t10_artifacts_expire_on_a_silent_stream(spark, scratch):
         assert {r.artifact_id for r in expire(newest.withColumn("x", F.lit(1)), at, 1).collect()} == live()
     finally:
         q.stop()
+
+
+def test_t1_frames_without_numbers_feed_the_folds(spark, scratch):
+    """Frames as a client receives them -> files of captures -> the stream -> W1, J2 and N3 as on the log itself."""
+    from pyspark.sql import Window
+    c = derive.chunks(spark, SF_SMALL)
+    part = Window.partitionBy("run_id", derive.turn_of(F.col("seq")), "type").orderBy("seq")
+    told = c.withColumn("content", F.when(F.col("type").isin("content", "thinking"), F.concat_ws("", F.collect_list("delta").over(part)))
+                        .otherwise(F.col("content")))
+    frames = sse.encode_sse(told).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "frame"))).alias("f"))
+    assert "seq" not in frames.select(F.col("f")[0]["frame"]).first()[0]
+    # a run's response is cut in two captures, as when it is continued
+    half = (F.size("f") / 2).cast("int")
+    captures = frames.select(F.explode(F.array(F.slice("f", 1, half), F.slice(F.col("f"), half + 1, F.size("f") - half))).alias("f")).select(
+        F.concat(F.lit(": keep-alive\n\n"), F.array_join(F.transform("f", lambda x: x["frame"]), "")).alias("value"))
+    path = os.path.join(scratch, "captures")
+    os.makedirs(path)
+    for k, r in enumerate(captures.collect()):  # a file holds one capture
+        with open(os.path.join(path, f"{k}.txt"), "w", encoding="utf-8") as f:
+            f.write(r.value + "data: [DONE]\n\n")
+    got = run_to_memory(ST.stream_chunks(spark, path, max_files_per_trigger=20), "t1_folds", os.path.join(scratch, "ck"))
+    assert got.count() == c.count() and got.groupBy("run_id", "seq").count().where("count > 1").count() == 0
+    for kind in ("content", "thinking"):
+        finals = [RU.accumulate_text(x, kind, final_only=True).select("run_id", "content", "n_deltas") for x in (got, c)]
+        assert _rows(finals[0], ["run_id", "content", "n_deltas"]) == _rows(finals[1], ["run_id", "content", "n_deltas"])
+    none = derive.approvals(spark, SF_SMALL).where("false")
+    pending = [RU.pending_approvals(x, none) for x in (got, c)]
+    assert _rows(pending[0], ["run_id", "tool_call_id", "tool_name"]) == _rows(pending[1], ["run_id", "tool_call_id", "tool_name"])
+    usage = [RU.usage_by_run(x) for x in (got, c)]
+    assert _rows(usage[0], usage[0].columns) == _rows(usage[1], usage[1].columns)
+    assert _rows(got.where("type = 'tool_call'"), ["index"]) == [(None,)] * got.where("type = 'tool_call'").count()
+
+
+def test_a_row_without_a_place_is_not_lost(spark):
+    import pytest
+    lost = spark.createDataFrame([("r", None, "content", True, "x", 0)], "run_id string, seq long, type string, is_start boolean, delta string, part_index long")
+    with pytest.raises(Exception, match="needs an order value"):
+        RU.accumulate_text(lost, "content", final_only=True).collect()

@@ -424,16 +424,18 @@ def split_segments(chunks: DataFrame) -> DataFrame:
 
 
 def deferred_to_chunks(msgs: DataFrame) -> DataFrame:
-    """T7 + U2: deferred requests of each segment as chunks: approvals first, then client calls.
+    """T7 + U2: deferred requests of each segment as chunks: approvals first, then client calls, each in call order.
 
-    A user turn is one deferred segment; execute_sql needs approval, export_csv
-    runs on the client. Several calls of a kind come in the order of their ids.  Finish reason of the segment is tool_calls when
-    anything was deferred, else stop.
+    A user turn is one deferred segment; execute_sql needs approval, export_csv runs on the client. A message holds its
+    calls as an array ``calls`` of (call_id, call_tool), in the order in which they were made; a table with one
+    ``call_id`` and ``call_tool`` a row has that one call. Finish reason of the segment is tool_calls when anything was
+    deferred, else stop.
     """
-    u = msgs.where(F.col("role") == "user")
-    seg = u.groupBy(RUN, F.col("pos").alias("segment")).agg(
-        F.array_sort(F.collect_list(F.when(F.col("call_tool") == "execute_sql", F.struct("call_id", "call_tool")))).alias("approvals"),
-        F.array_sort(F.collect_list(F.when(F.col("call_tool") != "execute_sql", F.struct("call_id", "call_tool")))).alias("calls"))
+    given = F.col("calls") if "calls" in msgs.columns else F.array(F.struct("call_id", "call_tool"))
+    calls = F.coalesce(given, F.array().cast("array<struct<call_id: string, call_tool: string>>"))
+    seg = msgs.where(F.col("role") == "user").select(
+        RUN, F.col("pos").alias("segment"), F.filter(calls, lambda c: c["call_tool"] == "execute_sql").alias("approvals"),
+        F.filter(calls, lambda c: c["call_tool"] != "execute_sql").alias("calls"))
     a = seg.select(RUN, "segment", F.posexplode("approvals").alias("ord", "p")) \
            .select(RUN, "segment", F.lit(0).alias("group"), "ord", F.lit("approval-requested").alias("type"),
                    F.col("p.call_id").alias("tool_call_id"), F.col("p.call_tool").alias("tool_name"),
@@ -469,12 +471,13 @@ def closed_stream(chunks: DataFrame) -> DataFrame:
 
 def check_streams(chunks: DataFrame) -> DataFrame:
     """Per-run quality report: has done, has an approval request, a valid envelope, an artifact."""
-    env = parse_envelope(F.col("content"))
     is_res = F.col("type") == "tool_result"
-    return chunks.groupBy(RUN).agg(
+    # the envelope is parsed once, and of results only
+    seen = chunks.select(RUN, "type", is_res.alias("is_res"), F.when(is_res, parse_envelope(F.col("content"))).alias("env"))
+    valid, result = F.col("env").isNotNull(), F.col("is_res")
+    return seen.groupBy(RUN).agg(
         F.bool_or(F.col("type") == "done").alias("has_done"),
         F.bool_or(F.col("type") == "approval-requested").alias("has_approval"),
-        F.coalesce(F.bool_or(is_res & env.isNotNull()), F.lit(False)).alias("has_valid_envelope"),
-        F.coalesce(F.bool_or(is_res & (F.coalesce(F.size(env.getField("artifacts")), F.lit(0)) > 0)),
-                   F.lit(False)).alias("has_artifact"),
-        F.count_if(is_res & env.isNull()).alias("n_invalid_results"))
+        F.coalesce(F.bool_or(result & valid), F.lit(False)).alias("has_valid_envelope"),
+        F.coalesce(F.bool_or(result & (F.coalesce(F.size("env.artifacts"), F.lit(0)) > 0)), F.lit(False)).alias("has_artifact"),
+        F.count_if(result & ~valid).alias("n_invalid_results"))

@@ -6,7 +6,7 @@ once and prefixed to every twin that needs them via :func:`with_views`.
 
 from __future__ import annotations
 
-from ..sources.derive import (EPOCH_MS, STATEMENTS, SUB_DECISION, SUB_ERROR, SUB_REQUEST, SUB_RESULT,
+from ..sources.derive import (CALL_NUMBERS, EPOCH_MS, STATEMENTS, SUB_DECISION, SUB_ERROR, SUB_REQUEST, SUB_RESULT,
                               SUB_SEGMENT_DONE, SUB_TOOL_CALL, TURN_STRIDE)
 
 
@@ -200,6 +200,19 @@ ui_messages AS (
   UNION ALL
   SELECT run_id, turn * 3, 'system', text, NULL, NULL, NULL FROM conv WHERE role = 'system')"""
 
+_N = CALL_NUMBERS
+_CALL_TOOL = "CASE WHEN (turn + {k}) % 2 = 0 THEN 'execute_sql' ELSE 'export_csv' END"
+_CALLS = "[" + ", ".join(f"{{'call_id': run_id || '-' || turn || '-{n}', 'call_tool': {_CALL_TOOL.format(k=k)}}}" for k, n in enumerate(_N)) + "]"
+VIEWS["call_arrays"] = f"""
+call_arrays AS (
+  SELECT run_id, turn * 10 AS pos, role, CASE WHEN role = 'user' THEN {_CALLS} END AS calls,
+         CASE WHEN role = 'user' THEN [x.call_id FOR x IN {_CALLS}] END AS call_ids, CAST(NULL AS VARCHAR) AS return_id
+  FROM conv WHERE role <> 'assistant'
+  UNION ALL
+  SELECT run_id, turn * 10 + k, 'tool', NULL, NULL, run_id || '-' || CASE WHEN (conv_id + turn + k) % 9 = 0 THEN 'lost'
+         ELSE CAST({_RET_TURN} AS VARCHAR) END || '-' || CAST({sorted(_N)}[k + 1] AS VARCHAR)
+  FROM conv, (SELECT unnest([0, 1, 2]) AS k) WHERE role = 'assistant')"""
+
 VIEWS["run_requests"] = """
 run_requests AS (
   SELECT run_id, turn, turn * 3 + 1 AS n_messages, 'user' AS last_role,
@@ -209,7 +222,7 @@ run_requests AS (
 DEPS = {
     "records": [], "conv": [], "messages": ["conv"], "chunks": ["conv"], "approvals": ["conv"],
     "run_updates": ["conv"], "artifacts": [], "statements": [], "ui_messages": ["conv"],
-    "run_requests": ["conv"],
+    "run_requests": ["conv"], "call_arrays": ["conv"],
 }
 
 

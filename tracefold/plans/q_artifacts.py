@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import api
+from ..functions import envelopes as FE
 from ..functions.envelopes import artifact_ref
 from ..operators import artifacts as A
 from ..operators import records as R
+from ..session import checkpoint_dir
+from ..sources import artifacts as store
 from ..sources import derive
 from ..sources.artifacts import csv_rows
 from .oracle_views import with_views
@@ -128,3 +134,83 @@ def s8(spark, sf):
     """Records as CSV lines by the export quoting rule."""
     df = derive.load_records(spark, sf).select(*[c for c, _ in _CSV_COLS])
     return csv_rows(df)
+
+
+# ---------------------------------------------------------------------------
+# the store itself: results written to the shared folder and read back
+# ---------------------------------------------------------------------------
+
+_STORED = "span_id, service_name, level, start_timestamp"
+
+
+def _store(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _errors(spark, sf):
+    rec = R.where_level(derive.load_records(spark, sf), "error")
+    return rec.select(*_STORED.split(", ")).orderBy("span_id")
+
+
+@register("t12_read_artifact", with_views(["records"], f"""
+SELECT span_id, service_name, level, strftime(start_timestamp, '%Y-%m-%d %H:%M:%S') AS start_timestamp
+FROM records WHERE level = 'error' ORDER BY span_id LIMIT 1000"""))
+def t12(spark, sf):
+    """S6 then T12: the first 1000 error records stored as an artifact of a run, found by its id and read back."""
+    root = _store(spark, "t12")
+    ref = store.write_artifact(_errors(spark, sf), "run-t12", root, 1000)
+    back = store.read_artifact(spark, root, "run-t12", ref.id)
+    return back.withColumn("start_timestamp", F.substring("start_timestamp", 1, 19))
+
+
+@register("t13_artifact_preview", with_views(["records"], f"""
+SELECT span_id, service_name, level, strftime(start_timestamp, '%Y-%m-%d %H:%M:%S') AS start_timestamp,
+  (SELECT count(*) > 1000 FROM records WHERE level = 'error') AS was_capped,
+  (SELECT least(count(*), 1000) FROM records WHERE level = 'error') AS row_count
+FROM records WHERE level = 'error' ORDER BY span_id LIMIT 200"""))
+def t13(spark, sf):
+    """S6 then T13: the preview of a stored artifact (its first 200 rows), with what the manifest says of it."""
+    root = _store(spark, "t13")
+    ref = store.write_artifact(_errors(spark, sf), "run-t13", root, 1000)
+    said = store.read_manifest(spark, root).where(F.col("artifact_id") == ref.id).first()  # one row of metadata
+    shown = store.artifact_data(spark, root, "run-t13", ref.id, n=200)["preview"]
+    return shown.withColumn("start_timestamp", F.substring("start_timestamp", 1, 19)).withColumns(
+        {"was_capped": F.lit(said.was_capped), "row_count": F.lit(said.row_count).cast("long")})
+
+
+@register("s7_export_csv", with_views(["records"], """
+SELECT span_id, replace(coalesce(message, ''), ' ', '", ' || chr(10)) AS message, coalesce(attributes, '') AS attributes,
+  coalesce(array_to_string(tags, ','), '') AS tags FROM records"""))
+def s7(spark, sf):
+    """Records with quotes, commas, line ends and arrays exported as CSV, and read back with an ordinary CSV reader."""
+    path = _store(spark, "s7")
+    rec = derive.load_records(spark, sf).select("span_id", F.replace("message", F.lit(" "), F.lit('", \n')).alias("message"), "attributes", "tags")
+    store.export_csv(rec, path)
+    back = spark.read.schema("span_id string, message string, attributes string, tags string").option("header", True).option(
+        "multiLine", True).option("quote", '"').option("escape", '"').option("lineSep", "\n").csv(path)
+    return back.na.fill("")
+
+
+_SAID = {
+    "all": ("SELECT span_id FROM records", "SELECT span_id FROM records"),
+    "levels": ("SELECT level, count(*) AS n FROM records GROUP BY level",) * 2,
+    "none": ("SELECT span_id FROM records WHERE level = 'no such level'",) * 2,
+    "write": ("DROP TABLE records", None),
+    "unknown": ("SELECT * FROM no_such_table", None),
+}
+
+
+@register("g8_envelopes", with_views(["records"], " UNION ALL ".join(
+    f"""SELECT '{name}' AS statement, count(*) >= 0 AS success, CAST(least(count(*), 1000) AS DOUBLE) AS row_count,
+  'Query ran (' || least(count(*), 1000) || ' rows' || CASE WHEN count(*) > 1000 THEN ', capped' ELSE '' END || ').' AS message
+FROM ({sql[1]}) q""" if sql[1] else f"SELECT '{name}', false, NULL, NULL" for name, sql in _SAID.items())))
+def g8(spark, sf):
+    """The agent's tool call on each statement, and the envelopes it gets (of failures, that they failed)."""
+    root = _store(spark, "g8")
+    derive.load_records(spark, sf).createOrReplaceTempView("records")
+    told = [(name, api.execute_sql(spark, "run-g8", sql, root, allowed_tables={"records"})) for name, (sql, _) in _SAID.items()]
+    said = spark.createDataFrame(told, "statement string, envelope string").select("statement", FE.parse_envelope(F.col("envelope")).alias("e"))
+    failed = F.coalesce(F.get_json_object("e.data_json", "$.success") == "false", F.lit(False))
+    return said.where(F.col("e").isNotNull()).select(
+        "statement", (~failed).alias("success"), F.try_element_at("e.artifacts", F.lit(1))["row_count"].alias("row_count"),
+        F.when(~failed, F.col("e.message")).alias("message"))

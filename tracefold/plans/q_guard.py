@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from ..operators import guard as G
 from ..schemas import FORBIDDEN_KEYWORDS
@@ -33,6 +34,15 @@ def _stmts(spark, sf):
     return derive.statements(spark, sf)
 
 
+# Blanks around a statement and inside its LIMIT; Unicode ones and the four separators count as blanks.
+_BLANKS = [" ", "\u00a0", "\u2003\n", "\u3000", "\x1c", "\t\x85", "\u202f\u205f", "\u200b"]  # the last one is none
+_CLASS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _blank_sql(shift: int) -> str:
+    return "[" + ", ".join(f"'{b}'" for b in _BLANKS) + f"][CAST((stmt_id + {shift}) % {len(_BLANKS)} + 1 AS INTEGER)]"
+
+
 @register("g1_audit_keywords", with_views(["statements"], f"SELECT stmt_id, {_KW_SQL} AS first_forbidden FROM statements"))
 def g1(spark, sf):
     """G1: first forbidden keyword per statement (list order, whole word)."""
@@ -71,6 +81,21 @@ def g5(spark, sf):
     return G.audit_statements(_stmts(spark, sf), 1000).select("stmt_id", "verdict", "keyword", "reason", "final_sql")
 
 
+@register("g5_audit_unicode_blanks", with_views(["statements"], f"""
+, blank AS (
+  SELECT stmt_id, run_id, {_blank_sql(0)} || replace(replace(sql, 'LIMIT ', 'LIMIT' || {_blank_sql(3)}), 'limit ', 'limit' || {_blank_sql(3)})
+    || {_blank_sql(5)} AS sql FROM statements)
+SELECT stmt_id, verdict, keyword, reason, final_sql FROM ({{audit}})""".replace(", blank AS", "WITH blank AS", 1).replace(
+    "{audit}", _AUDIT_SQL.replace("FROM statements", "FROM blank").replace("\\s", _CLASS))))
+def g5_unicode(spark, sf):
+    """G2, G3 and G5 on statements with all sorts of blanks around them and before their limits."""
+    def blank(shift: int):
+        return F.element_at(F.array(*map(F.lit, _BLANKS)), ((F.col("stmt_id") + shift) % len(_BLANKS) + 1).cast("int"))
+    spaced = F.replace(F.replace(F.col("sql"), F.lit("LIMIT "), F.concat(F.lit("LIMIT"), blank(3))), F.lit("limit "), F.concat(F.lit("limit"), blank(3)))
+    stmts = _stmts(spark, sf).withColumn("sql", F.concat(blank(0), spaced, blank(5)))
+    return G.audit_statements(stmts, 1000).select("stmt_id", "verdict", "keyword", "reason", "final_sql")
+
+
 @register("g6_audit_summary", with_views(["statements"], f"""
 SELECT verdict, keyword, count(*) AS n_statements, count(DISTINCT run_id) AS n_runs,
        count(*) FILTER (WHERE final_sql <> sql) AS n_rewritten

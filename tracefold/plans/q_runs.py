@@ -138,6 +138,20 @@ def w6(spark, sf):
     return RU.order_tool_returns(_msgs(spark, sf))
 
 
+@register("w6_call_arrays", V(["call_arrays"], """
+WITH calls AS (
+  SELECT run_id, id AS return_id, min({'pos': pos, 'ord': ord}) AS c
+  FROM (SELECT run_id, pos, unnest(call_ids) AS id, unnest([0, 1, 2]) AS ord FROM call_arrays WHERE call_ids IS NOT NULL) GROUP BY 1, 2),
+keyed AS (
+  SELECT m.run_id, m.pos, CASE WHEN m.return_id IS NULL THEN m.pos ELSE coalesce(c.c.pos, 4611686018427387904 + m.pos) END AS k1,
+         CASE WHEN m.return_id IS NULL THEN 0 ELSE 1 END AS k2, coalesce(c.c.ord, 0) AS k3
+  FROM call_arrays m LEFT JOIN calls c ON m.run_id = c.run_id AND m.return_id = c.return_id)
+SELECT run_id, pos, row_number() OVER (PARTITION BY run_id ORDER BY k1, k2, k3, pos) - 1 AS new_pos FROM keyed"""))
+def w6_arrays(spark, sf):
+    """W6 with three calls a message and their returns in another order: returns follow in the order of the calls."""
+    return RU.order_tool_returns(derive.call_arrays(spark, sf))
+
+
 @register("w7_last_user_prompt", V(["messages"], """
 SELECT run_id, coalesce(arg_max(content, pos) FILTER (WHERE role = 'user' AND coalesce(content, '') <> ''), '') AS prompt
 FROM messages GROUP BY run_id"""))
@@ -436,6 +450,20 @@ def t7(spark, sf):
     return RU.deferred_to_chunks(_msgs(spark, sf))
 
 
+@register("t7_call_arrays", V(["call_arrays"], """
+WITH u AS (SELECT run_id, pos, list_filter(calls, lambda c: c.call_tool = 'execute_sql') AS a,
+                  list_filter(calls, lambda c: c.call_tool <> 'execute_sql') AS b FROM call_arrays WHERE role = 'user')
+SELECT run_id, pos AS segment, 0 AS "group", CAST(i - 1 AS INTEGER) AS ord, 'approval-requested' AS type, a[i].call_id AS tool_call_id,
+       a[i].call_tool AS tool_name_or_finish, a[i].call_id AS approval_id FROM u, unnest(generate_series(1, len(a))) AS s(i)
+UNION ALL
+SELECT run_id, pos, 1, CAST(i - 1 AS INTEGER), 'tool-input-available', b[i].call_id, b[i].call_tool, NULL FROM u, unnest(generate_series(1, len(b))) AS s(i)
+UNION ALL
+SELECT run_id, pos, 2, 0, 'done', NULL, 'tool_calls', NULL FROM u"""))
+def t7_arrays(spark, sf):
+    """T7 with three calls a segment: each kind's calls in the order in which they were made, not of their ids."""
+    return RU.deferred_to_chunks(derive.call_arrays(spark, sf))
+
+
 @register("t8_close_failed_runs", V(["chunks"], """
 SELECT run_id, last_seq + 1 AS seq, 'done' AS type, 'stop' AS finish_reason FROM (
   SELECT run_id, max(CASE WHEN type = 'error' THEN seq END) AS error_seq, max(CASE WHEN type = 'done' THEN seq END) AS done_seq,

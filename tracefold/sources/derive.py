@@ -130,6 +130,32 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# calls of a message with several: their numbers in call order, in which no order of texts is right
+CALL_NUMBERS = (10, 2, 1)
+
+
+def call_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat messages with several calls each: a user turn makes three, in the order ...-10, ...-2, ...-1; an assistant
+    turn is three returns of them in another order (every ninth of a call that was never made)."""
+    c = _conv(spark, sf_dir)
+    t = F.col("turn")
+    tool = [F.when((t + k) % 2 == 0, F.lit("execute_sql")).otherwise(F.lit("export_csv")) for k in range(3)]
+    calls = F.array(*[F.struct(F.concat_ws("-", "run_id", t.cast("string"), F.lit(str(n))).alias("call_id"), tool[k].alias("call_tool"))
+                      for k, n in enumerate(CALL_NUMBERS)])
+    user = F.col("role") == "user"
+    asked = c.where(F.col("role") != "assistant").select(
+        "run_id", (t * 10).cast("long").alias("pos"), "role", F.when(user, calls).alias("calls"),
+        F.when(user, F.transform(calls, lambda x: x["call_id"])).alias("call_ids"), F.lit(None).cast("string").alias("return_id"))
+    before = t - F.when(t % 4 == 3, 3).otherwise(1)
+    order = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in enumerate(sorted(CALL_NUMBERS))])
+    returned = c.where(F.col("role") == "assistant").select("run_id", "conv_id", "turn", F.explode(order).alias("o")).select(
+        "run_id", (t * 10 + F.col("o.k")).cast("long").alias("pos"), F.lit("tool").alias("role"),
+        F.lit(None).cast("array<struct<call_id:string,call_tool:string>>").alias("calls"), F.lit(None).cast("array<string>").alias("call_ids"),
+        F.concat_ws("-", "run_id", F.when((F.col("conv_id") + t + F.col("o.k")) % 9 == 0, F.lit("lost")).otherwise(before.cast("string")),
+                    F.col("o.n").cast("string")).alias("return_id"))
+    return asked.unionByName(returned)
+
+
 def _tool_input(run_id: Column, conv_id: Column, turn: Column) -> Column:
     stmt = F.element_at(F.array(*[F.lit(s) for s in STATEMENTS]), ((conv_id + turn) % 16 + 1).cast("int"))
     art = F.concat(F.lit("a_"), F.substring(run_id, 1, 8), F.lit("_"), (F.floor(turn / 2) + 1).cast("string"))
