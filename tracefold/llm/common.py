@@ -83,7 +83,7 @@ def range_of(column: pa.Array, bounds: np.ndarray) -> np.ndarray:
     return np.searchsorted(bounds, values, side="right").astype(np.int32)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def grouped(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Batches put together to about ``size`` bytes."""
     held, total = [], 0
     for batch in batches:

@@ -13,9 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LANES = 1024
-BITS = 20
-CHECKPOINT_STEPS = 64
+LANES = 2048
+BITS = 18  # of the scale; more where a corpus has over 2^16 different ids
+CHECKPOINT_STEPS = 32
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 
@@ -26,10 +26,14 @@ HEADER = struct.Struct("<8sIIIQQQIII")
 
 @dataclass(frozen=True)
 class Table:
-    """Frequencies of all ids, summing to ``2 ** BITS``; an id that never occurs has 0."""
+    """Frequencies of all ids, summing to ``2 ** bits``; an id that never occurs has 0."""
 
     freq: np.ndarray
 
+    @property
+    def bits(self) -> int:
+        return max(int(self.freq.sum()).bit_length() - 1, 0)
+
     @property
     def crc(self) -> int:
         return zlib.crc32(self.freq.astype("<u4").tobytes())
@@ -38,19 +42,19 @@ class Table:
         return (np.cumsum(self.freq) - self.freq).astype(np.uint64)
 
     def slots(self) -> np.ndarray:
-        """The id that owns each of the ``2 ** BITS`` slots."""
+        """The id that owns each of the ``2 ** bits`` slots."""
         return np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq)
 
 
 def make_table(counts: np.ndarray) -> Table:
-    """Scale counts to ``2 ** BITS``: every id that occurs keeps at least 1, the rest in proportion."""
+    """Scale counts to ``2 ** BITS``, or four times their number if that is more: every id that occurs keeps at least 1,
+    the rest in proportion."""
     counts = np.asarray(counts, dtype=np.float64)
-    size, used = 1 << BITS, np.flatnonzero(counts)
+    used = np.flatnonzero(counts)
+    size = 1 << max(BITS, (4 * len(used) - 1).bit_length())
     freq = np.zeros(len(counts), dtype=np.int64)
     if not len(used):
         return Table(freq)
-    if len(used) > size:
-        raise ValueError(f"{len(used)} different ids need a scale of more than {BITS} bits")
     share = counts[used] / counts[used].sum() * (size - len(used))
     floor = np.floor(share).astype(np.int64)
     left = size - len(used) - int(floor.sum())
@@ -65,7 +69,8 @@ def encode(ids: np.ndarray, docs: list[tuple[int | None, int]], table: Table, st
     n = len(ids)
     steps = -(-n // lanes)
     freq, start = table.freq[ids].astype(np.uint64), starts[ids]
-    limit = freq << np.uint64(63 - BITS)
+    bits = table.bits
+    limit, shift = freq << np.uint64(63 - bits), np.uint64(bits)
     x = np.full(lanes, LOW, dtype=np.uint64)
     words: list[np.ndarray] = []
     given, checkpoints = 0, []
@@ -78,7 +83,7 @@ def encode(ids: np.ndarray, docs: list[tuple[int | None, int]], table: Table, st
             given += len(words[-1])
             now = np.where(full, now >> WORD, now)
         q = now // f
-        x[: hi - lo] = (q << np.uint64(BITS)) + (now - q * f) + start[lo:hi]
+        x[: hi - lo] = (q << shift) + (now - q * f) + start[lo:hi]
         if s and s % every == 0:
             checkpoints.append((given, x.copy()))
     stream = np.concatenate(words[::-1]) if words else np.empty(0, np.uint32)
@@ -89,7 +94,7 @@ def encode(ids: np.ndarray, docs: list[tuple[int | None, int]], table: Table, st
         np.array([given - at for at, _ in checkpoints[::-1]], dtype="<u8").tobytes(),
         *[state.astype("<u8").tobytes() for _, state in checkpoints[::-1]],
         x.astype("<u8").tobytes(), stream.astype("<u4").tobytes()])
-    return HEADER.pack(MAGIC, BITS, lanes, every, n, len(docs), given, table.crc,
+    return HEADER.pack(MAGIC, bits, lanes, every, n, len(docs), given, table.crc,
                        zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
 
 

@@ -81,8 +81,9 @@ class Words:
         data = ids.tobytes()
         return dict(zip(unknown, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
-    def word_ids(self, distinct: list[str]) -> list[bytes]:
-        """The ids of different lower-case words."""
+    def word_ids(self, distinct: list[str], again: np.ndarray) -> list[bytes]:
+        """The ids of different lower-case words. Only those that come again in their batch are remembered: most words
+        come once, and a small cache is a fast one."""
         parts = list(map(self.cache.get, distinct))
         places = [i for i, ids in enumerate(parts) if ids is None]
         if places:
@@ -95,7 +96,7 @@ class Words:
                 new[w] = b"".join([new[p] if p in new else self.cache[p] for p in pieces])
             for i, ids in zip(places, map(new.__getitem__, missing), strict=True):
                 parts[i] = ids
-            self.remember(new)
+            self.remember({distinct[i]: parts[i] for i in np.array(places)[again[places]].tolist()})
         return parts
 
     def mixed(self, text: str) -> bytes:
@@ -105,7 +106,7 @@ class Words:
             if not chunk:
                 continue
             if FAST_CHUNK.fullmatch(chunk) and "<|" not in chunk:
-                out += self.word_ids([chunk.lower()])
+                out += self.word_ids([chunk.lower()], np.ones(1, dtype=bool))
                 continue
             key = "\n" + chunk  # no word holds a line break, so it is not taken for one
             ids = self.cache.get(key)
@@ -121,10 +122,10 @@ class Words:
         ends, words_ = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
         if not len(words_):
             return [b""] * len(texts)
-        parts = self.word_ids(words_.dictionary.to_pylist())
+        at = words_.indices.to_numpy()
+        parts = self.word_ids(words_.dictionary.to_pylist(), np.bincount(at, minlength=len(words_.dictionary)) > 1)
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // self.dtype.itemsize
         flat, begins = np.frombuffer(b"".join(parts), self.dtype), np.cumsum(sizes) - sizes
-        at = words_.indices.to_numpy()
         lengths = sizes[at]
         stops = np.concatenate([[0], np.cumsum(lengths)])
         narrow = np.int32 if stops[-1] < 1 << 31 else np.int64

@@ -230,7 +230,7 @@ def l2_natural(spark, sf):
     key = R.natural_key(F.col("label"))
     up = Window.partitionBy("trace_id").orderBy(key.asc_nulls_last(), "event_id")
     down = Window.partitionBy("trace_id").orderBy(key.desc_nulls_last(), "event_id")
-    return rows.withColumn("place", F.row_number().over(up)).withColumn("place_desc", F.row_number().over(down))
+    return rows.withColumn("place", F.row_number().over(up).cast("long")).withColumn("place_desc", F.row_number().over(down).cast("long"))
 
 
 @register("attr_filters_parsed", with_views(["records"], f"""
