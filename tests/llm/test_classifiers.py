@@ -167,6 +167,13 @@ def test_kneser_ney_equals_direct_recursion(spark):
     assert np.allclose(grams.evidence(words), [plainly(w) for w in words])
 
 
+def test_one_short_word_alone(spark):
+    rows = [(i, "abba abab babab ccc", 1) for i in range(2)] + [(9, "bbaa aabb abab bab bab", 0)]
+    grams = toxicity.kneser_ney(common.collected(toxicity.count_grams(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))))
+    together = grams.evidence(["a", "abba", "b", "zz"])
+    assert np.allclose([grams.evidence([w])[0] for w in ("a", "abba", "b", "zz")], together)  # also fewer letters than the order
+
+
 def test_toxicity_of_odd_rows(spark, make_docs, odd_texts):
     train = spark.createDataFrame(
         [(i, f"nice day at the lake {i % 7}", 0) for i in range(60)] + [(100 + i, f"you moron scum {i % 5}", 1) for i in range(40)]

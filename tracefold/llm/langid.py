@@ -117,19 +117,16 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 1e-5
 def fit(labelled: DataFrame, per_language: int = 1500, features: int = 4096) -> Model:
     """Fit the bits on a bounded sample of (text, lang); rows of ``labelled`` beyond it are only counted.
 
-    About ``per_language`` rows of each language are picked, by a hash of text and ``doc_id`` (where there is one), so
-    copies of a text are picked each on their own; equal texts picked of one language count once. So a language that
-    is mostly copies still learns from its other texts, and no more than the picked rows ever reach the driver.
+    About ``per_language`` different texts of each language are picked, by a hash of the text, and copies count once:
+    a language that is mostly copies still learns from its other texts, and no more than these texts reach the driver.
     """
-    names = ["text", *(["doc_id"] if "doc_id" in labelled.columns else [])]
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", *names)
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     languages = tuple(sorted(sizes))
     if len(languages) < 2:
         return Model(languages, codewords(len(languages)), np.zeros((features, 1)), np.zeros(1))
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, per_language / n))])
-    picked = known.where(F.pmod(F.xxhash64(F.lit("langid"), *names), F.lit(1 << 31)) < share[F.col("lang")] * (1 << 31))
-    picked = picked.select("lang", "text").distinct()
+    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, per_language / max(n, 1)))])
+    picked = known.where(F.pmod(F.xxhash64(F.lit("langid"), "text"), F.lit(1 << 31)) < share[F.col("lang")] * (1 << 31)).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,4 +177,4 @@ def identify(docs: DataFrame, model: Model, margin: float = 0.02) -> DataFrame:
 
 def learning_rows(docs: DataFrame) -> DataFrame:
     """The rows that a model may learn languages from: four of five folds of the ids."""
-    return docs.where(common.fold("doc_id", 5) != 0).select("doc_id", "text", "lang")
+    return docs.where(common.fold("doc_id", 5) != 0).select("text", "lang")
