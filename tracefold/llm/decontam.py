@@ -88,8 +88,8 @@ def found_in(text: str | None, machine) -> tuple[int, list[tuple[int, int]], lis
 def item_blocks(benchmark: DataFrame, block_bytes: int, window: int) -> Iterator[tuple[tuple[int, str], ...]]:
     """The benchmark's items in blocks with windows of about ``block_bytes`` in all, each collected on its own."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total * window // block_bytes)  # a word stands in as many windows as a window has words
+    total, n = items.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    blocks = min(n, -(-(total or 0) * window // block_bytes))  # a word stands in as many windows as a window has words
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
         yield tuple(sorted((r.item_id or "", r.text) for r in rows))
