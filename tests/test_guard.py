@@ -218,6 +218,7 @@ def test_user_functions_are_refused_in_the_analysed_plan(spark, views):
     "SELECT transform(array(id), x -> x + 1), aggregate(array(id, 2), 0L, (s, x) -> s + x), map('a', id)['a'], named_struct('z', id).z FROM t",
     "SELECT TIMESTAMP '2024-01-01' + INTERVAL 1 DAY, extract(HOUR FROM TIMESTAMP '2024-01-01'), date_trunc('day', current_timestamp()), id BETWEEN 1 AND 2 FROM t",
     "SELECT try_cast('x' AS INT), id::string, try_parse_json('{}'), get_json_object('{}', '$.a'), from_json('{}', 'a INT').a, ceil(id), lpad('a', 3, 'b'), to_char(id, '999') FROM t",
+    "SELECT id FROM t WHERE current_timestamp()::date > TIMESTAMP '2024-01-15 10:00:00' - INTERVAL '1 day' AND DATE '2024-01-02' - INTERVAL 1 MONTH < now()",
     "SELECT * FROM t PIVOT (count(*) FOR k IN (0, 1))",
     "SELECT id, y FROM t LATERAL VIEW explode(array(k)) z AS y",
     "SELECT window(TIMESTAMP '2024-01-01', '1 hour').start, percentile_approx(id, 0.5), approx_count_distinct(k) FROM t GROUP BY ALL",

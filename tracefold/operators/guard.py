@@ -150,7 +150,7 @@ STRUCTURAL = {
     "GetArrayStructFields", "GetMapValue", "CommonExpressionDef", "CommonExpressionRef", "With", "Cast", "UpCast",
     "TryEval", "KnownNullable", "KnownNotNull", "KnownFloatingPointNormalized", "NormalizeNaNAndZero", "EqualTo", "In",
     "InSet", "IsNull", "IsNotNull", "Not", "And", "Or", "CaseWhen", "If", "LikeAll", "NotLikeAll", "LikeAny", "NotLikeAny",
-    "SubtractDates", "SubtractTimestamps", "SubtractTimes", "DateAddInterval", "DateAddYMInterval", "TimeAddInterval",
+    "DatetimeSub", "SubtractDates", "SubtractTimestamps", "SubtractTimes", "DateAddInterval", "DateAddYMInterval", "TimeAddInterval",
     "TimestampAddInterval", "TimestampAddYMInterval", "TimestampDiff", "TimestampAdd", "MultiplyInterval", "DivideInterval",
     "MultiplyDTInterval", "MultiplyYMInterval", "DivideDTInterval", "DivideYMInterval", "ExtractIntervalPart",
     "PreciseTimestampConversion", "TimeWindow", "SessionWindow", "ResolvedCollation", "VirtualColumn",
