@@ -51,7 +51,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity (2): documents scored toxic go."""
-    model = toxicity.fit(table(spark, sf_dir, "documents"), toxicity.learning_labels(table(spark, sf_dir, "labels")))
+    model = toxicity.fit(toxicity.learning_labels(table(spark, sf_dir, "documents")), toxicity.learning_labels(table(spark, sf_dir, "labels")))
     return documents(toxicity.score(docs, model, TOXIC).where(F.col("predicted") == 0))
 
 

@@ -258,3 +258,47 @@ def test_quality_of_odd_rows(spark, make_docs, odd_texts):
     for only, want in ((0, 0), (1, 1)):
         assert {r.predicted for r in quality.score(docs, quality.fit(train, train.where(F.col("quality") == only))).collect()} == {want}
     assert {r.score for r in quality.score(docs, quality.fit(train, train.where("false"))).collect()} == {0.5}
+
+
+def test_toxicity_learns_from_all_labelled_texts(spark, monkeypatch):
+    n = 9000 + 6000  # more of each than the models once took
+    train = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("ab c"), F.col("id") % 7).alias("text"),
+                                  (F.col("id") < 6000).cast("int").alias("toxic"))
+    seen, curve, grams = {}, toxicity.curve, toxicity.kneser_ney
+    monkeypatch.setattr(toxicity, "curve", lambda rows: (seen.update(rows=rows.count()), curve(rows))[1])
+    monkeypatch.setattr(toxicity, "kneser_ney", lambda table: (seen.update(table=table), grams(table))[1])
+    toxicity.fit(train, train)
+    marks = seen["table"][(seen["table"][:, 0] == 1)][:, 4:6].sum(axis=1).max()  # two marks a word, two words a text
+    assert marks + 4 * seen["rows"] == 4 * n
+
+
+def test_quality_learns_from_all_labelled_texts(spark, make_docs, monkeypatch):
+    train = spark.createDataFrame(
+        [(i, f"A sentence, with words {i}. And one more.", 1) for i in range(300)] + [(1000 + i, "### ||| ### " * (i + 1), 0) for i in range(200)]
+        + [(5000, None, 0), (5001, "x", None)], "doc_id long, text string, quality int")
+    seen, mean = [], quality.mean
+    monkeypatch.setattr(quality, "mean", lambda models, rows: (seen.extend(rows), mean(models, rows))[1])
+    model = quality.fit(train, train, rows=100)
+    assert len(seen) == 6 and sum(seen) == 501
+    rows = {r.text: r.predicted for r in quality.score(make_docs([(1, "A sentence, with words 99. And one more."), (2, "||| ###")]), model).collect()}
+    assert rows == {"A sentence, with words 99. And one more.": 1, "||| ###": 0}
+
+
+def test_mean_of_models_is_the_mean_of_their_logits():
+    rng = np.random.default_rng(1)
+    x = rng.random((900, 3))
+    y = (x[:, 0] + x[:, 1] > 1).astype(float)
+    at = quality.cuts(x)
+    parts = [quality.boost(x[a:b], y[a:b], rounds=4, pair_rounds=3, pairs=1, at=at) for a, b in ((0, 300), (300, 900))]
+    logit = [np.log(m.scores(x) / (1 - m.scores(x))) for m in parts]
+    got = quality.mean(parts, [300, 600]).scores(x)
+    assert np.allclose(np.log(got / (1 - got)), logit[0] / 3 + logit[1] * 2 / 3)
+
+
+def test_tables_of_keys_are_searched_whole():
+    rng = np.random.default_rng(2)
+    for size in (1, 2, 1000):
+        table = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64) >> np.uint64(0 if size != 2 else 40))
+        wanted = np.concatenate([table, table + np.uint64(1), rng.integers(0, 2**64, 500, dtype=np.uint64)])
+        there, at = toxicity.Places(table).find(wanted)
+        assert there.tolist() == np.isin(wanted, table).tolist() and (table[at[there]] == wanted[there]).all()

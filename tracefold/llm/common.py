@@ -44,23 +44,10 @@ def appended(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: dict[int, int],
-                    salt: str) -> tuple[DataFrame | None, dict[int, int], dict[int, float]]:
-    """(doc_id, text, label) of a bounded, repeatable sample: about ``rows[v]`` documents of each label v.
-
-    Labels are counted and picked by a hash of their id before any text is read, so the picked ids, at most about
-    ``sum(rows.values())``, are broadcast to the scan of the texts and no text is shuffled. Also returns how many
-    labels of each value there are and the share picked. The sample is None unless every value occurs.
-    """
-    known = labels.where(F.col(column).isin(*rows) & F.col("doc_id").isNotNull()).select(
+def known_labels(labels: DataFrame, column: str, values: Iterable[int]) -> DataFrame:
+    """(doc_id, label) of every label among ``values``. They are as many as the documents: no broadcast is asked for."""
+    return labels.where(F.col(column).isin(*values) & F.col("doc_id").isNotNull()).select(
         "doc_id", F.col(column).cast("int").alias("label"))
-    found = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(found) < len(rows):
-        return None, found, {}
-    shares = {v: min(1.0, most / found[v]) for v, most in rows.items()}
-    share = F.coalesce(*[F.when(F.col("label") == v, F.lit(s)) for v, s in shares.items()])
-    picked = known.where(F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 31)) < share * (1 << 31))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), found, shares
 
 
 def range_bounds(df: DataFrame, column: str, parts: int) -> np.ndarray:

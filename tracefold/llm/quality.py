@@ -6,8 +6,10 @@ table. Then the pairs whose coarse grids explain most of what is left are booste
 depth-two trees that split both features. A score is the logistic of the sum of one entry per table, looked up
 for many documents at once.
 
-The model is fitted on a bounded sample of labelled rows, about ``rows`` of each class, by a hash. Spark
-computes the statistics; only these numbers reach the driver.
+The model is fitted on all labelled rows. They are dealt by a hash into groups of about ``rows``; each group gives
+its quantiles, whose means are the bin edges of all groups, then its own tables, boosted in its own task, and the
+model has the means of these. Only edges and tables, of fixed size per group, reach the driver. Statistics are
+computed before labels are joined, so no text crosses the network.
 
 Defined results: a null text is an empty one; both get all-zero statistics and the model's score for them. Rows
 without a label teach nothing; with one class only, every score is that class; with no labels it is 0.5.
@@ -16,6 +18,7 @@ Repeated rows score alike. Clashing columns are replaced.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from . import common
 
 BINS = 32
@@ -58,11 +62,6 @@ def statistics(text: str | None) -> list[float]:
         (lengths <= 2).mean(), (lengths >= 16).mean()]
 
 
-def edges(x: np.ndarray, bins: int) -> np.ndarray:
-    """Inner bin edges at the quantiles; equal values share a bin."""
-    return np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1]))
-
-
 def gain(g: np.ndarray, h: np.ndarray) -> np.ndarray:
     return g * g / (h + 1.0)
 
@@ -132,12 +131,20 @@ def constant(p: float) -> Model:
     return Model(float(np.log(p / (1 - p))), (), (), (), (), ())
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 60, pairs: int = 6, rate: float = 0.1) -> Model:
-    """Fit the tables by cyclic boosting of the log loss."""
-    cut = [edges(x[:, k], BINS) for k in range(x.shape[1])]
+def cuts(x: np.ndarray) -> np.ndarray:
+    """The quantiles of every feature that its edges are made of, fine ones then coarse ones."""
+    return np.concatenate([np.quantile(x, np.linspace(0, 1, n + 1)[1:-1], axis=0) for n in (BINS, COARSE)])
+
+
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 60, pairs: int = 6, rate: float = 0.1,
+          at: np.ndarray | None = None) -> Model:
+    """Fit the tables by cyclic boosting of the log loss; ``at`` are other rows' quantiles too (``cuts``)."""
+    at = cuts(x) if at is None else at
+    cut = [np.unique(at[:BINS - 1, k]) for k in range(x.shape[1])]
     bins = [np.searchsorted(e, x[:, k], side="right") for k, e in enumerate(cut)]
     tables = [np.zeros(len(e) + 1) for e in cut]
-    intercept = float(np.log(y.mean() / (1 - y.mean())))
+    p = np.clip(y.mean(), 0.5 / len(y), 1 - 0.5 / len(y))  # a group may have one class only
+    intercept = float(np.log(p / (1 - p)))
     z = np.full(len(y), intercept)
 
     def slopes() -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +158,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 60
             step = rate * tree_1d(np.bincount(b, g, m), np.bincount(b, h, m))
             tables[k] += step
             z += step[b]
-    coarse = [edges(x[:, k], COARSE) for k in range(x.shape[1])]
+    coarse = [np.unique(at[BINS - 1:, k]) for k in range(x.shape[1])]
     rough = [np.searchsorted(e, x[:, k], side="right") for k, e in enumerate(coarse)]
     g, h = slopes()
 
@@ -171,22 +178,60 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 60
     return Model(intercept, tuple(cut), tuple(tables), tuple(chosen), tuple(coarse), tuple(grids))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000) -> Model:
-    """Fit on a bounded sample of the texts that ``labels`` (doc_id, quality) names."""
-    picked, n, _ = common.labelled_sample(docs, labels, "quality", {0: rows, 1: rows}, "quality")
-    if picked is None:
+def mean(models: list[Model], rows: list[int]) -> Model:
+    """The model whose logit is the mean of the models', by their rows: they share their edges, so tables add up."""
+    share, first = np.array(rows) / sum(rows), models[0]
+    tables = tuple(sum(w * m.tables[k] for w, m in zip(share, models, strict=True)) for k in range(len(first.tables)))
+    grids: dict[tuple[int, int], np.ndarray] = {}
+    for w, m in zip(share, models, strict=True):
+        for pair, t in zip(m.pairs, m.grids, strict=True):
+            grids[pair] = grids.get(pair, 0) + w * t
+    intercept = float(sum(w * m.intercept for w, m in zip(share, models, strict=True)))
+    return Model(intercept, first.edges, tables, tuple(grids), first.coarse, tuple(grids.values()))
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> Model:
+    """Fit on all texts that ``labels`` (doc_id, quality) names, in groups of about ``rows``."""
+    known = common.known_labels(labels, "quality", (0, 1))
+    n = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
         return constant({(): 0.5, (0,): 1e-9, (1,): 1 - 1e-9}[tuple(n)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [statistics(t) for t in common.texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+    kept = docs.select("doc_id", "text")
+    measured = kept.mapInArrow(run, T.StructType([kept.schema["doc_id"], T.StructField("x", T.ArrayType(T.DoubleType()))]))
+    groups = -(-sum(n.values()) // rows)
+    found = materialize(measured.join(known, "doc_id").select(
+        F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(groups)).alias("part"), F.col("label").alias("y"), "x"), "quality-rows")
+    kinds = {r.y for r in found.select("y").distinct().collect()}
+    if len(kinds) < 2:
+        return constant({(): 0.5, (0,): 1e-9, (1,): 1 - 1e-9}[tuple(kinds)])
+
+    def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """A group's statistics and labels, in an order of their own."""
+        x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+        y = table.column("y").to_numpy().astype(float)
+        order = np.lexsort((*x.T[::-1], y))
+        return x[order], y[order]
+
+    def quantiles(table: pa.Table) -> pa.Table:
+        return pa.table({"n": [table.num_rows], "at": [cuts(arrays(table)[0]).ravel().tolist()]})
+
+    told = found.groupBy("part").applyInArrow(quantiles, "n long, at array<double>").collect()
+    told.sort(key=lambda r: (r.n, r["at"]))
+    first = np.array(told[0]["at"])  # what all groups have in common stays as it is, to the last bit
+    at = first + sum(r.n * (np.array(r["at"]) - first) for r in told) / sum(r.n for r in told)
+    at = at.reshape(-1, len(FEATURES))
+
+    def tables(table: pa.Table) -> pa.Table:
+        return pa.table({"n": [table.num_rows], "model": [pickle.dumps(boost(*arrays(table), at=at))]})
 
-    found = sorted(map(tuple, picked.select("text", "label").mapInArrow(run, "y int, x array<double>").collect()))
-    y = np.array([r[0] for r in found], dtype=float)
-    if len(set(y)) < 2:
-        return constant({(): 0.5, (0.0,): 1e-9, (1.0,): 1 - 1e-9}[tuple(set(y))])
-    return boost(np.array([r[1] for r in found]), y)
+    made = sorted(map(tuple, found.groupBy("part").applyInArrow(tables, "n long, model binary").collect()))
+    return mean([pickle.loads(m) for _, m in made], [n for n, _ in made])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -205,5 +250,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def learning_labels(labels: DataFrame) -> DataFrame:
-    """The labels that a model may learn from: two of three folds of the ids."""
+    """The labels (or documents) that a model may learn from: two of three folds of the ids."""
     return labels.where(common.fold("doc_id", 3) != 1)

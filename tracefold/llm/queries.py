@@ -47,7 +47,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents by Kneser-Ney models learned from three of four folds (toxicity.score)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, toxicity.learning_labels(table(spark, sf_dir, "labels")))
+    model = toxicity.fit(toxicity.learning_labels(docs), toxicity.learning_labels(table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model, threshold=0.3).select(
         "doc_id", (common.fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
@@ -56,7 +56,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents by an additive model learned from two of three folds (quality.score)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(docs, quality.learning_labels(table(spark, sf_dir, "labels")))
+    model = quality.fit(quality.learning_labels(docs), quality.learning_labels(table(spark, sf_dir, "labels")))
     return quality.score(docs, model, threshold=0.5).select(
         "doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 

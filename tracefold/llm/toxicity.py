@@ -11,8 +11,10 @@ A text's evidence is the length-normalised log-likelihood ratio (mean over its w
 the mean excess of its clear words and their number, so long texts with a few such words are not washed out. A
 logistic curve, fitted on training texts that the n-gram models have not seen, turns it into the score.
 
-The models are fitted on a bounded sample: about ``toxic_rows`` toxic and ``ordinary_rows`` ordinary labelled
-texts, by a hash. Spark counts their n-grams; those that occur once in all are left out (they back off).
+The models are fitted on all labelled texts: two of three, by a hash, for the n-grams, the others for the curve. Spark
+counts the words and the n-grams of the distinct ones; n-grams that occur once in all are left out (they back off). The
+curve's Newton steps are sums over the rows that Spark adds up. The driver gets the n-grams, as many as the vocabulary
+has, and a few sums per step; no row per text.
 
 Defined results: null, empty and blank texts and those of digits alone score 0. Rows without a label teach nothing; with no toxic or no
 ordinary text to learn from every score is 0 (only ordinary or no labels) or 1 (only toxic ones). Repeated rows
@@ -25,10 +27,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,18 +99,23 @@ class Grams:
     history_keys: tuple[np.ndarray, ...]
     history_ratio: tuple[np.ndarray, ...]
 
+    @cached_property
+    def places(self) -> tuple[tuple["Places", ...], ...]:
+        return tuple(tuple(map(Places, tables)) for tables in (self.gram_keys, self.history_keys))
+
     def evidence(self, words: list[str]) -> np.ndarray:
         """Log-likelihood ratio, toxic to ordinary, of each word (sum over its letters and end mark)."""
         if not words:
             return np.zeros(0)
+        gram_places, history_places = self.places
         chars, owner = letters(words)
         ratio = np.zeros(len(chars))
         before, _ = keys(chars, owner, SHARED)
         for k, order in enumerate(range(SHARED + 1, ORDER + 1)):
             gram, inside = keys(chars, owner, order)
             history, before = np.concatenate(([np.uint64(0)], before[:-1])), gram
-            below, there = find(self.history_keys[k], history)
-            seen, at = find(self.gram_keys[k], gram)
+            below, there = history_places[k].find(history)
+            seen, at = gram_places[k].find(gram)
             ratio = np.where(seen & inside, self.gram_ratio[k][at] if len(at) else 0.0,
                              np.where(below & inside, self.history_ratio[k][there], ratio))
         return np.bincount(owner, weights=ratio, minlength=len(words))
@@ -119,27 +127,63 @@ def find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return table[at] == wanted, at
 
 
+class Places:
+    """A sorted table of spread keys, looked up by their first bits: ``find`` in a few steps a key, whatever its length."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, bits = table, max(int(len(table)).bit_length() + 1, 1)
+        self.shift = np.uint64(64 - bits)
+        counts = np.bincount((table >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.start = (np.cumsum(counts) - counts).astype(np.int32)
+        self.longest = int(counts.max(initial=0))
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is in the table, and where."""
+        at = np.minimum(self.start[(wanted >> self.shift).astype(np.int64)], len(self.table) - 1)
+        found = self.table[at] == wanted
+        left = np.flatnonzero(~found)
+        for _ in range(self.longest - 1):
+            # the table is sorted: a greater key ends the search
+            left = left[self.table[at[left]] < wanted[left]]
+            at[left] = np.minimum(at[left] + 1, len(self.table) - 1)
+            found[left] = self.table[at[left]] == wanted[left]
+        return found, at
+
+
 def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Counter, Counter]]:
-    """Counts of the words of ordinary and of toxic texts, a batch or about ``HELD_WORDS`` distinct words at a time."""
+    """Counts of the words of ordinary and of toxic texts, about ``HELD_WORDS`` distinct words at a time."""
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(common.texts(batch), batch.column("toxic").to_pylist(), strict=True):
             seen[toxic].update(words_of(text))
             if len(seen[0]) + len(seen[1]) > HELD_WORDS:
                 yield seen
                 seen = (Counter(), Counter())
-        if seen[0] or seen[1]:
-            yield seen
+    if seen[0] or seen[1]:
+        yield seen
+
+
+def count_words(labelled: DataFrame) -> DataFrame:
+    """(word, t, o): how often every word occurs in the toxic and in the ordinary texts of (text, toxic)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ordinary, toxic in counted_words(batches):
+            words = list(ordinary | toxic)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[
+                pa.array([c[w] for w in words], pa.int64()) for c in (toxic, ordinary)]], names=["word", "t", "o"])
+
+    return labelled.select("text", "toxic").mapInArrow(run, "word string, t long, o long").groupBy("word").agg(
+        F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
 def count_grams(labelled: DataFrame, least: int = 2) -> DataFrame:
     """(n, key, history, suffix, t, o): toxic and ordinary counts of every n-gram of the words of (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seen in counted_words(batches):
-            words = list(seen[0] | seen[1])
+        for batch in common.grouped(batches, 2 << 20):
+            words = batch.column("word").to_pylist()
             chars, owner = letters(words)
-            weights = [np.array([c[w] for w in words], dtype=float)[owner] for c in (seen[1], seen[0])]
+            weights = [batch.column(c).to_numpy().astype(float)[owner] for c in ("t", "o")]
             below = np.zeros(len(chars), np.uint64)
             for order in range(1, ORDER + 1):
                 key, inside = keys(chars, owner, order)
@@ -153,7 +197,7 @@ def count_grams(labelled: DataFrame, least: int = 2) -> DataFrame:
                     names=["n", "key", "history", "suffix", "t", "o"])
                 below = key
 
-    counted = labelled.select("text", "toxic").mapInArrow(run, "n int, key long, history long, suffix long, t long, o long")
+    counted = count_words(labelled).mapInArrow(run, "n int, key long, history long, suffix long, t long, o long")
     return counted.groupBy("n", "key").agg(F.min("history").alias("history"), F.min("suffix").alias("suffix"),
                                            F.sum("t").alias("t"), F.sum("o").alias("o")).where(F.col("t") + F.col("o") >= least)
 
@@ -250,46 +294,71 @@ class Model:
         return np.where(evidence[:, 4] > 0, 1 / (1 + np.exp(-z.clip(-30, 30))), 0.0)
 
 
-def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Weighted logistic regression by Newton steps."""
-    x, weight = np.column_stack([x, np.ones(len(x))]), weight / weight.mean()
-    w = np.zeros(x.shape[1])
+def curve(rows: DataFrame, ridge: float = 1e-3) -> np.ndarray:
+    """Logistic regression by Newton steps on all of (toxic, mean, highest, excess, clear, words); a step's sums come from Spark."""
+    w = np.zeros(6)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
-        grad = x.T @ (weight * (p - y)) + ridge * len(x) * w
-        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge * len(x) * np.eye(len(w)), grad)
+        n, grad, hessian = slopes(rows, w)
+        if not n:
+            break
+        step = np.linalg.solve(hessian + ridge * n * np.eye(len(w)), grad + ridge * n * w)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, ordinary_rows: int = 6000) -> Model:
-    """Fit on a bounded sample of the texts that ``labels`` (doc_id, toxic) names."""
-    picked, n, shares = common.labelled_sample(docs, labels, "toxic", {1: toxic_rows, 0: ordinary_rows}, "toxicity")
-    if picked is None:
-        return Model(None, np.zeros(6), float(n.get(1, 0) > 0))
-    picked = materialize(picked.withColumnRenamed("label", "toxic"), "toxicity-sample")
+def slopes(rows: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """How many rows, and the log loss's gradient and second derivatives at ``w``: one row of sums per batch of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 + len(w) + len(w) ** 2)
+        for batch in batches:
+            y, *e = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            x = np.column_stack([shaped(np.column_stack(e)), np.ones(len(y))])
+            p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
+            sums += np.concatenate([[len(y)], x.T @ (p - y), ((x.T * (p * (1 - p))) @ x).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    parts = rows.select("toxic", "mean", "highest", "excess", "clear", "words").mapInArrow(run, "sums array<double>")
+    # of many tasks' rows one comes to the driver
+    total = parts.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("s")).orderBy("pos").collect()
+    sums = np.array([r.s for r in total]) if total else np.zeros(1 + len(w) + len(w) ** 2)
+    return float(sums[0]), sums[1: 1 + len(w)], sums[1 + len(w):].reshape(len(w), len(w))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on all texts that ``labels`` (doc_id, toxic) names."""
     apart = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(3)) == 0
-    grams = kneser_ney(common.collected(count_grams(picked.where(~apart))))
+
+    known = common.known_labels(labels, "toxic", (0, 1))
+    kinds = {r.label for r in known.select("label").distinct().collect()}
+    if len(kinds) < 2:
+        return Model(None, np.zeros(6), float(1 in kinds))
+
+    def texts(which: Column) -> DataFrame:
+        """The labelled texts of one part; each text is shuffled for its part only."""
+        return docs.select("doc_id", "text").where(which).join(known.where(which), "doc_id").select("text", F.col("label").alias("toxic"))
+
+    grams = kneser_ney(common.collected(count_grams(texts(~apart))))
+    shared = docs.sparkSession.sparkContext.broadcast(grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Evidence(grams)
+        cache = Evidence(shared.value)
         for batch in batches:
             e = cache.of(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(e[:, k]) for k in range(5)]],
                                              names=["toxic", "mean", "highest", "excess", "clear", "words"])
 
-    rows = picked.where(apart).select("text", "toxic").mapInArrow(
-        run, "toxic int, mean double, highest double, excess double, clear double, words double").collect()
-    evidence, y = np.array([r[1:] for r in rows]).reshape(-1, 5), np.array([r.toxic for r in rows], dtype=float)
-    return Model(grams, curve(shaped(evidence), y, np.where(y == 1, 1 / shares[1], 1 / shares[0])), 0.0)
+    rows = materialize(texts(apart).mapInArrow(
+        run, "toxic int, mean double, highest double, excess double, clear double, words double"), "toxicity-evidence")
+    return Model(grams, curve(rows), 0.0)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on), from ``text`` alone."""
     kept, schema = common.extended(docs, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams of a bounded sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the vocabulary's n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -305,5 +374,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def learning_labels(labels: DataFrame) -> DataFrame:
-    """The labels that a model may learn from: three of four folds of the ids."""
+    """The labels (or documents) that a model may learn from: three of four folds of the ids."""
     return labels.where(common.fold("doc_id", 4) != 2)
