@@ -50,6 +50,24 @@ def known_labels(labels: DataFrame, column: str, values: Iterable[int]) -> DataF
         "doc_id", F.col(column).cast("int").alias("label"))
 
 
+# bits that ids are hashed to before texts are shuffled: 2 MB, whatever the number of labels
+BITS = 1 << 24
+
+
+def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``docs`` with the labels of ``known_labels``, joined by a shuffle where Spark does not find these small.
+
+    A table of bits, one set by the hash of each label's id, first drops most rows without a label, so that their texts
+    are not shuffled; what it lets through in error, the join drops.
+    """
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(BITS))
+    table = known.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("__word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("__bits"))
+    placed = docs.withColumn("__p", place).withColumn("__word", F.shiftright("__p", 6)).join(F.broadcast(table), "__word")
+    there = placed.where(F.expr("(shiftrightunsigned(__bits, cast(__p % 64 as int)) & 1L) = 1L"))
+    return there.select(*[F.col(f"`{c}`") for c in docs.columns]).join(known, "doc_id")
+
+
 def range_bounds(df: DataFrame, column: str, parts: int) -> np.ndarray:
     """At most ``parts - 1`` split points of an integer column (approximate quantiles, one narrow pass)."""
     if parts < 2:

@@ -338,7 +338,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def texts(which: Column) -> DataFrame:
         """The labelled texts of one part; each text is shuffled for its part only."""
-        return docs.select("doc_id", "text").where(which).join(known.where(which), "doc_id").select("text", F.col("label").alias("toxic"))
+        rows = common.labelled(docs.select("doc_id", "text").where(which), known.where(which))
+        return rows.select("text", F.col("label").alias("toxic"))
 
     grams = kneser_ney(common.collected(count_grams(texts(~apart))))
     shared = docs.sparkSession.sparkContext.broadcast(grams)
