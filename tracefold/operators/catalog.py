@@ -2,7 +2,8 @@
 
 Metadata rows come from DataFrame schemas (bounded by the number of columns);
 the data profile beside them is one full-scan aggregate per table, partial on
-the map side, unpivoted with ``stack``.
+the map side, unpivoted with ``stack`` (exact distinct counts: one aggregate per
+column).
 """
 
 from __future__ import annotations
@@ -48,13 +49,15 @@ def profile(name: str, df: DataFrame, exact: bool = False) -> DataFrame:
     """One aggregate pass over ``df``: rows, NULLs, distinct values, min and max per column (long form).
 
     min/max are reported as text for strings, integers, booleans and timestamps
-    (NULL for other types); distinct counts are HyperLogLog estimates unless ``exact``.
+    (NULL for other types); distinct counts are HyperLogLog estimates unless ``exact`` (``exact_profile``).
     """
+    if exact:
+        return exact_profile(name, df)
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
         aggs.append(F.count_if(c.isNull()).alias(f"n{i}"))
-        aggs.append((F.count_distinct(c) if exact else F.approx_count_distinct(c)).cast("long").alias(f"d{i}"))
+        aggs.append(F.approx_count_distinct(c).cast("long").alias(f"d{i}"))
         o = _orderable_text(c, f.dataType)
         aggs.append((_as_text(F.min(o), f.dataType) if o is not None else F.lit(None).cast("string")).alias(f"lo{i}"))
         aggs.append((_as_text(F.max(o), f.dataType) if o is not None else F.lit(None).cast("string")).alias(f"hi{i}"))
@@ -65,6 +68,25 @@ def profile(name: str, df: DataFrame, exact: bool = False) -> DataFrame:
     return wide.select(F.lit(name).alias("table_name"), F.col("__rows").alias("n_rows"), F.expr(stack))
 
 
+def exact_profile(name: str, df: DataFrame) -> DataFrame:
+    """``profile`` with exact distinct counts: each column's values are grouped by themselves, with their rows counted.
+
+    A scan reads one column and only its distinct values are shuffled; distinct counts of many columns in one aggregate
+    would send every row once per column, as wide as all of them.
+    """
+    out = None
+    for f in df.schema.fields:
+        values = df.groupBy(F.col(f"`{f.name}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        ordered = _orderable_text(F.col("v"), f.dataType) is not None
+        lo, hi = ((_as_text(fn("v"), f.dataType) if ordered else F.lit(None).cast("string")) for fn in (F.min, F.max))
+        one = values.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.lit(f.name).alias("column_name"),
+            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_nulls"),
+            F.count("v").alias("n_distinct"), lo.alias("min_value"), hi.alias("max_value"))
+        out = one if out is None else out.unionByName(one)
+    return out.select(F.lit(name).alias("table_name"), "*")
+
+
 # ---------------------------------------------------------------------------
 # profiles kept as sketches
 # ---------------------------------------------------------------------------
