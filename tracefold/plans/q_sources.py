@@ -77,10 +77,11 @@ def t1_ingest(spark, sf):
     is_text = F.col("type").isin("content", "thinking")
     c = derive.chunks(spark, sf)
     index = RU.index_tool_calls(c).select("run_id", "seq", "index")
-    told = c.withColumn("turn", derive.turn_of(F.col("seq"))).withColumn(
+    # a turn's rows meet once, while they are small: the window and the capture then stay where they are
+    told = c.join(index, ["run_id", "seq"], "left").withColumn("turn", derive.turn_of(F.col("seq"))).repartition("run_id", "turn")
+    told = told.withColumn(
         "content", F.when(is_text, F.concat_ws("", F.collect_list("delta").over(turn))).otherwise(F.col("content")))
     told = told.withColumn("error_code", F.when((F.col("type") == "error") & (F.length("error_message") % 2 == 0), F.lit("E1")))
-    told = told.join(index, ["run_id", "seq"], "left")
     frames = told.select("run_id", "turn", "seq", F.concat(F.lit("data: "), sse.chunk_json(told), F.lit("\n\n")).alias("frame"))
     # a capture holds one turn: one response, bounded
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "frame"))), lambda x: x["frame"]), "")

@@ -45,6 +45,10 @@ def encode_sse(chunks: DataFrame, with_seq: bool = False) -> DataFrame:
     return chunks.select("run_id", "seq", F.concat(F.lit("data: "), chunk_json(chunks, with_seq), F.lit("\n\n")).alias("frame"))
 
 
+# what is trimmed off lines and payloads; a regular expression would try every place of a long line
+BLANKS = " \t\n\x0b\f\r"
+
+
 def parse_sse_lines(lines: DataFrame, col: str = "value", strict: bool = False) -> DataFrame:
     """Keep JSON objects from event-stream lines.
 
@@ -52,9 +56,9 @@ def parse_sse_lines(lines: DataFrame, col: str = "value", strict: bool = False)
     dropped.  ``data:`` is stripped; bare lines are kept as payloads too, unless
     ``strict`` (then only ``data: `` lines count).
     """
-    line = F.trim(F.regexp_replace(F.col(col), r"^\s+|\s+$", ""))
+    line = F.btrim(F.col(col), F.lit(BLANKS))
     is_data = line.startswith("data:")
-    payload = F.when(is_data, F.regexp_replace(F.substring(line, 6, 1 << 30), r"^\s+|\s+$", "")).otherwise(line)
+    payload = F.when(is_data, F.btrim(F.substring(line, 6, 1 << 30), F.lit(BLANKS))).otherwise(line)
     keep = (line != "") & (payload != "[DONE]")
     if strict:
         keep = keep & F.col(col).startswith("data: ")
