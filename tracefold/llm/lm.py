@@ -3,9 +3,10 @@
 The n-gram counts of the whole corpus form one table, partitioned by n-gram hash; every document's n-grams are sent
 to the partition that counts them, joined there, and their counts come back to be summed per document. Rows of
 these relations are packed: documents are read into blocks of about ``block_words`` words (a block keeps its words
-as 64-bit hashes and the texts as places in that list), and one row carries all n-grams of a block that fall into
+as 64-bit hashes, the commonest first, and the texts as places in that list), and one row carries all n-grams of a block that fall into
 one hash partition, already counted within the block. So a frequent n-gram costs one entry a block, wherever its
-occurrences are, and no text crosses the network. The number of partitions follows from the number of words.
+occurrences are, and no text crosses the network. Blocks are written once, bucketed by their number, and wait there
+for the counts. The number of partitions follows from the number of words.
 
 Score. Words are ASCII-lower-cased and cut at blanks. With c the counts of the *other* documents' n-grams, N their
 number of words, and m the highest order that fits at a position, the word scores ``ALPHA^(m-k) * c(k-gram) / c(its
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize_by
 from . import common
 
 ALPHA = 0.4
@@ -81,7 +82,11 @@ def blocks_of(docs: DataFrame, block_words: int) -> DataFrame:
         ids, sizes, parts, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            words, places = np.unique(np.concatenate(parts), return_inverse=True)
+            words, places, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")  # small places for common words, sorted hashes among equally common ones
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            words, places = words[order], rank[places]
             return pa.RecordBatch.from_arrays([
                 pa.array([name], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
                 pa.array([held], pa.int64()), pa.array([packed(words)], pa.binary()), pa.array([plain(places)], pa.binary())],
@@ -176,6 +181,17 @@ def _unwide(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
+def spans(docs: np.ndarray, size: int = 250_000) -> Iterator[tuple[int, int]]:
+    """Spans of about ``size`` places that hold whole documents; ``docs`` is sorted."""
+    at = 0
+    while at < len(docs):
+        end = len(docs) if at + size >= len(docs) else int(np.searchsorted(docs, docs[at + size]))
+        if end <= at:
+            end = int(np.searchsorted(docs, docs[at], side="right"))
+        yield at, end
+        at = end
+
+
 def block_scores(seq: Sequence, counts: dict[int, np.ndarray], order: int, words: int) -> np.ndarray:
     """Log score of every document of a block; ``counts[n]`` are the corpus counts of its n-grams, in hash order."""
     others = (words - seq.sizes)[seq.doc].astype(float)  # words of the other documents, by position
@@ -183,11 +199,12 @@ def block_scores(seq: Sequence, counts: dict[int, np.ndarray], order: int, words
     value = most * np.log(ALPHA) - np.log(others + 1)
     context = others
     for n, grams in seq.grams(order):
-        fits = seq.at >= n - 1
+        fits = np.flatnonzero(seq.at >= n - 1)
         elsewhere = np.zeros(len(grams))
         found, back = np.unique(grams[fits], return_inverse=True)
-        _, own, own_counts = np.unique(seq.doc[fits] * len(found) + back, return_inverse=True, return_counts=True)
-        elsewhere[fits] = counts[n][back].astype(float) - own_counts[own] if len(found) else 0.0
+        for a, b in spans(seq.doc[fits]):
+            _, own, own_counts = np.unique(seq.doc[fits[a:b]] * len(found) + back[a:b], return_inverse=True, return_counts=True)
+            elsewhere[fits[a:b]] = counts[n][back[a:b]].astype(float) - own_counts[own]
         seen = elsewhere > 0
         with np.errstate(divide="ignore", invalid="ignore"):
             value = np.where(seen, (most - n) * np.log(ALPHA) + np.log(elsewhere) - np.log(context), value)
@@ -195,9 +212,9 @@ def block_scores(seq: Sequence, counts: dict[int, np.ndarray], order: int, words
     return np.bincount(seq.doc, weights=value, minlength=len(seq.sizes))
 
 
-def stupid_backoff(docs: DataFrame, order: int = 3, block_words: int = 500_000) -> DataFrame:
+def stupid_backoff(docs: DataFrame, order: int = 3, block_words: int = 2_000_000) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of every document against all others."""
-    blocks = materialize(blocks_of(docs, block_words), "lm-blocks")
+    blocks = materialize_by(blocks_of(docs, block_words), "lm-blocks", "block", common.shuffle_parts(docs))
     words = blocks.agg(F.sum("n_words")).first()[0] or 0
     bits = max(int(np.ceil(np.log2(max(words * order / PART_GRAMS, common.shuffle_parts(docs), 1)))), 0)
     replies = told(asked(blocks, order, bits))

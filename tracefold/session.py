@@ -75,3 +75,14 @@ def materialize(df, name: str):
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/materialized/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def materialize_by(df, name: str, column: str, buckets: int):
+    """Like ``materialize``, as an external table of ``buckets`` buckets of ``column``: what groups or joins by it later
+    shuffles the other side only."""
+    import uuid
+    key = uuid.uuid4().hex[:12]
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/materialized/{name}-{key}"
+    known = f"{name}_{key}".replace("-", "_")
+    df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(known)
+    return df.sparkSession.table(known)
