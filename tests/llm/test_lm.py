@@ -64,3 +64,17 @@ def test_op4_equals_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
     assert got == sorted(con.sql(f"SELECT {', '.join(names)} FROM ({ORACLE['op4_lm_score']})").fetchall())
+
+
+def test_blocks_are_not_shuffled(make_docs):
+    plan = lm.stupid_backoff(make_docs([(i, "a b c d") for i in range(20)]), 3, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block") == 1  # the counts that come back
+
+
+def test_spans_hold_whole_documents():
+    docs = np.repeat(np.arange(6), [3, 1, 9, 0, 2, 4])
+    for size in (1, 4, 100):
+        cuts = list(lm.spans(docs, size))
+        assert [i for a, b in cuts for i in range(a, b)] == list(range(len(docs)))
+        assert all(docs[a - 1] != docs[a] for a, _ in cuts[1:])
+    assert not list(lm.spans(docs[:0]))
