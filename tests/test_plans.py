@@ -42,3 +42,20 @@ def test_running_index_is_bucketed(spark):
     # the per-run counter windows over (run, bucket), never over the run alone
     text = plan_text(E.queries()["w3_index_tool_calls"](spark, SF_SMALL))
     assert "__bucket" in text
+
+
+def test_exact_profile_sends_no_row_once_per_column(spark):
+    from tracefold.operators.catalog import profile
+    df = spark.createDataFrame([(1, "a", [1]), (2, None, None), (2, "b", [1])], "x long, y string, z array<int>")
+    got = profile("t", df, exact=True)
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [
+        ("t", 3, "x", 0, 2, "1", "2"), ("t", 3, "y", 1, 2, "a", "b"), ("t", 3, "z", 1, 1, None, None)]
+    assert sorted(map(tuple, profile("t", df.where("false"), exact=True).collect())) == [("t", 0, c, 0, 0, None, None) for c in "xyz"]
+
+
+def test_t1_captures_are_not_shuffled(spark):
+    from tracefold.plans.registry import QUERIES
+    plan = QUERIES["t1_ingest_captures"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("turn#" in line for line in exchanges) == 1 and not any("type#" in line for line in exchanges)
