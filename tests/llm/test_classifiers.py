@@ -302,3 +302,12 @@ def test_tables_of_keys_are_searched_whole():
         wanted = np.concatenate([table, table + np.uint64(1), rng.integers(0, 2**64, 500, dtype=np.uint64)])
         there, at = toxicity.Places(table).find(wanted)
         assert there.tolist() == np.isin(wanted, table).tolist() and (table[at[there]] == wanted[there]).all()
+
+
+def test_labelled_rows_are_whole(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in [*range(-50, 200), 7, 7, None]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, (i or 0) % 2) for i in [*range(-60, 90, 3), 6, None]], "doc_id int, toxic int")
+    known = common.known_labels(labels, "toxic", (0, 1))
+    got = common.labelled(docs, known)
+    assert got.columns == ["doc_id", "text", "label"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.join(known, "doc_id").select("doc_id", "text", "label").collect()))
